@@ -156,12 +156,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", folds: int = 5) -> DataFrame:
-    """Labelled rows outside the held-out fold; a row labelled more than once has the mean of its labels."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("label"))
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", folds: int = 5, max_rows: int = 4000) -> DataFrame:
+    """Rows of max_rows labelled ids outside the held-out fold, those of the smallest hashes.
+
+    An id labelled more than once has the mean of its labels. The chosen ids are bounded by max_rows, so they are
+    broadcast and the texts stay where they are read.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null")
+    chosen = known.where(~held_out(F.col("id"), folds)).groupBy("id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     n_chars = F.col(chars_col).cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), n_chars.alias("n_chars"))
-    return rows.where(~held_out(F.col("id"), folds) & F.col("text").isNotNull()).join(known, "id")
+    return rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
 
 
 def held_out(id_col, folds: int = 5):
@@ -169,12 +174,12 @@ def held_out(id_col, folds: int = 5):
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == 0, F.lit(True))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5, max_rows: int = 4000) -> DataFrame:
     """Per row: id, held_out, score and predicted (1 where score >= threshold).
 
     Learns from labelled rows outside the held-out fold alone. Repeated rows get equal scores, null ids stay null and
     count as held out, extra columns are ignored, and an empty table gives an empty result.
     """
-    model = fit(training_rows(docs, labels, id_col, text_col, folds=folds))
+    model = fit(training_rows(docs, labels, id_col, text_col, folds=folds, max_rows=max_rows), max_rows)
     found = score(docs, model, id_col, text_col)
     return found.select(id_col, held_out(F.col(id_col), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
