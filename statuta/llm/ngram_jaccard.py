@@ -24,7 +24,7 @@ from statuta.llm.components import components
 #: Bits of a signature.
 BITS = 1024
 #: Members of a tile's block; a larger tile is dealt as pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Of the smallest hashes of a set, those whose tiles are settled against their smallest member in the first round.
 LEADERS = 4
 
@@ -56,9 +56,11 @@ def signatures(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row: id, n (set size), f1 and f2 (128 bits that stand for the set), prefix (its smallest hashes), bits."""
-    kind = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+def features(docs: DataFrame, n: int, percent: int, wanted: str) -> DataFrame:
+    """Per row of (id, text): id and n (set size), with f1 and f2 (128 bits that stand for the set), or these and
+    prefix (its smallest hashes), or bits (its signature); wanted is "class", "prefix" or "bits"."""
+    extra = {"class": [], "prefix": [("prefix", pa.list_(pa.int64()), "array<long>")], "bits": [("bits", pa.binary(), "binary")]}[wanted]
+    kind = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), *(x[:2] for x in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,49 +70,116 @@ def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate(([np.uint64(0)], np.cumsum(W.mix(values ^ np.uint64(s)), dtype=np.uint64))) for s in (0x1234567, 0x7654321ABCDEF)]
                     f1, f2 = ((s[begins[1:]] - s[begins[:-1]]).view(np.int64) for s in sums)
-                take = np.minimum(prefix_size(size, percent), size)
-                kept = np.arange(len(values)) - np.repeat(begins[:-1], size) < np.repeat(take, size)
-                prefix = W.lists(values[kept].view(np.int64), np.concatenate(([0], np.cumsum(take))), pa.int64())
-                bits = pa.array([x.tobytes() for x in signatures(values, begins)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size, pa.int32()), pa.array(f1), pa.array(f2), prefix, bits], schema=kind)
+                columns = [batch.column(0).slice(a, b - a), pa.array(size, pa.int32()), pa.array(f1), pa.array(f2)]
+                if wanted == "prefix":
+                    take = np.minimum(prefix_size(size, percent), size)
+                    kept = np.arange(len(values)) - np.repeat(begins[:-1], size) < np.repeat(take, size)
+                    columns.append(W.lists(values[kept].view(np.int64), np.concatenate(([0], np.cumsum(take))), pa.int64()))
+                elif wanted == "bits":
+                    columns.append(pa.array([x.tobytes() for x in signatures(values, begins)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return docs.mapInArrow(run, "id long, n int, f1 long, f2 long, prefix array<long>, bits binary")
+    return docs.mapInArrow(run, ", ".join(["id long, n int, f1 long, f2 long", *(f"{x[0]} {x[2]}" for x in extra)]))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are similar, by exact intersection of their sorted arrays."""
-    ids = store.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = store.table(docs.join(ids, "id", "left_semi").distinct())
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (id, text) whose id is in ids, without shuffling the texts of the others.
+
+    A bitmap of hashed ids of at most 2^28 bits (32 MB, broadcast) lets through few rows besides; a semi join settles
+    them exactly.
+    """
+    ids = store.table(ids.distinct())
+    slots = 1 << min(28, max(20, (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+    bitmap = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+    spot = F.expr("bitmap_bit_position(slot)")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = docs.withColumn("slot", slot).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).join(F.broadcast(bitmap), "bucket").where(F.floor(byte / F.pow(F.lit(2), spot % 8)) % 2 == 1)
+    return near.select("id", "text").join(ids, "id", "left_semi")
+
+
+def in_groups(rows: DataFrame, keys: list[str], settle, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """settle(pa.Table) -> pa.RecordBatch over runs of rows in which groups of equal keys are whole, streaming.
+
+    A task holds one batch and one group at a time, so groups must be small and may be many.
+    """
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            kept = []
-            left = W.slices(batch.column(2))
-            for a, b, data, offsets in left:
-                va, ba = shingle_sets(data, offsets, n)
-                done = a
-                for c, d, data_b, offsets_b in W.slices(batch.column(3).slice(a, b - a)):
-                    vb, bb = shingle_sets(data_b, offsets_b, n)
-                    for k in range(d - c):
-                        x, y = va[ba[c + k] : ba[c + k + 1]], vb[bb[k] : bb[k + 1]]
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if both and 100 * both >= percent * (len(x) + len(y) - both):
-                            kept.append(done + k)
-                    done += d - c
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-def tile_candidates(block: np.ndarray, ids: np.ndarray, size: np.ndarray, comp: np.ndarray, guest: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+            if not batch.num_rows:
+                continue
+            got = pa.Table.from_batches([batch])
+            got = got if rest is None else pa.concat_tables([rest, got])
+            same = np.ones(got.num_rows, bool)
+            for c in keys:
+                column = got.column(c).to_numpy()
+                same &= column == column[-1]
+            cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            rest = got.slice(cut)
+            if cut:
+                yield settle(got.slice(0, cut))
+        if rest is not None:
+            yield settle(rest)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def cuts_of(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the runs of equal keys begin, and the number of rows."""
+    change = np.zeros(rows.num_rows - 1, bool)
+    for c in keys:
+        column = rows.column(c).to_numpy()
+        change |= column[1:] != column[:-1]
+    return np.concatenate(([0], np.flatnonzero(change) + 1, [rows.num_rows]))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by exact intersection of their sorted arrays.
+
+    pairs has (a, b, home); a text goes once to each home that has pairs of it, and homes are small.
+    """
+    needed = store.table(pairs.select("home", F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = rows_of(docs, needed.select("id"))
+    nothing = F.lit(None)
+    rows = needed.join(texts, "id").select("home", F.lit(0).alias("part"), "id", nothing.cast("long").alias("b"), "text").unionByName(pairs.select("home", F.lit(1).alias("part"), F.col("a").alias("id"), "b", nothing.cast("string").alias("text")))
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        cuts, out = cuts_of(rows, ["home"]), []
+        part, ids, other = rows.column("part").to_numpy(), rows.column("id").to_numpy(), rows.column("b").to_numpy(zero_copy_only=False)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            middle = a + int((part[a:b] == 0).sum())
+            sets: dict[int, list[np.ndarray]] = {}
+            for c, d, data, offsets in W.slices(rows.column("text").slice(a, middle - a)):
+                values, begins = shingle_sets(data, offsets, n)
+                for k in range(d - c):
+                    sets.setdefault(int(ids[a + c + k]), []).append(values[begins[k] : begins[k + 1]])
+            for x, y in zip(ids[middle:b].tolist(), other[middle:b].astype(np.int64).tolist(), strict=True):
+                if any(similar(u, v, percent) for u in sets.get(x, []) for v in sets.get(y, [])):
+                    out.append((x, y))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return in_groups(rows, ["home"], settle, "a long, b long", ("part",)).distinct()
+
+
+def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |intersection| >= percent * |union| for two ascending arrays of distinct values."""
+    if not len(u) or not len(v):
+        return False
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    both = int((v[at] == u).sum())
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
+def tile_candidates(block: np.ndarray, ids: np.ndarray, size: np.ndarray, comp: np.ndarray, guest: np.ndarray, first: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one tile (or of two blocks of it) that size, component and signature leave open."""
-    order = np.argsort(size, kind="stable")
-    ids, size, comp, guest, block, bits = ids[order], size[order], comp[order], guest[order], block[order], bits[order]
+    order = np.lexsort((~first, size))  # of two equal sizes, one that may be the smaller comes before
+    ids, size, comp, guest, first, block, bits = (x[order] for x in (ids, size, comp, guest, first, block, bits))
     out_a, out_b = [], []
     two = block.min() != block.max()
     reach = np.searchsorted(size, size * 100 // percent, "right")
-    for i in range(len(ids) - 1):
+    for i in np.flatnonzero(first[:-1]):
         j = np.arange(i + 1, reach[i])
         if two:
             j = j[block[j] != block[i]]
@@ -129,40 +198,26 @@ def tile_candidates(block: np.ndarray, ids: np.ndarray, size: np.ndarray, comp:
 
 
 def in_tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs from rows (tile, x, y, block, id, n, comp, guest, bits), those of a tile's block pair together."""
-    dealt = members.repartition("tile", "band", "x", "y").sortWithinPartitions("tile", "band", "x", "y")
-    columns = ("block", "id", "n", "comp", "guest")
+    """Candidate pairs (a, b, home) from rows (tile, band, x, y, block, id, n, comp, guest, first, bits)."""
+    keys = ["tile", "band", "x", "y"]
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        keys = np.stack([rows.column(c).to_numpy() for c in ("tile", "band", "x", "y")])
-        cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [rows.num_rows]))
-        block, ids, size, comp, guest = (rows.column(c).to_numpy() for c in columns)
+        cuts = cuts_of(rows, keys)
+        home = W.mix(rows.column("tile").to_numpy().view(np.uint64) + rows.column("band").to_numpy().astype(np.uint64) * np.uint64(3) + W.mix((rows.column("x").to_numpy().astype(np.uint64) << np.uint64(32)) | rows.column("y").to_numpy().astype(np.uint64))).view(np.int64)
+        block, ids, size, comp, guest, first = (rows.column(c).to_numpy() for c in ("block", "id", "n", "comp", "guest", "first"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
-        found = [tile_candidates(block[a:b], ids[a:b], size[a:b].astype(np.int64), comp[a:b], guest[a:b].astype(bool), bits[a:b], percent) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-        a = np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)])
-        b = np.concatenate([y for _, y in found] or [np.zeros(0, np.int64)])
-        pairs = np.unique(np.stack((a, b)), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the last block pair so far, of 2 * BLOCK rows or few more
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            last = {c: rows.column(c)[rows.num_rows - 1].as_py() for c in ("tile", "band", "x", "y")} if rows.num_rows else None
-            if last is None:
-                continue
-            same = np.ones(rows.num_rows, bool)
-            for c, v in last.items():
-                same &= rows.column(c).to_numpy() == v
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            rest = rows.slice(cut)
-            if cut:
-                yield settle(rows.slice(0, cut))
-        if rest is not None and rest.num_rows:
-            yield settle(rest)
+        found = [(*tile_candidates(block[a:b], ids[a:b], size[a:b].astype(np.int64), comp[a:b], guest[a:b].astype(bool), first[a:b].astype(bool), bits[a:b], percent), home[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+        a = np.concatenate([x for x, _, _ in found] or [np.zeros(0, np.int64)])
+        b = np.concatenate([y for _, y, _ in found] or [np.zeros(0, np.int64)])
+        h = np.repeat(np.array([z for _, _, z in found], np.int64), [len(x) for x, _, _ in found])
+        order = np.lexsort((h, b, a))
+        a, b, h = a[order], b[order], h[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, h)], names=["a", "b", "home"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = in_groups(members, keys, settle, "a long, b long, home long")
+    return found.groupBy("a", "b").agg(F.min("home").alias("home"))
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -174,32 +229,38 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     take the component of a class that also has an id, else null. Extra columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = store.table(features(rows, n, percent))
-    classes = made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    reps = store.table(made.where("n > 0").join(classes.where("rep is not null").select("n", "f1", "f2", F.col("rep").alias("id")), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "prefix", "bits"))
+    made = store.table(features(rows, n, percent, "class"))
+    prefixes = features(rows.where("id is not null"), n, percent, "prefix").where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
 
-    # postings; a hash that one class alone has in its prefix is of no use
-    post = reps.select("id", F.posexplode("prefix").alias("pos", "tile"))
-    met = store.table(post.withColumn("last", F.max("id").over(Window.partitionBy("tile"))).withColumn("lead", F.min("id").over(Window.partitionBy("tile"))).where("lead < last").select("tile", "id", "lead", (F.col("pos") < LEADERS).alias("near")))
+    # postings; a hash that one class alone has in its prefix is of no use, nor one that is in no smaller set's own prefix
+    own_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent) - 1e-9) + 1
+    post = prefixes.select("id", F.col("n"), F.posexplode("prefix").alias("pos", "tile")).select("tile", "id", (F.col("pos") < own_prefix).alias("first"), (F.col("pos") < LEADERS).alias("near"))
+    tile = Window.partitionBy("tile")
+    met = store.table(post.withColumn("last", F.max("id").over(tile)).withColumn("lead", F.min("id").over(tile)).withColumn("some", F.max("first").over(tile)).where("lead < last and some").drop("last", "some"))
 
     # first round: each tile's smallest member against the others
     stars = met.where("near and lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    first = store.table(verified(stars, rows, n, percent))
+    parts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
+    stars = stars.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("home"))
+    first = store.table(verified(store.table(stars), rows, n, percent))
     comp = store.table(components(first))
 
     # second round: within tiles of more than one component, the pairs that are still apart
-    known = met.select("tile", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("comp"))
-    apart = known.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
-    members = known.join(apart, "tile", "left_semi").join(reps.select("id", "n", "bits"), "id")
+    known = met.select("tile", "id", "first").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", "first", F.coalesce("component", "id").alias("comp"))
+    span = Window.partitionBy("tile")
+    apart = store.table(known.withColumn("lo", F.min("comp").over(span)).withColumn("hi", F.max("comp").over(span)).where("lo < hi").drop("lo", "hi"))
+    signed = store.table(features(rows_of(rows, apart.select("id")), n, percent, "bits").where("n > 0").select("id", "n", "bits"))
     step = float(np.log(100 / percent))
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9).cast("int")
-    banded = members.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", own + F.col("guest"))
-    count = banded.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("g = 0 and lo < hi").select("tile", "band", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    banded = banded.join(count, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "comp", "guest", "bits")
-    second = verified(store.table(in_tiles(dealt, percent)), rows, n, percent)
+    banded = apart.join(signed.select("id", "n"), "id").withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", own + F.col("guest"))
+    group = Window.partitionBy("tile", "band")
+    banded = banded.withColumn("m", F.count(F.lit(1)).over(group)).withColumn("g", F.min("guest").over(group)).withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).withColumn("some", F.max("first").over(group)).where("g = 0 and lo < hi and some")
+    banded = banded.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "comp", "guest", F.col("first").cast("int").alias("first"))
+    second = verified(store.table(in_tiles(dealt.join(signed.select("id", "bits"), "id"), percent)), rows, n, percent)
     final = components(first.union(second)).withColumnRenamed("node", "rep")
 
+    classes = made.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     named = classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     return made.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
