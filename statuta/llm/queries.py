@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import factorization, ngram_jaccard, quality_rules, source_mixing
+from statuta.llm import factorization, ngram_jaccard, quality_rules, secrets, source_mixing
 from statuta.llm.ship import ship
 
 
@@ -25,6 +25,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.taken(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).drop("s")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -33,5 +37,6 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_source_mixing": op5_source_mixing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
 }
