@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import factorization, ngram_jaccard, quality_rules, secrets, source_mixing
+from statuta.llm import factorization, ngram_jaccard, quality_rules, secrets, sentencepiece_scan, source_mixing
 from statuta.llm.ship import ship
 
 
+#: The SentencePiece model of the encoding query.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -33,10 +37,15 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(documents(spark, sf_dir), MODEL_FILE)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
+    "op10_sentencepiece": op10_sentencepiece,
 }
