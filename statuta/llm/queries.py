@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import factorization, ngram_jaccard, quality_rules, secrets, sentencepiece_scan, source_mixing
+from statuta.llm import factorization, hmm_lm, ngram_jaccard, quality_rules, secrets, sentencepiece_scan, source_mixing
 from statuta.llm.ship import ship
 
 
@@ -25,6 +25,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.statistics(documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op4_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(documents(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.taken(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_hmm_scoring": op4_hmm_scoring,
     "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
