@@ -1,3 +1,18 @@
 """DuckDB SQL for those queries that SQL expresses."""
 
-ORACLE_SQL: dict[str, str] = {}
+OP8 = """
+WITH rows AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT * 2147483648
+           + ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT // 2 AS h
+  FROM documents),
+levels AS (SELECT doc_id, bytes, h, d, (h::HUGEINT // (1::HUGEINT << (63 - d)))::HUGEINT AS bucket FROM rows, range(0, 64) t(d)),
+sums AS (SELECT d, bucket, sum(bytes) AS n FROM levels GROUP BY ALL),
+depths AS (SELECT doc_id, bytes, h, min(d) AS depth FROM levels JOIN sums USING (d, bucket) WHERE n <= 1048576 GROUP BY ALL),
+named AS (
+  SELECT *, CASE WHEN depth = 0 THEN '' ELSE lpad(bin((h::HUGEINT // (1::HUGEINT << (63 - depth)))::BIGINT), depth::INT, '0') END AS shard
+  FROM depths)
+SELECT doc_id, bytes, depth::INT AS depth, shard, sum(bytes) OVER (PARTITION BY shard)::BIGINT AS shard_bytes FROM named
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_extendible_shards": OP8}

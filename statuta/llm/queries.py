@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import factorization, hmm_lm, ngram_jaccard, quality_rules, secrets, sentencepiece_scan, source_mixing
+from statuta.llm import extendible_shards, factorization, hmm_lm, ngram_jaccard, posting_lists, quality_rules, secrets, sentencepiece_scan, source_mixing
 from statuta.llm.ship import ship
 
 
@@ -21,6 +21,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link_classes(documents(spark, sf_dir))
 
 
+def op2_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return posting_lists.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.statistics(documents(spark, sf_dir)).drop("rejected_by")
 
@@ -41,16 +46,22 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards.shards(documents(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(documents(spark, sf_dir), MODEL_FILE)
 
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_ann_posting_lists": op2_ann_posting_lists,
     "op3_quality_rules": op3_quality_rules,
     "op4_hmm_scoring": op4_hmm_scoring,
     "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_extendible_shards": op8_extendible_shards,
     "op10_sentencepiece": op10_sentencepiece,
 }
