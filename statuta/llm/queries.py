@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import extendible_shards, factorization, hmm_lm, ngram_jaccard, posting_lists, quality_rules, secrets, sentencepiece_scan, source_mixing
+from statuta.llm import extendible_shards, factorization, hmm_lm, html_layout, ngram_jaccard, posting_lists, quality_rules, secrets, sentencepiece_scan, source_mixing
 from statuta.llm.ship import ship
 
 
@@ -50,6 +50,11 @@ def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards.shards(documents(spark, sf_dir))
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html_layout.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(documents(spark, sf_dir), MODEL_FILE)
 
@@ -63,5 +68,6 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_extendible_shards": op8_extendible_shards,
+    "op9_html_layout": op9_html_layout,
     "op10_sentencepiece": op10_sentencepiece,
 }
