@@ -183,3 +183,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(training_rows(docs, labels, id_col, text_col, folds=folds, max_rows=max_rows), max_rows)
     found = score(docs, model, id_col, text_col)
     return found.select(id_col, held_out(F.col(id_col), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", threshold: float = 0.3, folds: int = 5, max_rows: int = 4000) -> DataFrame:
+    """The rows of docs with a text and a score of threshold or more, with their columns as they are."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit(training_rows(docs, labels, id_col, text_col, chars_col, folds=folds, max_rows=max_rows), max_rows))
+    at, size_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for part in batches:
+            for a, b, data, offsets in W.slices(part.column(at)):
+                rows = part.slice(a, b - a)
+                n_chars = chars(rows.column(size_at)) if size_at is not None else np.zeros(b - a)
+                raw, _ = raw_scores(m, *featurize(data, offsets, n_chars))
+                yield rows.filter(pa.array((sigmoid(raw.astype(np.float64)) >= threshold) & rows.column(at).is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
