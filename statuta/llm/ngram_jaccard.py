@@ -4,7 +4,8 @@ Sets are cut into size bands, and documents that share one of the smallest hashe
 similar sets can't both miss) meet in a tile of a band. Inside a tile, bitmap signatures bound the overlap of two sets
 from above by bit counts; what passes is settled by intersecting the sorted arrays. Equal sets are one class from the
 start. Links of each tile's smallest member are settled first, and pairs that these already connect are left out of
-the second round, so a group of many near copies costs what its size is, not its square.
+the second round, whose tiles are of the rarest n-grams among the documents that still meet another component: of a
+large family of copies, those with edits of their own meet few others.
 """
 
 from __future__ import annotations
@@ -58,8 +59,8 @@ def signatures(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def features(docs: DataFrame, n: int, percent: int, wanted: str) -> DataFrame:
     """Per row of (id, text): id and n (set size), with f1 and f2 (128 bits that stand for the set), or these and
-    prefix (its smallest hashes), or bits (its signature); wanted is "class", "prefix" or "bits"."""
-    extra = {"class": [], "prefix": [("prefix", pa.list_(pa.int64()), "array<long>")], "bits": [("bits", pa.binary(), "binary")]}[wanted]
+    prefix (its smallest hashes), set (all), or bits (its signature); wanted is "class", "prefix", "set" or "bits"."""
+    extra = {"class": [], "prefix": [("prefix", pa.list_(pa.int64()), "array<long>")], "bits": [("bits", pa.binary(), "binary")], "set": [("set", pa.list_(pa.int64()), "array<long>")]}[wanted]
     kind = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), *(x[:2] for x in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +76,8 @@ def features(docs: DataFrame, n: int, percent: int, wanted: str) -> DataFrame:
                     take = np.minimum(prefix_size(size, percent), size)
                     kept = np.arange(len(values)) - np.repeat(begins[:-1], size) < np.repeat(take, size)
                     columns.append(W.lists(values[kept].view(np.int64), np.concatenate(([0], np.cumsum(take))), pa.int64()))
+                elif wanted == "set":
+                    columns.append(W.lists(values.view(np.int64), begins, pa.int64()))
                 elif wanted == "bits":
                     columns.append(pa.array([x.tobytes() for x in signatures(values, begins)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
@@ -245,11 +248,19 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = store.table(verified(store.table(stars), rows, n, percent))
     comp = store.table(components(first))
 
-    # second round: within tiles of more than one component, the pairs that are still apart
-    known = met.select("tile", "id", "first").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", "first", F.coalesce("component", "id").alias("comp"))
-    span = Window.partitionBy("tile")
-    apart = store.table(known.withColumn("lo", F.min("comp").over(span)).withColumn("hi", F.max("comp").over(span)).where("lo < hi").drop("lo", "hi"))
-    signed = store.table(features(rows_of(rows, apart.select("id")), n, percent, "bits").where("n > 0").select("id", "n", "bits"))
+    # second round: who meets another component there, in tiles of the rarest n-grams among these, for the pairs still apart
+    known = met.select("tile", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = store.table(known.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).where("lo < hi").select("id", "comp").distinct())
+    texts = store.table(rows_of(rows, mixed.select("id")))
+    signed = store.table(features(texts, n, percent, "bits").where("n > 0").select("id", "n", "bits").dropDuplicates(["id", "n", "bits"]))
+    grams = features(texts, n, percent, "set").select("id", "n", F.explode("set").alias("tile"))
+    shared = grams.withColumn("df", F.count(F.lit(1)).over(tile)).where("df > 1")
+    rare = Window.partitionBy("id", "n").orderBy("df", "tile")
+    ranked = shared.withColumn("rank", F.dense_rank().over(rare)).withColumn("rank", F.col("rank") + F.col("n") - F.max("rank").over(Window.partitionBy("id", "n")))
+    least = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9) + 1
+    posted = ranked.where(F.col("rank") <= least).select("tile", "id", (F.col("rank") <= own_prefix).alias("first")).distinct()
+    posted = posted.join(mixed, "id")
+    apart = store.table(posted.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).withColumn("some", F.max("first").over(tile)).where("lo < hi and some").select("tile", "id", "first", "comp"))
     step = float(np.log(100 / percent))
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9).cast("int")
     banded = apart.join(signed.select("id", "n"), "id").withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", own + F.col("guest"))
