@@ -29,24 +29,49 @@ SNAP = 2048
 #: Chunks whose matrices one task multiplies.
 SEGMENT = 128
 NEVER = -(1 << 60)
-_FRAGMENT = re.compile(r" +[^ ]*|[^ ]+")
+NO_PIECE = (1 << 20) - 1
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with integer scores; blanks stand for themselves here. Byte pieces are kept apart."""
+    """Pieces with integer scores; blanks stand for themselves here. Byte pieces are kept apart.
+
+    trie leads through the characters of pieces to "", which holds a piece's score and id. fragment matches runs between which
+    no piece can stretch: a blank begins one, and so does a change between the characters that share pieces with letters
+    and all others.
+    """
 
     ids: dict[str, int]
     scores: dict[str, int]
     byte_ids: list[int]
     unknown: int
     longest: int
-    prefixes: set[str] = field(default_factory=set)
+    trie: dict = field(default_factory=dict)
     texts: dict[int, bytes] = field(default_factory=dict)
+    fragment: re.Pattern = None
 
     def __post_init__(self) -> None:
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        for piece, score in self.scores.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = (score, self.ids[piece])
         self.texts = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        near: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for x, y in itertools.pairwise(piece.lstrip(" ")):
+                near.setdefault(x, set()).add(y)
+                near.setdefault(y, set()).add(x)
+        with_letters = {c for piece in self.ids for c in piece if c.isalpha()}
+        todo = list(with_letters)
+        while todo:
+            for y in near.get(todo.pop(), ()):
+                if y not in with_letters:
+                    with_letters.add(y)
+                    todo.append(y)
+        own = "[" + re.escape("".join(sorted(with_letters - {" "}))) + "]" if with_letters - {" "} else "(?!)"
+        other = "[^ " + own[1:] if own != "(?!)" else "[^ ]"
+        self.fragment = re.compile(f" *{own}+| *{other}+| +")
 
 
 def load(model_file: str) -> Vocabulary:
@@ -68,8 +93,9 @@ def load(model_file: str) -> Vocabulary:
 
 
 def viterbi(v: Vocabulary, s: str, n: int, entry: dict[int, int]) -> tuple[list[int], list[int]]:
-    """Best score and the start of the last piece for each position of s, from scored entries; pieces start before n.
+    """Best score of each position of s, and the last piece to it, from scored entries; pieces start before n.
 
+    A last piece is its start and its id in one number, start * 2^20 + id, or id 2^20 - 1 for a character of no piece.
     Of equal scores the piece that starts first wins. Entries count as arrivals from before.
     """
     size = min(len(s), n + v.longest - 1)
@@ -77,44 +103,66 @@ def viterbi(v: Vocabulary, s: str, n: int, entry: dict[int, int]) -> tuple[list[
     for i, x in entry.items():
         if i <= size:
             best[i] = x
-    prefixes, scores, unknown = v.prefixes, v.scores, v.unknown
+    root, unknown = v.trie, v.unknown
     for p in range(min(n, size)):
         now = best[p]
         if now == NEVER:
             continue
-        for q in range(p + 1, size + 1):
-            piece = s[p:q]
-            if piece not in prefixes:
+        q, alone, at = p, True, p << 20
+        node = root.get(s[p])
+        while node is not None:
+            q += 1
+            if "" in node:
+                score, i = node[""]
+                if q == p + 1:
+                    alone = False
+                if now + score > best[q]:
+                    best[q], back[q] = now + score, at | i
+            if q == size:
                 break
-            x = scores.get(piece)
-            if x is not None and now + x > best[q]:
-                best[q], back[q] = now + x, p
-        if s[p] not in scores and now + unknown > best[p + 1]:
-            best[p + 1], back[p + 1] = now + unknown, p
+            node = node.get(s[q])
+        if alone and now + unknown > best[p + 1]:
+            best[p + 1], back[p + 1] = now + unknown, at | NO_PIECE
     return best, back
 
 
 def path(v: Vocabulary, s: str, back: list[int], start: int, stop: int) -> tuple[int, ...]:
     """Ids of the pieces between two positions on the best path."""
-    ends = [stop]
-    while ends[-1] > start:
-        ends.append(back[ends[-1]])
     out: list[int] = []
-    for q, p in zip(ends[-2::-1], ends[:0:-1], strict=True):
-        piece = s[p:q]
-        if piece in v.ids:
-            out.append(v.ids[piece])
+    while stop > start:
+        i = back[stop] & NO_PIECE
+        stop = back[stop] >> 20
+        if i != NO_PIECE:
+            out.append(i)
         else:
-            out.extend(v.byte_ids[b] for b in piece.encode())
+            out.extend(v.byte_ids[b] for b in reversed(s[stop].encode()))
+    out.reverse()
     return tuple(out)
 
 
+class Scores(dict):
+    """Best score of a fragment, kept while there is room."""
+
+    def __init__(self, v: Vocabulary, room: int):
+        super().__init__()
+        self.v, self.room = v, room
+
+    def __missing__(self, s: str) -> int:
+        best, _ = viterbi(self.v, s, len(s), {0: 0})
+        if len(s) < 64:
+            if len(self) >= self.room:
+                self.clear()
+            self[s] = best[len(s)]
+        return best[len(s)]
+
+
 class Segmenter(dict):
     """Ids of a fragment (blanks, then others), kept while there is room."""
 
-    def __init__(self, v: Vocabulary, room: int = 200_000):
+    def __init__(self, v: Vocabulary, room: int = 400_000):
         super().__init__()
         self.v, self.room = v, room
+        self.scores = Scores(v, room)
 
     def __missing__(self, s: str) -> tuple[int, ...]:
         _, back = viterbi(self.v, s, len(s), {0: 0})
@@ -126,11 +174,7 @@ class Segmenter(dict):
         return found
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.__getitem__, _FRAGMENT.findall(" " + text)))) if text else []
-
-    def score(self, s: str) -> int:
-        best, _ = viterbi(self.v, s, len(s), {0: 0})
-        return best[len(s)]
+        return list(itertools.chain.from_iterable(map(self.__getitem__, self.v.fragment.findall(" " + text)))) if text else []
 
 
 def decode(v: Vocabulary, ids: list[int]) -> str:
@@ -158,7 +202,7 @@ def transfer(seg: Segmenter, s: str, n: int) -> np.ndarray:
         return m
     first, last = at[0], at[-1]
     head = [viterbi(v, s[:first], first, {i: 0})[0][first] if i <= first else NEVER for i in range(k)]
-    middle = sum(seg.score(x) for x in _FRAGMENT.findall(s[first:last]))
+    middle = sum(map(seg.scores.__getitem__, v.fragment.findall(s[first:last])))
     tail = leave(viterbi(v, s[last:], n - last, {0: 0})[0], n - last)
     for i in range(k):
         for j in range(k):
@@ -181,8 +225,8 @@ def backtrace(seg: Segmenter, s: str, n: int, entry: int, leave: int) -> tuple[i
         part = s[entry : n + leave]
         _, back = viterbi(v, part, n - entry, {0: 0})
         return path(v, part, back, 0, len(part))
-    head = seg[s[entry : at[0]]]
-    middle = itertools.chain.from_iterable(map(seg.__getitem__, _FRAGMENT.findall(s[at[0] : at[-1]])))
+    head = itertools.chain.from_iterable(map(seg.__getitem__, v.fragment.findall(s[entry : at[0]])))
+    middle = itertools.chain.from_iterable(map(seg.__getitem__, v.fragment.findall(s[at[0] : at[-1]])))
     part = s[at[-1] : n + leave]
     _, back = viterbi(v, part, n - at[-1], {0: 0})
     return (*head, *middle, *path(v, part, back, 0, len(part)))
