@@ -19,7 +19,7 @@ ACTORS = r"(?:the\s+)?(?:controller|processor|data subject|supervisory authority
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, sentence): texts cut after `.`, `!` or `?` before blanks and at line ends; stripped, none empty."""
-    parts = F.split(F.col(text_col), r"(?<=[.!?])\s+|\n+")
+    parts = F.split(F.regexp_replace(F.col(text_col), r"([.!?])\s+", "$1\n"), r"\n+")
     return docs.select(id_col, F.posexplode(parts).alias("pos", "sentence")).withColumn("sentence", F.trim(F.regexp_replace("sentence", r"^\s+|\s+$", ""))).where("sentence <> ''")
 
 
@@ -73,7 +73,7 @@ def assign_ids(rows: DataFrame, order: list[str], prefix: str) -> DataFrame:
     ahead = dealt.groupBy("part").count()
     ahead = ahead.withColumn("ahead", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     no = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("ahead")
-    return dealt.join(F.broadcast(ahead.select("part", "ahead")), "part").withColumn("id", F.concat(F.lit(f"{prefix}_"), F.lpad(no.cast("string"), 3, "0"))).drop("part", "ahead")
+    return dealt.join(F.broadcast(ahead.select("part", "ahead")), "part").withColumn("id", F.concat(F.lit(f"{prefix}_"), F.format_string("%03d", no))).drop("part", "ahead")
 
 
 def _first(text: Column, patterns: list[str], strip: str) -> Column:

@@ -6,8 +6,6 @@ match="word" asks for word edges. Offsets count code points from 0, ends are exc
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,22 +30,19 @@ def longest_first(markers: list[str]) -> list[str]:
     return sorted(markers, key=len, reverse=True)
 
 
-def _place(low: Column, marker: str, match: str) -> Column:
+def _place(low: Column, marker: Column, match: str) -> Column:
     """Offset of the first occurrence, -1 where there is none."""
     if match == "word":
-        return F.regexp_instr(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(marker)}(?![\p{{L}}\p{{N}}_])")) - 1
+        return F.regexp_instr(low, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), marker, F.lit(r"\E(?![\p{L}\p{N}_])"))) - 1
     return F.instr(low, marker) - 1
 
 
 def modality(text: Column, lexicon: dict[str, list[str]] | None = None, match: str = "substring") -> Column:
-    """(klass, marker, start, stop) of the first class by priority that hits, its longest marker first; else null."""
-    low, lexicon, out = F.lower(text), lexicon or LEXICON, None
-    for klass in CLASSES:
-        for marker in longest_first(lexicon[klass]):
-            at = _place(low, marker, match)
-            hit = F.struct(F.lit(klass).alias("klass"), F.lit(marker).alias("marker"), at.cast("int").alias("start"), (at + len(marker)).cast("int").alias("stop"))
-            out = F.when(at >= 0, hit) if out is None else out.when(at >= 0, hit)
-    return out
+    """(prio, no, klass, marker, start, stop) of the first class by priority that hits, its longest marker first; else null."""
+    low, lexicon = F.lower(text), lexicon or LEXICON
+    known = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(j).alias("no"), F.lit(k).alias("klass"), F.lit(m).alias("marker")) for i, k in enumerate(CLASSES) for j, m in enumerate(longest_first(lexicon[k]))])
+    placed = F.transform(known, lambda m: F.struct(m["prio"].alias("prio"), m["no"].alias("no"), m["klass"].alias("klass"), m["marker"].alias("marker"), _place(low, m["marker"], match).cast("int").alias("start"), (_place(low, m["marker"], match) + F.length(m["marker"])).cast("int").alias("stop")))
+    return F.array_min(F.filter(placed, lambda m: m["start"] >= 0))
 
 
 def confidence(klass: Column, marker: Column) -> Column:
@@ -58,25 +53,19 @@ def confidence(klass: Column, marker: Column) -> Column:
 
 def or_default(hit: Column) -> Column:
     """The hit, or an obligation at -1 of confidence 0.1."""
-    return F.struct(F.coalesce(hit["klass"], F.lit("obligation")).alias("klass"), F.coalesce(hit["marker"], F.lit("")).alias("marker"), F.coalesce(hit["start"], F.lit(-1)).alias("start"), F.coalesce(hit["stop"], F.lit(-1)).alias("stop"), F.coalesce(confidence(hit["klass"], hit["marker"]), F.lit(0.1)).alias("confidence"))
+    return F.struct(F.coalesce(hit["klass"], F.lit("obligation")).alias("klass"), F.coalesce(hit["marker"], F.lit("")).alias("marker"), F.coalesce(hit["start"], F.lit(-1)).alias("start"), F.coalesce(hit["stop"], F.lit(-1)).alias("stop"), F.when(hit.isNull(), F.lit(0.1)).otherwise(confidence(hit["klass"], hit["marker"])).alias("confidence"))
 
 
 def hits(text: Column, markers: list[str]) -> Column:
     """All occurrences, overlapping ones too, as sorted (start, shorter, stop, marker): by start, then longest first."""
     low = F.lower(text)
-    each = []
-    for m in markers:
-        found = F.filter(F.sequence(F.lit(0), F.greatest(F.length(low) - len(m), F.lit(0))), _at(low, m))
-        each.append(F.when(F.instr(low, m) > 0, F.transform(found, _hit(m))).otherwise(F.array().cast("array<struct<start:int,shorter:int,stop:int,marker:string>>")))
-    return F.array_sort(F.concat(*each))
-
-
-def _at(low: Column, marker: str):
-    return lambda p: F.substring(low, p + 1, F.lit(len(marker))) == marker
+    present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
 
+    def all_of(m: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.length(low) - F.length(m)), lambda p: F.substring(low, p + 1, F.length(m)) == m)
+        return F.transform(places, lambda p: F.struct(p.cast("int").alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).cast("int").alias("stop"), m.alias("marker")))
 
-def _hit(marker: str):
-    return lambda p: F.struct(p.cast("int").alias("start"), F.lit(-len(marker)).alias("shorter"), (p + len(marker)).cast("int").alias("stop"), F.lit(marker).alias("marker"))
+    return F.array_sort(F.flatten(F.transform(present, all_of)))
 
 
 def clause_end(text: Column, start: Column) -> Column:
@@ -113,8 +102,8 @@ def exception(text: Column, found: Column) -> Column:
 def actor_hit(text: Column, markers: list[str]) -> Column:
     """The actor marker that stands first, the longest of those at one place: (start, shorter, stop) or null."""
     low = F.lower(text)
-    each = [F.when(F.instr(low, m) > 0, F.struct((F.instr(low, m) - 1).alias("start"), F.lit(-len(m)).alias("shorter"), (F.instr(low, m) - 1 + len(m)).alias("stop"))) for m in markers]
-    return F.array_min(F.array_compact(F.array(*each)))
+    present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
+    return F.array_min(F.transform(present, lambda m: F.struct((F.instr(low, m) - 1).alias("start"), (-F.length(m)).alias("shorter"), (F.instr(low, m) - 1 + F.length(m)).alias("stop"))))
 
 
 def actor(text: Column, hit: Column, start: Column, compat: bool = True) -> Column:

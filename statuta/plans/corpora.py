@@ -72,14 +72,51 @@ SELECT event_id AS call_id, event_type AS stage,
 FROM {events}
 """
 
-PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS}
-NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": []}
+CLAUSES = """
+SELECT rule_id, CASE WHEN rule_id % 41 = 0 THEN '' ELSE concat('s', rule_id) END AS source_id, text AS source_text,
+  CASE WHEN rule_id % 37 = 0 THEN 'not in the text' WHEN rule_id % 31 = 0 THEN 'e' ELSE action END AS span_text,
+  CAST(instr(text, action) - 1 + CASE WHEN rule_id % 5 = 0 THEN 2 WHEN rule_id % 43 = 0 THEN -90 ELSE 0 END AS INT) AS span_start,
+  CAST(instr(text, action) - 1 + length(action) + CASE WHEN rule_id % 5 = 0 THEN 2 WHEN rule_id % 29 = 0 THEN 400 ELSE 0 END AS INT) AS span_end,
+  CASE WHEN rule_id % 47 = 0 THEN 1.5 ELSE 0.25 * (rule_id % 4) END AS confidence
+FROM rules
+"""
+
+ANSWERS = """
+SELECT rule_id, CASE rule_id % 8
+  WHEN 0 THEN concat('{"modality": "', coalesce(modality, 'duty'), '", "actor": " ', actor, ' ", "action": "', action, '", "condition": null, "constraint": "", "exception": null}')
+  WHEN 1 THEN concat('{"normative_type": "', coalesce(modality, 'duty'), '", "subject": "', actor, '"}')
+  WHEN 2 THEN concat('{"modality": "obligation", "severity": "', marker, '"}')
+  WHEN 3 THEN concat('["', actor, '"]')
+  WHEN 4 THEN '{}'
+  WHEN 5 THEN concat('{"modality": "', actor, '", "action": 7}')
+  WHEN 6 THEN concat('{"conditions": "', coalesce(condition, ' '), '", "action": "', action, '"}')
+  ELSE 'no json at all' END AS answer
+FROM rules
+"""
+
+TASKS = """
+SELECT process_id, seq, concat('t', seq) AS node_id, concat(verb, ' the ', thing) AS name, lane FROM (
+  SELECT l_orderkey AS process_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_tax, l_discount) AS seq,
+    CASE WHEN l_linenumber % 3 = 0 THEN 'archive' WHEN l_linenumber % 3 = 1 THEN 'record' ELSE 'check' END AS verb,
+    p.p_name AS thing, CASE s.s_nationkey % 4 WHEN 0 THEN 'the customer' WHEN 1 THEN 'each controller' WHEN 2 THEN 'the operator' ELSE 'Auditor' END AS lane
+  FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey JOIN {supplier} s ON s.s_suppkey = l.l_suppkey) x
+"""
+
+FLOWS = """
+SELECT process_id, 's' AS source, 't1' AS target FROM tasks WHERE seq = 1
+UNION ALL SELECT process_id, concat('t', seq), concat('t', seq + 1) FROM (SELECT *, max(seq) OVER (PARTITION BY process_id) AS top FROM tasks) x WHERE seq < top AND NOT (process_id % 7 = 0 AND seq = 2)
+UNION ALL SELECT process_id, concat('t', seq), 't1' FROM tasks WHERE process_id % 3 = 0 AND seq % 3 = 0
+UNION ALL SELECT process_id, concat('t', seq), concat('t', seq + 2) FROM (SELECT *, max(seq) OVER (PARTITION BY process_id) AS top FROM tasks) x WHERE process_id % 5 = 0 AND seq + 2 <= top
+"""
+
+PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS, "clauses": CLAUSES, "answers": ANSWERS, "tasks": TASKS, "flows": FLOWS}
+NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": [], "clauses": ["rules"], "answers": ["rules"], "tasks": [], "flows": ["tasks"]}
 
 
 def with_parts(*names: str) -> str:
     """A WITH clause of corpora for DuckDB."""
     order = list(dict.fromkeys(x for n in names for x in [*NEEDS[n], n]))
-    return "WITH " + ", ".join(f"{x} AS ({re.sub(r'[{}]', '', PARTS[x])})" for x in order)
+    return "WITH " + ", ".join(f"{x} AS ({re.sub(r'{(\w+)}', r'\1', PARTS[x])})" for x in order)
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,5 +127,5 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_parts_spark(sf_dir: str, name: str) -> str:
     order = [*NEEDS[name], name]
-    text = {x: re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", PARTS[x]).replace('"', "`") for x in order}
+    text = {x: re.sub(r"{(\w+)}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", PARTS[x]).replace('"', "`") for x in order}
     return "WITH " + ", ".join(f"{x} AS ({text[x]})" for x in order) + f" SELECT * FROM {name}"
