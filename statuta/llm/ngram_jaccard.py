@@ -4,7 +4,7 @@ Sets are cut into size bands, and documents that share one of the smallest hashe
 similar sets can't both miss) meet in a tile of a band. Inside a tile, bitmap signatures bound the overlap of two sets
 from above by bit counts; what passes is settled by intersecting the sorted arrays. Equal sets are one class from the
 start. Links of each tile's smallest member are settled first, and pairs that these already connect are left out of
-the second round, whose tiles are of the rarest n-grams among the documents that still meet another component: of a
+the second round, whose members share enough of their smallest hashes with another component and whose tiles are of the rarest n-grams among the documents that still meet another component: of a
 large family of copies, those with edits of their own meet few others.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,9 +44,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return W.distinct(np.concatenate((owner, few)), np.concatenate((hashes, W.mix(short + np.uint64(1)))), len(offsets) - 1)
 
 
+#: A prefix is longer than it must be by 1 in so many hashes of the set; two similar sets then share as many more in it.
+EXTRA = 10
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """Smallest hashes of a set of n among which a similar set has one too."""
-    return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+    """Smallest hashes of a set of n, among which a similar set of m has at least 1 + min(n, m) // EXTRA too."""
+    return np.where(n > 0, n - -(-n * percent // 100) + 1 + n // EXTRA, 0)
+
+
+def least_shared(n: Column, percent: int) -> Column:
+    """Hashes of its prefix that a set of n shares with any similar one, which has percent of its size at least."""
+    return 1 + F.floor(F.ceil(n * percent / F.lit(100) - 1e-9) / EXTRA)
 
 
 def signatures(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -235,11 +244,13 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = store.table(features(rows, n, percent, "class"))
     prefixes = features(rows.where("id is not null"), n, percent, "prefix").where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
 
-    # postings; a hash that one class alone has in its prefix is of no use, nor one that is in no smaller set's own prefix
-    own_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent) - 1e-9) + 1
-    post = prefixes.select("id", F.col("n"), F.posexplode("prefix").alias("pos", "tile")).select("tile", "id", (F.col("pos") < own_prefix).alias("first"), (F.col("pos") < LEADERS).alias("near"))
+    # postings; a hash that one class alone has in its prefix is of no use, nor is a class that shares too few of its own
+    post = prefixes.select("id", "n", F.posexplode("prefix").alias("pos", "tile")).select("tile", "id", "n", (F.col("pos") < LEADERS).alias("near"))
     tile = Window.partitionBy("tile")
-    met = store.table(post.withColumn("last", F.max("id").over(tile)).withColumn("lead", F.min("id").over(tile)).withColumn("some", F.max("first").over(tile)).where("lead < last and some").drop("last", "some"))
+    need = least_shared(F.col("n"), percent)
+    some = store.table(post.withColumn("last", F.max("id").over(tile)).withColumn("lead", F.min("id").over(tile)).where("lead < last").drop("last", "lead"))
+    enough = some.groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= need)
+    met = store.table(some.join(enough, ["id", "n"], "left_semi").withColumn("lead", F.min("id").over(tile)))
 
     # first round: each tile's smallest member against the others
     stars = met.where("near and lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -249,8 +260,10 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = store.table(components(first))
 
     # second round: who meets another component there, in tiles of the rarest n-grams among these, for the pairs still apart
-    known = met.select("tile", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = store.table(known.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).where("lo < hi").select("id", "comp").distinct())
+    own_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent) - 1e-9) + 1
+    known = met.select("tile", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = known.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).where("lo < hi").groupBy("id", "n", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = store.table(mixed.where(F.col("m") >= need).select("id", "comp"))
     texts = store.table(rows_of(rows, mixed.select("id")))
     signed = store.table(features(texts, n, percent, "bits").where("n > 0").select("id", "n", "bits").dropDuplicates(["id", "n", "bits"]))
     grams = features(texts, n, percent, "set").select("id", "n", F.explode("set").alias("tile"))
