@@ -72,3 +72,8 @@ def f1(precision: Column, recall: Column) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: what a lambda captures would else be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.functions.strings import let
+
 # The marker lexicon. Classes of modality in order of priority.
 LEXICON = {
     "prohibition": ["shall not", "must not", "no person shall", "is prohibited from", "may not", "it is forbidden to", "is not permitted to", "is not allowed to"],
@@ -39,10 +41,15 @@ def _place(low: Column, marker: Column, match: str) -> Column:
 
 def modality(text: Column, lexicon: dict[str, list[str]] | None = None, match: str = "substring") -> Column:
     """(prio, no, klass, marker, start, stop) of the first class by priority that hits, its longest marker first; else null."""
-    low, lexicon = F.lower(text), lexicon or LEXICON
+    lexicon = lexicon or LEXICON
     known = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(j).alias("no"), F.lit(k).alias("klass"), F.lit(m).alias("marker")) for i, k in enumerate(CLASSES) for j, m in enumerate(longest_first(lexicon[k]))])
-    placed = F.transform(known, lambda m: F.struct(m["prio"].alias("prio"), m["no"].alias("no"), m["klass"].alias("klass"), m["marker"].alias("marker"), _place(low, m["marker"], match).cast("int").alias("start"), (_place(low, m["marker"], match) + F.length(m["marker"])).cast("int").alias("stop")))
-    return F.array_min(F.filter(placed, lambda m: m["start"] >= 0))
+
+    def first_of(low: Column) -> Column:
+        placed = F.transform(known, lambda m: F.struct(m["prio"].alias("prio"), m["no"].alias("no"), m["klass"].alias("klass"), m["marker"].alias("marker"), _place(low, m["marker"], match).cast("int").alias("start")))
+        return F.array_min(F.filter(placed, lambda m: m["start"] >= 0))
+
+    hit = F.array(let(F.lower(text), first_of))
+    return F.get(F.transform(hit, lambda m: F.when(m.isNotNull(), F.struct(*[m[c].alias(c) for c in ("prio", "no", "klass", "marker", "start")], (m["start"] + F.length(m["marker"])).alias("stop")))), F.lit(0))
 
 
 def confidence(klass: Column, marker: Column) -> Column:
@@ -58,14 +65,17 @@ def or_default(hit: Column) -> Column:
 
 def hits(text: Column, markers: list[str]) -> Column:
     """All occurrences, overlapping ones too, as sorted (start, shorter, stop, marker): by start, then longest first."""
-    low = F.lower(text)
-    present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
 
-    def all_of(m: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.length(low) - F.length(m)), lambda p: F.substring(low, p + 1, F.length(m)) == m)
-        return F.transform(places, lambda p: F.struct(p.cast("int").alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).cast("int").alias("stop"), m.alias("marker")))
+    def of(low: Column) -> Column:
+        present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
+
+        def all_of(m: Column) -> Column:
+            places = F.filter(F.sequence(F.lit(0), F.length(low) - F.length(m)), lambda p: F.substring(low, p + 1, F.length(m)) == m)
+            return F.transform(places, lambda p: F.struct(p.cast("int").alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).cast("int").alias("stop"), m.alias("marker")))
 
-    return F.array_sort(F.flatten(F.transform(present, all_of)))
+        return F.array_sort(F.flatten(F.transform(present, all_of)))
+
+    return let(F.lower(text), of)
 
 
 def clause_end(text: Column, start: Column) -> Column:
@@ -101,9 +111,12 @@ def exception(text: Column, found: Column) -> Column:
 
 def actor_hit(text: Column, markers: list[str]) -> Column:
     """The actor marker that stands first, the longest of those at one place: (start, shorter, stop) or null."""
-    low = F.lower(text)
-    present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
-    return F.array_min(F.transform(present, lambda m: F.struct((F.instr(low, m) - 1).alias("start"), (-F.length(m)).alias("shorter"), (F.instr(low, m) - 1 + F.length(m)).alias("stop"))))
+
+    def of(low: Column) -> Column:
+        present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
+        return F.array_min(F.transform(present, lambda m: F.struct((F.instr(low, m) - 1).alias("start"), (-F.length(m)).alias("shorter"), (F.instr(low, m) - 1 + F.length(m)).alias("stop"))))
+
+    return let(F.lower(text), of)
 
 
 def actor(text: Column, hit: Column, start: Column, compat: bool = True) -> Column:
@@ -145,8 +158,9 @@ def extract(sentences: DataFrame, text_col: str = "text", lexicon: dict[str, lis
     """
     lexicon, text = lexicon or LEXICON, F.col(text_col)
     rows = sentences.withColumn("_m", modality(text, lexicon)).withColumns({f"_{k}": hits(text, lexicon[k]) for k in ("condition", "constraint", "exception")}).withColumn("_actor", actor_hit(text, lexicon["actor"]))
-    start, stop = F.col("_m.start"), F.col("_m.stop")
-    rows = rows.withColumns({"condition": condition(text, F.col("_condition"), start)["text"], "constraint": constraint(text, F.col("_constraint"), start)["text"], "exception": exception(text, F.col("_exception"))["text"], "actor": actor(text, F.col("_actor"), start)})
-    rows = rows.withColumn("action", action(text, stop, F.col("exception"), F.col("constraint"), F.col("condition")))
+    m, a = F.col("_m"), F.col("_actor")
+    rows = rows.withColumns({"condition": let(m, lambda x: condition(text, F.col("_condition"), x["start"])["text"]), "constraint": let(m, lambda x: constraint(text, F.col("_constraint"), x["start"])["text"]), "exception": exception(text, F.col("_exception"))["text"], "actor": let(F.struct(m.alias("m"), a.alias("a")), lambda x: actor(text, x["a"], x["m"]["start"]))})
+    cut = F.struct(F.col("_m.stop").alias("stop"), "exception", "constraint", "condition")
+    rows = rows.withColumn("action", let(cut, lambda x: action(text, x["stop"], x["exception"], x["constraint"], x["condition"])))
     known = F.col("_m").isNotNull()
     return rows.withColumns({c: F.when(known, F.nullif(F.col(c), F.lit(""))) for c in ("actor", "action", "condition", "constraint", "exception")}).withColumn("modality", F.col("_m.klass")).withColumn("marker", F.col("_m.marker")).drop("_m", "_condition", "_constraint", "_exception", "_actor")

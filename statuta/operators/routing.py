@@ -12,7 +12,7 @@ FIELDS = ["modality", "actor", "action", "condition", "constraint", "exception"]
 def clause_reasons(field_low: float = 0.5, clause_low: float = 0.5) -> Column:
     """Why a normative clause needs another extractor, from its fields, <field>_confidence and confidence."""
     c = F.col
-    low = F.array_max(F.array(*[F.coalesce(c(f"{f}_confidence") < field_low, F.lit(False)) for f in FIELDS]))
+    low = F.array_max(F.array(*[F.coalesce(c(f).isNotNull() & (c(f"{f}_confidence") < field_low), F.lit(False)) for f in FIELDS]))
     each = F.array_compact(F.array(F.when(c("actor").isNull(), "MISSING_ACTOR"), F.when(c("action").isNull(), "MISSING_ACTION"), F.when(low, "LOW_FIELD_CONFIDENCE"), F.when(c("confidence") < clause_low, "LOW_CLAUSE_CONFIDENCE")))
     return F.when(c("modality").isNull(), F.array().cast("array<string>")).otherwise(each)
 

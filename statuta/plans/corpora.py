@@ -67,7 +67,7 @@ SELECT event_id AS call_id, event_type AS stage,
   CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'read timed out' WHEN 1 THEN 'connection refused'
       WHEN 2 THEN 'HTTP 500 from server' ELSE 'clause_text missing' END
     WHEN event_id % 7 = 0 THEN 'unknown field in clause' END AS error,
-  CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(value * 100 AS BIGINT) END AS duration_ms,
+  CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS duration_ms,
   CASE WHEN event_id % 2 = 0 THEN 60 ELSE 30 END AS timeout_seconds
 FROM {events}
 """
@@ -127,5 +127,6 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_parts_spark(sf_dir: str, name: str) -> str:
     order = [*NEEDS[name], name]
-    text = {x: re.sub(r"{(\w+)}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", PARTS[x]).replace('"', "`") for x in order}
+    text = {x: re.sub(r"{(\w+)}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", PARTS[x]) for x in order}
+    text = {x: re.sub(r'"(constraint|exception)"(?!:)', r"`\1`", t) for x, t in text.items()}
     return "WITH " + ", ".join(f"{x} AS ({text[x]})" for x in order) + f" SELECT * FROM {name}"

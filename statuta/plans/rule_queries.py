@@ -244,7 +244,7 @@ def align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{AN}, k AS (SELECT rule_id, CASE WHEN json_valid(answer) AND json_type(answer) = 'OBJECT' THEN answer END AS j FROM answers)
 SELECT rule_id, nullif(trim(json_extract_string(j, '$.modality')), '') AS modality, nullif(trim(json_extract_string(j, '$.actor')), '') AS actor, nullif(trim(json_extract_string(j, '$.action')), '') AS action,
-coalesce(len(list_filter(['modality', 'actor', 'action', 'condition', 'constraint', 'exception'], lambda x: NOT list_contains(json_keys(j), x))) = 0, false) AND (nullif(trim(json_extract_string(j, '$.modality')), '') IS NULL OR json_extract_string(j, '$.modality') IN ('obligation', 'prohibition', 'permission', 'definition')) AS schema_valid FROM k""")
+j IS NOT NULL AND len(list_filter(['modality', 'actor', 'action', 'condition', 'constraint', 'exception'], lambda x: NOT list_contains(json_keys(j), x))) = 0 AND (nullif(trim(json_extract_string(j, '$.modality')), '') IS NULL OR json_extract_string(j, '$.modality') IN ('obligation', 'prohibition', 'permission', 'definition')) AS schema_valid FROM k""")
 def ingest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.ingest_fields(corpus(spark, sf_dir, "answers"), "answer").select("rule_id", "modality", "actor", "action", "schema_valid")
 
