@@ -103,15 +103,19 @@ def search_centroids(ix: Index, x: np.ndarray, width: int) -> tuple[np.ndarray,
     return order, np.maximum(found, 0)
 
 
-def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, step: int = 512) -> DataFrame:
-    """(id, v, list): the lists of each row (id, v) whose distance is within ratio of its nearest's, at most `most`."""
+def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queries: bool = False, step: int = 512) -> DataFrame:
+    """(id, v, list): the lists of each row (id, v) whose distance is within ratio of its nearest's, at most `most`.
+
+    A query's further component is 0, so its distance to a lifted vector falls as their inner product grows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for part in batches:
             for a in range(0, len(part), step):
                 some = part.iloc[a : a + step]
-                x = lifted(np.stack(some["v"].to_numpy()).astype(float), ix.length2)
+                x = np.stack(some["v"].to_numpy()).astype(float)
+                x = np.pad(x, ((0, 0), (0, 1))) if queries else lifted(x, ix.length2)
                 ids, d = search_centroids(ix, x, width)
                 near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-9
                 near[:, most:] = False
@@ -182,7 +186,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         found = in_blocks(asked).groupBy("list", "block").cogroup(listed.groupBy("list", "block")).applyInPandas(answer, "query_id long, id long, score double")
         return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
-    best = store.table(answered(assigned(queries, shared, probe, probe_ratio, probe)))
+    best = store.table(answered(assigned(queries, shared, probe, probe_ratio, probe, queries=True)))
     enough = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     rest = store.table(queries.join(enough, "id", "left_anti"))
     if rest.limit(1).count():
