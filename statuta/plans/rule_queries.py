@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators import corpus as D
+from statuta.operators import evaluation as E
 from statuta.operators import gates as B
 from statuta.operators import ledger as H
 from statuta.operators import lexicon as L
 from statuta.operators import process as K
 from statuta.operators import routing as G
+from statuta.sources import jsonl
 from statuta.plans.corpora import FIELDS, corpus, with_parts
 
 QUERIES: dict = {}
@@ -531,3 +533,54 @@ def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{FL} SELECT process_id::VARCHAR AS process_id, source, target FROM flows")
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.flows(_models(spark, sf_dir)).select("process_id", "source", "target")
+
+
+# Sources, and alignment of clauses.
+_LINES = "SELECT event_id, CASE event_id % 10 WHEN 0 THEN '  ' WHEN 1 THEN concat('# ', props) WHEN 2 THEN substr(props, 1, length(props) - 1) ELSE props END AS line FROM {events}"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_LINES.replace("{events}", f"parquet.`{sf_dir}/events.parquet`"))
+
+
+@query("SELECT event_type, sum(CASE WHEN event_id % 10 > 2 THEN (json_extract_string(props, '$.k'))::INT END)::BIGINT AS total, count(*) FILTER (event_id % 10 > 2) AS good FROM events GROUP BY event_type")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = _table(spark, sf_dir, "events").select("event_id", "event_type")
+    good, _ = jsonl.parse(_lines(spark, sf_dir).select(F.concat(F.regexp_replace("line", r"\}$", ""), F.when(F.endswith("line", F.lit("}")), F.concat(F.lit(', "event_id": '), "event_id", F.lit("}"))).otherwise(F.lit(""))).alias("line")), "k int, event_id long")
+    return good.join(kinds, "event_id").groupBy("event_type").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("good"))
+
+
+@query("SELECT event_id, substr(props, 1, length(props) - 1) AS line FROM events WHERE event_id % 10 = 2")
+def load_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarantine of a load: lines that are no JSON object."""
+    return jsonl.parse(_lines(spark, sf_dir), "k int")[1].select("event_id", "line")
+
+
+@query("SELECT to_json({'name': 'documents', 'rows': count(*), 'columns': ['doc_id', 'text', 'lang', 'source', 'n_chars']})::VARCHAR AS manifest FROM documents")
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.manifest(_table(spark, sf_dir, "documents"), "documents")
+
+
+@query("SELECT lang, count(*) AS texts, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars"))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = corpus(spark, sf_dir, "rules").select(F.floor(F.col("rule_id") / 3).alias("source_id"), (F.col("rule_id") % 3).alias("seg_idx"), F.col("action").alias("text"), "rule_id")
+    return r.where("rule_id % 11 <> 0").drop("rule_id"), r.where("rule_id % 7 <> 0").drop("rule_id")
+
+
+_SIDES = f"{R}, r AS (SELECT rule_id // 3 AS source_id, rule_id % 3 AS seg_idx, action, rule_id FROM rules), g AS (SELECT * FROM r WHERE rule_id % 11 <> 0), p AS (SELECT * FROM r WHERE rule_id % 7 <> 0 AND source_id IN (SELECT source_id FROM g)), a AS (SELECT coalesce(g.source_id, p.source_id) AS source_id, coalesce(g.seg_idx, p.seg_idx) AS seg_idx, g.action AS gold_text, p.action AS pred_text, g.action IS NOT NULL AND p.action IS NOT NULL AS matched FROM g FULL JOIN p ON g.source_id = p.source_id AND g.seg_idx = p.seg_idx)"
+
+
+@query(f"{_SIDES} SELECT * FROM a")
+def align_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.align_clauses(*_sides(spark, sf_dir))
+
+
+@query(f"{_SIDES}, c AS (SELECT count(gold_text) AS n_gold, count(pred_text) AS n_pred, count(*) FILTER (matched) AS n_matched FROM a) SELECT *, round(n_matched::DOUBLE / n_pred, 4) AS precision, round(n_matched::DOUBLE / n_gold, 4) AS recall FROM c")
+def clause_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = E.align_clauses(*_sides(spark, sf_dir))
+    c = a.agg(F.count("gold_text").alias("n_gold"), F.count("pred_text").alias("n_pred"), F.count_if("matched").alias("n_matched"))
+    return c.withColumn("precision", F.round(F.col("n_matched") / F.col("n_pred"), 4)).withColumn("recall", F.round(F.col("n_matched") / F.col("n_gold"), 4))
