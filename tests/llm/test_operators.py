@@ -281,7 +281,7 @@ def test_html(spark):
     assert html_layout.layout("") == "" and html_layout.layout("a < b") == "a < b"
     ship(spark)
     got = html_layout.extract(spark.createDataFrame([(1, page, "u"), (2, None, "u"), (3, "", "u"), (3, "", "u")], "page_id long, html string, url string")).collect()
-    assert [(r.page_id, r.text is None, r.n_lines) for r in sorted(got, key=lambda r: r.page_id)] == [(1, False, 18), (2, True, 0), (3, False, 0), (3, False, 0)]
+    assert [(r.page_id, r.text is None, r.n_lines) for r in sorted(got, key=lambda r: r.page_id)] == [(1, False, 19), (2, True, 0), (3, False, 0), (3, False, 0)]
 
 
 def test_sentencepiece(docs, empty, texts, spark):
