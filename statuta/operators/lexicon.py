@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions.strings import let
 
-# The marker lexicon. Classes of modality in order of priority.
+# The marker lexicon, the classes of modality in order of priority, determiners, auxiliaries and connectors.
 LEXICON = {
     "prohibition": ["shall not", "must not", "no person shall", "is prohibited from", "may not", "it is forbidden to", "is not permitted to", "is not allowed to"],
     "obligation": ["shall", "must", "is required to", "has the obligation to", "is obliged to", "it is mandatory to"],
