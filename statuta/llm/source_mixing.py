@@ -110,6 +110,20 @@ def draws(shards: DataFrame, slots: int, seed: int) -> DataFrame:
     return shards.mapInPandas(run, "shard long, k int, c long")
 
 
+def first_slots(drawn: DataFrame, run: int = 1024) -> DataFrame:
+    """drawn (shard, k, c) with from, the number of a source's slots in all shards before.
+
+    A running sum in two steps, within runs of shards and over the totals of runs, so that no task holds all shards of a
+    source.
+    """
+    inner = Window.partitionBy("k", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("run", F.floor(F.col("shard") / run))
+    ahead = drawn.groupBy("k", "run").agg(F.sum("c").alias("c")).select("k", "run", F.coalesce(F.sum("c").over(outer), F.lit(0)).alias("ahead"))
+    within = drawn.withColumn("within", F.coalesce(F.sum("c").over(inner), F.lit(0)))
+    return within.join(ahead, ["k", "run"]).select("shard", "k", "c", (F.col("ahead") + F.col("within")).alias("from"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = 64, slots: int = 4096, max_epochs: int = 3, seed: int = 7) -> dict[str, DataFrame]:
     """The mix as tables: docs (id, source, size, tie, start), sources, uses (source, index, epoch), pieces.
 
@@ -128,8 +142,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     n_shards = -(-count[0] // slots) if count else 0
     shards = spark.range(n_shards).withColumnRenamed("id", "shard").crossJoin(F.broadcast(total)).select("shard", F.least(F.lit(slots).cast("long"), F.col("all") - F.col("shard") * slots).alias("n"), "weights")
     drawn = draws(shards, slots, seed)
-    before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = drawn.withColumn("from", F.coalesce(F.sum("c").over(before), F.lit(0))).join(sources.select("k", "source", "blocks"), "k")
+    numbered = first_slots(drawn).join(sources.select("k", "source", "blocks"), "k")
     slot = numbered.select("shard", "k", "source", "blocks", F.explode(F.sequence("from", F.col("from") + F.col("c") - 1)).alias("slot")).where(F.col("slot") < max_epochs * F.col("blocks"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
