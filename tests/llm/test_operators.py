@@ -221,6 +221,21 @@ def test_mixing(docs, empty, texts):
     assert {k: v for k, v in count.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_first_slots(spark):
+    rows = [(s, k, (s * 7 + k) % 5 + 1) for s in range(50) for k in range(3) if (s + k) % 4]
+    got = source_mixing.first_slots(spark.createDataFrame(rows, "shard long, k int, c long"), run=8).collect()
+    assert len(got) == len(rows)
+    assert all(r["from"] == sum(c for s, k, c in rows if k == r.k and s < r.shard) for r in got)
+
+
+def test_most_frequent(spark):
+    rows = [(w, 1 + (w * w) % 97 if w % 3 else 1) for w in range(400)]
+    frame = spark.createDataFrame(rows, "word long, c long")
+    for n in (1, 50, 300, 1000):
+        assert [tuple(r) for r in hmm_lm.most_frequent(frame, n).collect()] == sorted(rows, key=lambda x: (-x[1], x[0]))[:n]
+    assert hmm_lm.most_frequent(frame.limit(0), 5).count() == 0
+
+
 def test_secrets(docs, empty, texts, spark):
     kinds = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
     for r in secrets.scan(docs).collect():
