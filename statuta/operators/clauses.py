@@ -6,7 +6,7 @@ table of sentences becomes its clauses in one projection, without a shuffle. A n
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.strings import let
@@ -238,3 +238,9 @@ def flattened(found: Column) -> Column:
     first_of = lambda f: F.get(F.filter(F.transform(found, lambda c: c[f]["text"]), lambda t: t.isNotNull()), F.lit(0))
     head = F.get(found, F.lit(0))
     return F.struct(classes[F.lower(first_of("modality"))].alias("modality"), head["actor"]["text"].alias("actor"), first_of("action").alias("action"), *[head[f]["text"].alias(f) for f in ("condition", "constraint", "exception")])
+
+
+def baseline(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows with clauses and error: a row without a text gets an empty array and the reason, and the job goes on."""
+    rows = rows.withColumn("clauses", clauses(F.col(text_col)))
+    return rows.withColumn("error", F.when(F.col(text_col).isNull(), "text is null")).withColumn("clauses", F.coalesce("clauses", F.array()))

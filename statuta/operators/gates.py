@@ -43,6 +43,16 @@ def json_kind(json_col: str, key: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json_col), f"$.{key}", "variant"))
 
 
+def valid_prediction(record: Column) -> Column:
+    """True where a JSON record has the five keys of a prediction, schema_valid is the boolean true, and predicted is an
+    object with all six fields; false for anything else, text that is not JSON and null too."""
+    has = lambda json, names: F.size(F.array_except(F.array(*map(F.lit, names)), F.json_object_keys(json))) == 0
+    top = has(record, ["sample_id", "source_id", "predicted", "runtime", "schema_valid"])
+    flag = F.try_variant_get(F.try_parse_json(record), "$.schema_valid", "variant")
+    valid = (F.schema_of_variant(flag) == "BOOLEAN") & (F.get_json_object(record, "$.schema_valid") == "true")
+    return F.coalesce(top & valid & has(F.get_json_object(record, "$.predicted"), FIELDS), F.lit(False))
+
+
 def align_schema(rows: DataFrame, json_col: str) -> DataFrame:
     """Outside extractions brought to our field names: status, reason (the first gate that fails), renamed and values.
 

@@ -23,6 +23,17 @@ def parse(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return good, kept.where("not ok").drop("ok")
 
 
+def read_object(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Files that hold one JSON object each, a row a file; with a schema, nothing is inferred."""
+    return spark.read.json(path, schema=schema, multiLine=True)
+
+
+def lexicon_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(category, marker) of lexicon files: {"categories": {category: {"markers": [...]}}}."""
+    held = read_object(spark, path, "categories MAP<STRING, STRUCT<markers: ARRAY<STRING>>>")
+    return held.select(F.explode("categories").alias("category", "entry")).select("category", F.explode("entry.markers").alias("marker"))
+
+
 def write(rows: DataFrame, path: str) -> None:
     """One JSON object a line in the order of columns, null fields kept, text as it is in UTF-8."""
     rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)

@@ -1,5 +1,6 @@
 """Golden tables, found by their shape under the folder that STATUTA_GOLDENS names; skipped without it."""
 
+import itertools
 import json
 import os
 from pathlib import Path
@@ -7,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from statuta.operators import clauses as C
 from statuta.operators import evaluation as E
 from statuta.operators import lexicon as L
 
@@ -41,6 +43,16 @@ def test_lexicon(spark, tables):
     assert checked == 74
 
 
+def test_rule_first(spark, tables):
+    texts = {r["sample_id"]: r["text"] for rows in tables for r in rows if "text" in r}
+    frame = spark.createDataFrame(list(texts.items()), "sample_id string, text string")
+    got = {r.sample_id: r.p for r in frame.select("sample_id", C.flattened(C.clauses(F.col("text"))).alias("p")).collect()}
+    runs = [rows for rows in tables if rows[0].get("method") == "rule_only"]
+    assert sum(map(len, runs)) == 24
+    for r in itertools.chain(*runs):
+        assert {f: v["value"] for f, v in r["prediction_fields"].items()} == got[r["sample_id"]].asDict()
+
+
 def test_scores(spark, tables):
     gold = next({r["sample_id"]: r["gold_fields"] for r in rows} for rows in tables if "gold_fields" in rows[0])
     runs = [rows for rows in tables if "prediction_fields" in rows[0] and {r["sample_id"] for r in rows} == set(gold)]
