@@ -12,6 +12,7 @@ from statuta.operators import clauses as C
 from statuta.operators import evaluation as E
 from statuta.operators import lexicon as L
 
+FIELDS = ["modality", "actor", "action", "condition", "constraint", "exception"]
 ROOT = os.environ.get("STATUTA_GOLDENS")
 pytestmark = pytest.mark.skipif(not ROOT, reason="no golden tables")
 
@@ -64,3 +65,18 @@ def test_scores(spark, tables):
         (59, 33, 19, 4, 29, 0.5221, 0.8142),
         (19, 5, 32, 58, 30, 0.2235, 0.2824),
     }
+
+
+def test_clauses(spark):
+    rows = []
+    for path in sorted(Path(ROOT).rglob("*.jsonl")):
+        lines = [json.loads(x) for x in path.read_text().splitlines() if x.strip() and not x.startswith("#")]
+        if lines and all({"source_text", "clauses"} <= set(r) for r in lines):
+            rows += lines
+    frame = spark.createDataFrame([(r["source_id"], r["source_text"]) for r in rows], "id string, text string")
+    got = {r.id: r.c for r in frame.select("id", C.clauses(F.col("text")).alias("c")).collect()}
+    span = lambda s: s and (s["text"], s["span_start"], s["span_end"])
+    for r in rows:
+        want = [(c["clause_text"], c["clause_span_start"], c["clause_span_end"], *[span(c[f]) for f in FIELDS]) for c in r["clauses"]]
+        assert [(c.clause_text, c.clause_start, c.clause_stop, *[c[f] and tuple(c[f])[:3] for f in FIELDS]) for c in got[r["source_id"]]] == want
+    assert (len(rows), sum(len(r["clauses"]) for r in rows)) == (14, 16)
