@@ -11,6 +11,10 @@ FIELDS = ["modality", "actor", "action", "condition", "constraint", "exception"]
 # Names that other extractors give to fields, and the classes of modality.
 ALIASES = {"normative_type": "modality", "subject": "actor", "conditions": "condition"}
 MODALITIES = ["obligation", "prohibition", "permission", "definition"]
+# The keys of a whole response and of its clauses, and clause fields of models that have no place in ours.
+RESPONSE = ["schema_version", "source_id", "source_text", "clauses"]
+CLAUSE = ["clause_id", "source_id", "source_text", "clause_text", "clause_span_start", "clause_span_end", *FIELDS, "confidence"]
+UNSUPPORTED = ["object", "original_text"]
 
 
 def reasons(checks: dict[str, Column]) -> Column:
@@ -53,18 +57,68 @@ def valid_prediction(record: Column) -> Column:
     return F.coalesce(top & valid & has(F.get_json_object(record, "$.predicted"), FIELDS), F.lit(False))
 
 
+def align_responses(rows: DataFrame, json_col: str) -> DataFrame:
+    """Whole responses (the keys of RESPONSE, clauses being a list) brought to our field names: status, reason, bad_clause,
+    mappings and normalized.
+
+    Gates in order, the first that fails being the reason: a key of RESPONSE missing (also text that is no JSON object, or
+    that repeats a key within an object), another key, clauses that are no list or hold anything but objects; then of the
+    first clause that fails, an unsupported field, an unknown one, another name beside its target, and a value under another
+    name that is neither object nor null. bad_clause is the index of the clause or item at fault, null for the other gates.
+    Values of FIELDS that are no objects become null. normalized is the response as JSON, null where status is error; status
+    is accepted where mappings, the number of fields renamed, is above 0, else noop.
+    """
+    names = lambda xs: F.array(*map(F.lit, xs))
+    beyond = lambda keys, known: F.size(F.array_except(keys, known)) > 0
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    is_null = lambda v: v.isNull() | F.is_variant_null(v)
+
+    def clause_reason(c: Column) -> Column:
+        keys = F.map_keys(c)
+        both = [F.array_contains(keys, alias) & F.array_contains(keys, target) for alias, target in ALIASES.items()]
+        odd = F.exists(F.map_entries(c), lambda e: e["key"].isin(list(ALIASES)) & ~is_object(e["value"]) & ~is_null(e["value"]))
+        return F.when(F.arrays_overlap(keys, names(UNSUPPORTED)), "unsupported_model_field").when(beyond(keys, names([*CLAUSE, *ALIASES])), "unknown_clause_field").when(both[0] | both[1] | both[2], "alias_target_conflict").when(odd, "invalid_enum")
+
+    def renamed(c: Column) -> Column:
+        name = lambda k: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), k), k)
+        value = lambda k, v: F.when(~name(k).isin(FIELDS) | is_object(v), v)
+        return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(name(e["key"]).alias("key"), value(e["key"], e["value"]).alias("value"))))
+
+    whole = F.try_parse_json(json_col)
+    out = rows.withColumn("_top", fields(whole)).withColumn("_items", F.try_variant_get(whole, "$.clauses", "array<variant>"))
+    out = out.withColumn("_clauses", F.transform("_items", fields))
+    no_object = F.array_position(F.transform("_clauses", lambda c: c.isNull()), F.lit(True))
+    reasons_of = F.transform("_clauses", clause_reason)
+    out = out.withColumn("_odd", no_object).withColumn("_reasons", F.when(no_object == 0, reasons_of))
+    out = out.withColumn("_bad", F.array_position(F.transform("_reasons", lambda r: r.isNotNull()), F.lit(True)))
+    keys = F.map_keys("_top")
+    reason = F.when(keys.isNull() | beyond(names(RESPONSE), keys), "missing_required_top_level_key").when(beyond(keys, names(RESPONSE)), "unknown_top_level_field").when(F.col("_items").isNull() | (F.col("_odd") > 0), "invalid_clause_item").when(F.col("_bad") > 0, F.try_element_at("_reasons", F.col("_bad").cast("int")))
+    at = F.when(F.col("reason") == "invalid_clause_item", F.nullif(F.col("_odd"), F.lit(0))).when(F.col("_bad") > 0, F.nullif(F.col("_bad"), F.lit(0)))
+    out = out.withColumn("reason", reason).withColumn("bad_clause", F.when(~F.col("reason").isin("missing_required_top_level_key", "unknown_top_level_field"), (at - 1).cast("int")))
+    good = F.col("reason").isNull()
+    count = F.aggregate("_clauses", F.lit(0), lambda n, c: n + F.size(F.array_intersect(F.map_keys(c), names(ALIASES))))
+    out = out.withColumn("mappings", F.when(good, count).otherwise(0))
+    kept = [F.element_at("_top", k).alias(k) for k in RESPONSE[:3]]
+    normalized = F.to_json(F.struct(*kept, F.transform("_clauses", renamed).alias("clauses")), {"ignoreNullFields": "false"})
+    out = out.withColumn("normalized", F.when(good, normalized))
+    return out.withColumn("status", F.when(~good, "error").when(F.col("mappings") > 0, "accepted").otherwise("noop")).drop("_top", "_items", "_clauses", "_odd", "_reasons", "_bad")
+
+
 def align_schema(rows: DataFrame, json_col: str) -> DataFrame:
-    """Outside extractions brought to our field names: status, reason (the first gate that fails), renamed and values.
+    """Outside extractions of one clause as a flat object, brought to our field names: status, reason (the first gate that fails), renamed and values.
 
-    Gates in order: not a JSON object, no clause, an unknown key, a modality that is no class. A field under its other name counts
-    as renamed; status is accepted where something was renamed, noop where nothing was, error where a gate fails.
+    Gates in order: not a JSON object, no clause, an unknown key, a field under both of its names, a modality that is no class.
+    A field under its other name counts as renamed; status is accepted where something was renamed, noop where nothing was,
+    error where a gate fails. Whole responses are the work of align_responses.
     """
     keys = F.json_object_keys(json_col)
     known = [*FIELDS, *ALIASES]
     other = {v: k for k, v in ALIASES.items()}
     value = lambda f: blank_to_null(F.trim(F.coalesce(F.get_json_object(json_col, f"$.{f}"), F.get_json_object(json_col, f"$.{other[f]}")) if f in other else F.get_json_object(json_col, f"$.{f}")))
     rows = rows.withColumns({f"out_{f}": value(f) for f in FIELDS}).withColumn("renamed", F.size(F.array_intersect(keys, F.array(*map(F.lit, ALIASES)))))
-    reason = F.when(keys.isNull(), "not_an_object").when(F.size(keys) == 0, "no_fields").when(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0, "unknown_key").when(F.col("out_modality").isNotNull() & ~F.lower("out_modality").isin(MODALITIES), "invalid_modality")
+    both = F.exists(F.array(*[F.array_contains(keys, a) & F.array_contains(keys, t) for a, t in ALIASES.items()]), lambda x: x)
+    reason = F.when(keys.isNull(), "not_an_object").when(F.size(keys) == 0, "no_fields").when(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0, "unknown_key").when(both, "alias_target_conflict").when(F.col("out_modality").isNotNull() & ~F.lower("out_modality").isin(MODALITIES), "invalid_modality")
     return rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNotNull(), "error").when(F.col("renamed") > 0, "accepted").otherwise("noop"))
 
 
@@ -94,6 +148,13 @@ def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("extra")))
 
 
+def snapshot_check(rows: DataFrame, registered: DataFrame, key: str) -> DataFrame:
+    """(key, digest, bytes, same): whether the digest and size of each row equal those registered; false where none are."""
+    known = registered.select(key, F.col("digest").alias("_d"), F.col("bytes").alias("_b"))
+    same = F.coalesce((F.col("digest") == F.col("_d")) & (F.col("bytes") == F.col("_b")), F.lit(False))
+    return rows.join(known, key, "left").select(key, "digest", "bytes", same.alias("same"))
+
+
 def constraint_report(rows: DataFrame, constraints: dict[str, Column]) -> DataFrame:
     """(check, violations) of declared constraints, each an expression that is true where a row breaks it."""
     one = rows.agg(*[F.count_if(bad).alias(name) for name, bad in constraints.items()])

@@ -292,8 +292,7 @@ def gold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, sha256(html) AS digest, octet_length(encode(html))::BIGINT AS bytes, true AS same FROM pages")
 def snapshot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
-    registered = p.select("page_id", F.col("digest").alias("d"), F.col("bytes").alias("b"))
-    return p.join(registered, "page_id").select("page_id", "digest", "bytes", ((F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))).alias("same"))
+    return B.snapshot_check(p, p, "page_id")
 
 
 @query("""SELECT doc_id, md5(regexp_replace(text, '((?:api_?key|secret|token|password)\\s*[:=]\\s*")[^"]*"', '\\1[REDACTED]"', 'gi')) AS h, contains(regexp_replace(text, '((?:api_?key|secret|token|password)\\s*[:=]\\s*")[^"]*"', '\\1[REDACTED]"', 'gi'), '[REDACTED]') AS hit FROM documents""")
