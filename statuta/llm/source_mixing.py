@@ -3,7 +3,8 @@
 The words of each source, its documents in order of id, are packed into blocks of a fixed length. The output is dealt in
 shards of a fixed number of block slots; each shard draws how many of its slots each source gets, as a multinomial
 whose certain part is fixed: the whole numbers in slots * weight are given and the rest of the slots is drawn from the
-fractions. Slot k of a source is block perm(k mod blocks) of pass k div blocks, where perm is a keyed pseudorandom
+fractions. Weights are in slots, not words, since the last block of a source is partly filled, and a last shard makes up
+what the draws left short of each source's quota. Slot k of a source is block perm(k mod blocks) of pass k div blocks, where perm is a keyed pseudorandom
 permutation of the source's block indexes, and slots meet blocks by joining on (source, index).
 """
 
@@ -89,6 +90,17 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def quotas(sources: DataFrame, max_epochs: int, seed: int) -> DataFrame:
+    """sources with expected, the slots whose words come to the target on average, and quota, that number rounded at random.
+
+    A slot gives source_size / blocks words on average, which is less than a block.
+    """
+    expected = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0))
+    chance = F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    quota = F.least(F.floor(F.col("expected") + chance + 1e-9).cast("long"), max_epochs * F.col("blocks"))
+    return sources.withColumn("expected", expected).withColumn("quota", quota)
+
+
 def draws(shards: DataFrame, slots: int, seed: int) -> DataFrame:
     """Per shard and source the slots drawn, from (shard, n, weights array<double>): (shard, k, c)."""
 
@@ -110,6 +122,13 @@ def draws(shards: DataFrame, slots: int, seed: int) -> DataFrame:
     return shards.mapInPandas(run, "shard long, k int, c long")
 
 
+def topped_up(drawn: DataFrame, sources: DataFrame, shard: int) -> DataFrame:
+    """drawn (shard, k, c) and, in one more shard, the slots that each source's draws fall short of its quota."""
+    got = drawn.groupBy("k").agg(F.sum("c").alias("got"))
+    short = sources.join(got, "k", "left").select(F.lit(shard).cast("long").alias("shard"), "k", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("c"))
+    return drawn.unionByName(short.where("c > 0"))
+
+
 def first_slots(drawn: DataFrame, run: int = 1024) -> DataFrame:
     """drawn (shard, k, c) with from, the number of a source's slots in all shards before.
 
@@ -135,15 +154,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = docs.select(id_col, source_col, F.col(text_col).alias("text"))
     at = store.table(placed(rows, n_words(F.col("text")), id_col, source_col))
     sizes = at.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = store.table(source_targets(sizes, max_epochs).withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long")))
-    sums = sources.agg(F.sum("target").alias("t"), F.sort_array(F.collect_list(F.struct("k", "target"))).alias("w"))  # one number a source
-    total = sums.select(F.ceil(F.col("t") / F.lit(block)).cast("long").alias("all"), F.transform("w", lambda x: x["target"] / F.col("t")).alias("weights")).where("all > 0")
+    sources = store.table(source_targets(sizes, max_epochs).withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long")).transform(lambda x: quotas(x, max_epochs, seed)))
+    sums = sources.agg(F.sum("expected").alias("t"), F.sort_array(F.collect_list(F.struct("k", "expected"))).alias("w"))  # one number a source
+    total = sums.select(F.ceil(F.col("t")).cast("long").alias("all"), F.transform("w", lambda x: F.try_divide(x["expected"], F.col("t"))).alias("weights")).where("all > 0")
     count = total.select("all").first()
     n_shards = -(-count[0] // slots) if count else 0
     shards = spark.range(n_shards).withColumnRenamed("id", "shard").crossJoin(F.broadcast(total)).select("shard", F.least(F.lit(slots).cast("long"), F.col("all") - F.col("shard") * slots).alias("n"), "weights")
-    drawn = draws(shards, slots, seed)
-    numbered = first_slots(drawn).join(sources.select("k", "source", "blocks"), "k")
-    slot = numbered.select("shard", "k", "source", "blocks", F.explode(F.sequence("from", F.col("from") + F.col("c") - 1)).alias("slot")).where(F.col("slot") < max_epochs * F.col("blocks"))
+    drawn = topped_up(draws(shards, slots, seed), sources, n_shards)
+    numbered = first_slots(drawn).join(sources.select("k", "source", "blocks", "quota"), "k")
+    slot = numbered.select("shard", "k", "source", "blocks", F.explode(F.sequence("from", F.col("from") + F.col("c") - 1)).alias("slot")).where("slot < quota")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -162,8 +181,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """Per row: id, size (words), source_size, target (its source's), taken (words that the mix takes, repeats counted).
 
-    Each source's taken words come near its target, within the noise of the draw and one block; no row exceeds
-    max_epochs times its size. Null texts have size 0 and take nothing; a null source is a source, the last. Rows that
+    Each source's taken words are its target on average, and off by less than two blocks: one for the rounding of slots, one
+    for the partly filled last block. Sources that stop at max_epochs are taken whole as often; no row exceeds that. Null texts have size 0 and take nothing; a null source is a source, the last. Rows that
     repeat an id are placed one by one; with equal texts too, they share what is taken evenly. Extra columns are
     ignored and an empty table gives an empty result.
     """

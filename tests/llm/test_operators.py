@@ -221,6 +221,27 @@ def test_mixing(docs, empty, texts):
     assert {k: v for k, v in count.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_mixing_small_sources(spark):
+    sizes = {"big": 2500, **{f"s{k:03d}": 1 + k * 37 % 100 for k in range(250)}}
+    rows = [(i, " ".join(["w"] * min(50, n - at)), s) for i, (s, n, at) in enumerate((s, n, at) for s, n in sizes.items() for at in range(0, n, 50))]
+    ship(spark)
+    source_of = {i: s for i, _, s in rows}
+    for slots in (4096, 16):
+        got = source_mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=slots).collect()
+        words, target = Counter(), {}
+        for r in got:
+            words[source_of[r.doc_id]] += r.taken
+            target[source_of[r.doc_id]] = r.target
+            assert r.taken <= 3 * r.size
+        for s, n in sizes.items():
+            assert abs(words[s] - target[s]) < 128
+            if target[s] == 3 * n:
+                assert words[s] == target[s]
+        tail = [s for s in sizes if s != "big"]
+        assert abs(sum(words[s] for s in tail) / sum(target[s] for s in tail) - 1) < 0.04
+        assert abs(sum(words.values()) / sum(sizes.values()) - 1) < 0.04
+
+
 def test_first_slots(spark):
     rows = [(s, k, (s * 7 + k) % 5 + 1) for s in range(50) for k in range(3) if (s + k) % 4]
     got = source_mixing.first_slots(spark.createDataFrame(rows, "shard long, k int, c long"), run=8).collect()
