@@ -47,7 +47,12 @@ def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lim
     hash as the empty text. Rows of one key share a bucket while they fit, then part by bits of their texts; repeated
     rows that don't fit are numbered and cut. Extra columns are ignored; an empty table gives an empty result.
     """
-    rows = store.table(docs.select(F.col(key_col).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), prefix_hash(F.col(key_col), F.col(text_col)).alias("hash")))
+    return assigned(docs, key_col, text_col, limit).select(F.col("key").alias(key_col), "bytes", "depth", "shard", "shard_bytes")
+
+
+def assigned(docs: DataFrame, key_col: str, text_col: str, limit: int, *carried: Column) -> DataFrame:
+    """The rows of shards, with the key as key and further columns carried along with each row."""
+    rows = store.table(docs.select(*carried, F.col(key_col).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), prefix_hash(F.col(key_col), F.col(text_col)).alias("hash")))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = min(30, int(total // limit).bit_length() + 6)
     cell = F.shiftright("hash", MAX_BITS - bits)
@@ -63,10 +68,10 @@ def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lim
     name = F.lpad(F.conv(F.expr(f"shiftright(hash, {MAX_BITS} - depth)").cast("string"), 10, 2), F.col("depth"), F.lit("0"))
     named = whole.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.concat(name, F.coalesce(F.concat(F.lit("-"), "cut"), F.lit("")))))
     sizes = named.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"))
-    return named.join(sizes, "shard").select(F.col("key").alias(key_col), "bytes", "depth", "shard", "shard_bytes")
+    return named.join(sizes, "shard")
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20) -> None:
-    """Write docs as Parquet, one folder a shard."""
-    found = shards(docs, key_col, text_col, limit).select(key_col, "shard").dropDuplicates([key_col, "shard"])
-    docs.join(found, docs[key_col].eqNullSafe(found[key_col])).drop(found[key_col]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs as Parquet, one folder a shard, each row once into the shard that shards() gives it."""
+    found = assigned(docs, key_col, text_col, limit, F.struct(*docs.columns).alias("row"))
+    found.select("row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)

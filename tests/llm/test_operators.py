@@ -310,6 +310,23 @@ def test_shards(docs, empty):
     assert {r.shard for r in extendible_shards.shards(docs, limit=10**9).collect()} == {""}
 
 
+def test_write_shards(spark, tmp_path):
+    rows = [(7, "%02d" % (i % 40) + "t" * (i % 50), i) for i in range(120)] + [(k, "x" * k, k) for k in range(100, 140)] + [(7, None, 500), (None, "y", 501), (None, "y", 501)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes int")
+    extendible_shards.write_shards(docs, f"file://{tmp_path}/out", limit=300)
+    back = spark.read.schema("doc_id long, text string, bytes int, shard string").parquet(f"file://{tmp_path}/out").collect()
+    assert Counter((r.doc_id, r.text, r.bytes) for r in back) == Counter(rows)
+    size, count = Counter(), Counter()
+    for r in back:
+        size[r.shard] += len(r.text or "")
+        count[r.shard] += 1
+    assert all(n <= 300 or count[k] == 1 for k, n in size.items())
+    want = Counter()
+    for r in extendible_shards.shards(docs, limit=300).collect():
+        want[r.shard] += r.bytes
+    assert size == want and len({r.shard for r in back if r.doc_id == 7}) > 5
+
+
 def test_html(spark):
     page = "<title>no</title><h1>Head &amp; line</h1><p>one <b>two</b>three<p>second<ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x</ol><table><tr><th>name<th>n<tr><td>abc<td>200</table><div hidden>no</div><p style='display:none'>no</p><pre>  a\n   b</pre>tail<script>'</p>'</script>"
     assert html_layout.layout(page) == "Head & line\n\none twothree\n\nsecond\n\n- a\n- b\n  - c\n\n3. x\n\nname  n\nabc   200\n\n  a\n   b\n\ntail"
