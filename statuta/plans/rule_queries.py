@@ -425,7 +425,8 @@ ordered AS (SELECT t.process_id, t.node_id, t.name, row_number() OVER (PARTITION
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = corpus(spark, sf_dir, "tasks")
     starts = t.select("process_id", F.lit("s").alias("node_id")).distinct()
-    return K.task_order(starts, corpus(spark, sf_dir, "flows"), t.select("process_id", "node_id", "name"))
+    flows = corpus(spark, sf_dir, "flows").withColumn("pos", F.substring("target", 2, 9).cast("int"))
+    return K.task_order(starts, flows, t.select("process_id", "node_id", "name"))
 
 
 @query(f"{_ORDER} SELECT process_id, node_id, place::INT AS place FROM ordered")
@@ -477,7 +478,7 @@ SELECT rule_id, 'out_of_order' AS kind FROM f WHERE n >= 2 AND a >= b"""
 
 
 def _out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.out_of_order(_rules(spark, sf_dir).withColumn("text", F.expr(_SAID)), _ordered(spark, sf_dir))
+    return K.words_out_of_order(_rules(spark, sf_dir).withColumn("text", F.expr(_SAID)), _ordered(spark, sf_dir))
 
 
 @query(_OO)
