@@ -1,9 +1,9 @@
 """Secret scans: spans of credentials in texts, in DataFrame functions alone.
 
 Patterns with fixed meanings (assignments, access identifiers, long hexadecimal runs) are reported as they stand. Weak
-parts (a plain identifier assignment, an opaque token, an endpoint) are reported only when complementary parts of one
+parts (a plain identifier assignment, an opaque token, an endpoint, a secret assignment that is short or has another name) are reported only when complementary parts of one
 credential co-occur: within the same paragraph and within a distance, an access or weak identifier with a secret, or an
-endpoint with both. Parts carry intervals of code points; a text's parts are ordered by start and each is joined to the
+endpoint with both; a short one with an identifier or an endpoint. Parts carry intervals of code points; a text's parts are ordered by start and each is joined to the
 nearest complementary interval on either side by windows, so the work is linear in parts and no pairs are formed.
 """
 
@@ -22,6 +22,7 @@ KINDS: list[tuple[str, str, int, int]] = [
     ("ident", r"""(?i:client_?id|access_?key_?id|account_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", 0, 5),
     ("opaque", r"[A-Za-z0-9+/]{32,}", 0, 32),
     ("endpoint", r"https?://[A-Za-z0-9.:/_-]+", 0, 10),
+    ("short", r"""(?i:passwords?|passwd|passphrase|passcode|pass|pwd|secret(?:_?key)?|token|api_?key|access_?key|private_?key|auth(?:orization)?|credentials?)["']?\x20*[:=]\x20*["']?[^\s"'<>,;]{3,}""", 0, 5),
 ]
 BREAK = r"\n[\x20\t\r]*\n"
 BASE = 3
@@ -76,8 +77,8 @@ def parts(docs: DataFrame, keys: list[str], text_col: str, reach: int) -> DataFr
         ahead_of = F.min(F.when(is_kind(*names), F.col("start"))).over(after)
         return F.coalesce(F.col("start") - back <= reach, F.lit(False)) | F.coalesce(ahead_of - F.col("stop") <= reach, F.lit(False))
 
-    rows = rows.withColumn("with_id", near("access", "ident")).withColumn("with_secret", near("assign", "hex", "opaque"))
-    linked = F.when(is_kind("ident"), F.col("with_secret")).when(is_kind("opaque"), F.col("with_id")).when(is_kind("endpoint"), F.col("with_id") & F.col("with_secret")).otherwise(F.lit(False))
+    rows = rows.withColumn("with_id", near("access", "ident")).withColumn("with_secret", near("assign", "hex", "opaque", "short")).withColumn("with_place", near("endpoint"))
+    linked = F.when(is_kind("ident"), F.col("with_secret")).when(is_kind("opaque"), F.col("with_id")).when(is_kind("endpoint"), F.col("with_id") & F.col("with_secret")).when(is_kind("short"), F.col("with_id") | F.col("with_place")).otherwise(F.lit(False))
     # a weak part inside a base span is that span already
     keep = (F.col("kind") < BASE) | (linked & ~F.col("covered"))
     return rows.withColumn("kept", F.coalesce(keep, F.lit(False)))

@@ -274,6 +274,27 @@ def test_secrets(docs, empty, texts, spark):
     assert clean[1] == "[SECRET] and [SECRET]" and clean[2] == weak and clean[4] == "é [SECRET] b" and clean[5] is None
 
 
+def test_short_secrets(spark):
+    rows = [
+        "user = bob, password = hunter22 at https://db.example.com/x",
+        "password = hunter22 alone",
+        "see https://db.example.com pwd: s3cr3t! end",
+        "login: bob passphrase='two.words1234' end",
+        "user = bob\n\npassword = hunter22",
+        "user = bob password = abcdefghijkl",
+        "user = bob " + "x " * 150 + "pwd = hunter22",
+        "https://db.example.com and user = bob",
+    ]
+    t = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(t).collect()}
+    assert got[0].spans == "ident:0:10,short:12:31,endpoint:35:59"
+    assert [got[k].spans for k in (1, 4, 6, 7)] == [""] * 4
+    assert got[2].spans == "short:27:39" and got[3].spans == "ident:0:10,short:11:36"
+    assert got[5].spans == "ident:0:10,assign:11:34" and [got[k].n_assign for k in range(8)] == [0, 0, 0, 0, 0, 1, 0, 0]
+    clean = {r.doc_id: r.text for r in secrets.redact(t).collect()}
+    assert clean[0] == "[SECRET], [SECRET] at [SECRET]" and clean[1] == rows[1]
+
+
 def test_factorization(spark, empty):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(rng.choice(["spam", "win", "cash"] if i % 3 == 0 else ["calm", "river", "stone"], 40)), "en", "a", 200, "x") for i in range(300)]
