@@ -111,22 +111,24 @@ def train(ids: np.ndarray, values: np.ndarray, begins: np.ndarray, y: np.ndarray
     return m
 
 
-def fit(rows: DataFrame, max_rows: int = 4000, max_chars: int = 20_000, rank: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Model:
+def fit(rows: DataFrame, max_rows: int = 4000, rank: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Model:
     """A model from rows (id, text, n_chars, label 0 to 1).
 
-    At most max_rows rows of at most max_chars characters are used, those of the smallest hashes of their ids, so the
-    fit has a bounded size; classes are drawn as they come. Without rows the model scores 0.5 everywhere.
+    At most max_rows rows are used, those of the smallest hashes of their ids, of whatever length: a row has at most
+    FEATURES features, so the fit has a bounded size. Classes are drawn as they come. Without rows the model scores 0.5
+    everywhere.
     """
-    kind = pa.schema([("h", pa.int64()), ("label", pa.float64()), ("ids", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32()))])
+    kind = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("label", pa.float64()), ("ids", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for a, b, data, offsets in W.slices(part.column(2)):
-                i, x, begins = featurize(data, offsets, chars(part.column(3).slice(a, b - a)))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), W.lists(i, begins, pa.int32()), W.lists(x, begins, pa.float32())], schema=kind)
+            for a, b, data, offsets in W.slices(part.column(3)):
+                i, x, begins = featurize(data, offsets, chars(part.column(4).slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).slice(a, b - a) for k in range(3)), W.lists(i, begins, pa.int32()), W.lists(x, begins, pa.float32())], schema=kind)
 
-    sample = rows.where(F.length("text") <= max_chars).select(F.xxhash64("id").alias("h"), "label", "text", "n_chars").orderBy("h", "label", F.xxhash64("text")).limit(max_rows)
-    got = sample.mapInArrow(run, "h long, label double, ids array<int>, vals array<float>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    # features are made where the texts are; what is ordered and sent on is bounded
+    made = rows.select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "label", "text", "n_chars").mapInArrow(run, "h long, t long, label double, ids array<int>, vals array<float>")
+    got = made.orderBy("h", "label", "t").limit(max_rows).toArrow().sort_by([("h", "ascending"), ("label", "ascending"), ("t", "ascending")])
     if not got.num_rows:
         return Model(0.0, np.zeros(FEATURES, np.float32), np.zeros((FEATURES, rank), np.float32))
     ids = got.column("ids").combine_chunks()
