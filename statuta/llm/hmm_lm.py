@@ -95,7 +95,7 @@ def sequences(texts: pa.Array, own: np.ndarray) -> Iterator[tuple[int, int, W.Wo
         yield a, b, w, classes, begins
 
 
-def batches_by_length(begins: np.ndarray, width: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batches_by_length(begins: np.ndarray, width: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Texts in groups of like length, longest first within each: (texts, lengths)."""
     size = np.diff(begins)
     order = np.argsort(-size, kind="stable")
@@ -156,25 +156,17 @@ def normal(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndar
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def first_model(sample: list[tuple[np.ndarray, np.ndarray]], prior: np.ndarray, states: int, rounds: int, seed: int) -> Model:
-    """Parameters to begin with: a seeded perturbation of the class frequencies, moved a little by the sample."""
+def first_model(prior: np.ndarray, states: int, seed: int) -> Model:
+    """Parameters to begin with: a seeded perturbation of the class frequencies of the whole corpus."""
     rng = np.random.default_rng(seed)
-    noise = rng.gamma(1.0, 1.0, (states, len(prior)))
-    emit = prior[None, :] * (0.3 + noise)
+    emit = prior[None, :] * (0.3 + rng.gamma(1.0, 1.0, (states, len(prior))))
     stay = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(stay, 0.9)
-    m = Model(np.full(states, 1 / states), stay if states > 1 else np.ones((1, 1)), emit / emit.sum(axis=1, keepdims=True))
-    for _ in range(rounds if sample else 0):
-        total = None
-        for classes, begins in sample:
-            _, found = forward(m, classes, begins, True)
-            total = found if total is None else [x + y for x, y in zip(total, found, strict=True)]
-        m = normal(*total, prior)
-    return m
+    return Model(np.full(states, 1 / states), stay if states > 1 else np.ones((1, 1)), emit / emit.sum(axis=1, keepdims=True))
 
 
 def baum_welch(rows: DataFrame, m: Model, own: np.ndarray, prior: np.ndarray) -> Model:
-    """One round over all training rows: each partition sums its expected counts, a groupBy sums those of all."""
+    """One round over the training rows of (text, train): each partition sums its expected counts, a groupBy those of all."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((m, own))
     k = len(m.start)
@@ -193,6 +185,8 @@ def baum_welch(rows: DataFrame, m: Model, own: np.ndarray, prior: np.ndarray) ->
 
     sums = rows.where("train").select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum(F.round(F.col("x") * 1e6).cast("decimal(38,0)")).cast("double").alias("x"))
     got = sums.toPandas()  # one number a parameter
+    if not len(got):
+        return m
     flat = np.zeros(k + k * k + k * len(prior))
     flat[got["cell"].to_numpy(int)] = got["x"].to_numpy(float) / 1e6
     return normal(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, -1), prior)
@@ -255,14 +249,14 @@ def most_frequent(counts: DataFrame, n: int) -> DataFrame:
     return kept.orderBy(F.desc("c"), "word").limit(n)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = 2, seed_rows: int = 400, seed_chars: int = 8000, seed_rounds: int = 6, chunk_bytes: int = 12_000_000, seed: int = 5) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = 2, shares: tuple[int, ...] = (64, 32, 16, 8), chunk_bytes: int = 12_000_000, seed: int = 5) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are lower-cased words and one end a text; a null text is empty and has the end alone. base_score is the add-one
     unigram log10 probability with one place for unknown words, score that of the hidden Markov model, in which a word
-    of class C has (c + 1) / (N_C + V_C + 1) of it. All counts cover all training rows; the model's first parameters
-    come from at most seed_rows texts of at most seed_chars characters, then `rounds` rounds of Baum-Welch pass over
-    every training row. Rows are scored one by one, repeated rows too; a null id counts as held out. Extra columns are
+    of class C has (c + 1) / (N_C + V_C + 1) of it. All counts cover all training rows. Baum-Welch begins from the class
+    frequencies of the corpus, passes over growing shares of the training rows (one row in shares[0], then in shares[1]
+    and so on, dealt by a hash of the id), then `rounds` times over all of them. Rows are scored one by one, repeated rows too; a null id counts as held out. Extra columns are
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -279,9 +273,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     class_n[sums["k"]], class_v[sums["k"]] = sums["n"], sums["v"]
     prior = (class_n + 1) / (class_n + 1).sum()
 
-    few = rows.where(F.col("train") & (F.length("text") <= seed_chars)).select("text", F.xxhash64("id").alias("h")).orderBy("h", "text").limit(seed_rows)
-    sample = [(c, b) for _, _, _, c, b in sequences(pa.array([r.text for r in few.collect()], pa.string()), own)]
-    m = first_model(sample, prior, states, seed_rounds, seed)
+    m = first_model(prior, states, seed)
+    deal = F.xxhash64("id", F.lit(seed))
+    if shares:  # the largest share is written once, so that the first rounds don't read the corpus again and again
+        part = store.table(rows.where(F.col("train") & (F.pmod(deal, F.lit(min(shares))) == 0)))
+        for share in shares:
+            m = baum_welch(part.where(F.pmod(deal, F.lit(share)) == 0), m, own, prior)
+        store.drop(part)
     for _ in range(rounds):
         m = baum_welch(rows, m, own, prior)
 

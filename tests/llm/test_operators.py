@@ -163,7 +163,7 @@ def test_quality_rules(docs, empty, texts):
 
 
 def test_hmm(docs, empty, texts):
-    got = hmm_lm.score(docs, rounds=1, seed_rounds=1, chunk_bytes=1000).collect()
+    got = hmm_lm.score(docs, rounds=1, shares=(2,), chunk_bytes=1000).collect()
     assert len(got) == docs.count()
     ids = [*range(len(texts)), 0, 0]
     learn = Counter()
