@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statuta.llm import store
+from statuta.llm import bitmaps, store
 from statuta.llm import words as W
 from statuta.llm.components import components
 
@@ -95,19 +95,8 @@ def features(docs: DataFrame, n: int, percent: int, wanted: str) -> DataFrame:
 
 
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (id, text) whose id is in ids, without shuffling the texts of the others.
-
-    A bitmap of hashed ids of at most 2^28 bits (32 MB, broadcast) lets through few rows besides; a semi join settles
-    them exactly.
-    """
-    ids = store.table(ids.distinct())
-    slots = 1 << min(28, max(20, (16 * ids.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
-    bitmap = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
-    spot = F.expr("bitmap_bit_position(slot)")
-    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = docs.withColumn("slot", slot).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).join(F.broadcast(bitmap), "bucket").where(F.floor(byte / F.pow(F.lit(2), spot % 8)) % 2 == 1)
-    return near.select("id", "text").join(ids, "id", "left_semi")
+    """The rows of docs (id, text) whose id is in ids, without shuffling the texts of the others."""
+    return bitmaps.among(docs, store.table(ids.distinct()), "id").select("id", "text")
 
 
 def in_groups(rows: DataFrame, keys: list[str], settle, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
