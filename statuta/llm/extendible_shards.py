@@ -26,24 +26,38 @@ def prefix_hash(key: Column, text: Column) -> Column:
     return bits_of(key, 8) * (1 << 31) + F.shiftright(bits_of(text, 8), 1)
 
 
+#: Buckets of so many leading bits and fewer are at most 2^11 - 1 and are broadcast; deeper ones hold few cells each.
+TOP_BITS = 10
+#: Parts of a bucket's cells in the deep directory, where many rows of one key share their leading bits.
+SALTS = 16
+
+
 def directory(cells: DataFrame, bits: int, limit: int) -> DataFrame:
-    """(cell, depth): how many bits the bucket of each cell has, from (cell, bytes) with cells of `bits` bits.
+    """(cell, depth): how many bits the bucket of each cell has, from (cell, bytes) with distinct cells of `bits` bits.
 
-    Buckets of all depths are summed from the cells, whose number is bounded by that of the shards, and a cell belongs
-    to the shallowest that fits; deeper ones fit too, so this is what splitting one bit at a time ends with.
+    A leaf is a bucket that fits and whose parent, one bit shorter, does not: what splitting oversized buckets one bit at
+    a time ends with. Sums of buckets are partially aggregated; cells then meet their leaf, those of the few shortest
+    buckets by a broadcast and others by a join on (bucket, salt), so that no task gets all cells of a large bucket.
     """
-    levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
-    levels = levels.withColumn("bucket", F.expr(f"shiftright(cell, {bits} - depth)"))
-    sums = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bucket_bytes"))
-    fit = sums.where(F.col("bucket_bytes") <= limit)
-    return levels.join(fit, ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn("bucket", F.expr(f"shiftright(cell, {bits} - depth)"))
+    sums = store.table(levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("n")))
+    above = sums.where(F.col("n") > limit).select(F.col("depth").alias("d"), F.col("bucket").alias("b"))
+    fits = sums.where(F.col("n") <= limit).select("depth", "bucket")
+    below = fits.join(above, (F.col("depth") - 1 == F.col("d")) & (F.shiftright("bucket", 1) == F.col("b")), "left_semi")
+    leaves = store.table(below.unionByName(fits.where("depth = 0")))
+    keyed = levels.select("cell", "depth", "bucket").withColumn("salt", F.pmod(F.xxhash64("cell"), F.lit(SALTS)).cast("int"))
+    short = keyed.where(F.col("depth") <= TOP_BITS).join(F.broadcast(leaves.where(F.col("depth") <= TOP_BITS)), ["depth", "bucket"])
+    salted = leaves.where(F.col("depth") > TOP_BITS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    deep = keyed.where(F.col("depth") > TOP_BITS).join(salted, ["depth", "bucket", "salt"])
+    return short.select("cell", "depth").unionByName(deep.select("cell", "depth"))
 
 
 def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20) -> DataFrame:
     """Per row: key, bytes (of its text in UTF-8), depth, shard (the bucket's bits, then -n where a bucket was cut) and
     shard_bytes.
 
-    No shard exceeds limit bytes but one that is a single longer row. Null and empty texts have 0 bytes and null keys
+    No shard exceeds limit bytes but one that is a single longer row (rows cut in order have equal hashes, so but for a
+    collision equal lengths). Null and empty texts have 0 bytes and null keys
     hash as the empty text. Rows of one key share a bucket while they fit, then part by bits of their texts; repeated
     rows that don't fit are numbered and cut. Extra columns are ignored; an empty table gives an empty result.
     """
@@ -61,9 +75,8 @@ def assigned(docs: DataFrame, key_col: str, text_col: str, limit: int, *carried:
     fits, over = placed.where("depth is not null"), placed.where("depth is null").drop("depth")
     deep = directory(over.groupBy(F.col("hash").alias("cell")).agg(F.sum("bytes").alias("bytes")), MAX_BITS, limit)
     over = over.join(deep.withColumnRenamed("cell", "hash"), "hash", "left")
-    same = Window.partitionBy("hash").orderBy("bytes", F.col("key").cast("string"))
-    cut = over.where("depth is null").withColumn("no", F.row_number().over(same))
-    cut = cut.withColumn("cut", F.floor((F.col("no") - 1) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))))).cast("string")).withColumn("depth", F.lit(MAX_BITS)).drop("no")
+    numbered = _numbered(over.where("depth is null"))
+    cut = numbered.withColumn("cut", F.floor(F.col("no") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))))).cast("string")).withColumn("depth", F.lit(MAX_BITS)).drop("no")
     whole = fits.unionByName(over.where("depth is not null")).withColumn("cut", F.lit(None).cast("string")).unionByName(cut)
     name = F.lpad(F.conv(F.expr(f"shiftright(hash, {MAX_BITS} - depth)").cast("string"), 10, 2), F.col("depth"), F.lit("0"))
     named = whole.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.concat(name, F.coalesce(F.concat(F.lit("-"), "cut"), F.lit("")))))
@@ -71,6 +84,18 @@ def assigned(docs: DataFrame, key_col: str, text_col: str, limit: int, *carried:
     return named.join(sizes, "shard")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with no, from 0 among those of one hash, in two steps: rows of one hash are dealt over many tasks and numbered
+    there, behind the totals of the tasks before."""
+    if not rows.limit(1).count():
+        return rows.withColumn("no", F.lit(0).cast("long"))
+    dealt = store.table(rows.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")))
+    inner, outer = Window.partitionBy("hash", "deal").orderBy("bytes", F.col("key").cast("string")), Window.partitionBy("hash").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = dealt.groupBy("hash", "deal").agg(F.count(F.lit(1)).alias("n")).select("hash", "deal", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("ahead"))
+    within = dealt.withColumn("no", F.row_number().over(inner) - 1)
+    return within.join(ahead, ["hash", "deal"]).withColumn("no", F.col("no") + F.col("ahead")).select(*rows.columns, "no")
+
+
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20) -> None:
     """Write docs as Parquet, one folder a shard, each row once into the shard that shards() gives it."""
     found = assigned(docs, key_col, text_col, limit, F.struct(*docs.columns).alias("row"))
