@@ -1,10 +1,9 @@
 """Mixing sources to target weights by blocks of words.
 
 The words of each source, its documents in order of id, are packed into blocks of a fixed length. The output is dealt in
-shards of a fixed number of block slots; each shard draws how many of its slots each source gets, as a multinomial
-whose certain part is fixed: the whole numbers in slots * weight are given and the rest of the slots is drawn from the
-fractions. Weights are in slots, not words, since the last block of a source is partly filled, and a last shard makes up
-what the draws left short of each source's quota. Slot k of a source is block perm(k mod blocks) of pass k div blocks, where perm is a keyed pseudorandom
+shards of a fixed number of block slots; each shard draws how many of its slots each source gets, as a multinomial. Weights
+are in slots, not words, since the last block of a source is partly filled. All draws of a source together are held to
+its quota: a last shard makes up what they left short, and slots beyond the quota, those of the last shards, are empty. Slot k of a source is block perm(k mod blocks) of pass k div blocks, where perm is a keyed pseudorandom
 permutation of the source's block indexes, and slots meet blocks by joining on (source, index).
 """
 
@@ -46,7 +45,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     w = w.withColumn("all_size", F.sum("source_size").over(everything)).withColumn("rest", F.col("all_size") - max_epochs * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
     w = w.withColumn("rest_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     w = w.withColumn("stops", max_epochs * F.col("source_size") * F.col("rest_weight") <= F.col("weight") * F.col("rest"))
-    w = w.withColumn("open_rest", F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), "rest", "rest_weight"))).over(everything))
+    w = w.withColumn("open_rest", F.min(F.when(~F.col("stops"), F.struct((-F.col("rest_weight")).alias("order"), "rest", "rest_weight"))).over(everything))  # the first that does not stop
     share = F.col("open_rest.rest") / F.col("open_rest.rest_weight")
     target = F.when(F.col("stops") | F.col("open_rest").isNull(), F.col("source_size") * F.lit(float(max_epochs))).otherwise(F.col("weight") * share)
     return w.select("source", "source_size", "weight", target.alias("target"))
@@ -109,12 +108,7 @@ def draws(shards: DataFrame, slots: int, seed: int) -> DataFrame:
             found = []
             for shard, n, weights in zip(part["shard"], part["n"], part["weights"], strict=True):
                 p = np.asarray(weights, float)
-                sure = np.floor(n * p + 1e-9).astype(np.int64)
-                left = int(n - sure.sum())
-                rest = np.maximum(n * p - sure, 0)
-                c = sure
-                if left > 0 and rest.sum() > 0:
-                    c = sure + np.random.default_rng([seed, int(shard)]).multinomial(left, rest / rest.sum())
+                c = np.random.default_rng([seed, int(shard)]).multinomial(int(n), p / p.sum())
                 k = np.flatnonzero(c)
                 found.append(pd.DataFrame({"shard": shard, "k": k, "c": c[k]}))
             yield pd.concat(found) if found else pd.DataFrame({"shard": [], "k": [], "c": []})
@@ -200,18 +194,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     A row stands once for each pass (of max_epochs at most) that takes blocks of it: with its whole text as it is where
     the pass takes all of it, else with the taken words, in order, joined by one space; chars_col follows the text.
-    Rows of which nothing is taken go.
+    Rows of which nothing is taken go: null and empty texts do. Repeated rows are placed one by one; columns may have any
+    names; an empty table gives an empty one.
     """
     m = mix(docs, id_col, source_col, text_col, **options)
     parts = m["pieces"].join(m["uses"].select("k", "index", "epoch"), ["k", "index"]).groupBy("id", "tie", "start", "k", "epoch", "size").agg(F.sum("n").alias("words"), F.sort_array(F.collect_list(F.struct("from", "n"))).alias("cuts"))
-    plan = parts.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "start", "epoch", (F.col("words") == F.col("size")).alias("whole"), F.when(F.col("words") < F.col("size"), F.col("cuts")).alias("cuts"))
-    copies = Window.partitionBy("_id", "_tie", "epoch").orderBy("start")
-    plan = plan.withColumn("_copy", F.row_number().over(copies))
-    own = Window.partitionBy(id_col, "_tie").orderBy(F.lit(1))
-    numbered = docs.withColumn("_tie", F.xxhash64(F.col(text_col))).withColumn("_copy", F.row_number().over(own))
-    hit = numbered.join(plan, numbered[id_col].cast("long").eqNullSafe(plan["_id"]) & (numbered["_tie"] == plan["_tie"]) & (numbered["_copy"] == plan["_copy"]))
-    words = F.split(F.btrim(F.col(text_col), F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
-    text = F.when(F.col("whole"), F.col(text_col)).otherwise(F.concat_ws(" ", F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["from"] + 1).cast("int"), c["n"].cast("int"))))))
-    out = hit.withColumn("_text", text)
-    columns = [F.col("_text").alias(c) if c == text_col else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else numbered[c] for c in docs.columns]
-    return out.select(*columns)
+    plan = parts.select(F.col("id").alias("plan_id"), F.col("tie").alias("plan_tie"), "start", "epoch", F.when(F.col("words") < F.col("size"), F.col("cuts")).alias("cuts"))
+    plan = plan.withColumn("plan_copy", F.row_number().over(Window.partitionBy("plan_id", "plan_tie", "epoch").orderBy("start")))
+    # the row travels as one struct, so its columns may have any names
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tie"))
+    numbered = packed.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie").orderBy(F.lit(1))))
+    hit = numbered.join(plan, numbered["id"].eqNullSafe(plan["plan_id"]) & (numbered["tie"] == plan["plan_tie"]) & (numbered["copy"] == plan["plan_copy"]))
+    old = F.col("row").getField(text_col)
+    # an array of one array, so that a text is split once and not once a cut
+    split_once = F.array(F.split(F.btrim(old, F.lit(BLANKS)), r"[\x20\x09-\x0D]+"))
+    chosen = F.transform(split_once, lambda words: F.concat_ws(" ", F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["from"] + 1).cast("int"), c["n"].cast("int"))))))[0]
+    out = hit.select("row", F.when(F.col("cuts").isNull(), old).otherwise(chosen).alias("text"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -242,6 +242,43 @@ def test_mixing_small_sources(spark):
         assert abs(sum(words.values()) / sum(sizes.values()) - 1) < 0.04
 
 
+def test_source_targets(spark):
+    """Targets against filling up by weight, source by source, until none is above its bound."""
+    for sizes in ({"a": 10, "b": 1000, "c": 3, None: 500}, {"x": 5}, {f"s{i}": 1 + i * i % 50 for i in range(20)}):
+        names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+        weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+        open_, target, rest = set(names), {}, sum(sizes.values())
+        while open_:
+            share = rest / sum(weight[s] for s in open_)
+            above = [s for s in open_ if weight[s] * share > 3 * sizes[s]]
+            for s in above or open_:
+                target[s] = 3 * sizes[s] if above else weight[s] * share
+            rest -= sum(target[s] for s in above)
+            open_ = open_ - set(above) if above else set()
+        got = source_mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert {r.source: round(r.target, 6) for r in got} == {s: round(x, 6) for s, x in target.items()}
+
+
+def test_draws_are_multinomial(spark):
+    """Counts of a source over shards scatter as a multinomial's do, not less."""
+    shards = spark.createDataFrame([(i, 400, [30.0, 60.0, 10.0]) for i in range(300)], "shard long, n long, weights array<double>")
+    ship(spark)
+    got = source_mixing.draws(shards, 400, 7).collect()
+    total = Counter()
+    for r in got:
+        total[r.shard] += r.c
+    assert set(total.values()) == {400}
+    counts = np.array([r.c for r in got if r.k == 0])
+    assert abs(counts.mean() - 120) < 3 and 0.8 < counts.var() / (400 * 0.3 * 0.7) < 1.25
+
+
+def test_mixed_documents_cases(spark, empty):
+    t = spark.createDataFrame([(1, "a b c", "s", 5, 1, 2), (1, "a b c", "s", 5, 1, 2), (2, None, "s", 0, 3, 4), (3, "", None, 0, 3, 4), (4, "x y", None, 3, 3, 4)], "doc_id long, text string, source string, n_chars int, cuts int, start int")
+    got = source_mixing.mixed_documents(t)
+    assert got.schema == t.schema and {r.doc_id for r in got.collect()} <= {1, 4}
+    assert source_mixing.mixed_documents(empty).columns == empty.columns and source_mixing.mixed_documents(empty).count() == 0
+
+
 def test_first_slots(spark):
     rows = [(s, k, (s * 7 + k) % 5 + 1) for s in range(50) for k in range(3) if (s + k) % 4]
     got = source_mixing.first_slots(spark.createDataFrame(rows, "shard long, k int, c long"), run=8).collect()
@@ -364,6 +401,13 @@ def test_shards(docs, empty):
     assert {r.shard for r in extendible_shards.shards(docs, limit=10**9).collect()} == {""}
 
 
+def test_shards_of_one_repeated_row(spark):
+    rows = [(7, "same text", "a")] * 200 + [(k, "t" * (k % 30), "b") for k in range(300)]
+    got = extendible_shards.shards(spark.createDataFrame(rows, "doc_id long, text string, bucket string").repartition(7), limit=100).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert max(r.shard_bytes for r in got) <= 100 and len({r.shard for r in got if r.doc_id == 7}) == 200 // (100 // 9) + 2  # the other text of id 7 has a shard of its own
+
+
 def test_write_shards(spark, tmp_path):
     rows = [(7, "%02d" % (i % 40) + "t" * (i % 50), i) for i in range(120)] + [(k, "x" * k, k) for k in range(100, 140)] + [(7, None, 500), (None, "y", 501), (None, "y", 501)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bytes int")
