@@ -42,7 +42,16 @@ class Texts:
         size = np.diff(self.offsets)[rows]
         offsets = np.concatenate(([0], np.cumsum(size)))
         at = np.arange(offsets[-1]) + np.repeat(self.offsets[:-1][rows] - offsets[:-1], size)
-        return Texts(self.data[at], offsets)
+        out = Texts(self.data[at], offsets)
+        for name, found in self._kept.items():  # what is known of these texts stays known
+            if name == "words":
+                first = np.concatenate(([0], np.cumsum(found.count[rows])))
+                of = np.arange(first[-1]) + np.repeat(found.first[:-1][rows] - first[:-1], found.count[rows])
+                moved = np.repeat(offsets[:-1] - self.offsets[:-1][rows], found.count[rows])
+                out._kept[name] = W.Words(out.data, offsets, found.hash[of], found.start[of] + moved, found.end[of] + moved, first)
+            else:
+                out._kept[name] = tuple(x[rows] for x in found) if isinstance(found, tuple) else found[rows]
+        return out
 
     def of(self, name: str, compute: Callable[[], np.ndarray]) -> np.ndarray:
         if name not in self._kept:
@@ -143,12 +152,14 @@ def order_rules(sample: list[str], given: list[Rule]) -> list[Rule]:
     """Rules by rejection per cost, both estimated on the sample; ties keep the given order."""
     if not sample:
         return given
-    column = pa.array(sample, pa.string())
+    texts = [Texts(data, offsets) for _, _, data, offsets in W.slices(pa.array(sample, pa.string()))]
+    for t in texts:
+        t.n_words()  # the words, which most rules share, are no rule's own cost
     found = []
     for rule in given:
         rejected, began = 0, time.thread_time()
-        for _, _, data, offsets in W.slices(column):
-            rejected += int(rule.failed(Texts(data, offsets)).sum())
+        for t in texts:
+            rejected += int(rule.failed(t).sum())
         found.append((rejected / len(sample)) / max(time.thread_time() - began, 1e-6))
     return [given[i] for i in sorted(range(len(given)), key=lambda i: (-found[i], i))]
 
@@ -201,7 +212,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     base_failed: fewer than min_words words, or more than max_repeat_percent percent of the words lie in 8-word windows
     found twice or more. kept: not base_failed, and no rule of the cascade rejects the text. The counts are integers
-    over the whole text; see quality_rules for nulls, empty texts, repeated rows and empty tables.
+    over the whole text and cost more than the cascade, which stops early only at rules on other statistics; see
+    quality_rules for nulls, empty texts, repeated rows and empty tables.
     """
     given = rules(min_words=min_words) if given is None else given
     ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_chars), given)
@@ -211,8 +223,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for a, b, data, offsets in W.slices(batch.column(1)):
                 t = Texts(data, offsets)
+                n, repeated = t.n_words(), t.n_repeat_words()  # wanted of every text, so the cascade finds them done
+                t.n_symbols(), t.lines()
                 verdict = cascade(t, ordered)
-                n, repeated = t.n_words(), t.n_repeat_words()
                 failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
                 names = [ordered[k].name if k < len(ordered) else None for k in verdict]
                 yield pa.RecordBatch.from_arrays(

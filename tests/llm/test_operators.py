@@ -159,6 +159,20 @@ def test_quality_rules(docs, empty, texts):
     data = [x for _, _, *x in words.slices(__import__("pyarrow").array([t or "" for t in texts]))]
     kept = [quality_rules.cascade(quality_rules.Texts(*data[0]), list(o)) == len(rules) for o in (rules, rules[::-1])]
     assert (kept[0] == kept[1]).all()
+
+    def keeps(t):  # the same rules, plainly
+        w = split(t)
+        lines = [x for x in t.split("\n") if split(x)]
+        at = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        repeated = len({i + k for i in range(len(w) - 7) if at[tuple(w[i : i + 8])] > 1 for k in range(8)})
+        upper = sum(len(re.findall("[A-Z]", x)) >= 2 and not re.search("[a-z\x80-\U0010ffff]", x) for x in w)
+        mean = sum(map(len, w)) / max(len(w), 1)
+        return not (len(w) < 20 or repeated > 0.3 * len(w) or len(re.findall(r"[#*$%&|<>]", t)) > 0.1 * len(w) or len(lines) - len(set(lines)) > 0.3 * len(lines) or upper > 0.4 * len(w) or not 2 <= mean <= 20)
+
+    more = [*(t or "" for t in texts), "AB CD 12 EF GH " * 8, " ".join(f"WORD{i} xx{i}" for i in range(30)), "\n".join(["one line of text", "another line here"] * 2 + [f"line {i} and {i * 7} more" for i in range(5)]), " ".join("abc"[i % 3] for i in range(40)), " ".join(f"w{i} #" if i % 5 == 0 else f"w{i}" for i in range(60))]
+    frame = docs.sparkSession.createDataFrame(list(enumerate(more)), "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality_rules.statistics(frame).collect()} == {i: keeps(t) for i, t in enumerate(more)}
+    assert {r.doc_id: r.kept for r in quality_rules.quality_rules(frame).collect()} == {i: keeps(t) for i, t in enumerate(more)}
     assert quality_rules.quality_rules(empty).count() == 0
 
 
