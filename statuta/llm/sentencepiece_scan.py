@@ -6,6 +6,10 @@ characters are segmented in one go. A longer text is split into chunks; each giv
 best score of a path that enters i characters into the chunk and leaves by a piece that reaches j characters past it.
 Max-plus products of matrices are associative, so they are combined by segments of chunks, and each chunk is then
 backtraced on its own between its known entry and exit.
+
+Of segmentations of equal score one is chosen by the same rule however a text is cut: seen from the end, each piece
+starts as early as it can. Beside its scores a matrix therefore ranks, for each exit, its entries by that order, and
+products settle ties by the ranks and rank anew.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm import store
@@ -126,6 +130,25 @@ def viterbi(v: Vocabulary, s: str, n: int, entry: dict[int, int]) -> tuple[list[
     return best, back
 
 
+def steps(back: list[int], start: int, stop: int) -> list[int]:
+    """Starts of the pieces between two positions on the best path, last piece first, then -1 for the arrival at start."""
+    out: list[int] = []
+    while stop > start:
+        stop = back[stop] >> 20
+        out.append(stop)
+    out.append(-1)
+    return out
+
+
+def ranked(keys: list[list[int] | None]) -> list[int]:
+    """The place of each key in ascending order; of None, behind all."""
+    order = sorted((i for i, x in enumerate(keys) if x is not None), key=lambda i: keys[i])
+    out = [len(keys)] * len(keys)
+    for r, i in enumerate(order):
+        out[i] = r
+    return out
+
+
 def path(v: Vocabulary, s: str, back: list[int], start: int, stop: int) -> tuple[int, ...]:
     """Ids of the pieces between two positions on the best path."""
     out: list[int] = []
@@ -188,32 +211,53 @@ def cuts(s: str, n: int) -> list[int]:
 
 
 def transfer(seg: Segmenter, s: str, n: int) -> np.ndarray:
-    """The matrix of a chunk of n characters; s goes on for up to longest - 1 characters past it."""
+    """The scores and ranks, as (2, k, k), of a chunk of n characters; s goes on for up to longest - 1 characters past it."""
     v, k = seg.v, seg.v.longest
-    m = np.full((k, k), NEVER, np.int64)
+    m = np.full((2, k, k), NEVER, np.int64)
     at = cuts(s, n)
 
     def leave(best: list[int], upto: int) -> list[int]:
         return [best[upto + j] if upto + j < len(best) else NEVER for j in range(k)]
 
     if not at:
+        keys: list[list[list[int] | None]] = [[None] * k for _ in range(k)]  # by exit, then entry
         for i in range(min(k, n + 1)):
-            m[i] = leave(viterbi(v, s, n, {i: 0})[0], n)
+            best, back = viterbi(v, s, n, {i: 0})
+            m[0, i] = leave(best, n)
+            for j in range(k):
+                if m[0, i, j] != NEVER:
+                    keys[j][i] = steps(back, i, n + j)
+        m[1] = np.array([ranked(x) for x in keys], np.int64).T
         return m
     first, last = at[0], at[-1]
-    head = [viterbi(v, s[:first], first, {i: 0})[0][first] if i <= first else NEVER for i in range(k)]
+    heads = [viterbi(v, s[:first], first, {i: 0}) if i <= first else None for i in range(k)]
+    head = [NEVER if x is None else x[0][first] for x in heads]
     middle = sum(map(seg.scores.__getitem__, v.fragment.findall(s[first:last])))
     tail = leave(viterbi(v, s[last:], n - last, {0: 0})[0], n - last)
     for i in range(k):
         for j in range(k):
             if head[i] != NEVER and tail[j] != NEVER:
-                m[i, j] = head[i] + middle + tail[j]
+                m[0, i, j] = head[i] + middle + tail[j]
+    # every path passes the first cut, so entries rank alike for all exits
+    m[1] = np.array(ranked([None if x is None or x[0][first] == NEVER else steps(x[1], i, first) for i, x in enumerate(heads)]), np.int64)[:, None]
     return m
 
 
+def choose(scores: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Along the axis before the last, the place of the largest score, of equal ones that of the smallest rank."""
+    tied = scores == scores.max(axis=-2, keepdims=True)
+    return np.argmin(np.where(tied, ranks, np.iinfo(np.int64).max), axis=-2)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
+    """Max-plus product of two matrices with ranks."""
+    through = a[0][:, :, None] + b[0][None, :, :]
+    m = choose(through, b[1][None, :, :])
+    score = np.maximum(np.take_along_axis(through, m[:, None, :], axis=1)[:, 0, :], NEVER)
+    # paths differ in b first, then in a
+    key = np.take_along_axis(b[1], m, axis=0) * (len(m) + 1) + np.take_along_axis(a[1], m, axis=1)
+    key = np.where(score == NEVER, np.iinfo(np.int64).max, key)
+    return np.stack((score, np.argsort(np.argsort(key, axis=0, kind="stable"), axis=0)))
 
 
 def backtrace(seg: Segmenter, s: str, n: int, entry: int, leave: int) -> tuple[int, ...]:
@@ -232,23 +276,33 @@ def backtrace(seg: Segmenter, s: str, n: int, entry: int, leave: int) -> tuple[i
     return (*head, *middle, *path(v, part, back, 0, len(part)))
 
 
-def chunked(rows: DataFrame, chunk: int, longest: int) -> DataFrame:
-    """(row, k, last, n, s) of rows (row, text): chunks of about `chunk` characters with what follows each."""
-    text = F.concat(F.lit(" "), F.col("text"))
+def boundaries(t: str, chunk: int) -> list[int]:
+    """Where chunks of about `chunk` characters begin, and the end: before a blank where one is near, else as they fall."""
     snap = min(SNAP, chunk // 2)
-    marks = rows.select("row", text.alias("t")).withColumn("size", F.length("t"))
-    marks = marks.withColumn("nominal", F.sequence(F.lit(1).cast("long"), F.floor((F.col("size") - 1) / chunk)))
-    marks = marks.withColumn("nominal", F.when(F.col("size") > chunk, F.col("nominal")).otherwise(F.array().cast("array<bigint>")))
+    out = [0]
+    for at in range(chunk, len(t), chunk):
+        window = t[at - snap : at]
+        i = window.rfind(" ")
+        while i > 0 and window[i - 1] == " ":
+            i = window.rfind(" ", 0, i)
+        out.append(at - snap + i if i > 0 else at)
+    return [*out, len(t)]
+
 
-    def boundary(k: Column) -> Column:
-        at = (k * chunk).cast("int")
-        window = F.substring(F.col("t"), at - snap + 1, F.lit(snap))
-        before = F.length(F.regexp_extract(window, r"(?s)^(.*[^ ]) ", 1))
-        return F.when(before > 0, at - snap + before).otherwise(at)
+def chunked(rows: DataFrame, chunk: int, longest: int) -> DataFrame:
+    """(row, k, n, s) of rows (row, text): chunks of about `chunk` characters with what follows each, cut in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, t = batch.column(0)[i].as_py(), " " + batch.column(1)[i].as_py()
+                ends = boundaries(t, chunk)
+                for g in range(0, len(ends) - 1, 64):
+                    some = list(itertools.pairwise(ends[g : g + 65]))
+                    columns = [pa.array([row] * len(some), pa.int64()), pa.array(range(g, g + len(some)), pa.int32()), pa.array([b - a for a, b in some], pa.int32()), pa.array([t[a : b + longest - 1] for a, b in some], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "k", "n", "s"])
 
-    marks = marks.withColumn("ends", F.concat(F.transform("nominal", boundary), F.array(F.col("size").cast("int"))))
-    each = marks.select("row", "t", F.size("ends").alias("count"), F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("a"), F.col("ends").alias("b"))).alias("k", "x"))
-    return each.select("row", "k", (F.col("k") + 1 == F.col("count")).alias("last"), (F.col("x.b") - F.col("x.a")).alias("n"), F.substring(F.col("t"), F.col("x.a") + 1, F.col("x.b") - F.col("x.a") + longest - 1).alias("s"))
+    return rows.select("row", "text").mapInArrow(run, "row long, k int, n int, s string")
 
 
 def scan(spark, chunks: DataFrame, shared, longest: int) -> DataFrame:
@@ -260,7 +314,7 @@ def scan(spark, chunks: DataFrame, shared, longest: int) -> DataFrame:
             yield pd.DataFrame({"row": part["row"], "k": part["k"], "m": [transfer(seg, s, n).tobytes() for s, n in zip(part["s"], part["n"], strict=True)]})
 
     def read(m: bytes) -> np.ndarray:
-        return np.frombuffer(m, np.int64).reshape(longest, longest)
+        return np.frombuffer(m, np.int64).reshape(2, longest, longest)
 
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("k")
@@ -273,10 +327,10 @@ def scan(spark, chunks: DataFrame, shared, longest: int) -> DataFrame:
         """Per matrix the scores at its entry, and its entry and exit on the best path that ends in `leave`."""
         before = [start]
         for m in ms:
-            before.append(np.maximum((before[-1][:, None] + m).max(axis=0), NEVER))
+            before.append(np.maximum((before[-1][:, None] + m[0]).max(axis=0), NEVER))
         out = []
         for k in range(len(ms) - 1, -1, -1):
-            entry = int(np.argmax(before[k] + ms[k][:, leave]))
+            entry = int(choose((before[k] + ms[k][0, :, leave])[:, None], ms[k][1, :, leave][:, None])[0])
             out.append((before[k], entry, leave))
             leave = entry
         return out[::-1]
@@ -304,8 +358,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     Null texts give null ids, 0 tokens and a null round_trip; empty texts an empty array. Rows are encoded one by one,
     repeated rows and null ids too; extra columns are ignored and an empty table gives an empty result. Of
-    segmentations of equal score the choice is fixed: the earliest start of each last piece, and inside a run without
-    blanks longer than a chunk, the smallest entry. The vocabulary (tens of thousands of pieces) is broadcast.
+    segmentations of equal score each piece, seen from the end, starts as early as it can; giant and chunk decide how a text
+    is worked on and never what comes out. The vocabulary (tens of thousands of pieces) is broadcast.
     """
     spark = docs.sparkSession
     v = load(model_file)

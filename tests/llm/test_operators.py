@@ -479,8 +479,20 @@ def test_sentencepiece(docs, empty, texts, spark):
     back = {r.doc_id: r.text for r in sentencepiece_scan.decode_ids(got, MODEL_FILE).collect()}
     assert all(back[i] == t for i, t in enumerate(texts))
     assert sentencepiece_scan.encode(empty, MODEL_FILE).count() == 0
-    odd = spark.createDataFrame([(1, "x" * 300 + "  y▁▂日本\x00 "), (2, " lead"), (3, "日本" * 100)], "doc_id long, text string")
-    assert all(r.round_trip for r in sentencepiece_scan.encode(odd, MODEL_FILE, giant=50, chunk=32).collect())
+    rng = np.random.default_rng(9)
+    odd = ["x" * 300 + "  y▁▂日本\x00 ", " lead", "日本" * 100, "ab" * 200, "-" * 333, "aaaaaaaaab" * 40, *("".join(rng.choice(list("ab-x."), 400)) for _ in range(12)), *("".join(rng.choice(list("tthe nin "), 400)) for _ in range(6))]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for giant, chunk in ((10_000, 5000), (50, 40), (50, 64)):
+        for r in sentencepiece_scan.encode(frame, MODEL_FILE, giant=giant, chunk=chunk).collect():
+            assert r.round_trip and r.ids == best(" " + odd[r.doc_id]), odd[r.doc_id]
+
+
+def test_chunk_boundaries():
+    t = " ab  cd" * 30 + "x" * 100 + " e"
+    for chunk in (16, 40, 500):
+        ends = sentencepiece_scan.boundaries(t, chunk)
+        assert ends[0] == 0 and ends[-1] == len(t) and all(0 < b - a <= chunk + chunk // 2 for a, b in itertools.pairwise(ends))
+        assert all(t[i] == " " != t[i - 1] or " " not in t[i - chunk // 2 + 1 : i].lstrip(" ") for i in ends[1:-1])
 
 
 def test_transfer_matrices_combine():
@@ -492,4 +504,4 @@ def test_transfer_matrices_combine():
     for a in range(0, len(s), 20):
         m = sentencepiece_scan.transfer(seg, s[a : a + 20 + v.longest - 1], min(20, len(s) - a))
         total = m if total is None else sentencepiece_scan.product(total, m)
-    assert total[0, 0] == whole
+    assert total[0, 0, 0] == whole
