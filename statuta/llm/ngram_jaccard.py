@@ -221,6 +221,16 @@ def in_tiles(members: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.min("home").alias("home"))
 
 
+def within(rows: DataFrame, keys: list[str], where: str, **found: Column) -> DataFrame:
+    """rows with aggregates of their groups, of the groups that `where` keeps.
+
+    Aggregates are partial before they are shuffled, and written, so that the join back on the keys is a plain one
+    of two shuffles, in which Spark splits a key of very many rows. No task gathers a group.
+    """
+    groups = store.table(rows.groupBy(*keys).agg(*[x.alias(name) for name, x in found.items()]).where(where))
+    return rows.join(groups, keys)
+
+
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles (distinct n-grams, lower-cased A-Z) and component_id.
 
@@ -231,18 +241,19 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = store.table(features(rows, n, percent, "class"))
-    prefixes = features(rows.where("id is not null"), n, percent, "prefix").where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
+    prefixes = store.table(features(rows.where("id is not null"), n, percent, "prefix").where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix")).select("id", "n", "prefix"))
 
     # postings; a hash that one class alone has in its prefix is of no use, nor is a class that shares too few of its own
     post = prefixes.select("id", "n", F.posexplode("prefix").alias("pos", "tile")).select("tile", "id", "n", (F.col("pos") < LEADERS).alias("near"))
-    tile = Window.partitionBy("tile")
     need = least_shared(F.col("n"), percent)
-    some = store.table(post.withColumn("last", F.max("id").over(tile)).withColumn("lead", F.min("id").over(tile)).where("lead < last").drop("last", "lead"))
+    some = store.table(within(post, ["tile"], "lead < last", lead=F.min("id"), last=F.max("id")))
     enough = some.groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= need)
-    met = store.table(some.join(enough, ["id", "n"], "left_semi").withColumn("lead", F.min("id").over(tile)))
+    met = store.table(some.drop("lead", "last").join(enough.select("id", "n"), ["id", "n"], "left_semi"))
+    store.drop(prefixes, some)
 
     # first round: each tile's smallest member against the others
-    stars = met.where("near and lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = within(met.where("near"), ["tile"], "lead < last", lead=F.min("id"), last=F.max("id")).where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = store.table(stars)
     parts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
     stars = stars.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("home"))
     first = store.table(verified(store.table(stars), rows, n, percent))
@@ -250,28 +261,30 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # second round: who meets another component there, in tiles of the rarest n-grams among these, for the pairs still apart
     own_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent) - 1e-9) + 1
-    known = met.select("tile", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", "n", F.coalesce("component", "id").alias("comp"))
-    mixed = known.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).where("lo < hi").groupBy("id", "n", "comp").agg(F.count(F.lit(1)).alias("m"))
+    known = store.table(met.select("tile", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("tile", "id", "n", F.coalesce("component", "id").alias("comp")))
+    mixed = within(known, ["tile"], "lo < hi", lo=F.min("comp"), hi=F.max("comp")).groupBy("id", "n", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = store.table(mixed.where(F.col("m") >= need).select("id", "comp"))
+    store.drop(met, known)
     texts = store.table(rows_of(rows, mixed.select("id")))
     signed = store.table(features(texts, n, percent, "bits").where("n > 0").select("id", "n", "bits").dropDuplicates(["id", "n", "bits"]))
-    grams = features(texts, n, percent, "set").select("id", "n", F.explode("set").alias("tile"))
-    shared = grams.withColumn("df", F.count(F.lit(1)).over(tile)).where("df > 1")
+    grams = store.table(features(texts, n, percent, "set").select("id", "n", F.explode("set").alias("tile")))
+    shared = within(grams, ["tile"], "df > 1", df=F.count(F.lit(1)))
     rare = Window.partitionBy("id", "n").orderBy("df", "tile")
     ranked = shared.withColumn("rank", F.dense_rank().over(rare)).withColumn("rank", F.col("rank") + F.col("n") - F.max("rank").over(Window.partitionBy("id", "n")))
     least = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9) + 1
     posted = ranked.where(F.col("rank") <= least).select("tile", "id", (F.col("rank") <= own_prefix).alias("first")).distinct()
-    posted = posted.join(mixed, "id")
-    apart = store.table(posted.withColumn("lo", F.min("comp").over(tile)).withColumn("hi", F.max("comp").over(tile)).withColumn("some", F.max("first").over(tile)).where("lo < hi and some").select("tile", "id", "first", "comp"))
+    posted = store.table(posted.join(mixed, "id"))
+    store.drop(grams)
+    apart = within(posted, ["tile"], "lo < hi and some", lo=F.min("comp"), hi=F.max("comp"), some=F.max("first")).select("tile", "id", "first", "comp")
     step = float(np.log(100 / percent))
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9).cast("int")
-    banded = apart.join(signed.select("id", "n"), "id").withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", own + F.col("guest"))
-    group = Window.partitionBy("tile", "band")
-    banded = banded.withColumn("m", F.count(F.lit(1)).over(group)).withColumn("g", F.min("guest").over(group)).withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).withColumn("some", F.max("first").over(group)).where("g = 0 and lo < hi and some")
+    banded = store.table(apart.join(signed.select("id", "n"), "id").withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", own + F.col("guest")))
+    banded = within(banded, ["tile", "band"], "g = 0 and lo < hi and some", m=F.count(F.lit(1)), g=F.min("guest"), lo=F.min("comp"), hi=F.max("comp"), some=F.max("first"))
     banded = banded.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "comp", "guest", F.col("first").cast("int").alias("first"))
     second = verified(store.table(in_tiles(dealt.join(signed.select("id", "bits"), "id"), percent)), rows, n, percent)
-    final = components(first.union(second)).withColumnRenamed("node", "rep")
+    final = store.table(components(first.union(second)).withColumnRenamed("node", "rep"))
+    store.drop(texts, signed, posted)
 
     classes = made.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     named = classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
