@@ -444,11 +444,44 @@ def test_html(spark):
     assert html_layout.layout(page) == "Head & line\n\none twothree\n\nsecond\n\n- a\n- b\n  - c\n\n3. x\n\nname  n\nabc   200\n\n  a\n   b\n\ntail"
     assert html_layout.layout("<div>" * 5000 + "deep").strip() == "deep"
     assert html_layout.layout("") == "" and html_layout.layout("a < b") == "a < b"
+    deep = "<div>" * 3000 + "a<p>b</p><span hidden>no</span>" + "<ul><li>x" * 500 + "<table><tr><td>c<td>d</table>"
+    assert html_layout.layout(deep).split() == ["a", "b", *["-", "x"] * 500, "c", "d"]
+    spans = "<table><tr><th rowspan=2>A<th colspan=2>wide head<tr><td>1<td>2<tr><td>b<td>33<td>4</table>"
+    assert html_layout.layout(spans) == "A  wide head\n   1   2\nb  33  4"
+    assert html_layout.layout("<table><tr><td colspan=999999999>x<td>y<tr><td>zz</table>") == "x   y\nzz"
+    forms = "<select><option>a<option selected>b</select><select multiple><option>c<option>d</select><input value=no><input type=submit value=Go><svg><title>no</title><text>s</text></svg><math><mi>x</mi><annotation>no</annotation></math>"
+    assert html_layout.layout(forms) == "b c d Go s x"
+    styled = "<style>.a, p#b {display:none} @media print {.c {display:none}} .d{display:none} .d{display:block}</style><i class='z a'>no</i><p id=b>no</p><i id=b>i</i><i class=c>c</i><i class=d>d</i><i class=a style='display:inline'>e</i>"
+    assert html_layout.layout(styled) == "icde"
     ship(spark)
     got = html_layout.extract(spark.createDataFrame([(1, page, "u"), (2, None, "u"), (3, "", "u"), (3, "", "u")], "page_id long, html string, url string")).collect()
     assert [(r.page_id, r.text is None, r.n_lines) for r in sorted(got, key=lambda r: r.page_id)] == [(1, False, 19), (2, True, 0), (3, False, 0), (3, False, 0)]
 
 
+def test_html_against_text_order(empty):
+    """Whatever the layout, the words of random pages come out whole and in order; the plain reader knows only hidden parts."""
+    rng = np.random.default_rng(10)
+    for _ in range(150):
+        words, page, open_ = [], [], []
+        for k in range(60):
+            tag = rng.choice(["div", "p", "b", "ul", "li", "span", "h2", "blockquote", "td", "tr", "table", "section"])
+            if rng.random() < 0.45 and (tag not in ("td", "tr", "li") or open_ and open_[-1] == {"td": "tr", "tr": "table", "li": "ul"}[tag]) and (not open_ or open_[-1] not in ("table", "tr", "ul") or tag in ("td", "tr", "li")) and not (tag in ("p", "div", "ul", "h2", "table", "blockquote", "section") and {"p", "h2", "b", "span"} & set(open_)):
+                page.append(f"<{tag}>")
+                open_.append(tag)
+            elif open_ and rng.random() < 0.4:
+                page.append(f"</{open_.pop()}>")
+            elif not open_ or open_[-1] not in ("table", "tr", "ul"):
+                if rng.random() < 0.2:
+                    page.append(f"<i hidden>no{k}</i><!-- no{k} --><script>no{k}</script>")
+                page.append(f" w{k} &amp; ")
+                words += [f"w{k}", "&"]
+        got = [x for x in html_layout.layout("".join(page)).split() if x != "-"]
+        assert sorted(got) == sorted(words), page
+        if "td" not in "".join(page):
+            assert got == words, page
+    assert html_layout.extract(empty.withColumn("page_id", empty.doc_id).withColumn("html", empty.text)).count() == 0
+
+
 def test_sentencepiece(docs, empty, texts, spark):
     v = sentencepiece_scan.load(MODEL_FILE)
 
