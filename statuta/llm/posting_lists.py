@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Vectors get one more component that makes all equally long, so that the largest inner product is the smallest
-distance. Centroids are fitted on a bounded sample; each vector goes to the list of its nearest centroid and, near a
-boundary, to some more. Lists that grow long are dealt as blocks, so a hot list is spread. A query walks an
-in-memory graph of centroids and searches the lists whose distance is within a ratio of the nearest's.
+distance. Equal vectors are one class from the start, of which the k + 1 smallest ids are all that can matter. The number
+of lists grows with the rows, as their root; centroids are fitted in two levels, coarse ones on a bounded sample and the
+rest group by group in tasks on a sample in proportion to the lists. Each class goes to the list of its nearest centroid and, near
+a boundary, to some more. Lists are dealt as blocks of candidates and of queries, so a hot list is spread and a task holds
+one block of each. A query walks an in-memory graph of centroids and searches the lists whose distance is within a ratio of the
+nearest's.
 """
 
 from __future__ import annotations
@@ -19,13 +22,17 @@ from pyspark.sql.window import Window
 
 from statuta.llm import store
 
+#: Rows of a coarse group that its centroids are fitted on, at most.
+GROUP_ROWS = 65_536
+
 
 @dataclass
 class Index:
-    """Centroids (at most max_lists), their graph, and the length that vectors are filled up to."""
+    """Centroids, neighbours of each, coarse centroids with a list near each to enter by, and the length of lifted vectors."""
 
     centroids: np.ndarray
     graph: np.ndarray
+    coarse: np.ndarray
     entry: np.ndarray
     length2: float
 
@@ -40,71 +47,128 @@ def lifted(x: np.ndarray, length2: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(length2 - (x * x).sum(axis=1), 0))[:, None]), axis=1)
 
 
+def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids, less the rows' own squared lengths."""
+    return (centroids * centroids).sum(axis=1)[None, :] - 2 * x @ centroids.T
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.argmin((centroids * centroids).sum(axis=1)[None, :] - 2 * x @ centroids.T, axis=1)
+    return np.concatenate([np.argmin(distances(x[k : k + 4096], centroids), axis=1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def fit(sample: np.ndarray, length2: float, lists: int, degree: int, rounds: int, seed: int) -> Index:
-    """Balanced centroids: k-means in which a list of more than twice the mean is split and an empty one moves there."""
-    rng = np.random.default_rng(seed)
-    x = lifted(sample, length2)
+def balanced(x: np.ndarray, lists: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means in which a list of more than twice the mean is split and an empty one moves there."""
     x = x[np.unique(x.round(6), axis=0, return_index=True)[1]]
     lists = max(1, min(lists, len(x)))
     c = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(rounds):
-        own = np.concatenate([nearest(x[k : k + 4096], c) for k in range(0, len(x), 4096)])
+        own = nearest(x, c)
         size = np.bincount(own, minlength=lists)
         sums = np.stack([np.bincount(own, x[:, d], lists) for d in range(x.shape[1])], axis=1)
         c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
         heavy = np.argsort(-size)
         for poor, rich in zip(np.flatnonzero(size == 0), heavy[size[heavy] > 2 * len(x) / lists], strict=False):
             c[poor] = x[rng.choice(np.flatnonzero(own == rich))]
-    d = (c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * c @ c.T
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1)[:, : min(degree, lists - 1)]
-    # a ring through all keeps the graph connected
-    ring = np.stack([(np.arange(lists) + 1) % lists, (np.arange(lists) - 1) % lists], axis=1)
-    return Index(c, np.concatenate((near, ring), axis=1), np.unique(np.linspace(0, lists - 1, min(lists, 16)).astype(int)), length2)
+    return c
+
+
+def share_of(rows: DataFrame, wanted: int, count: int) -> DataFrame:
+    """About `wanted` of the rows (h, v), those of small hashes of their vectors."""
+    return rows.where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 40)) <= int((1 << 40) * min(1.0, wanted / max(count, 1))))
+
+
+def fit(rows: DataFrame, count: int, length2: float, lists: int, list_sample: int, max_sample: int, degree: int, rounds: int, seed: int) -> Index:
+    """The index over rows (h, v), h being a hash of the vector.
+
+    Coarse centroids, the root of lists many, come from at most max_sample rows; each coarse group's own from its part of
+    lists * list_sample rows, at most GROUP_ROWS. Centroids and graph are some 16 * sqrt(rows) numbers for each dimension
+    at most, and are collected and broadcast.
+    """
+    spark = rows.sparkSession
+    few = share_of(rows, max_sample * 9 // 10, count).select("v", "h").orderBy("h").limit(max_sample)
+    coarse = balanced(lifted(np.array([r.v for r in few.collect()]), length2), int(np.ceil(lists**0.5)), rounds, np.random.default_rng(seed))
+    shared = spark.sparkContext.broadcast(coarse)
+
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            x = lifted(np.stack(part["v"].to_numpy()), length2)
+            yield pd.DataFrame({"g": nearest(x, shared.value), "h": part["h"], "x": list(x)})
+
+    grouped = store.table(share_of(rows, lists * list_sample, count).mapInPandas(group, "g int, h long, x array<double>"))
+    total = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n"))  # a row a coarse centroid
+    thin = grouped.join(F.broadcast(total), "g").where(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(1 << 30)) <= F.lit(float(1 << 30) * GROUP_ROWS * 9 / 10) / F.col("n"))
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("h")
+        x, g, n = np.stack(part["x"].to_numpy()), int(part["g"].iloc[0]), int(part["n"].iloc[0])
+        found = balanced(x, max(1, round(n / list_sample)), rounds, np.random.default_rng([seed, g]))
+        return pd.DataFrame({"g": g, "no": np.arange(len(found)), "c": list(found)})
+
+    got = thin.groupBy("g").applyInPandas(settle, "g int, no int, c array<double>").toPandas().sort_values(["g", "no"])
+    centroids = np.stack(got["c"].to_numpy()) if len(got) else coarse
+    store.drop(grouped)
+    entry = nearest(coarse, centroids)
+    around = spark.sparkContext.broadcast(centroids)
+    near = min(degree, len(centroids) - 1)
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = around.value
+        for part in batches:
+            for k in range(0, len(part), 512):
+                at = part["id"].to_numpy()[k : k + 512]
+                d = distances(c[at], c)
+                d[np.arange(len(at)), at] = np.inf
+                yield pd.DataFrame({"id": at, "near": list(np.argpartition(d, near - 1, axis=1)[:, :near] if near else np.zeros((len(at), 0), np.int64))})
+
+    found = spark.range(len(centroids)).mapInPandas(neighbours, "id long, near array<long>").toPandas().sort_values("id")
+    ring = (np.arange(len(centroids))[:, None] + np.array([1, -1])) % len(centroids)  # keeps the graph connected
+    return Index(centroids, np.concatenate((np.stack(found["near"].to_numpy()).astype(np.int64).reshape(len(centroids), near), ring), axis=1), coarse, entry, length2)
 
 
 def search_centroids(ix: Index, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroids that a best-first walk of the graph finds for each row: (ids, squared distances), ascending.
 
-    All rows walk at once: each step opens a row's nearest centroid not opened so far, until its `width` best are.
+    Each row holds its `width` best so far, beginning with the lists near its nearest coarse centroids, and opens the
+    nearest not opened yet, until all are. All rows step at once; a step costs the neighbours of one centroid a row, and
+    nothing is kept for centroids that fell behind.
     """
-    rows, lists = len(x), len(ix.centroids)
-    width = min(width, lists)
+    rows, width = len(x), min(width, len(ix.centroids))
     norm = (ix.centroids * ix.centroids).sum(axis=1)
-    seen = np.zeros((rows, lists), bool)
-    opened = np.zeros((rows, lists), bool)
-    dist = np.full((rows, lists), np.inf)
-
-    def visit(who: np.ndarray, where: np.ndarray) -> None:
-        for k in range(where.shape[1]):
-            at = where[:, k]
-            new = ~seen[who, at]
-            w, a = who[new], at[new]
-            dist[w, a] = norm[a] - 2 * np.einsum("ij,ij->i", x[w], ix.centroids[a])
-            seen[w, a] = True
-
-    visit(np.arange(rows), np.broadcast_to(ix.entry, (rows, len(ix.entry))))
-    active = np.arange(rows)
+    first = np.argsort(distances(x, ix.coarse), axis=1)[:, : min(4, len(ix.coarse))]
+    ids = np.full((rows, width), -1)
+    dist = np.full((rows, width), np.inf)
+    opened = np.zeros((rows, width), bool)
+
+    def merge(who: np.ndarray, new: np.ndarray) -> None:
+        d = norm[new] - 2 * np.einsum("ij,ikj->ik", x[who], ix.centroids[new])
+        new_sorted = np.sort(new, axis=1)
+        again = (new[:, :, None] == ids[who][:, None, :]).any(axis=2)
+        if (new_sorted[:, 1:] == new_sorted[:, :-1]).any():
+            for k in range(1, new.shape[1]):
+                again[:, k] |= (new[:, :k] == new[:, k : k + 1]).any(axis=1)
+        d[again] = np.inf
+        every_id, every_d = np.concatenate((ids[who], new), axis=1), np.concatenate((dist[who], d), axis=1)
+        every_open = np.concatenate((opened[who], np.zeros(new.shape, bool)), axis=1)
+        best = np.argsort(every_d, axis=1, kind="stable")[:, :width]
+        ids[who], dist[who], opened[who] = (np.take_along_axis(y, best, axis=1) for y in (every_id, every_d, every_open))
+
+    everyone = np.arange(rows)
+    merge(everyone, ix.entry[first])
+    active = everyone
     while len(active):
         open_d = np.where(opened[active], np.inf, dist[active])
-        best = np.argmin(open_d, axis=1)
-        value = open_d[np.arange(len(active)), best]
-        worst = np.partition(dist[active], width - 1, axis=1)[:, width - 1]
-        go = np.isfinite(value) & (value <= worst)
-        active, best = active[go], best[go]
-        opened[active, best] = True
-        visit(active, ix.graph[best])
-    order = np.argsort(dist, axis=1, kind="stable")[:, :width]
-    found = np.take_along_axis(dist, order, axis=1) + (x * x).sum(axis=1)[:, None]
-    return order, np.maximum(found, 0)
+        at = np.argmin(open_d, axis=1)
+        go = np.isfinite(open_d[np.arange(len(active)), at])
+        active, at = active[go], at[go]
+        opened[active, at] = True
+        if len(active):
+            merge(active, ix.graph[ids[active, at]])
+    found = np.where(ids >= 0, dist + (x * x).sum(axis=1)[:, None], np.inf)
+    return np.maximum(ids, 0), np.maximum(found, 0)
 
 
 def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queries: bool = False, step: int = 512) -> DataFrame:
-    """(id, v, list): the lists of each row (id, v) whose distance is within ratio of its nearest's, at most `most`.
+    """(cid, v, list): the lists of each row (cid, v) whose distance is within ratio of its nearest's, at most `most`.
 
     A query's further component is 0, so its distance to a lifted vector falls as their inner product grows.
     """
@@ -120,27 +184,44 @@ def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queri
                 near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-9
                 near[:, most:] = False
                 r, k = np.nonzero(near)
-                yield pd.DataFrame({"id": some["id"].to_numpy()[r], "v": some["v"].to_numpy()[r], "list": ids[r, k]})
+                yield pd.DataFrame({"cid": some["cid"].to_numpy()[r], "v": some["v"].to_numpy()[r], "list": ids[r, k]})
 
-    return rows.mapInPandas(run, "id long, v array<double>, list int")
+    return rows.select("cid", "v").mapInPandas(run, "cid long, v array<double>, list int")
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products summed component by component, so equal vectors get equal scores wherever they stand."""
-    out = np.zeros((len(q), len(x)))
+    """Inner products of rows with rows, summed component by component, so equal vectors get equal scores wherever they stand."""
+    out = np.zeros(len(q))
     for d in range(q.shape[1]):
-        out += q[:, d, None] * x[None, :, d]
+        out += q[:, d] * x[:, d]
     return out
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, max_lists: int = 1024, list_rows: int = 128, probe: int = 48, probe_ratio: float = 1.6, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, seed: int = 3) -> DataFrame:
+def best_of(q: np.ndarray, x: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of each query's k largest inner products, ties to the smaller cid."""
+    rough = q @ x.T
+    if len(x) > k:
+        # whatever may be among the k best, given that the rough product is off by rounding alone
+        bar = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+        slack = 1e-12 * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max()) * q.shape[1]
+        i, j = np.nonzero(rough >= (bar - slack)[:, None])
+    else:
+        i, j = (y.ravel() for y in np.indices(rough.shape))
+    score = inner(q[i], x[j])
+    order = np.lexsort((cids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], score[place < k]
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, probe: int = 48, probe_ratio: float = 1.6, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, query_block: int = 1024, seed: int = 3) -> DataFrame:
     """Per query (id divisible by every): its k nearest other rows found, as query_id, rank from 1, id and score.
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Vectors that are null, empty,
     zero or of another length than most, or that hold a null or non-finite component, take no part, nor do null ids. Of rows that repeat
-    an id, each distinct vector takes part. All rows are indexed; centroids come from at most max_sample rows, those of
-    the smallest hashes. A query whose lists hold fewer candidates than k
-    is searched in all lists. Extra columns are ignored; an empty table gives an empty result.
+    an id, each distinct vector takes part. All rows are indexed, in one list for list_rows rows or root_lists * sqrt(rows)
+    lists, whichever is less; see fit for its samples. A query for which fewer than k rows are found is searched in all
+    lists. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
@@ -148,50 +229,60 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     nothing = spark.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", id_col)
     if dims is None:
         return nothing
-    rows = store.table(rows.where(F.size("v") == dims["d"]).dropDuplicates(["id", "v"]))
-    about = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    sample = np.array([r.v for r in rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(max_sample).collect()])
-    index = fit(sample, float(about[1]) * (1 + 1e-9), max(1, min(max_lists, about[0] // list_rows)), 24, 8, seed)
+    rows = store.table(rows.where(F.size("v") == dims["d"]).withColumn("h", F.xxhash64("v")).dropDuplicates(["id", "h", "v"]))
+    # of equal vectors the k + 1 smallest ids; Spark keeps so many of each in every task before the shuffle
+    least = rows.withColumn("no", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("no") <= k + 1)
+    classes = store.table(least.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("cid", F.monotonically_increasing_id()).withColumn("least", F.col("ids")[0]))
+    about = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    lists = int(max(1, min(-(-about[0] // list_rows), np.ceil(root_lists * about[0] ** 0.5))))
+    index = fit(classes.select("h", "v"), about[0], float(about[1]) * (1 + 1e-9), lists, list_sample, max_sample, 24, 8, seed)
     lists = len(index.centroids)
-    shared = spark.sparkContext.broadcast(index)  # at most max_lists centroids
+    shared = spark.sparkContext.broadcast(index)  # grows as the root of the rows
 
-    posted = store.table(assigned(rows, shared, max(copies, 24), copy_ratio, copies))
-    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))  # a row a list
-    queries = store.table(rows.where(F.col("id") % every == 0))
-
-    def in_blocks(asked: DataFrame) -> DataFrame:
-        dealt = asked.join(F.broadcast(sizes), "list")
-        return dealt.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
-
-    listed = posted.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), "id", "v")
+    posted = store.table(assigned(classes, shared, max(copies, 24), copy_ratio, copies).join(classes.select("cid", "least"), "cid"))
+    queries = store.table(rows.where(F.col("id") % every == 0).join(classes.select("h", "v", "cid"), ["h", "v"]).select(F.col("id").alias("query_id"), "cid"))
+    asked = store.table(classes.select("cid", "v").join(queries.select("cid").distinct(), "cid", "left_semi"))
+    pair = "query long, cid long, least long, score double"
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        x, ids = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
-        out = []
-        for a in range(0, len(left), 256):
-            q, names = np.stack(left["v"].iloc[a : a + 256].to_numpy()), left["id"].iloc[a : a + 256].to_numpy()
-            s = inner(q, x)
-            for i, name in enumerate(names):
-                own = np.flatnonzero(ids != name)
-                if len(own) > k:
-                    bar = np.partition(s[i, own], len(own) - k)[len(own) - k]
-                    own = own[s[i, own] >= bar]
-                own = own[np.lexsort((ids[own], -s[i, own]))][:k]
-                out.append(pd.DataFrame({"query_id": name, "id": ids[own], "score": s[i, own]}))
-        return pd.concat(out)
+            return pd.DataFrame({"query": [], "cid": [], "least": [], "score": []})
+        names, ids = right["least"].to_numpy(), right["cid"].to_numpy()
+        i, j, score = best_of(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), names, k + 1)
+        return pd.DataFrame({"query": left["cid"].to_numpy()[i], "cid": ids[j], "least": names[j], "score": score})
+
+    def dealt(part: DataFrame, size: int, name: str) -> DataFrame:
+        """part with its block in its list, and the number of blocks of each list."""
+        counts = part.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(f"{name}s"))  # a row a list
+        return part.join(F.broadcast(counts), "list").withColumn(name, F.pmod(F.xxhash64("cid"), F.col(f"{name}s")).cast("int")), counts
+
+    held, held_counts = dealt(posted, block, "block")
 
     def answered(asked: DataFrame) -> DataFrame:
-        found = in_blocks(asked).groupBy("list", "block").cogroup(listed.groupBy("list", "block")).applyInPandas(answer, "query_id long, id long, score double")
-        return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-
-    best = store.table(answered(assigned(queries, shared, probe, probe_ratio, probe, queries=True)))
-    enough = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-    rest = store.table(queries.join(enough, "id", "left_anti"))
-    if rest.limit(1).count():
-        everywhere = rest.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
-        best = best.unionByName(answered(everywhere.select("id", "v", "list"))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+        asked = store.table(asked)
+        put, put_counts = dealt(asked, query_block, "part")
+        left = put.join(F.broadcast(held_counts), "list").select("list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "v")
+        right = held.join(F.broadcast(put_counts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "cid", "least", "v")
+        keys = ["list", "part", "block"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(answer, pair).groupBy("query", "cid", "least").agg(F.max("score").alias("score"))
+
+    def ranked(best: DataFrame) -> DataFrame:
+        """The k best ids of each query: of the k + 1 best classes their ids, less its own."""
+        top = best.withColumn("no", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least"))).where(F.col("no") <= k + 1).select("query", "cid", "score")
+        named = top.join(classes.select("cid", "ids"), "cid").select(F.col("query").alias("cid"), "score", F.explode("ids").alias("id"))
+        # ids of a class of queries, of which each then leaves out its own
+        first = named.withColumn("no", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("score"), "id"))).where(F.col("no") <= 2 * k + 1)
+        mine = queries.join(first.select("cid", "score", "id"), "cid").where("id <> query_id")
+        unique = mine.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return unique.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+    best = store.table(answered(assigned(asked, shared, probe, probe_ratio, probe, queries=True)))
+    found = store.table(ranked(best).select("query_id", "rank", F.col("id").alias(id_col), "score"))
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k)
+    rest = store.table(queries.join(enough, "query_id", "left_anti"))
+    if not rest.limit(1).count():
+        return found
+    everywhere = asked.join(rest.select("cid").distinct(), "cid", "left_semi").withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
+    more = answered(everywhere.select("cid", "v", "list"))
+    again = ranked(more).join(rest.select("query_id"), "query_id", "left_semi").select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return found.join(rest.select("query_id"), "query_id", "left_anti").unionByName(again)

@@ -146,6 +146,30 @@ def test_posting_lists(spark):
     assert posting_lists.search(v.where("vec_id = 700")).count() == 0
 
 
+def test_posting_lists_prune(spark, empty):
+    """Recall where a query probes less than a tenth of the lists, a third of the rows being one vector."""
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(60, 16))
+    x = centers[rng.integers(0, 60, 4000)] + 0.45 * rng.normal(size=(4000, 16))
+    x[rng.permutation(4000)[:1300]] = x[7]
+    ship(spark)
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for blocks in ({}, {"block": 16, "query_block": 8}):
+        by = {}
+        for r in posting_lists.search(v, list_rows=8, root_lists=4.5, list_sample=16, probe=16, **blocks).collect():
+            by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        hit = 0
+        for q in range(0, 4000, 20):
+            s = posting_lists.inner(np.broadcast_to(x[q], x.shape), x)
+            s[q] = -np.inf
+            want = np.lexsort((np.arange(4000), -s))[:20]
+            found = [i for _, i, _ in sorted(by[q])]
+            assert len(set(found)) == 20 and q not in found
+            hit += len(set(found) & set(want.tolist()))
+        assert hit / (20 * 200) >= 0.9
+    assert posting_lists.search(empty.selectExpr("doc_id as vec_id", "cast(null as array<double>) as embedding")).count() == 0
+
+
 def test_quality_rules(docs, empty, texts):
     for r in quality_rules.statistics(docs).collect():
         t = texts[r.doc_id] if r.doc_id is not None else "null id"
