@@ -15,6 +15,12 @@ MODALITIES = ["obligation", "prohibition", "permission", "definition"]
 RESPONSE = ["schema_version", "source_id", "source_text", "clauses"]
 CLAUSE = ["clause_id", "source_id", "source_text", "clause_text", "clause_span_start", "clause_span_end", *FIELDS, "confidence"]
 UNSUPPORTED = ["object", "original_text"]
+# What stands for a secret, and what tells one: parts of keys, parts of values, keys of addresses, parameters.
+REDACTED = "***REDACTED***"
+SECRET_KEYS = ["key", "secret", "token"]
+SECRET_VALUES = ["sk-", "bearer"]
+URL_KEYS = ["base_url", "url", "endpoint", "api_url"]
+SECRET_PARAMETERS = ["api_key", "apikey", "key", "token", "secret", "password", "access_token", "authorization", "auth"]
 
 
 def reasons(checks: dict[str, Column]) -> Column:
@@ -185,15 +191,23 @@ def repair_span(text: Column, span: Column, start: Column, stop: Column) -> Colu
     return F.struct(status.alias("status"), F.when(moved, first - 1).otherwise(start).cast("int").alias("start"), F.when(moved, first - 1 + F.length(span)).otherwise(stop).cast("int").alias("stop"))
 
 
-def redact_value(key: Column, value: Column) -> Column:
-    """[REDACTED] for values of keys that name a key, secret or token, and for values that hold sk- or bearer."""
-    return F.when(F.regexp_like(key, F.lit("(?i)key|secret|token")) | F.regexp_like(value, F.lit("(?i)sk-|bearer")), "[REDACTED]").otherwise(value)
+def redact_secret(value: Column, visible: int = 4) -> Column:
+    """The first characters of a value before the mark, the mark alone where little more would be left, None for null."""
+    return F.when(value.isNull(), "None").when(F.length(value) <= visible + 3, REDACTED).otherwise(F.concat(F.substring(value, 1, visible), F.lit("..." + REDACTED)))
 
 
-def redact_text(text: Column) -> Column:
-    """Quoted values assigned to names of secrets, made [REDACTED]."""
-    return F.regexp_replace(text, r'(?i)((?:api_?key|secret|token|password)\s*[:=]\s*")[^"]*"', '$1[REDACTED]"')
+def url_has_secret(url: Column) -> Column:
+    """Whether an address names a user before its host, or a parameter that holds a secret."""
+    named = F.regexp_like(F.lower(url), F.lit(f"[?&]({'|'.join(SECRET_PARAMETERS)})="))
+    return F.regexp_like(url, F.lit("://[^/]*@")) | named
 
 
-def url_has_secret(url: Column) -> Column:
-    return F.regexp_like(url, F.lit(r"(?i)[?&][^=&]*(key|secret|token)[^=&]*=|//[^/@]*:[^/@]*@"))
+def redact_record(record: Column) -> Column:
+    """A map of texts with the mark in place of values whose key or content tells a secret, and of addresses that hold one."""
+
+    def value(k: Column, v: Column) -> Column:
+        by_key = F.regexp_like(F.lower(k), F.lit("|".join(SECRET_KEYS)))
+        by_value = F.regexp_like(F.lower(v), F.lit("|".join(SECRET_VALUES)))
+        return F.when(by_key | by_value | (F.lower(k).isin(URL_KEYS) & url_has_secret(v)), REDACTED).otherwise(v)
+
+    return F.transform_values(record, value)

@@ -289,16 +289,41 @@ def gold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality").isNull()).alias("unreviewed"), F.count(F.lit(1)).between(1, 10**9).alias("enough"))
 
 
-@query("SELECT page_id, sha256(html) AS digest, octet_length(encode(html))::BIGINT AS bytes, true AS same FROM pages")
+_REGISTERED = "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN sha256(concat(html, ' ')) ELSE sha256(html) END AS digest, octet_length(encode(html))::BIGINT + CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END AS bytes FROM pages WHERE page_id % 13 <> 0"
+
+
+@query(f"WITH reg AS ({_REGISTERED}), now AS (SELECT page_id, sha256(html) AS digest, octet_length(encode(html))::BIGINT AS bytes FROM pages) SELECT now.page_id, now.digest, now.bytes, coalesce(now.digest = reg.digest AND now.bytes = reg.bytes, false) AS same FROM now LEFT JOIN reg ON reg.page_id = now.page_id")
 def snapshot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
-    return B.snapshot_check(p, p, "page_id")
+    """Pages against a register in which every seventh has another content, every eleventh another size, and every thirteenth is not listed."""
+    pages = _table(spark, sf_dir, "pages")
+    size = F.octet_length("html").cast("long")
+    known = pages.where("page_id % 13 <> 0").select("page_id", F.when(F.col("page_id") % 7 == 0, F.sha2(F.concat("html", F.lit(" ")), 256)).otherwise(F.sha2("html", 256)).alias("digest"), (size + F.when(F.col("page_id") % 11 == 0, 1).otherwise(0)).alias("bytes"))
+    return B.snapshot_check(pages.select("page_id", F.sha2("html", 256).alias("digest"), size.alias("bytes")), known, "page_id")
+
+
+# Key/value records of pages: the address with a query or an authority that tells a secret, a header, a key, a plain value.
+_KV = """SELECT page_id, url, concat(url, CASE page_id % 5 WHEN 0 THEN '?api_key=abc' WHEN 1 THEN '&q=1&Token=x' WHEN 2 THEN '?monkey=1' WHEN 3 THEN '#key=' ELSE '' END) AS base_url,
+CASE page_id % 4 WHEN 0 THEN concat('Bearer ', page_id) WHEN 1 THEN 'task-1' WHEN 2 THEN 'sk-12' ELSE NULL END AS header, CASE page_id % 3 WHEN 0 THEN replace(url, '://', '://me:pw@') ELSE url END AS endpoint, concat('v', page_id) AS sort_key FROM {pages}"""
+_KEYS = ["url", "base_url", "header", "endpoint", "sort_key"]
+
+
+def _kv_sql(k: str) -> str:
+    if any(w in k for w in B.SECRET_KEYS):
+        return f"'{B.REDACTED}' AS {k}"
+    url = f" OR regexp_matches({k}, '://[^/]*@') OR regexp_matches(lower({k}), '[?&]({'|'.join(B.SECRET_PARAMETERS)})=')" if k in B.URL_KEYS else ""
+    return f"CASE WHEN regexp_matches(lower({k}), '{'|'.join(B.SECRET_VALUES)}'){url} THEN '{B.REDACTED}' ELSE {k} END AS {k}"
 
 
-@query("""SELECT doc_id, md5(regexp_replace(text, '((?:api_?key|secret|token|password)\\s*[:=]\\s*")[^"]*"', '\\1[REDACTED]"', 'gi')) AS h, contains(regexp_replace(text, '((?:api_?key|secret|token|password)\\s*[:=]\\s*")[^"]*"', '\\1[REDACTED]"', 'gi'), '[REDACTED]') AS hit FROM documents""")
+@query(f"WITH kv AS ({_KV.replace('{pages}', 'pages')}) SELECT page_id, {', '.join(map(_kv_sql, _KEYS))} FROM kv")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = B.redact_text(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("h"), F.contains(t, F.lit("[REDACTED]")).alias("hit"))
+    rows = spark.sql(_KV.replace("{pages}", f"parquet.`{sf_dir}/pages.parquet`"))
+    record = F.map_from_arrays(F.array(*map(F.lit, _KEYS)), F.array(*map(F.col, _KEYS)))
+    return rows.select("page_id", B.redact_record(record).alias("r")).select("page_id", *[F.col("r")[k].alias(k) for k in _KEYS])
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NULL THEN 'None' WHEN length(text) <= 7 THEN '{B.REDACTED}' ELSE concat(substr(text, 1, 4), '...{B.REDACTED}') END AS shown FROM documents")
+def redact_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", B.redact_secret(F.col("text")).alias("shown"))
 
 
 # Routing.
@@ -383,9 +408,14 @@ def hybrid_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Ledger.
 CA = with_parts("calls")
-_TR, _TO, _SC = "connection|network|transport|http|time[d]?[ _-]?out|refused|unreachable", "time[d]?[ _-]?out", "unknown field|missing|schema|invalid|json"
-_ST = f"CASE WHEN attempted = 0 THEN 'config_blocked' WHEN NOT schema_valid AND coalesce(regexp_matches(lower(error), '{_TR}'), false) THEN 'api_error' WHEN NOT schema_valid THEN 'schema_invalid' ELSE 'schema_valid' END"
-_CAT = f"CASE WHEN attempted = 0 THEN 'config_blocked' WHEN schema_valid THEN 'none' WHEN coalesce(regexp_matches(lower(error), '{_TO}'), false) THEN 'timeout' WHEN coalesce(regexp_matches(lower(error), '{_TR}'), false) THEN 'transport_error' WHEN coalesce(regexp_matches(lower(error), '{_SC}'), false) THEN 'schema_invalid' ELSE 'unknown' END"
+
+
+def _says(words: list[str]) -> str:
+    return f"regexp_matches(lower(coalesce(error, '')), '{'|'.join(w.replace('.', '[.]') for w in words)}')"
+
+
+_ST = f"CASE WHEN attempted = 0 THEN 'config_blocked' WHEN NOT schema_valid AND {_says(H.TRANSPORT)} THEN 'api_error' WHEN NOT schema_valid THEN 'schema_invalid' ELSE 'schema_valid' END"
+_CAT = f"CASE {_ST} WHEN 'schema_valid' THEN 'none' WHEN 'config_blocked' THEN 'config_blocked' WHEN 'schema_invalid' THEN 'schema_invalid' ELSE CASE WHEN {_says(H.TIMEOUT)} THEN 'timeout' ELSE 'transport_error' END END"
 
 
 @query(f"{CA} SELECT call_id, {_ST} AS status FROM calls")
@@ -397,7 +427,8 @@ def call_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CA} SELECT call_id, {_CAT} AS category FROM calls")
 def call_error_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return corpus(spark, sf_dir, "calls").select("call_id", H.error_category(c("attempted"), c("schema_valid"), c("error")).alias("category"))
+    found = corpus(spark, sf_dir, "calls").withColumn("status", H.status(c("attempted"), c("schema_valid"), c("error")))
+    return found.select("call_id", H.error_category(c("status"), c("error")).alias("category"))
 
 
 @query(f"{CA} SELECT {_CAT} AS category, count(*) AS n FROM calls GROUP BY ALL")
@@ -405,7 +436,7 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_error_category(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{CA} SELECT call_id, CASE WHEN error IS NULL THEN 'ok' WHEN regexp_matches(lower(error), '{_SC}') THEN 'invalid_schema' ELSE 'network' END AS status FROM calls")
+@query(f"{CA} SELECT call_id, CASE WHEN error IS NULL THEN 'ok' WHEN {_says(H.UNREADABLE)} OR {_says([H.SCHEMA])} AND {_says(H.SCHEMA_FAULT)} THEN 'invalid_schema' ELSE 'network' END AS status FROM calls")
 def message_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir, "calls").select("call_id", H.message_status(F.col("error")).alias("status"))
 
