@@ -46,13 +46,14 @@ def without_marks(text: Column, strip_again: bool = True) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct words between blanks."""
-    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    return F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays of distinct tokens: 1 where both are empty, 0 where one is."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
 def trim_span(text: Column, start: Column) -> Column:

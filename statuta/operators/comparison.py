@@ -48,9 +48,9 @@ def label_shift(labelled: DataFrame, first: str, second: str) -> DataFrame:
 
 def label_transition(labelled: DataFrame, key: str, first: str, second: str) -> DataFrame:
     """Counts of (field, label in first, label in second) over samples that both runs have."""
-    a = labelled.where(F.col("run") == first).select(key, "field", F.col("label").alias("label_first"))
-    b = labelled.where(F.col("run") == second).select(key, "field", F.col("label").alias("label_second"))
-    return a.join(b, [key, "field"]).groupBy("field", "label_first", "label_second").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda run: F.max(F.when(F.col("run") == run, F.col("label")))
+    both = labelled.where(F.col("run").isin(first, second)).groupBy(key, "field").agg(of(first).alias("label_first"), of(second).alias("label_second"))
+    return both.where("label_first is not null and label_second is not null").groupBy("field", "label_first", "label_second").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mismatch_audit(labelled: DataFrame, key: str) -> DataFrame:

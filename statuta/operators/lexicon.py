@@ -42,14 +42,16 @@ def _place(low: Column, marker: Column, match: str) -> Column:
 def modality(text: Column, lexicon: dict[str, list[str]] | None = None, match: str = "substring") -> Column:
     """(prio, no, klass, marker, start, stop) of the first class by priority that hits, its longest marker first; else null."""
     lexicon = lexicon or LEXICON
-    known = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(j).alias("no"), F.lit(k).alias("klass"), F.lit(m).alias("marker")) for i, k in enumerate(CLASSES) for j, m in enumerate(longest_first(lexicon[k]))])
 
     def first_of(low: Column) -> Column:
-        placed = F.transform(known, lambda m: F.struct(m["prio"].alias("prio"), m["no"].alias("no"), m["klass"].alias("klass"), m["marker"].alias("marker"), _place(low, m["marker"], match).cast("int").alias("start")))
-        return F.array_min(F.filter(placed, lambda m: m["start"] >= 0))
+        # markers in order of preference: the first that is there ends the search
+        def hit(i: int, j: int, k: str, m: str) -> Column:
+            at = _place(low, F.lit(m), match).cast("int")
+            return F.when(F.contains(low, F.lit(m)) if match == "substring" else at >= 0, F.struct(F.lit(i).alias("prio"), F.lit(j).alias("no"), F.lit(k).alias("klass"), F.lit(m).alias("marker"), at.alias("start"), (at + len(m)).alias("stop")))
 
-    hit = F.array(let(F.lower(text), first_of))
-    return F.get(F.transform(hit, lambda m: F.when(m.isNotNull(), F.struct(*[m[c].alias(c) for c in ("prio", "no", "klass", "marker", "start")], (m["start"] + F.length(m["marker"])).alias("stop")))), F.lit(0))
+        return F.coalesce(*[hit(i, j, k, m) for i, k in enumerate(CLASSES) for j, m in enumerate(longest_first(lexicon[k]))])
+
+    return let(F.lower(text), first_of)
 
 
 def confidence(klass: Column, marker: Column) -> Column:
@@ -70,8 +72,11 @@ def hits(text: Column, markers: list[str]) -> Column:
         present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
 
         def all_of(m: Column) -> Column:
-            places = F.filter(F.sequence(F.lit(0), F.length(low) - F.length(m)), lambda p: F.substring(low, p + 1, F.length(m)) == m)
-            return F.transform(places, lambda p: F.struct(p.cast("int").alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).cast("int").alias("stop"), m.alias("marker")))
+            # pieces that begin where the marker does, but for the first, which may begin before any
+            sizes = F.transform(F.split(low, F.concat(F.lit(r"(?=\Q"), m, F.lit(r"\E)")), -1), lambda x: F.length(x))
+            places = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+            kept = F.when(F.startswith(low, m), places).otherwise(F.slice(places, F.lit(2), F.size(places)))
+            return F.transform(kept, lambda p: F.struct(p.alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).alias("stop"), m.alias("marker")))
 
         return F.array_sort(F.flatten(F.transform(present, all_of)))
 
@@ -80,9 +85,13 @@ def hits(text: Column, markers: list[str]) -> Column:
 
 def clause_end(text: Column, start: Column) -> Column:
     """The first `.!?` from start on; without one the first comma or later semicolon; else the text's end."""
-    rest = F.substring(text, start + 1, F.length(text))
-    stop, mark = F.length(F.regexp_extract(rest, r"^[^.!?]*", 0)), F.length(F.regexp_extract(rest, r"^;?[^,;]*", 0))
-    return F.when(stop < F.length(rest), start + stop).when(mark < F.length(rest), start + mark).otherwise(F.length(text))
+
+    def of(rest: Column) -> Column:
+        stop, mark = F.length(F.regexp_extract(rest, r"^[^.!?]*", 0)), F.length(F.regexp_extract(rest, r"^;?[^,;]*", 0))
+        first = let(stop, lambda n: F.when(n < F.length(rest), n))
+        return F.coalesce(first, let(mark, lambda n: F.when(n < F.length(rest), n)), F.length(rest))
+
+    return start + let(F.substring(text, start + 1, F.length(text)), of)
 
 
 def _span(text: Column, start: Column, stop: Column) -> Column:
@@ -90,7 +99,8 @@ def _span(text: Column, start: Column, stop: Column) -> Column:
 
 
 def _first_span(found: Column, text: Column, keep, stop) -> Column:
-    spans = F.transform(F.filter(found, keep), lambda h: F.struct(_span(text, h["stop"], stop(h)).alias("text"), h["stop"].alias("start"), stop(h).cast("int").alias("stop")))
+    ends = F.transform(F.filter(found, keep), lambda h: F.struct(h["stop"].alias("start"), stop(h).cast("int").alias("stop")))
+    spans = F.transform(ends, lambda h: F.struct(_span(text, h["start"], h["stop"]).alias("text"), h["start"].alias("start"), h["stop"].alias("stop")))
     return F.get(F.filter(spans, lambda s: s["text"] != ""), F.lit(0))
 
 
@@ -125,30 +135,41 @@ def actor(text: Column, hit: Column, start: Column, compat: bool = True) -> Colu
     compat: a determiner is looked for in lower case, so a capital one at the beginning gives an empty actor, as in the
     golden outputs; without it the determiner is taken as it stands.
     """
+
+    def phrase(left: Column) -> Column:
+        before = F.regexp_replace(F.substring(text, F.lit(1), left), r"\s+$", "")
+
+        def from_word(x: Column) -> Column:
+            word = F.lower(x["last"]) if compat else x["last"]
+            back = F.instr(F.reverse(x["before"]), F.reverse(word))
+            return let(back, lambda n: F.when(n > 0, F.length(x["before"]) - (n - 1) - F.length(word)).otherwise(F.lit(-1)))
+
+        parts = let(before, lambda b: F.struct(b.alias("before"), F.regexp_extract(b, r"(\S*)$", 1).alias("last")))
+        begin = let(parts, lambda x: F.when(F.lower(x["last"]).isin(DETERMINERS), from_word(x)).otherwise(left))
+        stop = hit["stop"] + F.length(F.regexp_extract(F.substring(text, hit["stop"] + 1, F.length(text)), r"^[^ ,;.!?]*", 0))
+        return let(begin, lambda n: F.when(n < 0, "").otherwise(F.substring(text, n + 1, stop - n)))
+
+    def tail(ahead: Column) -> Column:
+        words = F.array_remove(F.split(F.trim(ahead), r"\s+"), "")
+
+        def last_of(w: Column) -> Column:
+            ends = F.transform(w, lambda x: F.lower(x).isin(AUXILIARIES) & ~F.regexp_like(x, F.lit(r"^\p{Lu}")))
+            at = let(F.array_position(ends, F.lit(True)).cast("int"), lambda n: F.when(n > 0, n - 1).otherwise(F.size(w)))
+            return F.array_join(F.reverse(F.slice(w, F.lit(1), at)), " ")
+
+        few = let(words, lambda w: F.reverse(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))))
+        return let(let(few, last_of), lambda t: F.when((t != "") & F.contains(ahead, t), t))
+
     left = hit["start"] - F.length(F.regexp_extract(F.substring(text, F.lit(1), hit["start"]), r"[^ ]*$", 0))
-    before = F.regexp_replace(F.substring(text, F.lit(1), left), r"\s+$", "")
-    last = F.regexp_extract(before, r"(\S*)$", 1)
-    word = F.lower(last) if compat else last
-    back = F.instr(F.reverse(before), F.reverse(word))
-    from_word = F.when(back > 0, F.length(before) - (back - 1) - F.length(word)).otherwise(F.lit(-1))
-    begin = F.when(F.lower(last).isin(DETERMINERS), from_word).otherwise(left)
-    stop = hit["stop"] + F.length(F.regexp_extract(F.substring(text, hit["stop"] + 1, F.length(text)), r"^[^ ,;.!?]*", 0))
-    phrase = F.when(begin < 0, "").otherwise(F.substring(text, begin + 1, stop - begin))
-    words = F.filter(F.split(F.trim(F.substring(text, F.lit(1), start)), r"\s+"), lambda w: w != "")
-    w = F.reverse(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3)))
-    ends = F.transform(w, lambda x: F.lower(x).isin(AUXILIARIES) & ~F.regexp_like(x, F.lit(r"^\p{Lu}")))
-    upto = F.coalesce(F.nullif(F.array_position(ends, F.lit(True)), F.lit(0).cast("long")) - 1, F.size(w).cast("long")).cast("int")
-    tail = F.array_join(F.reverse(F.slice(w, F.lit(1), upto)), " ")
-    fallback = F.when((tail != "") & F.contains(F.substring(text, F.lit(1), start), tail), tail)
-    return F.when(hit["start"] < start, phrase).otherwise(fallback)
+    return F.when(hit["start"] < start, let(left, phrase)).otherwise(let(F.substring(text, F.lit(1), start), tail))
 
 
 def action(text: Column, stop: Column, *spans: Column) -> Column:
-    """What follows the modality without the texts of the spans, outer marks and one leading connector."""
+    """What follows the modality without the texts of the spans, outer marks and one leading connector; empty where nothing is left."""
     rest = F.substring(text, stop + 1, F.length(text))
     for s in spans:
-        rest = F.when(s.isNull(), rest).otherwise(F.replace(rest, s, F.lit("")))
-    return F.nullif(F.trim(F.regexp_replace(F.btrim(rest, F.lit(" ,;.\t")), CONNECTORS, "")), F.lit(""))
+        rest = F.replace(rest, F.coalesce(s, F.lit("")), F.lit(""))
+    return F.trim(F.regexp_replace(F.btrim(rest, F.lit(" ,;.\t")), CONNECTORS, ""))
 
 
 def extract(sentences: DataFrame, text_col: str = "text", lexicon: dict[str, list[str]] | None = None) -> DataFrame:

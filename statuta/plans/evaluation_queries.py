@@ -102,9 +102,7 @@ def macro_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluate_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job: micro rates and macro rates of every run in one row each."""
-    found = E.evaluate_v2(corpus(spark, sf_dir, "predictions"))
-    micro = found.where("field is null").select("run", *RATES)
-    return micro.join(E.macro_v2(found), "run")
+    return E.report_v2(corpus(spark, sf_dir, "predictions"), RATES)
 
 
 def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
