@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Patterns that mark a sentence as normative, and the classes by priority.
+from statuta.plans.lineage import cut
+
+# Patterns that mark a sentence as normative, the classes by priority, mentions of articles, and patterns of
+# candidate fields.
 NORMATIVE = ["shall", "must", "may", "should", "shall not", "must not", "may not", "is required", "is prohibited", "is permitted", "is obliged", "is entitled", "have the right", "have a right", "under no circumstances"]
 MODALITY_PATTERNS = [
     ("prohibition", r"\b(shall not|must not|may not|is prohibited)\b|\bprohibit"),
@@ -14,6 +17,12 @@ MODALITY_PATTERNS = [
     ("permission", r"\b(may|is permitted|is entitled|have the right|have a right)\b"),
     ("definition", r"\b(means|refers to|defined as|definition)\b"),
 ]
+CITED = [r"(?i)Article\s+(\d+)", r"(?i)Art\.\s*(\d+)"]
+ACTION = r"(?i)\b(?:shall|must|may|should)\s+(not\s+)?(?:be\s+)?(\w+(?:\s+\w+){0,8})"
+SUBJECT = r"(?i)^((?:The|A|Each|Any)\s+\w+(?:\s+\w+)?)\s+(?:shall|must|may|should|is)"
+CONDITION = r"(?i)(?:Where|If|When|In case of|Provided that|On condition that)\s+[^,.;]+(?:,|;|\.)"
+CONSTRAINTS = [r"(?i)(?:within|before|after|at least|at most|no later than|not later than)\s+[^,.;]+", r"(?i)(?:in accordance with|subject to|without prejudice to)\s+[^,.;]+"]
+EXCEPTION = r"(?i)(?:except|unless|with the exception of|apart from|other than|excluding)\s+[^.;]+"
 ACTORS = r"(?:the\s+)?(?:controller|processor|data subject|supervisory authority|recipient|third party|natural person|legal person)"
 
 
@@ -40,7 +49,7 @@ def is_good_length(text: Column, low: int = 60, high: int = 600) -> Column:
 
 def group_key(text: Column) -> Column:
     """'Article N' of the first mention of an article, else null."""
-    n = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)Article\s+(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?i)Art\.\s*(\d+)", 1), F.lit("")))
+    n = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in CITED])
     return F.concat(F.lit("Article "), n)
 
 
@@ -69,7 +78,8 @@ def diverse_sample(rows: DataFrame, group: str, order: list[str], target: int, p
 
 def assign_ids(rows: DataFrame, order: list[str], prefix: str) -> DataFrame:
     """Ids prefix_001 and so on in order, without one task for all rows: ranges in order, counts ahead, place within."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # the parts are written, so that counts and numbers see the same ones
+    dealt = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     ahead = dealt.groupBy("part").count()
     ahead = ahead.withColumn("ahead", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     no = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("ahead")
@@ -83,14 +93,12 @@ def _first(text: Column, patterns: list[str], strip: str) -> Column:
 
 def weak_annotate(text: Column) -> dict[str, Column]:
     """Candidate fields of a sentence by patterns: actor, action, condition, constraint and exception, null where none."""
-    neg = F.regexp_extract(text, r"(?i)\b(?:shall|must|may|should)\s+(not\s+)?(?:be\s+)?(\w+(?:\s+\w+){0,8})", 1)
-    verb = F.regexp_extract(text, r"(?i)\b(?:shall|must|may|should)\s+(not\s+)?(?:be\s+)?(\w+(?:\s+\w+){0,8})", 2)
-    subject = F.nullif(F.trim(F.regexp_extract(text, r"(?i)^((?:The|A|Each|Any)\s+\w+(?:\s+\w+)?)\s+(?:shall|must|may|should|is)", 1)), F.lit(""))
+    subject = F.nullif(F.trim(F.regexp_extract(text, SUBJECT, 1)), F.lit(""))
     return {
         "modality": regex_modality(text),
         "actor": F.coalesce(_first(text, [f"(?i){ACTORS}"], ""), subject),
-        "action": F.nullif(F.trim(F.concat(neg, verb)), F.lit("")),
-        "condition": _first(text, [r"(?i)(?:Where|If|When|In case of|Provided that|On condition that)\s+[^,.;]+(?:,|;|\.)"], ",;."),
-        "constraint": _first(text, [r"(?i)(?:within|before|after|at least|at most|no later than|not later than)\s+[^,.;]+", r"(?i)(?:in accordance with|subject to|without prejudice to)\s+[^,.;]+"], ""),
-        "exception": _first(text, [r"(?i)(?:except|unless|with the exception of|apart from|other than|excluding)\s+[^.;]+"], ";."),
+        "action": F.nullif(F.trim(F.concat(F.regexp_extract(text, ACTION, 1), F.regexp_extract(text, ACTION, 2))), F.lit("")),
+        "condition": _first(text, [CONDITION], ",;."),
+        "constraint": _first(text, CONSTRAINTS, ""),
+        "exception": _first(text, [EXCEPTION], ";."),
     }

@@ -59,17 +59,17 @@ def depths(starts: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataF
 
     rank is the place of a node within its depth in breadth-first order: starts by id, others by the rank of the node
     that reaches them first and by pos, the place of the edge. Each round joins the frontier with the edges, leaves out
-    what was visited and is cut; cycles end, since a node is visited once.
+    what was visited and is written as a table; cycles end, since a node is visited once.
     """
+    edges = cut(edges.select("process_id", "source", "target", "pos"))
     rank = lambda *by: F.row_number().over(Window.partitionBy("process_id").orderBy(*by))
-    seen = cut(starts.select("process_id", "node_id", F.lit(0).alias("depth")).distinct().withColumn("rank", rank("node_id")))
-    frontier = seen
+    seen = frontier = cut(starts.select("process_id", "node_id", F.lit(0).alias("depth")).distinct().withColumn("rank", rank("node_id")))
     for depth in range(1, max_rounds + 1):
         ahead = frontier.join(edges.select("process_id", F.col("source").alias("node_id"), "target", "pos"), ["process_id", "node_id"]).groupBy("process_id", F.col("target").alias("node_id")).agg(F.min(F.struct("rank", "pos")).alias("by"))
         frontier = cut(ahead.join(seen, ["process_id", "node_id"], "left_anti").select("process_id", "node_id", F.lit(depth).alias("depth"), rank("by", "node_id").alias("rank")))
         if not frontier.limit(1).count():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # tables written by the rounds; none is written again
     raise RuntimeError(f"paths are longer than {max_rounds}")
 
 
@@ -119,22 +119,8 @@ def out_of_order(rules: DataFrame, ordered: DataFrame, threshold: float = 0.3) -
     return found.where(F.col("like") > threshold).where("tasks >= 2 and first >= second").select("rule_id", "process_id", F.lit("out_of_order").alias("kind"))
 
 
-def words_out_of_order(rules: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Less than out_of_order, as the SQL of the registered queries has it: the action plays no part, and words are parted
-    by anything but letters, digits and underscores.
-
-    The words next to the first "before" of the text are sought in the task names; the first task of each counts, and
-    the rule is broken where that of the word before does not come first. Processes of one task are passed over.
-    """
-    words = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    at = F.array_position(words, F.lit("before")).cast("int")
-    said = rules.where(F.contains(F.lower("text"), F.lit("before"))).select("rule_id", "process_id", F.when(at > 1, F.get(words, at - 2)).alias("one"), F.when(at > 0, F.get(words, at)).alias("two"))
-    pairs = said.where("one is not null and two is not null").join(ordered, "process_id")
-    has = lambda w: F.array_contains(S.tokens(F.lower("name")), F.col(w))
-    found = pairs.groupBy("rule_id", "process_id").agg(F.min(F.when(has("one"), F.col("place"))).alias("first"), F.min(F.when(has("two"), F.col("place"))).alias("second"), F.count(F.lit(1)).alias("tasks"))
-    return found.where("tasks >= 2 and first >= second").select("rule_id", "process_id", F.lit("out_of_order").alias("kind"))
-
-
-def violation_report(violations: DataFrame) -> DataFrame:
-    """Per rule and process the number and kinds of violations."""
-    return violations.groupBy("rule_id", "process_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+def violation_report(rules: DataFrame, violations: DataFrame) -> DataFrame:
+    """Per rule and process of rules: has_violations, the number and kinds of violations; false, 0 and none where there are none."""
+    found = violations.groupBy("rule_id", "process_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    both = rules.select("rule_id", "process_id").join(found, ["rule_id", "process_id"], "left")
+    return both.select("rule_id", "process_id", F.col("n").isNotNull().alias("has_violations"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kinds", F.lit("")).alias("kinds"))

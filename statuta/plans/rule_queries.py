@@ -449,8 +449,11 @@ def call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Process models.
 FL = with_parts("flows")
-_ORDER = f"""{FL}, reach AS (WITH RECURSIVE r(process_id, node, depth) AS (SELECT DISTINCT process_id, 's', 0 FROM tasks UNION SELECT f.process_id, f.target, r.depth + 1 FROM r JOIN flows f ON f.process_id = r.process_id AND f.source = r.node WHERE r.depth < 25) SELECT process_id, node, min(depth) AS depth FROM r GROUP BY ALL),
-ordered AS (SELECT t.process_id, t.node_id, t.name, row_number() OVER (PARTITION BY t.process_id ORDER BY depth, t.node_id) AS place FROM tasks t JOIN reach ON reach.process_id = t.process_id AND reach.node = t.node_id)"""
+# Paths that visit no node twice, with the places of their edges: breadth-first order is by length, then by these places.
+_ORDER = f"""{FL}, reach AS (WITH RECURSIVE r(process_id, node, depth, seen, places) AS (SELECT DISTINCT process_id, 's', 0, ['s'], []::INT[] FROM tasks
+  UNION ALL SELECT f.process_id, f.target, r.depth + 1, list_append(r.seen, f.target), list_append(r.places, substr(f.target, 2)::INT) FROM r JOIN flows f ON f.process_id = r.process_id AND f.source = r.node WHERE NOT list_contains(r.seen, f.target))
+  SELECT process_id, node, depth, places FROM (SELECT *, row_number() OVER (PARTITION BY process_id, node ORDER BY depth, places) AS rn FROM r) WHERE rn = 1),
+ordered AS (SELECT t.process_id, t.node_id, t.name, row_number() OVER (PARTITION BY t.process_id ORDER BY depth, places) AS place FROM tasks t JOIN reach ON reach.process_id = t.process_id AND reach.node = t.node_id)"""
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,14 +505,19 @@ def incorrect_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.incorrect_actor(_rules(spark, sf_dir), _lanes(spark, sf_dir)).select("rule_id", "best", "kind")
 
 
-_SAID = "CASE rule_id % 3 WHEN 0 THEN 'The operator shall record before archive.' WHEN 1 THEN 'The operator shall archive before check.' ELSE text END"
-_OO = f"""{with_parts('rules', 'flows')}{_ORDER[len(FL):]}, w AS (SELECT rule_id, CASE rule_id % 3 WHEN 0 THEN 'record' WHEN 1 THEN 'archive' END AS one, CASE rule_id % 3 WHEN 0 THEN 'archive' WHEN 1 THEN 'check' END AS two FROM rules WHERE rule_id % 3 < 2),
-f AS (SELECT rule_id, min(place) FILTER (list_contains(string_split(lower(name), ' '), one)) AS a, min(place) FILTER (list_contains(string_split(lower(name), ' '), two)) AS b, count(*) AS n FROM w JOIN ordered ON ordered.process_id = rule_id GROUP BY rule_id)
-SELECT rule_id, 'out_of_order' AS kind FROM f WHERE n >= 2 AND a >= b"""
+_SAID = "CASE rule_id % 3 WHEN 0 THEN 'The operator shall record before archive of files.' WHEN 1 THEN 'The operator shall archive before check.' ELSE text END"
+_DONE = "CASE WHEN rule_id % 8 = 0 THEN 'notify nobody at all' WHEN rule_id % 8 = 1 THEN NULL ELSE action END"
+_OO = f"""{with_parts('rules', 'flows')}{_ORDER[len(FL):]}, w AS (SELECT rule_id, {_TOK.format(f"coalesce({_DONE}, '')")} AS act, list_filter(string_split_regex(lower({_SAID}), '\\s+'), lambda x: x <> '') AS words FROM rules),
+b AS (SELECT *, list_position(words[2:len(words) - 1], 'before') AS spot FROM w WHERE len(words) > 2),
+p AS (SELECT rule_id, act, words[spot] AS one, words[spot + 2] AS two FROM b WHERE spot > 0),
+x AS (SELECT rule_id, one, two, act, place, {_TOK.format('name')} AS t FROM p JOIN ordered ON ordered.process_id = rule_id),
+f AS (SELECT rule_id, min(place) FILTER (list_contains(t, one)) AS a, min(place) FILTER (list_contains(t, two)) AS b, count(*) AS n, max(len(list_intersect(act, t))::DOUBLE / len(list_distinct(list_concat(act, t)))) AS alike FROM x GROUP BY rule_id)
+SELECT rule_id, 'out_of_order' AS kind FROM f WHERE n >= 2 AND a >= b AND alike > 0.3"""
 
 
 def _out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.words_out_of_order(_rules(spark, sf_dir).withColumn("text", F.expr(_SAID)), _ordered(spark, sf_dir))
+    said = _rules(spark, sf_dir).withColumns({"text": F.expr(_SAID), "action": F.expr(_DONE)})
+    return K.out_of_order(said, _ordered(spark, sf_dir))
 
 
 @query(_OO)
@@ -528,9 +536,9 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(spark, sf_dir).select("rule_id", "kind")
 
 
-@query(f"SELECT rule_id, count(*) AS n, string_agg(kind, ',' ORDER BY kind) AS kinds FROM (SELECT rule_id, kind FROM ({_MA}) UNION ALL SELECT rule_id, kind FROM ({_IA}) UNION ALL SELECT rule_id, kind FROM ({_OO})) GROUP BY rule_id")
+@query(f"{R}, v AS (SELECT rule_id, kind FROM ({_MA}) UNION ALL SELECT rule_id, kind FROM ({_IA}) UNION ALL SELECT rule_id, kind FROM ({_OO})), g AS (SELECT rule_id, count(*) AS n, string_agg(kind, ',' ORDER BY kind) AS kinds FROM v GROUP BY rule_id) SELECT rules.rule_id, n IS NOT NULL AS has_violations, coalesce(n, 0) AS n, coalesce(kinds, '') AS kinds FROM rules LEFT JOIN g ON g.rule_id = rules.rule_id")
 def violation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.violation_report(_violations(spark, sf_dir)).select("rule_id", "n", "kinds")
+    return K.violation_report(_rules(spark, sf_dir), _violations(spark, sf_dir)).select("rule_id", "has_violations", "n", "kinds")
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,6 +574,14 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.flows(_models(spark, sf_dir)).select("process_id", "source", "target")
 
 
+@query(f"{with_parts('flows')}, t AS (SELECT process_id, count(*) AS n_tasks, count(DISTINCT lane) AS n_lanes FROM tasks GROUP BY process_id), f AS (SELECT process_id, count(*) AS n_flows FROM flows GROUP BY process_id) SELECT t.process_id::VARCHAR AS process_id, n_tasks::INT AS n_tasks, 1::INT AS n_events, n_lanes::INT AS n_lanes, n_flows::INT AS n_flows FROM t JOIN f ON f.process_id = t.process_id")
+def bpmn_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan of a model text finds."""
+    m = _models(spark, sf_dir)
+    size = lambda tags: sum((F.coalesce(F.size(F.col(f"p.{t}")), F.lit(0)) for t in tags), F.lit(0))
+    return m.select(F.col("p._id").alias("process_id"), size(K.TASKS).alias("n_tasks"), size(K.EVENTS).alias("n_events"), F.size("p.laneSet.lane").alias("n_lanes"), F.size("p.sequenceFlow").alias("n_flows"))
+
+
 # Sources, and alignment of clauses.
 _LINES = "SELECT event_id, CASE event_id % 10 WHEN 0 THEN '  ' WHEN 1 THEN concat('# ', props) WHEN 2 THEN substr(props, 1, length(props) - 1) ELSE props END AS line FROM {events}"
 
