@@ -28,11 +28,27 @@ def field_delta(a: DataFrame, b: DataFrame, metrics: list[str], outer: bool = Fa
     return both.withColumns({f"{m}_delta": F.round(value(f"{m}_b") - value(f"{m}_a"), 6) for m in metrics})
 
 
-def nway_table(metrics: DataFrame, names: list[str], runs: list[str]) -> DataFrame:
-    """A row a metric and a column a run, from (run, metrics...)."""
+def nway_table(metrics: DataFrame, names: list[str], runs: list[str], fallback: str | None = None) -> DataFrame:
+    """A row a metric and a column a run, from (run, metrics...); a missing value is that of the fallback metric, or 0 without one."""
+    if fallback:
+        metrics = metrics.withColumns({n: F.coalesce(n, fallback, F.lit(0.0)) for n in names})
     return metrics.unpivot(["run"], names, "metric", "value").groupBy("metric").pivot("run", runs).agg(F.first("value"))
 
 
+def nway_fields(fields: DataFrame, runs: list[str]) -> DataFrame:
+    """Per field and run the strict F1 (0 where it is missing) and exact/gold counts as text, from field metrics."""
+    of = lambda run, value: F.max(F.when(F.col("run") == run, value))
+    told = F.concat_ws("/", F.coalesce("exact_count", F.lit(0)), F.coalesce("applicable_count", F.lit(0)))
+    each = [x for r in runs for x in (F.coalesce(of(r, F.col("strict_f1")), F.lit(0.0)).alias(f"{r}_strict_f1"), F.coalesce(of(r, told), F.lit("0/0")).alias(f"{r}_exact"))]
+    return fields.groupBy("field").agg(*each)
+
+
+def failure_shift(failures: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """Per failure category how many more keys the second run has."""
+    by_run = by_category(failures, key).groupBy("category").agg(F.count_if(F.col("run") == first).alias("n_first"), F.count_if(F.col("run") == second).alias("n_second"))
+    return by_run.withColumn("shift", F.col("n_second") - F.col("n_first"))
+
+
 def best_run(metrics: DataFrame, names: list[str]) -> DataFrame:
     """Per metric the run of the largest value, ties to the first name."""
     long = metrics.unpivot(["run"], names, "metric", "value").where("value is not null")

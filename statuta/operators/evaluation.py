@@ -113,3 +113,33 @@ def align_clauses(gold: DataFrame, pred: DataFrame) -> DataFrame:
     own = pred.join(gold.select("source_id").distinct(), "source_id", "left_semi")
     g, p = gold.withColumnRenamed("text", "gold_text"), own.withColumnRenamed("text", "pred_text")
     return g.join(p, ["source_id", "seg_idx"], "full_outer").withColumn("matched", F.col("gold_text").isNotNull() & F.col("pred_text").isNotNull())
+
+
+def clause_report(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Clause rates by counts: of each source of gold, the lesser of both numbers of clauses is matched.
+
+    gold and pred have (source_id, ...), one row a clause. One row: n_gold, n_pred, n_matched, precision, recall and f1.
+    """
+    g = gold.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_g"))
+    p = pred.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_p"))
+    each = g.join(p, "source_id", "left").select("n_g", F.coalesce("n_p", F.lit(0)).alias("n_p"))
+    one = each.agg(F.sum("n_g").alias("n_gold"), F.sum("n_p").alias("n_pred"), F.sum(F.least("n_g", "n_p")).alias("n_matched"))
+    precision, recall = S.ratio(F.col("n_matched"), F.col("n_pred")), S.ratio(F.col("n_matched"), F.col("n_gold"))
+    return one.select("*", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(S.f1(precision, recall), 4).alias("f1"))
+
+
+def clause_fields(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Rates of fields over clauses of both sides aligned by source and place, and over all fields where field is null.
+
+    gold and pred have (source_id, seg_idx, field, text). A clause that one side alone has is missing or extra in all its fields.
+    """
+    own = pred.join(gold.select("source_id").distinct(), "source_id", "left_semi")
+    both = gold.withColumnRenamed("text", "gold").join(own.withColumnRenamed("text", "pred"), ["source_id", "seg_idx", "field"], "full_outer")
+    counts = field_confusion(both).groupBy("field").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
+    return prf(counts.unionByName(counts.withColumn("field", F.lit(None).cast("string"))), "field")
+
+
+def batch_failures(failures: DataFrame, valid: Column) -> DataFrame:
+    """Per run how many samples have each failure category, and as schema_valid how many are valid."""
+    each = failures.select("run", F.explode(F.concat("failures", F.when(valid, F.array(F.lit("schema_valid"))).otherwise(F.array().cast("array<string>")))).alias("category"))
+    return each.groupBy("run", "category").agg(F.count(F.lit(1)).alias("n"))

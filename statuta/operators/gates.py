@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions.strings import blank_to_null
@@ -111,7 +111,7 @@ def align_responses(rows: DataFrame, json_col: str) -> DataFrame:
     return out.withColumn("status", F.when(~good, "error").when(F.col("mappings") > 0, "accepted").otherwise("noop")).drop("_top", "_items", "_clauses", "_odd", "_reasons", "_bad")
 
 
-def align_schema(rows: DataFrame, json_col: str) -> DataFrame:
+def align_flat(rows: DataFrame, json_col: str) -> DataFrame:
     """Outside extractions of one clause as a flat object, brought to our field names: status, reason (the first gate that fails), renamed and values.
 
     Gates in order: not a JSON object, no clause, an unknown key, a field under both of its names, a modality that is no class.
@@ -167,8 +167,21 @@ def constraint_report(rows: DataFrame, constraints: dict[str, Column]) -> DataFr
     return one.unpivot([], list(constraints), "check", "violations")
 
 
-def contract_report(checks: dict[str, tuple[DataFrame, Column, float | None, float | None]]) -> DataFrame:
-    """(check, actual, expected, status) of one-row aggregates: equal to expected, or at most the limit; null passes."""
+def gold_gate(rows: DataFrame, id_col: str, status: Column, wanted: str, most: int) -> DataFrame:
+    """One row: total, unreviewed (any status but the wanted one), duplicates (ids beyond the first of each), and passed, which
+    asks for 1 to `most` rows, all reviewed, no id twice."""
+    ids = rows.withColumn("_bad", F.coalesce(status != wanted, F.lit(True)).cast("long")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("bad"))
+    one = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("bad"), F.lit(0)).alias("unreviewed"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    return one.withColumn("passed", F.col("total").between(1, most) & (F.col("unreviewed") == 0) & (F.col("duplicates") == 0))
+
+
+def contract_report(checks: dict[str, tuple[DataFrame, Column, float | None, float | None]], artifacts: dict[str, str] | None = None) -> DataFrame:
+    """(check, actual, expected, status) of one-row aggregates: equal to expected, or at most the limit; null passes, as does an
+    assertion that can't be told.
+
+    An aggregate may count rows, hold a field or, as a truth value, an assertion, expected then being 1. artifacts are paths
+    by check, which must exist: actual is 1 or 0.
+    """
     out = None
     for name, (rows, value, expected, limit) in checks.items():
         actual = value.cast("double")
@@ -176,9 +189,19 @@ def contract_report(checks: dict[str, tuple[DataFrame, Column, float | None, flo
         ok = F.col("actual") == F.col("expected") if limit is None else F.col("actual") <= F.col("expected")
         row = row.withColumn("status", F.when(F.coalesce(ok, F.lit(True)), "pass").otherwise("fail"))
         out = row if out is None else out.unionByName(row)
+    if artifacts:
+        spark = next(iter(checks.values()))[0].sparkSession
+        there = [(name, float(exists(spark, path)), 1.0, "pass" if exists(spark, path) else "fail") for name, path in artifacts.items()]
+        out = out.unionByName(spark.createDataFrame(there, "check string, actual double, expected double, status string"))
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
 def repair_span(text: Column, span: Column, start: Column, stop: Column) -> Column:
     """(status, start, stop): kept where the slice is the span's text, moved where that stands once in the text, else
     not_found or ambiguous with the offsets as they were."""

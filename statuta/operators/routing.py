@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.operators.gates import repair_span
+
 FIELDS = ["modality", "actor", "action", "condition", "constraint", "exception"]
 
 
@@ -49,6 +51,35 @@ def hybrid(rule: DataFrame, external: DataFrame, strict: bool) -> DataFrame:
     return both.withColumn("final", result if strict else F.coalesce(result, c("result")))
 
 
+def checked_external(clauses: DataFrame, key: str) -> DataFrame:
+    """External clauses (with the reasons that validate_spans finds) as hybrid takes them by key: valid where there is no reason
+    and the span stands in the text or is moved to the one place where it does; the result is the span so repaired."""
+    c = F.col
+    found = clauses.withColumn("r", repair_span(c("source_text"), c("span_text"), c("span_start"), c("span_end")))
+    told = F.concat_ws(":", "r.start", "r.stop", "span_text")
+    valid = (F.size("reasons") == 0) & c("r.status").isin("kept", "repaired")
+    return found.select(F.col(key).alias("source_id"), told.alias("ext_result"), F.lit(None).cast("string").alias("ext_error"), valid.alias("ext_valid"))
+
+
+# What a conservative choice ends with.
+DISABLED, CONFIG_MISSING, NOT_TRIGGERED = "fallback_disabled", "fallback_config_missing", "fallback_not_triggered"
+NETWORK_ERROR, SCHEMA_INVALID, SCHEMA_VALID, MOCK_USED = "fallback_network_error_redacted", "fallback_schema_invalid", "fallback_schema_valid", "fallback_mock_used"
+
+
+def conservative(rule: DataFrame, external: DataFrame) -> DataFrame:
+    """The external result where all is well with it, else the rule's, with one of the fixed statuses and `used`.
+
+    rule: source_id, result, triggered, enabled, client (null: none is set up, mock: one that stands in). external:
+    source_id, ext_result, ext_error, ext_valid; a source without a row has no valid answer. Spans are not repaired.
+    """
+    c = F.col
+    both = rule.join(external, "source_id", "left")
+    good = F.coalesce(c("ext_valid"), F.lit(False)) & c("ext_result").isNotNull()
+    status = F.when(~c("enabled"), DISABLED).when(c("client").isNull(), CONFIG_MISSING).when(~c("triggered"), NOT_TRIGGERED).when(c("ext_error").isNotNull(), NETWORK_ERROR).when(~good, SCHEMA_INVALID).when(c("client") == "mock", MOCK_USED).otherwise(SCHEMA_VALID)
+    both = both.withColumn("status", status).withColumn("used", c("status").isin(SCHEMA_VALID, MOCK_USED))
+    return both.withColumn("final", F.when(c("used"), c("ext_result")).otherwise(c("result")))
+
+
 def missing_fields(fields: list[str] = FIELDS) -> Column:
     """Names of fields that are null or empty, in order."""
     return F.array_compact(F.array(*[F.when(F.coalesce(F.col(f), F.lit("")) == "", f) for f in fields]))
@@ -77,3 +108,9 @@ def request_table(rows: DataFrame, key: str, text_col: str = "text") -> DataFram
 def field_coverage(long: DataFrame) -> DataFrame:
     """Per run and field how many values are not empty, of how many."""
     return long.groupBy("run", "field").agg(F.count_if(F.coalesce(F.col("pred"), F.lit("")) != "").alias("filled"), F.count(F.lit(1)).alias("total"))
+
+
+def value_distribution(long: DataFrame, field: str) -> DataFrame:
+    """Per run how often each value of a field is predicted; an empty one counts as none."""
+    said = F.coalesce(F.nullif(F.trim("pred"), F.lit("")), F.lit("none"))
+    return long.where(F.col("field") == field).groupBy("run", said.alias("value")).agg(F.count(F.lit(1)).alias("n"))

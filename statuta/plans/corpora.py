@@ -94,6 +94,18 @@ SELECT rule_id, CASE rule_id % 8
 FROM rules
 """
 
+#: Whole responses, one broken rule in each of twelve forms.
+RESPONSES = """
+SELECT rule_id, CASE WHEN rule_id % 12 = 10 THEN 'no json at all' WHEN rule_id % 12 = 2 THEN concat('{"schema_version": "1", "source_id": "s', rule_id, '", "source_text": "t"}')
+  ELSE concat('{"schema_version": "1", "source_id": "s', rule_id, '", "source_text": "', action, '", ', CASE WHEN rule_id % 12 = 3 THEN '"model": "m", ' ELSE '' END, '"clauses": ',
+    CASE rule_id % 12 WHEN 4 THEN '{"clause_id": "C1"}' ELSE concat('[{"clause_id": "C1", "modality": {"text": "', marker, '"}, "actor": null}', CASE rule_id % 12
+      WHEN 0 THEN '' WHEN 1 THEN concat(', {"clause_id": "C2", "normative_type": {"text": "shall"}, "subject": {"text": "', actor, '"}}')
+      WHEN 5 THEN ', {"clause_id": "C2"}, "C3"' WHEN 6 THEN ', {"object": "x", "severity": 1}' WHEN 7 THEN ', {"clause_id": "C2", "severity": 3}'
+      WHEN 8 THEN ', {"subject": null, "actor": {"text": "x"}}' WHEN 9 THEN ', {"clause_id": "C2"}, {"conditions": "if so"}'
+      WHEN 11 THEN ', {"clause_id": "C2", "actor": "plain", "conditions": null, "confidence": 0.5}' ELSE '' END, ']') END, '}') END AS response
+FROM rules
+"""
+
 TASKS = """
 SELECT process_id, seq, concat('t', seq) AS node_id, concat(verb, ' the ', thing) AS name, lane FROM (
   SELECT l_orderkey AS process_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_tax, l_discount) AS seq,
@@ -109,8 +121,8 @@ UNION ALL SELECT process_id, concat('t', seq), 't1' FROM tasks WHERE process_id
 UNION ALL SELECT process_id, concat('t', seq), concat('t', seq + 2) FROM (SELECT *, max(seq) OVER (PARTITION BY process_id) AS top FROM tasks) x WHERE process_id % 5 = 0 AND seq + 2 <= top
 """
 
-PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS, "clauses": CLAUSES, "answers": ANSWERS, "tasks": TASKS, "flows": FLOWS}
-NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": [], "clauses": ["rules"], "answers": ["rules"], "tasks": [], "flows": ["tasks"]}
+PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS, "clauses": CLAUSES, "answers": ANSWERS, "responses": RESPONSES, "tasks": TASKS, "flows": FLOWS}
+NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": [], "clauses": ["rules"], "answers": ["rules"], "responses": ["rules"], "tasks": [], "flows": ["tasks"]}
 
 
 def with_parts(*names: str) -> str:

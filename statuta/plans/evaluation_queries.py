@@ -122,7 +122,25 @@ def field_delta_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nway_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.nway_table(evaluate_v2(spark, sf_dir).select("run", *RATES), RATES, ["a", "b"])
+    found = evaluate_v2(spark, sf_dir).withColumn("strict_f1", F.when(F.col("run") != "b", F.col("strict_f1")))  # b reports no strict_f1
+    return C.nway_table(found.select("run", *RATES), RATES, ["a", "b"], "lenient_f1")
+
+
+def nway_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.nway_fields(field_metrics_v2(spark, sf_dir), ["a", "b"])
+
+
+def failure_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.failure_shift(_failures(spark, sf_dir), "rule_id", "a", "b")
+
+
+def failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted taxonomy: every sample of every category."""
+    return C.by_category(_failures(spark, sf_dir), "rule_id")
+
+
+def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.batch_failures(_failures(spark, sf_dir), F.col("rule_id") % 19 != 0)
 
 
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +161,12 @@ def mismatch_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = E.label_v2(corpus(spark, sf_dir, "predictions"))
-    each = p.groupBy("run", "rule_id").agg(F.sort_array(F.collect_list(F.struct("fidx", "field", "label"))).alias("d"))  # six fields
-    return each.select("run", "rule_id", F.array_join(F.transform("d", lambda x: F.concat_ws("=", x["field"], x["label"])), ";").alias("detail"))
+    each = p.groupBy("run", "rule_id").agg(F.sort_array(F.collect_list(F.struct("fidx", "field", "label", "gold", "pred"))).alias("d"))  # six fields
+    told = lambda x: F.concat(x["field"], F.lit("="), x["label"], F.lit(":"), F.coalesce(x["gold"], F.lit("-")), F.lit(">"), F.coalesce(x["pred"], F.lit("-")))
+    return each.select("run", "rule_id", F.array_join(F.transform("d", told), ";").alias("detail"))
 
 
-QUERIES = {f.__name__: f for f in (norm_field, norm_modality, norm_eval, norm_eval_b, jaccard_pairs, trim_span, field_confusion, field_prf, micro_prf, label_v1, label_v2, evaluate_v1, failure_categories, error_taxonomy, field_metrics_v2, micro_v2, macro_v2, evaluate_v2, run_delta, field_delta, field_delta_outer, nway_table, best_run, label_shift, label_transition, mismatch_audit, source_detail)}
+QUERIES = {f.__name__: f for f in (norm_field, norm_modality, norm_eval, norm_eval_b, jaccard_pairs, trim_span, field_confusion, field_prf, micro_prf, label_v1, label_v2, evaluate_v1, failure_categories, error_taxonomy, field_metrics_v2, micro_v2, macro_v2, evaluate_v2, run_delta, field_delta, field_delta_outer, nway_table, nway_fields, best_run, label_shift, failure_shift, failure_rows, batch_failures, label_transition, mismatch_audit, source_detail)}
 
 P = with_parts("predictions")
 _CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -238,7 +257,11 @@ SELECT m AS marker, count(*) AS n FROM u GROUP BY m""",
 SELECT metric, x.value AS value_a, y.value AS value_b, round(y.value - x.value, 6) AS delta, true AS available FROM (SELECT * FROM l WHERE run = 'a') x JOIN (SELECT * FROM l WHERE run = 'b') y USING (metric)""",
     "field_delta": f"{_FIELDS} SELECT x.field, " + ", ".join(f"x.{c} AS {c}_a, y.{c} AS {c}_b, round(y.{c} - x.{c}, 6) AS {c}_delta" for c in ("exact_accuracy", "strict_f1", "lenient_f1")) + " FROM m x JOIN m y ON x.field = y.field WHERE x.run = 'a' AND y.run = 'b'",
     "field_delta_outer": f"{_FIELDS} SELECT coalesce(x.field, y.field) AS field, x.strict_f1 AS strict_f1_a, y.strict_f1 AS strict_f1_b, round(y.strict_f1 - x.strict_f1, 6) AS strict_f1_delta FROM (SELECT * FROM m WHERE run = 'a' AND field <> 'actor') x FULL JOIN (SELECT * FROM m WHERE run = 'b' AND field <> 'exception') y ON x.field = y.field",
-    "nway_table": f"{_EVAL}, {_LONG} SELECT metric, max(value) FILTER (run = 'a') AS a, max(value) FILTER (run = 'b') AS b FROM l GROUP BY metric",
+    "nway_fields": f"{_FIELDS} SELECT field, " + ", ".join(f"coalesce(max(strict_f1) FILTER (run = '{r}'), 0.0) AS {r}_strict_f1, coalesce(max(exact_count || '/' || applicable_count) FILTER (run = '{r}'), '0/0') AS {r}_exact" for r in "ab") + " FROM m GROUP BY field",
+    "failure_shift": f"{_FAIL} SELECT category, count(*) FILTER (run = 'a') AS n_first, count(*) FILTER (run = 'b') AS n_second, count(*) FILTER (run = 'b') - count(*) FILTER (run = 'a') AS shift FROM f WHERE category IS NOT NULL GROUP BY category",
+    "failure_rows": f"{_FAIL} SELECT run, rule_id, category FROM f WHERE category IS NOT NULL",
+    "batch_failures": f"{_FAIL} SELECT run, category, count(*) AS n FROM f WHERE category IS NOT NULL GROUP BY ALL UNION ALL SELECT run, 'schema_valid', count(DISTINCT rule_id) FROM predictions WHERE rule_id % 19 <> 0 GROUP BY run",
+    "nway_table": f"{_EVAL.replace('m1.strict_f1', 'CASE WHEN m1.run = CHR(98) THEN m1.lenient_f1 ELSE m1.strict_f1 END AS strict_f1', 1)}, {_LONG} SELECT metric, max(value) FILTER (run = 'a') AS a, max(value) FILTER (run = 'b') AS b FROM l GROUP BY metric",
     "best_run": f"{_EVAL}, {_LONG} SELECT metric, run, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, run) AS rn FROM l) WHERE rn = 1",
     "label_shift": f"{P}{_L2} SELECT field, label, count(*) FILTER (run = 'a') AS n_first, count(*) FILTER (run = 'b') AS n_second, count(*) FILTER (run = 'b') - count(*) FILTER (run = 'a') AS shift FROM labels GROUP BY field, label",
     "label_transition": f"{P}{_L2} SELECT x.field, x.label AS label_first, y.label AS label_second, count(*) AS n FROM labels x JOIN labels y ON x.rule_id = y.rule_id AND x.field = y.field WHERE x.run = 'a' AND y.run = 'b' GROUP BY ALL",
@@ -246,5 +269,5 @@ SELECT metric, x.value AS value_a, y.value AS value_b, round(y.value - x.value,
   FROM labels WHERE lower(trim(coalesce(gold, ''))) <> lower(trim(coalesce(pred, ''))) GROUP BY ALL)
 SELECT run, CASE WHEN np AND NOT ng THEN 'pred_missing_fields_gold_has_values' WHEN ng AND NOT np THEN 'pred_too_verbose' WHEN w > 0 AND pa > 0 THEN 'mixed_errors' WHEN w > 0 THEN 'semantic_mismatch' ELSE 'partial_match_or_format_diff' END AS classification,
   count(*) AS n, sum(mismatches)::BIGINT AS mismatches FROM a GROUP BY ALL""",
-    "source_detail": f"{P}{_L2} SELECT run, rule_id, string_agg(field || '=' || label, ';' ORDER BY fidx) AS detail FROM labels GROUP BY ALL",
+    "source_detail": f"{P}{_L2} SELECT run, rule_id, string_agg(field || '=' || label || ':' || coalesce(gold, '-') || '>' || coalesce(pred, '-'), ';' ORDER BY fidx) AS detail FROM labels GROUP BY ALL",
 }

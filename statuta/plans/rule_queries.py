@@ -14,6 +14,7 @@ from statuta.operators import process as K
 from statuta.operators import routing as G
 from statuta.sources import jsonl
 from statuta.plans.corpora import FIELDS, corpus, with_parts
+from statuta.plans.lineage import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -108,9 +109,41 @@ def lex_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).where("exception is not null").select("rule_id", F.col("exception").alias("span"))
 
 
-@query()
+_DET = ", ".join(f"'{x}'" for x in L.DETERMINERS)
+_AUX = ", ".join(f"'{x}'" for x in L.AUXILIARIES)
+_ACTORS = f"""{_MOD}, {_AM}, ah AS (SELECT rule_id, instr(lower(text), ma.marker) - 1 AS s, instr(lower(text), ma.marker) - 1 + len AS e, row_number() OVER (PARTITION BY rule_id ORDER BY instr(lower(text), ma.marker), len DESC) AS rn FROM rules JOIN ma ON contains(lower(text), ma.marker)),
+a0 AS (SELECT mod.rule_id, mod.text, mod.start AS m, ah.s, ah.e, ah.s - length(regexp_extract(substr(mod.text, 1, ah.s), '[^ ]*$')) AS l FROM mod LEFT JOIN ah ON ah.rule_id = mod.rule_id AND ah.rn = 1),
+a1 AS (SELECT *, regexp_replace(substr(text, 1, l), '\\s+$', '') AS before FROM a0), a2 AS (SELECT *, lower(regexp_extract(before, '(\\S*)$', 1)) AS word FROM a1), a3 AS (SELECT *, instr(reverse(before), reverse(word)) AS back FROM a2),
+a4 AS (SELECT *, CASE WHEN word IN ({_DET}) THEN CASE WHEN back > 0 THEN length(before) - (back - 1) - length(word) ELSE -1 END ELSE l END AS b, e + length(regexp_extract(substr(text, e + 1), '^[^ ,;.!?]*')) AS z FROM a3),
+a5 AS (SELECT *, list_reverse(list_filter(string_split_regex(trim(substr(text, 1, m)), '\\s+'), lambda x: x <> '')[-3:]) AS w FROM a4),
+a6 AS (SELECT *, coalesce(nullif(list_position(list_transform(w, lambda x: lower(x) IN ({_AUX}) AND NOT regexp_matches(x, '^\\p{{Lu}}')), true), 0), len(w) + 1) - 1 AS upto FROM a5),
+a7 AS (SELECT *, array_to_string(list_reverse(w[1:upto]), ' ') AS tail FROM a6),
+actors AS (SELECT rule_id, nullif(CASE WHEN s < m THEN CASE WHEN b < 0 THEN '' ELSE substr(text, b + 1, z - b) END ELSE CASE WHEN tail <> '' AND contains(substr(text, 1, m), tail) THEN tail END END, '') AS actor FROM a7)"""
+_PARTS = ", ".join(f'{k[:4]} AS ({sql})' for k, sql in (("condition", SQL["lex_condition"]), ("straint", SQL["lex_constraint"]), ("exception", SQL["lex_exception"])))
+
+
+def _without(text: str, span: str) -> str:
+    return f"CASE WHEN {span} IS NULL THEN {text} ELSE replace({text}, {span}, '') END"
+
+
+_ACTIONS = f"""{_ACTORS}, {_PARTS}, w0 AS (SELECT mod.rule_id, mod.klass, substr(mod.text, mod.stop + 1) AS rest, cond.span AS cs, stra.span AS ks, exce.span AS es FROM mod LEFT JOIN cond ON cond.rule_id = mod.rule_id LEFT JOIN stra ON stra.rule_id = mod.rule_id LEFT JOIN exce ON exce.rule_id = mod.rule_id),
+w1 AS (SELECT *, {_without('rest', 'es')} AS r1 FROM w0), w2 AS (SELECT *, {_without('r1', 'ks')} AS r2 FROM w1), w3 AS (SELECT *, {_without('r2', 'cs')} AS r3 FROM w2),
+whole AS (SELECT w3.rule_id, klass AS modality, actor, nullif(trim(regexp_replace(trim(r3, ' ,;.' || chr(9)), '{L.CONNECTORS}', '')), '') AS action, cs AS condition, ks AS "constraint", es AS "exception" FROM w3 JOIN actors ON actors.rule_id = w3.rule_id)"""
+
+
+@query(f"{_ACTORS} SELECT rule_id, actor FROM actors WHERE actor IS NOT NULL")
+def lex_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).where("actor is not null").select("rule_id", "actor")
+
+
+@query(f"{_ACTIONS} SELECT rule_id, action FROM whole WHERE action IS NOT NULL")
+def lex_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).where("action is not null").select("rule_id", "action")
+
+
+@query(f"{_ACTIONS} SELECT rules.rule_id, {', '.join('whole.' + chr(34) + f + chr(34) for f in FIELDS)} FROM rules LEFT JOIN whole ON whole.rule_id = rules.rule_id")
 def lex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job; checked against the golden outputs in the tests."""
+    """The whole job; checked against the golden outputs in the tests too."""
     return _extracted(spark, sf_dir).select("rule_id", *FIELDS)
 
 
@@ -239,11 +272,37 @@ def key_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 v AS (SELECT rule_id, k, CASE WHEN k IS NULL THEN NULL ELSE nullif(trim(coalesce(json_extract_string(answer, '$.modality'), json_extract_string(answer, '$.normative_type'))), '') END AS m, CASE WHEN k IS NULL THEN NULL ELSE nullif(trim(coalesce(json_extract_string(answer, '$.actor'), json_extract_string(answer, '$.subject'))), '') END AS a FROM k),
 r AS (SELECT *, CASE WHEN k IS NULL THEN 'not_an_object' WHEN len(k) = 0 THEN 'no_fields' WHEN list_contains(k, 'severity') THEN 'unknown_key' WHEN m IS NOT NULL AND m NOT IN ('obligation', 'prohibition', 'permission', 'definition') THEN 'invalid_modality' END AS reason FROM v)
 SELECT rule_id, m AS modality, a AS actor, reason, CASE WHEN reason IS NOT NULL THEN 'error' WHEN list_has_any(k, ['normative_type', 'subject', 'conditions']) THEN 'accepted' ELSE 'noop' END AS status FROM r""")
-def align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = B.align_schema(corpus(spark, sf_dir, "answers"), "answer")
+def align_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = B.align_flat(corpus(spark, sf_dir, "answers"), "answer")
     return a.select("rule_id", F.col("out_modality").alias("modality"), F.col("out_actor").alias("actor"), "reason", "status")
 
 
+def _texts(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in names) + "]"
+
+
+_CONFLICT = " OR ".join(f"list_contains(k, '{a}') AND list_contains(k, '{t}')" for a, t in B.ALIASES.items())
+_ODD = " OR ".join(f"list_contains(k, '{a}') AND json_type(json_extract(c, '$.{a}')) NOT IN ('OBJECT', 'NULL')" for a in B.ALIASES)
+
+
+@query(f"""{with_parts('responses')}, t AS (SELECT rule_id, CASE WHEN json_valid(response) THEN CASE WHEN json_type(response) = 'OBJECT' THEN response END END AS j FROM responses),
+u AS (SELECT rule_id, j, json_keys(j) AS keys, json_type(j, '$.clauses') AS kind, CASE WHEN json_type(j, '$.clauses') = 'ARRAY' THEN from_json(json_extract(j, '$.clauses'), '["JSON"]') END AS cl FROM t),
+e AS (SELECT rule_id, x.i - 1 AS i, x.c AS c, json_type(x.c) AS kind FROM u, unnest(cl) WITH ORDINALITY x(c, i)),
+g AS (SELECT rule_id, i, kind, CASE WHEN kind = 'OBJECT' THEN json_keys(c) END AS k, c FROM e),
+h AS (SELECT rule_id, i, c, CASE WHEN k IS NULL THEN 'invalid_clause_item' WHEN list_has_any(k, {_texts(B.UNSUPPORTED)}) THEN 'unsupported_model_field' WHEN len(list_filter(k, lambda y: NOT list_contains({_texts([*B.CLAUSE, *B.ALIASES])}, y))) > 0 THEN 'unknown_clause_field'
+  WHEN {_CONFLICT} THEN 'alias_target_conflict' WHEN {_ODD} THEN 'invalid_enum' END AS bad, len(list_intersect(k, {_texts(list(B.ALIASES))})) AS n FROM g),
+b AS (SELECT rule_id, min(i) FILTER (bad = 'invalid_clause_item') AS item, min(i) FILTER (bad IS NOT NULL) AS first, arg_min(bad, i) FILTER (bad IS NOT NULL) AS bad, sum(n) AS n,
+  max(coalesce(json_extract_string(c, '$.normative_type.text'), json_extract_string(c, '$.modality.text'))) FILTER (i = len0 - 1) AS last_modality FROM (SELECT *, count(*) OVER (PARTITION BY rule_id) AS len0 FROM h) GROUP BY rule_id),
+r AS (SELECT u.rule_id, CASE WHEN keys IS NULL OR len(list_filter({_texts(B.RESPONSE)}, lambda y: NOT list_contains(keys, y))) > 0 THEN 'missing_required_top_level_key' WHEN len(list_filter(keys, lambda y: NOT list_contains({_texts(B.RESPONSE)}, y))) > 0 THEN 'unknown_top_level_field'
+  WHEN kind <> 'ARRAY' OR item IS NOT NULL THEN 'invalid_clause_item' ELSE bad END AS reason, item, first, n, last_modality FROM u LEFT JOIN b ON b.rule_id = u.rule_id)
+SELECT rule_id, reason, CASE WHEN reason = 'invalid_clause_item' THEN item WHEN reason IS NULL OR reason LIKE '%top_level%' THEN NULL ELSE first END::INT AS bad_clause, CASE WHEN reason IS NULL THEN n ELSE 0 END::INT AS mappings,
+CASE WHEN reason IS NOT NULL THEN 'error' WHEN n > 0 THEN 'accepted' ELSE 'noop' END AS status, CASE WHEN reason IS NULL THEN last_modality END AS last_modality FROM r""")
+def align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = B.align_responses(corpus(spark, sf_dir, "responses"), "response")
+    clauses = F.from_json(F.get_json_object("normalized", "$.clauses"), "array<struct<modality: struct<text: string>>>")
+    return a.select("rule_id", "reason", "bad_clause", "mappings", "status", F.element_at(clauses, -1)["modality"]["text"].alias("last_modality"))
+
+
 @query(f"""{AN}, k AS (SELECT rule_id, CASE WHEN json_valid(answer) AND json_type(answer) = 'OBJECT' THEN answer END AS j FROM answers)
 SELECT rule_id, nullif(trim(json_extract_string(j, '$.modality')), '') AS modality, nullif(trim(json_extract_string(j, '$.actor')), '') AS actor, nullif(trim(json_extract_string(j, '$.action')), '') AS action,
 j IS NOT NULL AND len(list_filter(['modality', 'actor', 'action', 'condition', 'constraint', 'exception'], lambda x: NOT list_contains(json_keys(j), x))) = 0 AND (nullif(trim(json_extract_string(j, '$.modality')), '') IS NULL OR json_extract_string(j, '$.modality') IN ('obligation', 'prohibition', 'permission', 'definition')) AS schema_valid FROM k""")
@@ -278,15 +337,23 @@ def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.constraint_report(_table(spark, sf_dir, "customer"), {"balance_negative": c("c_acctbal") < 0, "name_pattern": ~F.regexp_like(c("c_name"), F.lit(r"^Customer#\d{9}$")), "segment_enum": ~c("c_mktsegment").isin("BUILDING", "MACHINERY")})
 
 
-@query("SELECT 'languages' AS \"check\", count(DISTINCT lang)::DOUBLE AS actual, 4.0::DOUBLE AS expected, CASE WHEN count(DISTINCT lang) = 4 THEN 'pass' ELSE 'fail' END AS status FROM documents UNION ALL SELECT 'long_texts', count(*) FILTER (length(text) > 100000)::DOUBLE, 0.0, CASE WHEN count(*) FILTER (length(text) > 100000) <= 0 THEN 'pass' ELSE 'fail' END FROM documents")
+_CHECKS = {
+    "languages": ("count(DISTINCT lang)", "=", 4), "long_texts": ("count(*) FILTER (length(text) > 100000)", "<=", 0), "rows": ("count(*)", "=", 1000), "sizes_agree": ("bool_and(n_chars = length(text))::INT", "=", 1), "nothing_known": ("max(NULL::INT)", "=", 1),
+}
+_FOUND = [("artifact", 1), ("no_artifact", 0)]
+
+
+@query(" UNION ALL ".join([f"""SELECT '{k}' AS "check", ({v})::DOUBLE AS actual, {e}::DOUBLE AS expected, CASE WHEN coalesce(({v}) {op} {e}, true) THEN 'pass' ELSE 'fail' END AS status FROM documents""" for k, (v, op, e) in _CHECKS.items()] + [f"SELECT '{k}', {n}::DOUBLE, 1.0::DOUBLE, '{'pass' if n else 'fail'}'" for k, n in _FOUND]))
 def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    return B.contract_report({"languages": (d, F.countDistinct("lang"), 4.0, None), "long_texts": (d, F.count_if(F.length("text") > 100000), None, 0.0)})
+    checks = {"languages": (d, F.countDistinct("lang"), 4.0, None), "long_texts": (d, F.count_if(F.length("text") > 100000), None, 0.0), "rows": (d, F.count(F.lit(1)), 1000.0, None), "sizes_agree": (d, F.bool_and(F.col("n_chars") == F.length("text")).cast("int"), 1.0, None), "nothing_known": (d, F.max(F.lit(None).cast("int")), 1.0, None)}
+    return B.contract_report(checks, {"artifact": f"{sf_dir}/documents.parquet", "no_artifact": f"{sf_dir}/documents.none"})
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (quality IS NULL) AS unreviewed, count(*) BETWEEN 1 AND 1000000000 AS enough FROM labels")
+@query("WITH s AS (SELECT doc_id, CASE quality WHEN 1 THEN 'reviewed_gold' WHEN 0 THEN 'draft' END AS status FROM labels), i AS (SELECT doc_id, count(*) AS n, count(*) FILTER (coalesce(status <> 'reviewed_gold', true)) AS bad FROM s GROUP BY doc_id), t AS (SELECT sum(n)::BIGINT AS total, sum(bad)::BIGINT AS unreviewed, sum(n - 1)::BIGINT AS duplicates FROM i) SELECT *, total BETWEEN 1 AND 1000000000 AND unreviewed = 0 AND duplicates = 0 AS passed FROM t")
 def gold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality").isNull()).alias("unreviewed"), F.count(F.lit(1)).between(1, 10**9).alias("enough"))
+    status = F.when(F.col("quality") == 1, "reviewed_gold").when(F.col("quality") == 0, "draft")
+    return B.gold_gate(_table(spark, sf_dir, "labels"), "doc_id", status, "reviewed_gold", 10**9)
 
 
 _REGISTERED = "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN sha256(concat(html, ' ')) ELSE sha256(html) END AS digest, octet_length(encode(html))::BIGINT + CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END AS bytes FROM pages WHERE page_id % 13 <> 0"
@@ -406,6 +473,36 @@ def hybrid_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, False)
 
 
+_REASONS = f"({SQL['validate_clauses']})"
+_REPAIRED = f"({SQL['repair_spans']})"
+
+
+@query(f"""{CL}, x AS (SELECT clauses.rule_id, v.reasons = '' AND s.status IN ('kept', 'repaired') AS ok, concat_ws(':', s.start, s.stop, span_text) AS told FROM clauses JOIN {_REASONS} v ON v.rule_id = clauses.rule_id JOIN {_REPAIRED} s ON s.rule_id = clauses.rule_id)
+SELECT r.rule_id, CASE WHEN r.rule_id % 2 <> 0 THEN 'not_needed' WHEN x.rule_id IS NULL OR x.rule_id % 6 = 0 THEN 'no_external' WHEN NOT ok THEN 'external_invalid' ELSE 'used' END AS status,
+CASE WHEN r.rule_id % 2 <> 0 THEN r.action WHEN x.rule_id % 6 <> 0 AND ok THEN told END AS final FROM rules r LEFT JOIN x ON x.rule_id = r.rule_id""")
+def hybrid_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict choice, external clauses passing the gates and the repair of spans first."""
+    rule = corpus(spark, sf_dir, "rules").select(F.col("rule_id").alias("source_id"), F.col("action").alias("result"), (F.col("rule_id") % 2 == 0).alias("triggered"))
+    c = corpus(spark, sf_dir, "clauses").where("rule_id % 6 <> 0")
+    found = B.validate_spans(c).select("rule_id", "reasons", "source_text", "span_text", "span_start", "span_end")
+    return G.hybrid(rule, G.checked_external(found, "rule_id"), True).select(F.col("source_id").alias("rule_id"), "status", "final")
+
+
+@query(f"""{R}, b AS (SELECT rule_id, action, rule_id % 7 <> 0 AS enabled, CASE rule_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'mock' ELSE 'client' END AS client, rule_id % 2 = 0 AS triggered, CASE WHEN rule_id % 6 <> 0 AND rule_id % 10 = 2 THEN 'timeout' END AS err, rule_id % 6 <> 0 AND rule_id % 4 = 0 AS ok FROM rules),
+s AS (SELECT *, CASE WHEN NOT enabled THEN '{G.DISABLED}' WHEN client IS NULL THEN '{G.CONFIG_MISSING}' WHEN NOT triggered THEN '{G.NOT_TRIGGERED}' WHEN err IS NOT NULL THEN '{G.NETWORK_ERROR}' WHEN NOT ok THEN '{G.SCHEMA_INVALID}' WHEN client = 'mock' THEN '{G.MOCK_USED}' ELSE '{G.SCHEMA_VALID}' END AS status FROM b)
+SELECT rule_id, status, status IN ('{G.SCHEMA_VALID}', '{G.MOCK_USED}') AS used, CASE WHEN status IN ('{G.SCHEMA_VALID}', '{G.MOCK_USED}') THEN concat('ext ', action) ELSE action END AS final FROM s""")
+def hybrid_conservative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("rule_id")
+    rule = corpus(spark, sf_dir, "rules").select(n.alias("source_id"), F.col("action").alias("result"), (n % 2 == 0).alias("triggered"), (n % 7 != 0).alias("enabled"), F.when(n % 5 == 1, "mock").when(n % 5 > 1, "client").alias("client"))
+    ext = corpus(spark, sf_dir, "rules").where("rule_id % 6 <> 0").select(n.alias("source_id"), F.concat(F.lit("ext "), "action").alias("ext_result"), F.when(n % 10 == 2, "timeout").alias("ext_error"), (n % 4 == 0).alias("ext_valid"))
+    return G.conservative(rule, ext).select(F.col("source_id").alias("rule_id"), "status", "used", "final")
+
+
+@query(f"{with_parts('predictions')} SELECT run, coalesce(nullif(trim(pred), ''), 'none') AS value, count(*) AS n FROM predictions WHERE field = 'modality' GROUP BY ALL")
+def modality_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.value_distribution(corpus(spark, sf_dir, "predictions"), "modality")
+
+
 # Ledger.
 CA = with_parts("calls")
 
@@ -598,11 +695,44 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT event_id, substr(props, 1, length(props) - 1) AS line FROM events WHERE event_id % 10 = 2")
-def load_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quarantine of a load: lines that are no JSON object."""
     return jsonl.parse(_lines(spark, sf_dir), "k int")[1].select("event_id", "line")
 
 
+_CLAUSE_ROW = "rule_id long, source_id string, source_text string, span_text string, span_start int, span_end int, confidence double"
+
+
+@query(f"{CL} SELECT c.rule_id, CASE WHEN c.rule_id % 10 = 3 THEN 'not_json' ELSE reasons END AS reasons FROM clauses c JOIN {_REASONS} v ON v.rule_id = c.rule_id WHERE c.rule_id % 10 = 3 OR reasons <> ''")
+def load_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load of clauses from JSON Lines rejects: lines that are no JSON object, and rows that fail the gates, with reasons."""
+    line = F.to_json(F.struct(*[x.split()[0] for x in _CLAUSE_ROW.split(", ")]))
+    lines = corpus(spark, sf_dir, "clauses").select("rule_id", F.when(F.col("rule_id") % 10 == 3, F.concat(F.lit("{"), line)).otherwise(line).alias("line"))
+    good, bad = jsonl.parse(lines, _CLAUSE_ROW)
+    failed = B.validate_spans(good).where(F.size("reasons") > 0).select("rule_id", F.array_join("reasons", ",").alias("reasons"))
+    return bad.select("rule_id", F.lit("not_json").alias("reasons")).unionByName(failed)
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS h, length(text)::INT AS n FROM conversations")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as JSON Lines and read back."""
+    rows, path = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), new_path(spark)
+    jsonl.write(rows, path)
+    good, _ = jsonl.parse(jsonl.read_lines(spark, path), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    return good.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").alias("n"))
+
+
+@query("SELECT conv_id, CASE WHEN role = 'user' THEN 'asked' ELSE 'modality' END AS category, CASE WHEN role <> 'user' THEN role END AS klass, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations WHERE text IS NOT NULL GROUP BY ALL")
+def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon object for each conversation, plain markers in one category and classes in another, read back as rows."""
+    t = _table(spark, sf_dir, "conversations").where("text is not null")
+    by_role = t.groupBy("conv_id", "role").agg(F.collect_list("text").alias("texts")).groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "texts"))).alias("m"))
+    plain = F.to_json(F.coalesce(F.element_at("m", "user"), F.array().cast("array<string>")))
+    classes = F.to_json(F.map_filter("m", lambda k, v: k != "user"))
+    value = F.concat(F.lit('{"version": 1, "categories": {"asked": {"markers": '), plain, F.lit('}, "modality": {"classifications": '), classes, F.lit("}}}"))
+    return jsonl.lexicon_entries(by_role.select("conv_id", value.alias("value"))).groupBy("conv_id", "category", "klass").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("marker")).alias("chars"))
+
+
 @query("SELECT to_json({'name': 'documents', 'rows': count(*), 'columns': ['doc_id', 'text', 'lang', 'source', 'n_chars']})::VARCHAR AS manifest FROM documents")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.manifest(_table(spark, sf_dir, "documents"), "documents")
@@ -626,8 +756,23 @@ def align_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.align_clauses(*_sides(spark, sf_dir))
 
 
-@query(f"{_SIDES}, c AS (SELECT count(gold_text) AS n_gold, count(pred_text) AS n_pred, count(*) FILTER (matched) AS n_matched FROM a) SELECT *, round(n_matched::DOUBLE / n_pred, 4) AS precision, round(n_matched::DOUBLE / n_gold, 4) AS recall FROM c")
+@query(f"""{_SIDES}, n AS (SELECT g.source_id, count(*) AS n_g, (SELECT count(*) FROM p WHERE p.source_id = g.source_id) AS n_p FROM g GROUP BY g.source_id), c AS (SELECT sum(n_g)::BIGINT AS n_gold, sum(n_p)::BIGINT AS n_pred, sum(least(n_g, n_p))::BIGINT AS n_matched FROM n),
+q AS (SELECT *, n_matched::DOUBLE / n_pred AS p, n_matched::DOUBLE / n_gold AS r FROM c) SELECT n_gold, n_pred, n_matched, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1 FROM q""")
 def clause_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = E.align_clauses(*_sides(spark, sf_dir))
-    c = a.agg(F.count("gold_text").alias("n_gold"), F.count("pred_text").alias("n_pred"), F.count_if("matched").alias("n_matched"))
-    return c.withColumn("precision", F.round(F.col("n_matched") / F.col("n_pred"), 4)).withColumn("recall", F.round(F.col("n_matched") / F.col("n_gold"), 4))
+    return E.clause_report(*_sides(spark, sf_dir))
+
+
+_CF = "CASE field WHEN 'actor' THEN actor WHEN 'action' THEN action ELSE condition END"
+
+
+@query(f"""{R}, l AS (SELECT rule_id, rule_id // 3 AS source_id, rule_id % 3 AS seg_idx, field, {_CF} AS text FROM rules, (VALUES ('actor'), ('action'), ('condition')) v(field)), g AS (SELECT * FROM l WHERE rule_id % 11 <> 0),
+p AS (SELECT source_id, seg_idx, field, CASE WHEN rule_id % 5 = 0 THEN 'other' ELSE text END AS text FROM l WHERE rule_id % 7 <> 0 AND source_id IN (SELECT source_id FROM g)), a AS (SELECT field, g.text AS gt, p.text AS pt FROM g FULL JOIN p USING (source_id, seg_idx, field)),
+k AS (SELECT field, sum((gt = pt)::INT)::BIGINT AS tp, count(pt) - sum(coalesce(gt = pt, false)::INT)::BIGINT AS fp, count(gt) - sum(coalesce(gt = pt, false)::INT)::BIGINT AS fn FROM a GROUP BY field),
+m AS (SELECT * FROM k UNION ALL SELECT NULL, sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM k), q AS (SELECT *, tp::DOUBLE / (tp + fp) AS p, tp::DOUBLE / (tp + fn) AS r FROM m)
+SELECT field, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1 FROM q""")
+def clause_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["actor", "action", "condition"]
+    r = corpus(spark, sf_dir, "rules").select("rule_id", F.floor(F.col("rule_id") / 3).alias("source_id"), (F.col("rule_id") % 3).alias("seg_idx"), *names)
+    long = r.unpivot(["rule_id", "source_id", "seg_idx"], names, "field", "text")
+    pred = long.where("rule_id % 7 <> 0").withColumn("text", F.when(F.col("rule_id") % 5 == 0, "other").otherwise(F.col("text")))
+    return E.clause_fields(long.where("rule_id % 11 <> 0").drop("rule_id"), pred.drop("rule_id"))

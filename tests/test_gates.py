@@ -57,9 +57,9 @@ def test_align_responses(spark):
     assert len({r.reason for r in got}) == 8
 
 
-def test_align_schema_conflict(spark):
+def test_align_flat_conflict(spark):
     rows = [(1, '{"modality": "obligation", "normative_type": "permission"}'), (2, '{"normative_type": "permission"}'), (3, '{"modality": null, "normative_type": "permission", "x": 1}')]
-    got = {r.id: (r.status, r.reason) for r in B.align_schema(spark.createDataFrame(rows, "id int, answer string"), "answer").collect()}
+    got = {r.id: (r.status, r.reason) for r in B.align_flat(spark.createDataFrame(rows, "id int, answer string"), "answer").collect()}
     assert got == {1: ("error", "alias_target_conflict"), 2: ("accepted", None), 3: ("error", "unknown_key")}
 
 
