@@ -188,7 +188,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", threshold: float = 0.3, folds: int = 5, max_rows: int = 4000) -> DataFrame:
-    """The rows of docs with a text and a score of threshold or more, with their columns as they are."""
+    """The rows of docs with a score of threshold or more, with their columns as they are.
+
+    Rows are judged one by one, as classify does: repeated rows share their verdict, a null text counts as an empty one and null
+    ids do not matter. An empty table gives an empty one; columns may have any names.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(training_rows(docs, labels, id_col, text_col, chars_col, folds=folds, max_rows=max_rows), max_rows))
     at, size_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
@@ -200,6 +204,6 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 rows = part.slice(a, b - a)
                 n_chars = chars(rows.column(size_at)) if size_at is not None else np.zeros(b - a)
                 raw, _ = raw_scores(m, *featurize(data, offsets, n_chars))
-                yield rows.filter(pa.array((sigmoid(raw.astype(np.float64)) >= threshold) & rows.column(at).is_valid().to_numpy(zero_copy_only=False)))
+                yield rows.filter(pa.array(sigmoid(raw.astype(np.float64)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

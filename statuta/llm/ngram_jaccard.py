@@ -292,11 +292,16 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest id stays.
+    """The rows of docs without near copies: of each component the rows with the smallest id stay.
 
-    Texts without words stay. Of rows that repeat that id, one stays; rows with a null id stay.
+    Texts without words stay, and so do rows with a null id. Of rows that repeat an id and a text one stays; different texts
+    under one id stay. Columns may have any names; an empty table gives an empty one. Only rows whose id is gone or
+    repeated are shuffled, found by a bitmap of at most 2^28 bits.
     """
-    found = link_classes(docs, id_col, text_col, n, percent)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(gone, id_col, "left_anti")
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    found = store.table(link_classes(docs, id_col, text_col, n, percent).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "component_id"))
+    marked = store.table(found.groupBy("id").agg((F.max("component_id") != F.col("id")).alias("gone"), (F.count(F.lit(1)) > 1).alias("again")).where("gone or again"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    likely, rest = bitmaps.split(packed.where("id is not null"), marked, "id")
+    left = likely.join(marked.where("gone").select("id"), "id", "left_anti")
+    once = left.dropDuplicates(["id", "text"])
+    return once.select("row").unionByName(rest.select("row")).unionByName(packed.where("id is null").select("row")).select("row.*")
