@@ -10,13 +10,13 @@ from statuta.llm.ship import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; null texts go, repeated rows share their verdict."""
+    """Documents that the quality classifier does not reject; a null text counts as empty, repeated rows share their verdict."""
     ship(spark)
     return factorization.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by 5-word shingles at a Jaccard of 0.8 or more."""
+    """One document, that of the smallest id, of each group linked by 5-word shingles at a Jaccard of 0.8 or more; of repeated rows one."""
     ship(spark)
     return ngram_jaccard.keep_one(docs)
 
@@ -40,7 +40,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("secret scans", without_secrets), ("mixing sources", mixed), ("SentencePiece", encoded)]
 
-#: SQL cannot train the classifier, so the stages are tested one by one against brute force.
+#: SQL cannot train the classifier; tests/llm/test_pipeline.py compares each stage's rows with a plain version.
 ORACLE_SQL = None
 
 
