@@ -39,19 +39,19 @@ def _place(low: Column, marker: Column, match: str) -> Column:
     return F.instr(low, marker) - 1
 
 
-def modality(text: Column, lexicon: dict[str, list[str]] | None = None, match: str = "substring") -> Column:
-    """(prio, no, klass, marker, start, stop) of the first class by priority that hits, its longest marker first; else null."""
-    lexicon = lexicon or LEXICON
+def first_modality(low: Column, lexicon: dict[str, list[str]], match: str = "substring") -> Column:
+    """modality of a lower-cased text. Markers stand in order of preference, and the first that is there ends the search."""
 
-    def first_of(low: Column) -> Column:
-        # markers in order of preference: the first that is there ends the search
-        def hit(i: int, j: int, k: str, m: str) -> Column:
-            at = _place(low, F.lit(m), match).cast("int")
-            return F.when(F.contains(low, F.lit(m)) if match == "substring" else at >= 0, F.struct(F.lit(i).alias("prio"), F.lit(j).alias("no"), F.lit(k).alias("klass"), F.lit(m).alias("marker"), at.alias("start"), (at + len(m)).alias("stop")))
+    def hit(i: int, j: int, k: str, m: str) -> Column:
+        at = _place(low, F.lit(m), match).cast("int")
+        return F.when(F.contains(low, F.lit(m)) if match == "substring" else at >= 0, F.struct(F.lit(i).alias("prio"), F.lit(j).alias("no"), F.lit(k).alias("klass"), F.lit(m).alias("marker"), at.alias("start"), (at + len(m)).alias("stop")))
 
-        return F.coalesce(*[hit(i, j, k, m) for i, k in enumerate(CLASSES) for j, m in enumerate(longest_first(lexicon[k]))])
+    return F.coalesce(*[hit(i, j, k, m) for i, k in enumerate(CLASSES) for j, m in enumerate(longest_first(lexicon[k]))])
 
-    return let(F.lower(text), first_of)
+
+def modality(text: Column, lexicon: dict[str, list[str]] | None = None, match: str = "substring") -> Column:
+    """(prio, no, klass, marker, start, stop) of the first class by priority that hits, its longest marker first; else null."""
+    return let(F.lower(text), lambda low: first_modality(low, lexicon or LEXICON, match))
 
 
 def confidence(klass: Column, marker: Column) -> Column:
@@ -65,22 +65,27 @@ def or_default(hit: Column) -> Column:
     return F.struct(F.coalesce(hit["klass"], F.lit("obligation")).alias("klass"), F.coalesce(hit["marker"], F.lit("")).alias("marker"), F.coalesce(hit["start"], F.lit(-1)).alias("start"), F.coalesce(hit["stop"], F.lit(-1)).alias("stop"), F.when(hit.isNull(), F.lit(0.1)).otherwise(confidence(hit["klass"], hit["marker"])).alias("confidence"))
 
 
-def hits(text: Column, markers: list[str]) -> Column:
-    """All occurrences, overlapping ones too, as sorted (start, shorter, stop, marker): by start, then longest first."""
+def present(low: Column, markers: list[str]) -> Column:
+    """The markers that a lower-cased text holds."""
+    return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
 
-    def of(low: Column) -> Column:
-        present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
 
-        def all_of(m: Column) -> Column:
-            # pieces that begin where the marker does, but for the first, which may begin before any
-            sizes = F.transform(F.split(low, F.concat(F.lit(r"(?=\Q"), m, F.lit(r"\E)")), -1), lambda x: F.length(x))
-            places = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
-            kept = F.when(F.startswith(low, m), places).otherwise(F.slice(places, F.lit(2), F.size(places)))
-            return F.transform(kept, lambda p: F.struct(p.alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).alias("stop"), m.alias("marker")))
+def hits_of(low: Column, held: Column) -> Column:
+    """hits of a lower-cased text from the markers that it holds."""
 
-        return F.array_sort(F.flatten(F.transform(present, all_of)))
+    def all_of(m: Column) -> Column:
+        # pieces that begin where the marker does, but for the first, which may begin before any
+        sizes = F.transform(F.split(low, F.concat(F.lit(r"(?=\Q"), m, F.lit(r"\E)")), -1), lambda x: F.length(x))
+        places = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        kept = F.when(F.startswith(low, m), places).otherwise(F.slice(places, F.lit(2), F.size(places)))
+        return F.transform(kept, lambda p: F.struct(p.alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).alias("stop"), m.alias("marker")))
 
-    return let(F.lower(text), of)
+    return F.array_sort(F.flatten(F.transform(held, all_of)))
+
+
+def hits(text: Column, markers: list[str]) -> Column:
+    """All occurrences, overlapping ones too, as sorted (start, shorter, stop, marker): by start, then longest first."""
+    return let(F.lower(text), lambda low: hits_of(low, present(low, markers)))
 
 
 def clause_end(text: Column, start: Column) -> Column:
@@ -119,14 +124,13 @@ def exception(text: Column, found: Column) -> Column:
     return _first_span(found, text, lambda h: F.lit(True), lambda h: clause_end(text, h["stop"]))
 
 
-def actor_hit(text: Column, markers: list[str]) -> Column:
-    """The actor marker that stands first, the longest of those at one place: (start, shorter, stop) or null."""
+def first_actor(low: Column, held: Column) -> Column:
+    return F.array_min(F.transform(held, lambda m: F.struct((F.instr(low, m) - 1).alias("start"), (-F.length(m)).alias("shorter"), (F.instr(low, m) - 1 + F.length(m)).alias("stop"))))
 
-    def of(low: Column) -> Column:
-        present = F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
-        return F.array_min(F.transform(present, lambda m: F.struct((F.instr(low, m) - 1).alias("start"), (-F.length(m)).alias("shorter"), (F.instr(low, m) - 1 + F.length(m)).alias("stop"))))
 
-    return let(F.lower(text), of)
+def actor_hit(text: Column, markers: list[str]) -> Column:
+    """The actor marker that stands first, the longest of those at one place: (start, shorter, stop) or null."""
+    return let(F.lower(text), lambda low: first_actor(low, present(low, markers)))
 
 
 def actor(text: Column, hit: Column, start: Column, compat: bool = True) -> Column:
@@ -177,11 +181,12 @@ def extract(sentences: DataFrame, text_col: str = "text", lexicon: dict[str, lis
 
     One projection: the lexicon is literal, so no rows are multiplied and nothing is shuffled.
     """
-    lexicon, text = lexicon or LEXICON, F.col(text_col)
-    rows = sentences.withColumn("_m", modality(text, lexicon)).withColumns({f"_{k}": hits(text, lexicon[k]) for k in ("condition", "constraint", "exception")}).withColumn("_actor", actor_hit(text, lexicon["actor"]))
+    lexicon, text, low = lexicon or LEXICON, F.col(text_col), F.col("_low")
+    rows = sentences.withColumn("_low", F.lower(text)).withColumn("_m", let(low, lambda x: first_modality(x, lexicon)))
+    rows = rows.withColumns({f"_{k}": hits_of(low, present(low, lexicon[k])) for k in ("condition", "constraint", "exception")}).withColumn("_actor", first_actor(low, present(low, lexicon["actor"])))
     m, a = F.col("_m"), F.col("_actor")
     rows = rows.withColumns({"condition": let(m, lambda x: condition(text, F.col("_condition"), x["start"])["text"]), "constraint": let(m, lambda x: constraint(text, F.col("_constraint"), x["start"])["text"]), "exception": exception(text, F.col("_exception"))["text"], "actor": let(F.struct(m.alias("m"), a.alias("a")), lambda x: actor(text, x["a"], x["m"]["start"]))})
     cut = F.struct(F.col("_m.stop").alias("stop"), "exception", "constraint", "condition")
     rows = rows.withColumn("action", let(cut, lambda x: action(text, x["stop"], x["exception"], x["constraint"], x["condition"])))
     known = F.col("_m").isNotNull()
-    return rows.withColumns({c: F.when(known, F.nullif(F.col(c), F.lit(""))) for c in ("actor", "action", "condition", "constraint", "exception")}).withColumn("modality", F.col("_m.klass")).withColumn("marker", F.col("_m.marker")).drop("_m", "_condition", "_constraint", "_exception", "_actor")
+    return rows.withColumns({c: F.when(known, F.nullif(F.col(c), F.lit(""))) for c in ("actor", "action", "condition", "constraint", "exception")}).withColumn("modality", F.col("_m.klass")).withColumn("marker", F.col("_m.marker")).drop("_low", "_m", "_condition", "_constraint", "_exception", "_actor")
