@@ -287,7 +287,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     store.drop(texts, signed, posted)
 
     classes = made.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    named = classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    # written, so that the join back is one of two shuffles, in which Spark splits a class of very many copies
+    named = store.table(classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")))
     return made.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
