@@ -249,21 +249,22 @@ def most_frequent(counts: DataFrame, n: int) -> DataFrame:
     return kept.orderBy(F.desc("c"), "word").limit(n)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = 2, shares: tuple[int, ...] = (64, 32, 16, 8), chunk_bytes: int = 12_000_000, seed: int = 5) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+@dataclass
+class Learned:
+    """A model with the words that have a class of their own, tokens (n) and distinct words (v) of each class, and counts, the
+    table (word, c) of all training tokens."""
 
-    Tokens are lower-cased words and one end a text; a null text is empty and has the end alone. base_score is the add-one
-    unigram log10 probability with one place for unknown words, score that of the hidden Markov model, in which a word
-    of class C has (c + 1) / (N_C + V_C + 1) of it. All counts cover all training rows. Baum-Welch begins from the class
-    frequencies of the corpus, passes over growing shares of the training rows (one row in shares[0], then in shares[1]
-    and so on, dealt by a hash of the id), then `rounds` times over all of them. Rows are scored one by one, repeated rows too; a null id counts as held out. Extra columns are
-    ignored; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("train", training(F.col("id")))
+    model: Model
+    own: np.ndarray
+    class_n: np.ndarray
+    class_v: np.ndarray
+    counts: DataFrame
+
+
+def learn(rows: DataFrame, states: int, rounds: int, shares: tuple[int, ...], seed: int) -> Learned:
+    """What score learns from the training rows of (id, text, train)."""
+    spark = rows.sparkSession
     counts = store.table(token_counts(rows))
-    total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    n, v = int(total[0] or 0), int(total[1])
     top = most_frequent(counts.where(F.col("word") != END), OWN).select("word")
     own = np.sort(np.array([r.word for r in top.collect()], np.int64))  # OWN words at most
     mine = spark.createDataFrame(pd.DataFrame({"word": own, "k": np.arange(1, len(own) + 1)}), "word long, k int")
@@ -282,6 +283,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
         store.drop(part)
     for _ in range(rounds):
         m = baum_welch(rows, m, own, prior)
+    return Learned(m, own, class_n, class_v, counts)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = 2, shares: tuple[int, ...] = (64, 32, 16, 8), chunk_bytes: int = 12_000_000, seed: int = 5) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    Tokens are lower-cased words and one end a text; a null text is empty and has the end alone. base_score is the add-one
+    unigram log10 probability with one place for unknown words, score that of the hidden Markov model, in which a word
+    of class C has (c + 1) / (N_C + V_C + 1) of it. All counts cover all training rows. Baum-Welch begins from the class
+    frequencies of the corpus, passes over growing shares of the training rows (one row in shares[0], then in shares[1]
+    and so on, dealt by a hash of the id), then `rounds` times over all of them. Rows are scored one by one, repeated rows too; a null id counts as held out. Extra columns are
+    ignored; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("train", training(F.col("id")))
+    found = learn(rows, states, rounds, shares, seed)
+    m, own, class_n, class_v, counts = found.model, found.own, found.class_n, found.class_v, found.counts
+    total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
+    n, v = int(total[0] or 0), int(total[1])
 
     # words meet their counts: runs of texts as read are chunks, each chunk's distinct words join the counts, and come back to it
     held = store.table(chunked(rows.select("id", "train", "text"), chunk_bytes))

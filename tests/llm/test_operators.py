@@ -219,6 +219,34 @@ def test_hmm(docs, empty, texts):
     assert hmm_lm.score(empty).count() == 0
 
 
+def test_hmm_score(docs, texts):
+    """score against a plain forward pass over the learned model, and Baum-Welch raises the likelihood of what it learns from."""
+    rows = docs.select(docs.doc_id.alias("id"), "text", hmm_lm.training(docs.doc_id).alias("train"))
+    found = hmm_lm.learn(rows, 3, 2, (2,), 5)
+    m, count = found.model, {r.word: r.c for r in found.counts.collect()}
+    assert np.allclose(m.emit.sum(axis=1), 1) and np.allclose(m.move.sum(axis=1), 1)
+
+    def tokens(t):
+        for _, _, w, classes, begins in hmm_lm.sequences(__import__("pyarrow").array([t or ""]), found.own):
+            return [*w.hash.view(np.int64).tolist(), hmm_lm.END], classes.tolist()
+
+    def plain(t):
+        words, classes = tokens(t)
+        now = {k: p * m.emit[k, classes[0]] for k, p in enumerate(m.start)}
+        for c in classes[1:]:
+            now = {k: sum(x * m.move[j, k] for j, x in now.items()) * m.emit[k, c] for k in now}
+        inside = sum(np.log10((count.get(w, 0) + 1) / (found.class_n[c] + found.class_v[c] + 1)) for w, c in zip(words, classes, strict=True))
+        return np.log10(sum(now.values())) + inside
+
+    got = {r.doc_id: r.score for r in hmm_lm.score(docs, states=3, rounds=2, shares=(2,)).collect() if r.doc_id is not None}
+    for i, t in enumerate(texts):
+        if len(split(t)) < 80:  # plain probabilities of longer ones are too small
+            assert abs(got[i] - plain(t)) < 1e-6, t
+    less = hmm_lm.learn(rows, 3, 0, (), 5)
+    likelihood = lambda x: sum(hmm_lm.forward(x.model, np.array(tokens(t)[1]), np.array([0, len(tokens(t)[1])]), False)[0][0] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert likelihood(found) > likelihood(less) + 1
+
+
 def test_hmm_forward_is_exact():
     rng = np.random.default_rng(4)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
