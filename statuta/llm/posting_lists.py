@@ -6,7 +6,7 @@ of lists grows with the rows, as their root; centroids are fitted in two levels,
 rest group by group in tasks on a sample in proportion to the lists. Each class goes to the list of its nearest centroid and, near
 a boundary, to some more. Lists are dealt as blocks of candidates and of queries, so a hot list is spread and a task holds
 one block of each. A query walks an in-memory graph of centroids and searches the lists whose distance is within a ratio of the
-nearest's.
+nearest's. How large the ratio must be depends on the data, so it is set by a sample of queries that are searched in full.
 """
 
 from __future__ import annotations
@@ -214,13 +214,49 @@ def best_of(q: np.ndarray, x: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.
     return i[place < k], j[place < k], score[place < k]
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, probe: int = 48, probe_ratio: float = 1.6, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, query_block: int = 1024, seed: int = 3) -> DataFrame:
+@dataclass
+class Pruning:
+    """A query searches the lists within `ratio` of its nearest's distance, `width` at most."""
+
+    ratio: float
+    width: int
+
+
+def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFrame, k: int, cover: float, sample: int) -> Pruning:
+    """The pruning under which the lists searched hold a share `cover` of the true neighbours of a sample of queries.
+
+    The queries of the smallest hashes, `sample` at most, are compared with all classes; each of their k best then tells by
+    how much farther than the nearest list its own nearest to the query is. The work is linear in the rows. Width is twice
+    what the sample's queries need, so that it binds for none but odd ones; the walk holds so many lists a query.
+    """
+    got = asked.select("v", "h").orderBy("h").limit(sample).collect()
+    q = np.array([r.v for r in got])
+    shared = asked.sparkSession.sparkContext.broadcast(q)
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            i, j, score = best_of(shared.value, np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k + 1)
+            yield pd.DataFrame({"q": i, "cid": part["cid"].to_numpy()[j], "least": part["least"].to_numpy()[j], "score": score})
+
+    near = classes.select("cid", "least", "v").mapInPandas(batches, "q int, cid long, least long, score double")
+    true = near.withColumn("no", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("no") <= k + 1)
+    lists = posted.select("cid", "list").join(F.broadcast(true.select("q", "cid")), "cid").groupBy("q", "cid").agg(F.collect_list("list").alias("lists")).toPandas()  # sample * (k + 1) rows at most
+    x = np.pad(q, ((0, 0), (0, 1)))
+    d = np.sqrt(np.maximum(distances(x, ix.centroids) + (x * x).sum(axis=1)[:, None], 0))
+    ratios = d / np.maximum(d.min(axis=1, keepdims=True), 1e-12)
+    need = np.sort([ratios[i, list(at)].min() for i, at in zip(lists["q"], lists["lists"], strict=True)])
+    ratio = float(need[min(len(need) - 1, int(np.ceil(cover * len(need))))]) + 1e-9
+    return Pruning(ratio, int(min(len(ix.centroids), 2 * (ratios <= ratio).sum(axis=1).max())))
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, cover: float = 0.97, sample_queries: int = 256, pruning: Pruning | None = None, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, query_block: int = 1024, seed: int = 3) -> DataFrame:
     """Per query (id divisible by every): its k nearest other rows found, as query_id, rank from 1, id and score.
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Vectors that are null, empty,
     zero or of another length than most, or that hold a null or non-finite component, take no part, nor do null ids. Of rows that repeat
     an id, each distinct vector takes part. All rows are indexed, in one list for list_rows rows or root_lists * sqrt(rows)
-    lists, whichever is less; see fit for its samples. A query for which fewer than k rows are found is searched in all
+    lists, whichever is less; see fit for its samples. Lists are pruned so that about a share `cover` of true neighbours is
+    found, unless a pruning is given; see calibrated. A query for which fewer than k rows are found is searched in all
     lists. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -241,7 +277,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     posted = store.table(assigned(classes, shared, max(copies, 24), copy_ratio, copies).join(classes.select("cid", "least"), "cid"))
     queries = store.table(rows.where(F.col("id") % every == 0).join(classes.select("h", "v", "cid"), ["h", "v"]).select(F.col("id").alias("query_id"), "cid"))
-    asked = store.table(classes.select("cid", "v").join(queries.select("cid").distinct(), "cid", "left_semi"))
+    asked = store.table(classes.select("cid", "h", "v").join(queries.select("cid").distinct(), "cid", "left_semi"))
     pair = "query long, cid long, least long, score double"
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -276,7 +312,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         unique = mine.groupBy("query_id", "id").agg(F.max("score").alias("score"))
         return unique.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
-    best = store.table(answered(assigned(asked, shared, probe, probe_ratio, probe, queries=True)))
+    if not asked.limit(1).count():
+        return nothing
+    pruning = pruning or calibrated(index, asked, classes, posted, k, cover, sample_queries)
+    best = store.table(answered(assigned(asked, shared, pruning.width, pruning.ratio, pruning.width, queries=True)))
     found = store.table(ranked(best).select("query_id", "rank", F.col("id").alias(id_col), "score"))
     enough = found.groupBy("query_id").count().where(F.col("count") >= k)
     rest = store.table(queries.join(enough, "query_id", "left_anti"))

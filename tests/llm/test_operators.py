@@ -147,16 +147,16 @@ def test_posting_lists(spark):
 
 
 def test_posting_lists_prune(spark, empty):
-    """Recall where a query probes less than a tenth of the lists, a third of the rows being one vector."""
+    """Recall where most lists are pruned, a third of the rows being one vector; and with a tenth of the lists at most."""
     rng = np.random.default_rng(12)
     centers = rng.normal(size=(60, 16))
     x = centers[rng.integers(0, 60, 4000)] + 0.45 * rng.normal(size=(4000, 16))
     x[rng.permutation(4000)[:1300]] = x[7]
     ship(spark)
     v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    for blocks in ({}, {"block": 16, "query_block": 8}):
+    for blocks in ({}, {"block": 16, "query_block": 8, "pruning": posting_lists.Pruning(1.6, 16)}):
         by = {}
-        for r in posting_lists.search(v, list_rows=8, root_lists=4.5, list_sample=16, probe=16, **blocks).collect():
+        for r in posting_lists.search(v, list_rows=8, root_lists=4.5, list_sample=16, **blocks).collect():
             by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
         hit = 0
         for q in range(0, 4000, 20):
