@@ -134,7 +134,7 @@ def actor_hit(text: Column, markers: list[str]) -> Column:
 
 
 def actor(text: Column, hit: Column, start: Column, compat: bool = True) -> Column:
-    """The noun phrase of an actor marker before the modality, else the last words before the modality.
+    """The noun phrase of an actor marker before the modality, else the last words before the modality: (text, start, stop) or null.
 
     compat: a determiner is looked for in lower case, so a capital one at the beginning gives an empty actor, as in the
     golden outputs; without it the determiner is taken as it stands.
@@ -151,7 +151,7 @@ def actor(text: Column, hit: Column, start: Column, compat: bool = True) -> Colu
         parts = let(before, lambda b: F.struct(b.alias("before"), F.regexp_extract(b, r"(\S*)$", 1).alias("last")))
         begin = let(parts, lambda x: F.when(F.lower(x["last"]).isin(DETERMINERS), from_word(x)).otherwise(left))
         stop = hit["stop"] + F.length(F.regexp_extract(F.substring(text, hit["stop"] + 1, F.length(text)), r"^[^ ,;.!?]*", 0))
-        return let(begin, lambda n: F.when(n < 0, "").otherwise(F.substring(text, n + 1, stop - n)))
+        return let(begin, lambda n: F.struct(F.when(n < 0, "").otherwise(F.substring(text, n + 1, stop - n)).alias("text"), n.cast("int").alias("start"), stop.cast("int").alias("stop")))
 
     def tail(ahead: Column) -> Column:
         words = F.array_remove(F.split(F.trim(ahead), r"\s+"), "")
@@ -162,7 +162,7 @@ def actor(text: Column, hit: Column, start: Column, compat: bool = True) -> Colu
             return F.array_join(F.reverse(F.slice(w, F.lit(1), at)), " ")
 
         few = let(words, lambda w: F.reverse(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))))
-        return let(let(few, last_of), lambda t: F.when((t != "") & F.contains(ahead, t), t))
+        return let(let(few, last_of), lambda t: F.when((t != "") & F.contains(ahead, t), F.struct(t.alias("text"), (F.instr(ahead, t) - 1).alias("start"), (F.instr(ahead, t) - 1 + F.length(t)).alias("stop"))))
 
     left = hit["start"] - F.length(F.regexp_extract(F.substring(text, F.lit(1), hit["start"]), r"[^ ]*$", 0))
     return F.when(hit["start"] < start, let(left, phrase)).otherwise(let(F.substring(text, F.lit(1), start), tail))
@@ -177,16 +177,26 @@ def action(text: Column, stop: Column, *spans: Column) -> Column:
 
 
 def extract(sentences: DataFrame, text_col: str = "text", lexicon: dict[str, list[str]] | None = None) -> DataFrame:
-    """sentences with modality, marker, actor, action, condition, constraint and exception; all null without a modality.
+    """sentences with modality, marker, actor, action, condition, constraint and exception, all null without a modality, and
+    spans, a struct of (start, stop) of the marker and of each field, null where the field is.
 
-    One projection: the lexicon is literal, so no rows are multiplied and nothing is shuffled.
+    Spans of condition, constraint and exception reach from their marker's end to the end of their clause; an action that does not stand
+    in the text as it is, since spans were taken out of it, has the place where it begins and its own length. One projection:
+    the lexicon is literal, so no rows are multiplied and nothing is shuffled.
     """
     lexicon, text, low = lexicon or LEXICON, F.col(text_col), F.col("_low")
     rows = sentences.withColumn("_low", F.lower(text)).withColumn("_m", let(low, lambda x: first_modality(x, lexicon)))
     rows = rows.withColumns({f"_{k}": hits_of(low, present(low, lexicon[k])) for k in ("condition", "constraint", "exception")}).withColumn("_actor", first_actor(low, present(low, lexicon["actor"])))
     m, a = F.col("_m"), F.col("_actor")
-    rows = rows.withColumns({"condition": let(m, lambda x: condition(text, F.col("_condition"), x["start"])["text"]), "constraint": let(m, lambda x: constraint(text, F.col("_constraint"), x["start"])["text"]), "exception": exception(text, F.col("_exception"))["text"], "actor": let(F.struct(m.alias("m"), a.alias("a")), lambda x: actor(text, x["a"], x["m"]["start"]))})
-    cut = F.struct(F.col("_m.stop").alias("stop"), "exception", "constraint", "condition")
-    rows = rows.withColumn("action", let(cut, lambda x: action(text, x["stop"], x["exception"], x["constraint"], x["condition"])))
-    known = F.col("_m").isNotNull()
-    return rows.withColumns({c: F.when(known, F.nullif(F.col(c), F.lit(""))) for c in ("actor", "action", "condition", "constraint", "exception")}).withColumn("modality", F.col("_m.klass")).withColumn("marker", F.col("_m.marker")).drop("_low", "_m", "_condition", "_constraint", "_exception", "_actor")
+    rows = rows.withColumns({"_c": let(m, lambda x: condition(text, F.col("_condition"), x["start"])), "_k": let(m, lambda x: constraint(text, F.col("_constraint"), x["start"])), "_e": exception(text, F.col("_exception")), "_a": let(F.struct(m.alias("m"), a.alias("a")), lambda x: actor(text, x["a"], x["m"]["start"]))})
+    cut = F.struct(F.col("_m.stop").alias("stop"), F.col("_e.text").alias("e"), F.col("_k.text").alias("k"), F.col("_c.text").alias("c"))
+    rows = rows.withColumn("_action", let(cut, lambda x: action(text, x["stop"], x["e"], x["k"], x["c"])))
+    at = F.instr(F.substring(text, F.col("_m.stop") + 1, F.length(text)), F.col("_action"))
+    begin = let(F.struct(at.alias("at"), F.col("_m.stop").alias("stop")), lambda x: x["stop"] + F.greatest(x["at"] - 1, F.lit(0)))
+    rows = rows.withColumn("_x", let(begin, lambda n: F.struct(F.col("_action").alias("text"), n.alias("start"), (n + F.length("_action")).alias("stop"))))
+    fields = {"actor": "_a", "action": "_x", "condition": "_c", "constraint": "_k", "exception": "_e"}
+    there = {f: F.col("_m").isNotNull() & (F.coalesce(F.col(f"{c}.text"), F.lit("")) != "") for f, c in fields.items()}
+    span = lambda c: F.struct(F.col(f"{c}.start").alias("start"), F.col(f"{c}.stop").alias("stop"))
+    spans = [F.when(m.isNotNull(), span("_m")).alias("modality"), *[F.when(there[f], span(c)).alias(f) for f, c in fields.items()]]
+    rows = rows.withColumns({f: F.when(there[f], F.col(f"{c}.text")) for f, c in fields.items()} | {"modality": F.col("_m.klass"), "marker": F.col("_m.marker"), "spans": F.struct(*spans)})
+    return rows.drop("_low", "_m", "_condition", "_constraint", "_exception", "_actor", "_action", *fields.values())

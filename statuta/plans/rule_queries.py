@@ -83,28 +83,32 @@ def lex_actor_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("a is not null").select("rule_id", "a.start", "a.stop")
 
 
-def _spans(kind: str, where: str, stop: str) -> str:
+def _spans(kind: str, where: str, stop: str, columns: str = "rule_id, span") -> str:
     end = lambda s: f"(CASE WHEN regexp_matches(substr(text, {s} + 1), '[.!?]') THEN {s} + length(regexp_extract(substr(text, {s} + 1), '^[^.!?]*')) WHEN length(regexp_extract(substr(text, {s} + 1), '^;?[^,;]*')) < length(text) - {s} THEN {s} + length(regexp_extract(substr(text, {s} + 1), '^;?[^,;]*')) ELSE length(text) END)"
-    return f"""{_HITS}, s AS (SELECT h.rule_id, h.start, h.len, h.stop, trim(substr(h.text, h.stop + 1, greatest({stop.format(end=end('h.stop').replace('text', 'h.text'), here=end('h.start').replace('text', 'h.text'))} - h.stop, 0)), ' ,;') AS span
+    upto = stop.format(end=end('h.stop').replace('text', 'h.text'), here=end('h.start').replace('text', 'h.text'))
+    return f"""{_HITS}, s AS (SELECT h.rule_id, h.start, h.len, h.stop AS b, {upto} AS e, trim(substr(h.text, h.stop + 1, greatest({upto} - h.stop, 0)), ' ,;') AS span
   FROM hits h JOIN mod USING (rule_id) WHERE h.kind = '{kind}' AND {where}),
-f AS (SELECT rule_id, span, row_number() OVER (PARTITION BY rule_id ORDER BY start, len DESC) AS rn FROM s WHERE span <> '') SELECT rule_id, span FROM f WHERE rn = 1"""
+f AS (SELECT rule_id, span, b, e, row_number() OVER (PARTITION BY rule_id ORDER BY start, len DESC) AS rn FROM s WHERE span <> '') SELECT {columns} FROM f WHERE rn = 1"""
+
+
+_WHERE = {"condition": ("h.start < mod.start", "least({end}, mod.start)"), "constraint": ("h.start >= mod.start", "{here}"), "exception": ("true", "{end}")}
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.extract(corpus(spark, sf_dir, "rules").select("rule_id", "text"))
 
 
-@query(_spans("condition", "h.start < mod.start", "least({end}, mod.start)"))
+@query(_spans("condition", *_WHERE["condition"]))
 def lex_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).where("condition is not null").select("rule_id", F.col("condition").alias("span"))
 
 
-@query(_spans("constraint", "h.start >= mod.start", "{here}"))
+@query(_spans("constraint", *_WHERE["constraint"]))
 def lex_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).where(F.col("constraint").isNotNull()).select("rule_id", F.col("constraint").alias("span"))
 
 
-@query(_spans("exception", "true", "{end}"))
+@query(_spans("exception", *_WHERE["exception"]))
 def lex_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).where("exception is not null").select("rule_id", F.col("exception").alias("span"))
 
@@ -118,17 +122,17 @@ a4 AS (SELECT *, CASE WHEN word IN ({_DET}) THEN CASE WHEN back > 0 THEN length(
 a5 AS (SELECT *, list_reverse(list_filter(string_split_regex(trim(substr(text, 1, m)), '\\s+'), lambda x: x <> '')[-3:]) AS w FROM a4),
 a6 AS (SELECT *, coalesce(nullif(list_position(list_transform(w, lambda x: lower(x) IN ({_AUX}) AND NOT regexp_matches(x, '^\\p{{Lu}}')), true), 0), len(w) + 1) - 1 AS upto FROM a5),
 a7 AS (SELECT *, array_to_string(list_reverse(w[1:upto]), ' ') AS tail FROM a6),
-actors AS (SELECT rule_id, nullif(CASE WHEN s < m THEN CASE WHEN b < 0 THEN '' ELSE substr(text, b + 1, z - b) END ELSE CASE WHEN tail <> '' AND contains(substr(text, 1, m), tail) THEN tail END END, '') AS actor FROM a7)"""
-_PARTS = ", ".join(f'{k[:4]} AS ({sql})' for k, sql in (("condition", SQL["lex_condition"]), ("straint", SQL["lex_constraint"]), ("exception", SQL["lex_exception"])))
+actors AS (SELECT rule_id, CASE WHEN s < m THEN b ELSE instr(substr(text, 1, m), tail) - 1 END AS b, CASE WHEN s < m THEN z ELSE instr(substr(text, 1, m), tail) - 1 + length(tail) END AS e, nullif(CASE WHEN s < m THEN CASE WHEN b < 0 THEN '' ELSE substr(text, b + 1, z - b) END ELSE CASE WHEN tail <> '' AND contains(substr(text, 1, m), tail) THEN tail END END, '') AS actor FROM a7)"""
+_PARTS = ", ".join(f'{name} AS ({_spans(k, *_WHERE[k], "rule_id, span, b, e")})' for name, k in (("cond", "condition"), ("stra", "constraint"), ("exce", "exception")))
 
 
 def _without(text: str, span: str) -> str:
     return f"CASE WHEN {span} IS NULL THEN {text} ELSE replace({text}, {span}, '') END"
 
 
-_ACTIONS = f"""{_ACTORS}, {_PARTS}, w0 AS (SELECT mod.rule_id, mod.klass, substr(mod.text, mod.stop + 1) AS rest, cond.span AS cs, stra.span AS ks, exce.span AS es FROM mod LEFT JOIN cond ON cond.rule_id = mod.rule_id LEFT JOIN stra ON stra.rule_id = mod.rule_id LEFT JOIN exce ON exce.rule_id = mod.rule_id),
+_ACTIONS = f"""{_ACTORS}, {_PARTS}, w0 AS (SELECT mod.rule_id, mod.klass, mod.text, mod.start AS ms, mod.stop AS me, cond.b AS cb, cond.e AS ce, stra.b AS kb, stra.e AS ke, exce.b AS eb, exce.e AS ee, substr(mod.text, mod.stop + 1) AS rest, cond.span AS cs, stra.span AS ks, exce.span AS es FROM mod LEFT JOIN cond ON cond.rule_id = mod.rule_id LEFT JOIN stra ON stra.rule_id = mod.rule_id LEFT JOIN exce ON exce.rule_id = mod.rule_id),
 w1 AS (SELECT *, {_without('rest', 'es')} AS r1 FROM w0), w2 AS (SELECT *, {_without('r1', 'ks')} AS r2 FROM w1), w3 AS (SELECT *, {_without('r2', 'cs')} AS r3 FROM w2),
-whole AS (SELECT w3.rule_id, klass AS modality, actor, nullif(trim(regexp_replace(trim(r3, ' ,;.' || chr(9)), '{L.CONNECTORS}', '')), '') AS action, cs AS condition, ks AS "constraint", es AS "exception" FROM w3 JOIN actors ON actors.rule_id = w3.rule_id)"""
+whole AS (SELECT klass AS modality, actor, nullif(trim(regexp_replace(trim(r3, ' ,;.' || chr(9)), '{L.CONNECTORS}', '')), '') AS action, cs AS condition, ks AS "constraint", es AS "exception", w3.*, actors.b AS ab, actors.e AS ae FROM w3 JOIN actors ON actors.rule_id = w3.rule_id)"""
 
 
 @query(f"{_ACTORS} SELECT rule_id, actor FROM actors WHERE actor IS NOT NULL")
@@ -147,6 +151,17 @@ def lex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).select("rule_id", *FIELDS)
 
 
+_AT = "me + greatest(instr(substr(text, me + 1), action) - 1, 0)"
+
+
+@query(f"""{_ACTIONS}, p AS (SELECT rule_id, unnest([{{'f': 'modality', 'b': ms, 'e': me}}, {{'f': CASE WHEN actor IS NOT NULL THEN 'actor' END, 'b': ab, 'e': ae}}, {{'f': CASE WHEN action IS NOT NULL THEN 'action' END, 'b': {_AT}, 'e': {_AT} + length(action)}}, {{'f': CASE WHEN cs IS NOT NULL THEN 'condition' END, 'b': cb, 'e': ce}},
+{{'f': CASE WHEN ks IS NOT NULL THEN 'constraint' END, 'b': kb, 'e': ke}}, {{'f': CASE WHEN es IS NOT NULL THEN 'exception' END, 'b': eb, 'e': ee}}]) AS x FROM whole) SELECT rule_id, x.f AS field, x.b::INT AS start, x.e::INT AS stop FROM p WHERE x.f IS NOT NULL""")
+def lex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each field of a sentence stands."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"spans.{f}").alias("s")) for f in FIELDS])
+    return _extracted(spark, sf_dir).select("rule_id", F.explode(each).alias("x")).where("x.s is not null").select("rule_id", "x.field", "x.s.start", "x.s.stop")
+
+
 # Corpus building.
 _SENT = "s AS (SELECT doc_id, u.pos - 1 AS pos, trim(regexp_replace(u.x, '^\\s+|\\s+$', '', 'g')) AS sentence FROM documents, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\n+')) WITH ORDINALITY u(x, pos)), sentences AS (SELECT * FROM s WHERE sentence <> '')"
 
