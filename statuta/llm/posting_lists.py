@@ -125,15 +125,15 @@ def fit(rows: DataFrame, count: int, length2: float, lists: int, list_sample: in
     return Index(centroids, np.concatenate((np.stack(found["near"].to_numpy()).astype(np.int64).reshape(len(centroids), near), ring), axis=1), coarse, entry, length2)
 
 
-def search_centroids(ix: Index, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def search_centroids(ix: Index, x: np.ndarray, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroids that a best-first walk of the graph finds for each row: (ids, squared distances), ascending.
 
     Each row holds its `width` best so far, beginning with the lists near its nearest coarse centroids, and opens the
-    nearest not opened yet, until all are. All rows step at once; a step costs the neighbours of one centroid a row, and
+    nearest not opened yet, as long as it lies within `ratio` of the nearest's distance. All rows step at once; a step costs the neighbours of one centroid a row, and
     nothing is kept for centroids that fell behind.
     """
     rows, width = len(x), min(width, len(ix.centroids))
-    norm = (ix.centroids * ix.centroids).sum(axis=1)
+    norm, own = (ix.centroids * ix.centroids).sum(axis=1), (x * x).sum(axis=1)
     first = np.argsort(distances(x, ix.coarse), axis=1)[:, : min(4, len(ix.coarse))]
     ids = np.full((rows, width), -1)
     dist = np.full((rows, width), np.inf)
@@ -158,12 +158,13 @@ def search_centroids(ix: Index, x: np.ndarray, width: int) -> tuple[np.ndarray,
     while len(active):
         open_d = np.where(opened[active], np.inf, dist[active])
         at = np.argmin(open_d, axis=1)
-        go = np.isfinite(open_d[np.arange(len(active)), at])
+        least = np.maximum(dist[active].min(axis=1) + own[active], 0)
+        go = open_d[np.arange(len(active)), at] + own[active] <= ratio * ratio * least + 1e-9
         active, at = active[go], at[go]
         opened[active, at] = True
         if len(active):
             merge(active, ix.graph[ids[active, at]])
-    found = np.where(ids >= 0, dist + (x * x).sum(axis=1)[:, None], np.inf)
+    found = np.where(ids >= 0, dist + own[:, None], np.inf)
     return np.maximum(ids, 0), np.maximum(found, 0)
 
 
@@ -180,7 +181,7 @@ def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queri
                 some = part.iloc[a : a + step]
                 x = np.stack(some["v"].to_numpy()).astype(float)
                 x = np.pad(x, ((0, 0), (0, 1))) if queries else lifted(x, ix.length2)
-                ids, d = search_centroids(ix, x, width)
+                ids, d = search_centroids(ix, x, width, ratio)
                 near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-9
                 near[:, most:] = False
                 r, k = np.nonzero(near)
@@ -226,8 +227,8 @@ def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFram
     """The pruning under which the lists searched hold a share `cover` of the true neighbours of a sample of queries.
 
     The queries of the smallest hashes, `sample` at most, are compared with all classes; each of their k best then tells by
-    how much farther than the nearest list its own nearest to the query is. The work is linear in the rows. Width is twice
-    what the sample's queries need, so that it binds for none but odd ones; the walk holds so many lists a query.
+    how much farther than the nearest list its own nearest to the query is. The work is linear in the rows. Width is one and a
+    half times what the sample's queries need at most, so that it binds for none but odd ones; the walk holds so many lists a query.
     """
     got = asked.select("v", "h").orderBy("h").limit(sample).collect()
     q = np.array([r.v for r in got])
@@ -246,10 +247,10 @@ def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFram
     ratios = d / np.maximum(d.min(axis=1, keepdims=True), 1e-12)
     need = np.sort([ratios[i, list(at)].min() for i, at in zip(lists["q"], lists["lists"], strict=True)])
     ratio = float(need[min(len(need) - 1, int(np.ceil(cover * len(need))))]) + 1e-9
-    return Pruning(ratio, int(min(len(ix.centroids), 2 * (ratios <= ratio).sum(axis=1).max())))
+    return Pruning(ratio, int(min(len(ix.centroids), np.ceil(1.5 * (ratios <= ratio).sum(axis=1).max()))))
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, cover: float = 0.97, sample_queries: int = 256, pruning: Pruning | None = None, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, query_block: int = 1024, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, cover: float = 0.95, sample_queries: int = 256, pruning: Pruning | None = None, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, query_block: int = 1024, seed: int = 3) -> DataFrame:
     """Per query (id divisible by every): its k nearest other rows found, as query_id, rank from 1, id and score.
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Vectors that are null, empty,
