@@ -127,7 +127,7 @@ def fit(rows: DataFrame, max_rows: int = 4000, rank: int = 8, epochs: int = 6, b
                 yield pa.RecordBatch.from_arrays([*(part.column(k).slice(a, b - a) for k in range(3)), W.lists(i, begins, pa.int32()), W.lists(x, begins, pa.float32())], schema=kind)
 
     # features are made where the texts are; what is ordered and sent on is bounded
-    made = rows.select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "label", "text", "n_chars").mapInArrow(run, "h long, t long, label double, ids array<int>, vals array<float>")
+    made = rows.select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "label", "text", "n_chars").mapInArrow(W.releasing(run), "h long, t long, label double, ids array<int>, vals array<float>")
     got = made.orderBy("h", "label", "t").limit(max_rows).toArrow().sort_by([("h", "ascending"), ("label", "ascending"), ("t", "ascending")])
     if not got.num_rows:
         return Model(0.0, np.zeros(FEATURES, np.float32), np.zeros((FEATURES, rank), np.float32))
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     n_chars = F.col(chars_col).cast("double") if chars_col in docs.columns else F.lit(None).cast("double")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), n_chars.alias("n"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(W.releasing(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", folds: int = 5, max_rows: int = 4000) -> DataFrame:
@@ -206,4 +206,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 raw, _ = raw_scores(m, *featurize(data, offsets, n_chars))
                 yield rows.filter(pa.array(sigmoid(raw.astype(np.float64)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.releasing(run), docs.schema)

@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if kept:
             yield merged()
 
-    return docs.where("train").select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.where("train").select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(W.releasing(run), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def class_of(words: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def baum_welch(rows: DataFrame, m: Model, own: np.ndarray, prior: np.ndarray) ->
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], names=["cell", "x"])
 
-    sums = rows.where("train").select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum(F.round(F.col("x") * 1e6).cast("decimal(38,0)")).cast("double").alias("x"))
+    sums = rows.where("train").select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(W.releasing(run), "cell int, x double").groupBy("cell").agg(F.sum(F.round(F.col("x") * 1e6).cast("decimal(38,0)")).cast("double").alias("x"))
     got = sums.toPandas()  # one number a parameter
     if not len(got):
         return m
@@ -204,7 +204,7 @@ def chunked(rows: DataFrame, chunk_bytes: int) -> DataFrame:
                 seen += len(data)
                 yield pa.RecordBatch.from_arrays([chunk, *(batch.column(i).slice(a, b - a) for i in range(3))], schema=kind)
 
-    return rows.mapInArrow(run, "chunk long, id long, train boolean, text string")
+    return rows.mapInArrow(W.releasing(run), "chunk long, id long, train boolean, text string")
 
 
 def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     # words meet their counts: runs of texts as read are chunks, each chunk's distinct words join the counts, and come back to it
     held = store.table(chunked(rows.select("id", "train", "text"), chunk_bytes))
     shared = spark.sparkContext.broadcast((m, own, class_n, class_v))
-    asked = held.select("chunk", "text").mapInArrow(distinct_words, "chunk long, word long")
+    asked = held.select("chunk", "text").mapInArrow(W.releasing(distinct_words), "chunk long, word long")
     answered = asked.join(counts, "word").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("word", "c"))).alias("t"))
     known = answered.select("chunk", F.transform("t", lambda x: x["word"]).alias("words"), F.transform("t", lambda x: x["c"]).alias("counts"))
     end_count = counts.where(F.col("word") == END).select("c").first()

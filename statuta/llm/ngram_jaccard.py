@@ -91,7 +91,7 @@ def features(docs: DataFrame, n: int, percent: int, wanted: str) -> DataFrame:
                     columns.append(pa.array([x.tobytes() for x in signatures(values, begins)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return docs.mapInArrow(run, ", ".join(["id long, n int, f1 long, f2 long", *(f"{x[0]} {x[2]}" for x in extra)]))
+    return docs.mapInArrow(W.releasing(run), ", ".join(["id long, n int, f1 long, f2 long", *(f"{x[0]} {x[2]}" for x in extra)]))
 
 
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def in_groups(rows: DataFrame, keys: list[str], settle, schema: str, order: tupl
         if rest is not None:
             yield settle(rest)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(W.releasing(run), schema)
 
 
 def cuts_of(rows: pa.Table, keys: list[str]) -> np.ndarray:

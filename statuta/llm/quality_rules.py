@@ -198,7 +198,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(verdict == len(ordered)), pa.array(names, pa.string())], schema=kind)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, kept boolean, rejected_by string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(W.releasing(run), "id long, kept boolean, rejected_by string").withColumnRenamed("id", id_col)
 
 
 def sample_texts(docs: DataFrame, text_col: str, sample_rows: int, sample_chars: int) -> list[str]:
@@ -232,4 +232,4 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in (n, t.word_chars(), t.n_symbols(), t.lines()[1], repeated)), pa.array(failed), pa.array(~failed & (verdict == len(ordered))), pa.array(names, pa.string())], schema=kind)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(W.releasing(run), "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string").withColumnRenamed("id", id_col)

@@ -302,7 +302,7 @@ def chunked(rows: DataFrame, chunk: int, longest: int) -> DataFrame:
                     columns = [pa.array([row] * len(some), pa.int64()), pa.array(range(g, g + len(some)), pa.int32()), pa.array([b - a for a, b in some], pa.int32()), pa.array([t[a : b + longest - 1] for a, b in some], pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["row", "k", "n", "s"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, k int, n int, s string")
+    return rows.select("row", "text").mapInArrow(W.releasing(run), "row long, k int, n int, s string")
 
 
 def scan(spark, chunks: DataFrame, shared, longest: int) -> DataFrame:
@@ -347,7 +347,7 @@ def scan(spark, chunks: DataFrame, shared, longest: int) -> DataFrame:
         found = walk([read(m) for m in part["m"]], np.frombuffer(part["start"].iloc[0], np.int64), int(part["leave"].iloc[0]))
         return pd.DataFrame({"row": part["row"], "k": part["k"], "entry": [x[1] for x in found], "leave": [x[2] for x in found]})
 
-    made = store.table(chunks.select("row", "k", "n", "s").mapInPandas(matrices, "row long, k int, m binary")).withColumn("g", F.floor(F.col("k") / SEGMENT).cast("int"))
+    made = store.table(chunks.select("row", "k", "n", "s").mapInPandas(W.releasing(matrices), "row long, k int, m binary")).withColumn("g", F.floor(F.col("k") / SEGMENT).cast("int"))
     products = made.groupBy("row", "g").applyInPandas(multiply, "row long, g int, m binary")
     ends = products.groupBy("row").applyInPandas(over_segments, "row long, g int, start binary, leave int")
     return made.join(ends, ["row", "g"]).groupBy("row", "g").applyInPandas(over_chunks, "row long, k int, entry int, leave int")
@@ -380,7 +380,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(same, pa.bool_())], schema=kind)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(whole, "id long, ids array<int>, round_trip boolean")
+    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(W.releasing(whole), "id long, ids array<int>, round_trip boolean")
 
     long = store.table(rows.where(F.length("text") > giant).select(F.monotonically_increasing_id().alias("row"), "id", "text"))
     chunks = store.table(chunked(long, chunk, v.longest).repartition("row", "k"))
@@ -394,7 +394,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
             same = [b"".join(v.texts[t] for t in x).decode() == s[i : n + j] for x, s, n, i, j in zip(ids, part["s"], part["n"], part["entry"], part["leave"], strict=True)]
             yield pd.DataFrame({"row": part["row"], "k": part["k"], "ids": [np.array(x, np.int32) for x in ids], "same": same})
 
-    traced = chunks.join(ends, ["row", "k"]).select("row", "k", "n", "s", "entry", "leave").mapInPandas(trace, "row long, k int, ids array<int>, same boolean")
+    traced = chunks.join(ends, ["row", "k"]).select("row", "k", "n", "s", "entry", "leave").mapInPandas(W.releasing(trace), "row long, k int, ids array<int>, same boolean")
     parts = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("same").alias("round_trip"))
     giants = long.select("row", "id").join(parts, "row").select("id", "ids", "round_trip")
     out = short.unionByName(giants)
@@ -411,4 +411,4 @@ def decode_ids(tokens: DataFrame, model_file: str, id_col: str = "doc_id", ids_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     rows = tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(W.releasing(run), "id long, text string").withColumnRenamed("id", id_col)

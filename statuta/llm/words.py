@@ -6,8 +6,10 @@ A word is a maximal run of bytes other than space and 0x09-0x0D, which in UTF-8
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,24 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def releasing(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's generator that, once done, gives freed memory back to the machine: Python workers outlive their tasks, and what
+    their allocators keep would count against the executor in later stages."""
+
+    @wraps(run)
+    def task(*args) -> Iterator:
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers (the finalizer of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
