@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from statuta.functions.strings import let
 
-# Modality markers by priority, and constraint markers.
+# Modality markers by priority, constraint markers, outer marks, and what a definition looks like.
 MARKERS = ["no person shall", "shall not", "must not", "shall", "must", "may"]
 CONSTRAINTS = ["within", "before", "after", "only if", "provided that"]
 TRAILING = ".,;:!? \t"
+DEFINITION = r'(?i)\b\w+\s+means\b|\b\w+\s+is\s+(a|an|the)\b|^\s*"[^"]+"\s*(means|refers to|denotes)'
 # The class of each marker, and the confidence of each field.
 CLASSES = {"no person shall": "prohibition", "shall not": "prohibition", "must not": "prohibition", "shall": "obligation", "must": "obligation", "may": "permission"}
 CONFIDENCE = {"modality": 1.0, "actor": 0.95, "agent": 0.92, "action": 0.88, "condition": 0.9, "constraint": 0.85, "exception": 0.85}
@@ -88,7 +89,7 @@ def exception(text: Column, after: Column) -> Column:
 
 
 def looks_like_definition(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(r'(?i)\b\w+\s+means\b|\b\w+\s+is\s+(a|an|the)\b|^\s*"[^"]+"\s*(means|refers to|denotes)'))
+    return F.regexp_like(text, F.lit(DEFINITION))
 
 
 def _from(text: Column, at: Column) -> Column:
