@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statuta.llm import extendible_shards, factorization, hmm_lm, html_layout, ngram_jaccard, posting_lists, quality_rules, secrets, sentencepiece_scan, source_mixing
+from statuta.llm import best_fit_packing, extendible_shards, factorization, fill_in_middle, hmm_lm, html_layout, ngram_jaccard, posting_lists, quality_rules, secrets, sentencepiece_scan, source_divergence, source_mixing
 from statuta.llm.ship import ship
 
 
 #: The SentencePiece model of the encoding query.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: The tokenizer whose ids are packed.
+TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(documents(spark, sf_dir), MODEL_FILE)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(documents(spark, sf_dir), TOKENIZER_FILE)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(documents(spark, sf_dir))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": fill_in_middle.restored()}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(F.sha2(text.cast("binary"), 256).alias(name) for name, text in digests.items()))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_ann_posting_lists": op2_ann_posting_lists,
@@ -70,4 +88,7 @@ QUERIES = {
     "op8_extendible_shards": op8_extendible_shards,
     "op9_html_layout": op9_html_layout,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
