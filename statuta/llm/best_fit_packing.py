@@ -11,10 +11,11 @@ one run. Each item then finds its place by its number among those of its length,
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -26,10 +27,17 @@ from pyspark.sql import functions as F
 from statuta.llm import store
 from statuta.llm import words as W
 
-#: Characters of a longer text that go to the tokenizer at a time.
+#: Characters of a longer text that are tokenized at a time.
 PART = 1 << 18
-#: Between two ASCII words a blank always begins a new token of the byte-level pattern, so a text can be cut before it.
+#: Between two ASCII words a blank always begins a new piece of the byte-level pattern, so a text can be cut before it.
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Fixed value: the pattern by which byte-level vocabularies part a text before they merge.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+#: The byte that each character of a byte-level vocabulary stands for: itself where it can be seen, the others counted from 256 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {chr(b): b for b in _SEEN} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 
 
 def parts(text: str, size: int = PART) -> list[str]:
@@ -40,6 +48,45 @@ def parts(text: str, size: int = PART) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
+class Encoder:
+    """Ids of texts by a tokenizer given as JSON, without what it adds around a text.
+
+    Where the tokenizer is a plain byte-level one, each merge having the next id, its own vocabulary also makes a rank-based
+    encoder, which gives the same ids in about a quarter of the time. Texts that hold one of the tokenizer's added tokens, and
+    all texts of other kinds of tokenizer, are encoded by the tokenizer itself.
+    """
+
+    def __init__(self, described: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
+        self.tokenizer = Tokenizer.from_str(described)
+        about = json.loads(described)
+        self.added = [t["content"] for t in about["added_tokens"]]
+        self.ranked = ranked(about, self.added)
+
+    def encode(self, text: str) -> list[int]:
+        if self.ranked is None or any(t in text for t in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return [x for part in parts(text) for x in self.ranked(part)]
+
+
+def ranked(about: dict, added: list[str]) -> Callable[[str], list[int]] | None:
+    """A rank-based encoder from a tokenizer's own description, or None where it is of another kind."""
+    import tiktoken
+
+    first, model = about["pre_tokenizer"] or {}, about["model"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges") or ()]
+    plain = about["normalizer"] is None and (first.get("type"), first.get("add_prefix_space"), first.get("use_regex")) == ("ByteLevel", False, True)
+    if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges")):
+        return None
+    vocabulary = {piece: i for piece, i in model["vocab"].items() if piece not in added}
+    if sorted(vocabulary[m] for m in merged) != [vocabulary[m] for m in merged] or len(vocabulary) != 256 + len(merged):
+        return None
+    ranks = {bytes(_BYTES[c] for c in piece): i for piece, i in vocabulary.items()}
+    return tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): every text's ids and end_id, in one piece where they fit the capacity.
 
@@ -52,16 +99,12 @@ def pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_co
     kind = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
+        encoder = Encoder(shared.value)
         for batch in batches:
             for a, b, _, _ in W.slices(batch.column(1)):
                 rows = []
                 for i, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    found = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t in parts(text or "")]
-                    ids = np.concatenate([*found, np.array([end_id], "<u4")])
+                    ids = np.array([*encoder.encode(text or ""), end_id], "<u4")
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                     rows += [(i, k, x, y - x, zlib.crc32(ids[x:y].tobytes()), ids[x:y].astype(np.int32)) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), fields, strict=False)], schema=kind)

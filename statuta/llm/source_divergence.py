@@ -28,7 +28,7 @@ PRIOR = 5
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
 #: Postings of a block, and accumulators of a task, about.
-BLOCK, CELLS = 1 << 20, 1 << 22
+BLOCK, CELLS = 1 << 16, 1 << 22
 
 _TERM = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 

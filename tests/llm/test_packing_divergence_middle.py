@@ -184,6 +184,25 @@ def test_parts_of_a_long_text_give_its_ids():
     assert [x for part in cut for x in ids_of(part)[:-1]] == ids_of(text)[:-1]
 
 
+def test_ranked_encoder_gives_the_ids_of_the_tokenizer():
+    encoder, rnd = best_fit_packing.Encoder(open(TOKENIZER_FILE).read()), random.Random(9)
+    assert encoder.ranked is not None
+    odd = [chr(c) for c in [*range(0x250), 0x2028, 0x3000, 0x200B, 0x660, 0x1D7D8, 0x10FFFF, 0x301, 0xFEFF]]
+    texts = ["".join(rnd.choices([*odd, " the", "'s", "'ll", "  ", "<|endoftext|>" if k % 50 == 0 else " end", "words" * 5], k=60)) for k in range(300)]
+    points = [c for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    texts += ["\n".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)} .{chr(c)}, x" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    texts += [c * 300_000 for c in (" ", "\n", "a", "é", "!", "'s", " \n\t")]
+    for text in texts:
+        assert encoder.encode(text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_by_themselves():
+    from public_tokenizers import path
+
+    encoder = best_fit_packing.Encoder(open(path("word_bpe_49k.json")).read())
+    assert encoder.ranked is None and encoder.encode("Two words") == encoder.tokenizer.encode("Two words", add_special_tokens=False).ids
+
+
 def diverging(rows, min_docs):
     """The divergence of groups by plain counting over dense rows."""
     docs = [(lang or "", source or "", [t.translate(str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]) for _, text, lang, source in rows]
