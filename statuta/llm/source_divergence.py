@@ -27,8 +27,9 @@ PARTS = 1_000_000_000
 PRIOR = 5
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
-#: Postings of a block, and accumulators of a task, about.
-BLOCK, CELLS = 1 << 16, 1 << 22
+#: Postings of a block, at least and at most: the square of the number of groups is between, so that the accumulators of all
+#: blocks are no more than the postings. Accumulators of a task.
+BLOCK, LARGE, CELLS = 1 << 16, 1 << 20, 1 << 22
 
 _TERM = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -153,7 +154,8 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     groups = groups.select("*", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("g"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("n_groups"))
     groups = store.table(groups.select("*", F.coalesce(share(F.lit(0), F.col("total"), F.col("vocabulary")), F.lit(0)).alias("base")))
 
-    n_blocks = F.greatest(F.ceil(F.col("postings") / BLOCK), F.lit(1)).cast("int")
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGE), F.col("n_groups") * F.col("n_groups")))
+    n_blocks = F.greatest(F.ceil(F.col("postings") / block), F.lit(1)).cast("int")
     n_parts = F.greatest(F.ceil(F.col("n_groups") * F.col("n_groups") / CELLS), F.lit(1)).cast("int")
     groups = groups.withColumns({"blocks": n_blocks, "parts": n_parts})
     shares = kept.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("vocabulary")))

@@ -246,6 +246,7 @@ def test_divergence(spark, spoken):
 
 def test_divergence_does_not_depend_on_blocks(spark, spoken, monkeypatch):
     monkeypatch.setattr(source_divergence, "BLOCK", 50)
+    monkeypatch.setattr(source_divergence, "LARGE", 60)
     monkeypatch.setattr(source_divergence, "CELLS", 20)
     assert {tuple(r) for r in source_divergence.divergence(table(spark, spoken), min_docs=5).collect()} == diverging(spoken, 5)
 
