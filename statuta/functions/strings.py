@@ -19,6 +19,10 @@ MODALITY_FORMS = {
 }
 
 
+#: A blank in the sense of Unicode, as Python's str.split() takes it; Java's own \\s has ASCII ones alone.
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
 def clean_field(text: Column, lower: bool = False, strip_punctuation: bool = True) -> Column:
     """Blanks collapsed and outer ones dropped, optionally lower case, outer punctuation `.,;:!?'"` dropped."""
     out = F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -45,8 +49,8 @@ def without_marks(text: Column, strip_again: bool = True) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct words between blanks."""
-    return F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))
+    """Distinct words between blanks, those beyond ASCII among them."""
+    return F.array_distinct(F.array_remove(F.split(text, f"{BLANK}+"), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -161,12 +161,6 @@ def snapshot_check(rows: DataFrame, registered: DataFrame, key: str) -> DataFram
     return rows.join(known, key, "left").select(key, "digest", "bytes", same.alias("same"))
 
 
-def constraint_report(rows: DataFrame, constraints: dict[str, Column]) -> DataFrame:
-    """(check, violations) of declared constraints, each an expression that is true where a row breaks it."""
-    one = rows.agg(*[F.count_if(bad).alias(name) for name, bad in constraints.items()])
-    return one.unpivot([], list(constraints), "check", "violations")
-
-
 def gold_gate(rows: DataFrame, id_col: str, status: Column, wanted: str, most: int) -> DataFrame:
     """One row: total, unreviewed (any status but the wanted one), duplicates (ids beyond the first of each), and passed, which
     asks for 1 to `most` rows, all reviewed, no id twice."""
@@ -175,27 +169,6 @@ def gold_gate(rows: DataFrame, id_col: str, status: Column, wanted: str, most: i
     return one.withColumn("passed", F.col("total").between(1, most) & (F.col("unreviewed") == 0) & (F.col("duplicates") == 0))
 
 
-def contract_report(checks: dict[str, tuple[DataFrame, Column, float | None, float | None]], artifacts: dict[str, str] | None = None) -> DataFrame:
-    """(check, actual, expected, status) of one-row aggregates: equal to expected, or at most the limit; null passes, as does an
-    assertion that can't be told.
-
-    An aggregate may count rows, hold a field or, as a truth value, an assertion, expected then being 1. artifacts are paths
-    by check, which must exist: actual is 1 or 0.
-    """
-    out = None
-    for name, (rows, value, expected, limit) in checks.items():
-        actual = value.cast("double")
-        row = rows.agg(actual.alias("actual")).select(F.lit(name).alias("check"), "actual", F.lit(expected if limit is None else limit).cast("double").alias("expected"))
-        ok = F.col("actual") == F.col("expected") if limit is None else F.col("actual") <= F.col("expected")
-        row = row.withColumn("status", F.when(F.coalesce(ok, F.lit(True)), "pass").otherwise("fail"))
-        out = row if out is None else out.unionByName(row)
-    if artifacts:
-        spark = next(iter(checks.values()))[0].sparkSession
-        there = [(name, float(exists(spark, path)), 1.0, "pass" if exists(spark, path) else "fail") for name, path in artifacts.items()]
-        out = out.unionByName(spark.createDataFrame(there, "check string, actual double, expected double, status string"))
-    return out
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -35,7 +35,9 @@ def longest_first(markers: list[str]) -> list[str]:
 def _place(low: Column, marker: Column, match: str) -> Column:
     """Offset of the first occurrence, -1 where there is none."""
     if match == "word":
-        return F.regexp_instr(low, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), marker, F.lit(r"\E(?![\p{L}\p{N}_])"))) - 1
+        # what stands before it has a length in characters, where regexp_instr counts one beyond the basic plane as two
+        parts = F.split(low, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), marker, F.lit(r"\E(?![\p{L}\p{N}_])")), 2)
+        return let(parts, lambda p: F.when(F.size(p) > 1, F.length(p[0])).otherwise(-1))
     return F.instr(low, marker) - 1
 
 

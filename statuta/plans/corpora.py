@@ -121,8 +121,24 @@ UNION ALL SELECT process_id, concat('t', seq), 't1' FROM tasks WHERE process_id
 UNION ALL SELECT process_id, concat('t', seq), concat('t', seq + 2) FROM (SELECT *, max(seq) OVER (PARTITION BY process_id) AS top FROM tasks) x WHERE process_id % 5 = 0 AND seq + 2 <= top
 """
 
-PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS, "clauses": CLAUSES, "answers": ANSWERS, "responses": RESPONSES, "tasks": TASKS, "flows": FLOWS}
-NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": [], "clauses": ["rules"], "answers": ["rules"], "responses": ["rules"], "tasks": [], "flows": ["tasks"]}
+#: Actions and tasks of six words, so that they are alike by degrees; every 17th has letters and blanks beyond ASCII.
+DUTIES = """
+SELECT o_orderkey AS rule_id, CASE WHEN o_orderkey % 23 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN '   ' WHEN o_orderkey % 31 = 0 THEN 'sue nobody ever'
+    WHEN o_orderkey % 17 = 0 THEN concat('Prüfe the ', p_name, ' ', lower(p_type), ' für 𝔄', substr(p_brand, 7))
+    ELSE concat(CASE o_orderstatus WHEN 'O' THEN 'Record the ' WHEN 'F' THEN 'archive the ' ELSE 'disclose the ' END, p_name, ' for ', p_brand) END AS action,
+  CASE o_orderkey % 6 WHEN 0 THEN 'the customer' WHEN 1 THEN 'Each controller' WHEN 2 THEN 'operator' WHEN 3 THEN 'every auditor' WHEN 4 THEN NULL ELSE 'the chief of the board' END AS actor
+FROM {orders} o JOIN (SELECT l_orderkey, min(l_partkey) AS partkey FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.partkey
+"""
+
+WORK = """
+SELECT l_orderkey AS process_id, CASE WHEN l_orderkey % 37 = 0 THEN ' ' WHEN l_orderkey % 41 = 0 THEN NULL WHEN l_orderkey % 17 = 0 THEN concat('prüfe the ', p_name, ' ', lower(p_type), ' für 𝔄', substr(p_brand, 7))
+    ELSE concat(CASE l_linenumber % 3 WHEN 0 THEN 'Archive the ' WHEN 1 THEN 'record the ' ELSE 'check the ' END, p_name, ' of ', p_brand) END AS name,
+  CASE s_nationkey % 4 WHEN 0 THEN 'the Customer' WHEN 1 THEN 'each controller' WHEN 2 THEN 'the operator' ELSE 'Auditor' END AS lane
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey
+"""
+
+PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS, "clauses": CLAUSES, "answers": ANSWERS, "responses": RESPONSES, "tasks": TASKS, "flows": FLOWS, "duties": DUTIES, "work": WORK}
+NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": [], "clauses": ["rules"], "answers": ["rules"], "responses": ["rules"], "tasks": [], "flows": ["tasks"], "duties": [], "work": []}
 
 
 def with_parts(*names: str) -> str:

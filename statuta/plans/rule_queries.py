@@ -346,25 +346,6 @@ def key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.key_difference(o, li, "k")
 
 
-@query("SELECT 'balance_negative' AS \"check\", count(*) FILTER (c_acctbal < 0) AS violations FROM customer UNION ALL SELECT 'name_pattern', count(*) FILTER (NOT regexp_full_match(c_name, 'Customer#\\d{9}')) FROM customer UNION ALL SELECT 'segment_enum', count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) FROM customer")
-def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return B.constraint_report(_table(spark, sf_dir, "customer"), {"balance_negative": c("c_acctbal") < 0, "name_pattern": ~F.regexp_like(c("c_name"), F.lit(r"^Customer#\d{9}$")), "segment_enum": ~c("c_mktsegment").isin("BUILDING", "MACHINERY")})
-
-
-_CHECKS = {
-    "languages": ("count(DISTINCT lang)", "=", 4), "long_texts": ("count(*) FILTER (length(text) > 100000)", "<=", 0), "rows": ("count(*)", "=", 1000), "sizes_agree": ("bool_and(n_chars = length(text))::INT", "=", 1), "nothing_known": ("max(NULL::INT)", "=", 1),
-}
-_FOUND = [("artifact", 1), ("no_artifact", 0)]
-
-
-@query(" UNION ALL ".join([f"""SELECT '{k}' AS "check", ({v})::DOUBLE AS actual, {e}::DOUBLE AS expected, CASE WHEN coalesce(({v}) {op} {e}, true) THEN 'pass' ELSE 'fail' END AS status FROM documents""" for k, (v, op, e) in _CHECKS.items()] + [f"SELECT '{k}', {n}::DOUBLE, 1.0::DOUBLE, '{'pass' if n else 'fail'}'" for k, n in _FOUND]))
-def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
-    checks = {"languages": (d, F.countDistinct("lang"), 4.0, None), "long_texts": (d, F.count_if(F.length("text") > 100000), None, 0.0), "rows": (d, F.count(F.lit(1)), 1000.0, None), "sizes_agree": (d, F.bool_and(F.col("n_chars") == F.length("text")).cast("int"), 1.0, None), "nothing_known": (d, F.max(F.lit(None).cast("int")), 1.0, None)}
-    return B.contract_report(checks, {"artifact": f"{sf_dir}/documents.parquet", "no_artifact": f"{sf_dir}/documents.none"})
-
-
 @query("WITH s AS (SELECT doc_id, CASE quality WHEN 1 THEN 'reviewed_gold' WHEN 0 THEN 'draft' END AS status FROM labels), i AS (SELECT doc_id, count(*) AS n, count(*) FILTER (coalesce(status <> 'reviewed_gold', true)) AS bad FROM s GROUP BY doc_id), t AS (SELECT sum(n)::BIGINT AS total, sum(bad)::BIGINT AS unreviewed, sum(n - 1)::BIGINT AS duplicates FROM i) SELECT *, total BETWEEN 1 AND 1000000000 AND unreviewed = 0 AND duplicates = 0 AS passed FROM t")
 def gold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("quality") == 1, "reviewed_gold").when(F.col("quality") == 0, "draft")
