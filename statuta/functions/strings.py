@@ -23,6 +23,23 @@ MODALITY_FORMS = {
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+#: A letter, digit or underscore of any script, as Python's \\w; the same before a place, where Java looks back by halves of
+#: characters beyond the basic plane, so that one of these is two; and the edge of a word.
+WORD = r"[\p{L}\p{N}_]"
+AFTER_WORD, NOT_AFTER_WORD = f"(?<={WORD}{{1,2}})", f"(?<!{WORD}{{1,2}})"
+EDGE = f"(?:{NOT_AFTER_WORD}(?={WORD})|{AFTER_WORD}(?!{WORD}))"
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A pattern whose \\w, \\s and \\b mean letters, blanks and edges of any script; none may stand in a class of its own."""
+    return pattern.replace(r"\w", WORD).replace(r"\s", BLANK).replace(r"\b", EDGE).replace("(?i)", "(?iu)")
+
+
+def strip(text: Column) -> Column:
+    """Text without outer blanks of any kind."""
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
 def clean_field(text: Column, lower: bool = False, strip_punctuation: bool = True) -> Column:
     """Blanks collapsed and outer ones dropped, optionally lower case, outer punctuation `.,;:!?'"` dropped."""
     out = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.functions.strings import let
+from statuta.functions.strings import let, unicode_pattern
 
 # Modality markers by priority, constraint markers, outer marks, and what a definition looks like.
 MARKERS = ["no person shall", "shall not", "must not", "shall", "must", "may"]
@@ -29,13 +29,12 @@ def _span(text: Column, start: Column) -> Column:
 
 def mid_unless(text: Column) -> Column:
     """Offset of the first "unless" that does not begin the text, else null."""
-    first = F.regexp_instr(text, F.lit(r"(?is)(?<=.)\bunless\b"))
-    return F.when(first > 0, first - 1)
+    return _place(text, unicode_pattern(r"(?i)(?<!^)\bunless\b"))
 
 
 def initial_unless(text: Column) -> Column:
     """The condition of a text that begins with "Unless": the fewest words that a comma or blank follows."""
-    found = F.regexp_extract(text, r"(?i)^(Unless\s+\w+(?:\s+\w+)*?)\s*,?\s+", 1)
+    found = F.regexp_extract(text, unicode_pattern(r"(?i)^(Unless\s+\w+(?:\s+\w+)*?)\s*,?\s+"), 1)
     return F.when(found != "", F.struct(found.alias("text"), F.lit(0).alias("start"), F.length(found).alias("stop")))
 
 
@@ -84,12 +83,11 @@ def constraint(text: Column, after: Column) -> Column:
 
 def exception(text: Column, after: Column) -> Column:
     """From the first "unless" after an offset to the sentence's end."""
-    at = F.regexp_instr(F.substring(text, after + 1, F.length(text)), F.lit(r"(?i)\bunless\s+"))
-    return _span(text, F.when(at > 0, at - 1 + after))
+    return _span(text, _place(_from(text, after), unicode_pattern(r"(?i)\bunless\s+")) + after)
 
 
 def looks_like_definition(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(DEFINITION))
+    return F.regexp_like(text, F.lit(unicode_pattern(DEFINITION)))
 
 
 def _from(text: Column, at: Column) -> Column:
@@ -119,8 +117,8 @@ def _trimmed(text: Column, start: Column, stop: Column) -> Column:
 
 def boundary_and(text: Column, left: Column, right: Column) -> Column:
     """Offset of the last "and" between two modalities that no constraint marker between them precedes, else null."""
-    free = F.split(F.substring(text, left + 1, right - left), r"(?i)\b(?:within|before|after|only\s+if|provided\s+that)\b", 2)[0]
-    return let(free, lambda x: F.when(F.regexp_like(x, F.lit(r"(?i)\band\b")), (left + F.length(F.regexp_extract(x, r"(?is)^(.*)\band\b", 1))).cast("int")))
+    free = F.split(F.substring(text, left + 1, right - left), unicode_pattern(r"(?i)\b(?:within|before|after|only\s+if|provided\s+that)\b"), 2)[0]
+    return let(free, lambda x: F.when(F.regexp_like(x, F.lit(unicode_pattern(r"(?i)\band\b"))), (left + F.length(F.regexp_extract(x, unicode_pattern(r"(?i)^((?s:.*))\band\b"), 1))).cast("int")))
 
 
 def and_boundaries(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.plans.lineage import cut
+
 
 def unpivot(wide: DataFrame, keys: list[str], values: list[str], name: str, value: str) -> DataFrame:
     return wide.unpivot(keys, values, name, value)
@@ -86,3 +88,19 @@ def error_taxonomy(failures: DataFrame, key: str) -> DataFrame:
 def by_category(failures: DataFrame, key: str) -> DataFrame:
     """(run, category, key) of every failure: the inverted taxonomy as rows, which no group needs to hold whole."""
     return failures.select("run", key, F.explode("failures").alias("category"))
+
+
+def sorted_ids(failures: DataFrame, key: str, size: int = 10_000) -> DataFrame:
+    """(run, category, chunk, ids) of every failure: the inverted taxonomy as sorted lists of distinct keys, cut into chunks of `size`.
+
+    The chunks of a category in order are its whole list. Keys are dealt to ranges by (run, category, key), counts of the
+    ranges before a range tell where its keys stand, and a list is gathered by chunk alone, so that no task holds a category.
+    """
+    each = by_category(failures, key).where(F.col("category").isNotNull() & F.col(key).isNotNull()).distinct()
+    dealt = cut(each.repartitionByRange("run", "category", key).withColumn("part", F.spark_partition_id()))
+    of = ["run", "category", "part"]
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("run", "category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = dealt.groupBy(*of).count().select(*of, before.alias("ahead"))
+    place = F.row_number().over(Window.partitionBy(*of).orderBy(key)) + F.col("ahead") - 1
+    placed = dealt.join(ahead, of).select("run", "category", key, F.floor(place / size).cast("long").alias("chunk"))
+    return placed.groupBy("run", "category", "chunk").agg(F.sort_array(F.collect_list(key)).alias("ids"))

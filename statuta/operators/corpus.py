@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.functions import strings as S
 from statuta.plans.lineage import cut
 
 # Patterns that mark a sentence as normative, the classes by priority, mentions of articles, and patterns of
@@ -40,7 +41,7 @@ def dedup(rows: DataFrame, order: list[str], text_col: str = "sentence") -> Data
 
 
 def is_normative(text: Column, markers: list[str] | None = None) -> Column:
-    return F.regexp_like(text, F.lit(r"(?i)\b(" + "|".join(markers or NORMATIVE) + r")\b"))
+    return F.regexp_like(text, F.lit(S.unicode_pattern(r"(?i)\b(" + "|".join(markers or NORMATIVE) + r")\b")))
 
 
 def is_good_length(text: Column, low: int = 60, high: int = 600) -> Column:
@@ -49,7 +50,7 @@ def is_good_length(text: Column, low: int = 60, high: int = 600) -> Column:
 
 def group_key(text: Column) -> Column:
     """'Article N' of the first mention of an article, else null."""
-    n = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in CITED])
+    n = F.coalesce(*[F.nullif(F.regexp_extract(text, S.unicode_pattern(p), 1), F.lit("")) for p in CITED])
     return F.concat(F.lit("Article "), n)
 
 
@@ -57,20 +58,21 @@ def regex_modality(text: Column) -> Column:
     """Class by the first pattern that hits, by priority; obligation by default."""
     out = F.lit("obligation")
     for name, pattern in reversed(MODALITY_PATTERNS):
-        out = F.when(F.regexp_like(F.lower(text), F.lit(pattern)), name).otherwise(out)
+        out = F.when(F.regexp_like(F.lower(text), F.lit(S.unicode_pattern(pattern))), name).otherwise(out)
     return out
 
 
 def diverse_sample(rows: DataFrame, group: str, order: list[str], target: int, per_group: int = 3) -> DataFrame:
     """Up to target rows: first per_group of each group in order, groups by name and null last, then the rest in order.
 
-    Ranks within a group come from a window by group; only the candidates (target rows of either pass at most) meet
-    in one place, by a limit.
+    order must tell rows apart. The tasks keep no more than per_group rows of a group before they meet, so a group of very
+    many rows, as that of null may be, gathers nowhere. The rest comes from the first 2 * target rows of all: if fewer than
+    target rows are chosen first, these hold target others, or there are no more, and the rank of each within its group is
+    told by them alone.
     """
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    first = rows.withColumn("rn", rn)
-    chosen = first.where(F.col("rn") <= per_group).orderBy(F.col(group).asc_nulls_last(), "rn").limit(target).withColumn("pass", F.lit(1))
-    rest = first.where(F.col("rn") > per_group).orderBy(*order).limit(target).withColumn("pass", F.lit(2))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    chosen = rows.withColumn("rn", rank).where(F.col("rn") <= per_group).orderBy(F.col(group).asc_nulls_last(), "rn").limit(target).withColumn("pass", F.lit(1))
+    rest = rows.orderBy(*order).limit(2 * target).withColumn("rn", rank).where(F.col("rn") > per_group).orderBy(*order).limit(target).withColumn("pass", F.lit(2))
     both = chosen.unionByName(rest)
     place = Window.orderBy("pass", F.when(F.col("pass") == 1, F.col(group)).asc_nulls_last(), F.when(F.col("pass") == 1, F.col("rn")), *order)
     return both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= target)
@@ -86,18 +88,22 @@ def assign_ids(rows: DataFrame, order: list[str], prefix: str) -> DataFrame:
     return dealt.join(F.broadcast(ahead.select("part", "ahead")), "part").withColumn("id", F.concat(F.lit(f"{prefix}_"), F.format_string("%03d", no))).drop("part", "ahead")
 
 
-def _first(text: Column, patterns: list[str], strip: str) -> Column:
-    found = [F.nullif(F.trim(F.rtrim(F.regexp_extract(text, p, 0), F.lit(strip))), F.lit("")) for p in patterns]
+def _first(text: Column, patterns: list[str], marks: str) -> Column:
+    found = [F.nullif(S.strip(F.rtrim(F.regexp_extract(text, S.unicode_pattern(p), 0), F.lit(marks))), F.lit("")) for p in patterns]
     return F.coalesce(*found)
 
 
 def weak_annotate(text: Column) -> dict[str, Column]:
-    """Candidate fields of a sentence by patterns: actor, action, condition, constraint and exception, null where none."""
-    subject = F.nullif(F.trim(F.regexp_extract(text, SUBJECT, 1)), F.lit(""))
+    """Candidate fields of a sentence by patterns: actor, action, condition, constraint and exception, null where none.
+
+    Words, blanks and edges are those of any script. A subject ends where the modal verb stands as a word; it is not cut at the
+    first place where the verb's letters stand in another word.
+    """
+    extract = lambda pattern, group: F.regexp_extract(text, S.unicode_pattern(pattern), group)
     return {
         "modality": regex_modality(text),
-        "actor": F.coalesce(_first(text, [f"(?i){ACTORS}"], ""), subject),
-        "action": F.nullif(F.trim(F.concat(F.regexp_extract(text, ACTION, 1), F.regexp_extract(text, ACTION, 2))), F.lit("")),
+        "actor": F.coalesce(_first(text, [f"(?i){ACTORS}"], ""), F.nullif(S.strip(extract(SUBJECT, 1)), F.lit(""))),
+        "action": F.nullif(S.strip(F.concat(extract(ACTION, 1), extract(ACTION, 2))), F.lit("")),
         "condition": _first(text, [CONDITION], ",;."),
         "constraint": _first(text, CONSTRAINTS, ""),
         "exception": _first(text, [EXCEPTION], ";."),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.functions.strings import let
+from statuta.functions.strings import NOT_AFTER_WORD, WORD, let
 
 # The marker lexicon, the classes of modality in order of priority, determiners, auxiliaries and connectors.
 LEXICON = {
@@ -36,7 +36,7 @@ def _place(low: Column, marker: Column, match: str) -> Column:
     """Offset of the first occurrence, -1 where there is none."""
     if match == "word":
         # what stands before it has a length in characters, where regexp_instr counts one beyond the basic plane as two
-        parts = F.split(low, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), marker, F.lit(r"\E(?![\p{L}\p{N}_])")), 2)
+        parts = F.split(low, F.concat(F.lit(rf"{NOT_AFTER_WORD}\Q"), marker, F.lit(rf"\E(?!{WORD})")), 2)
         return let(parts, lambda p: F.when(F.size(p) > 1, F.length(p[0])).otherwise(-1))
     return F.instr(low, marker) - 1
 

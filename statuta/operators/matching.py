@@ -14,7 +14,7 @@ from statuta.functions import strings as S
 from statuta.plans.lineage import cut
 
 #: Postings of one token that meet in one task, of the right side.
-DEAL = 4096
+DEAL = 1024
 
 
 def token_sets(rows: DataFrame, text_col: str) -> DataFrame:
@@ -59,7 +59,10 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     b = b.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("right_text"), F.col("parts")).cast("int"))
     needed = _least(threshold / (1 + threshold), F.col("m") + F.col("n"))
     fits = (F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9) & (F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed)
-    pairs = a.join(b.drop("parts"), ["token", "part"]).where(fits).select("left_text", "right_text").distinct()
+    # few postings make many pairs, so the number of tasks is set: by their bytes alone they would be put together in one
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (side.drop("parts").repartition(tasks, "token", "part") for side in (a, b))
+    pairs = a.join(b, ["token", "part"]).where(fits).select("left_text", "right_text").distinct()
     whole = pairs.join(left.select(F.col("text").alias("left_text"), F.col("tokens").alias("x")), "left_text").join(right.select(F.col("text").alias("right_text"), F.col("tokens").alias("y")), "right_text")
     return whole.select("left_text", "right_text", S.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 

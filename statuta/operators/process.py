@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,9 +12,9 @@ from statuta.functions import strings as S
 from statuta.plans.lineage import cut
 
 # Element names of process models, and words that tell of an order.
-TASKS = ["task", "userTask", "serviceTask", "scriptTask", "manualTask", "sendTask", "receiveTask", "businessRuleTask", "callActivity", "subProcess"]
+TASKS = ["task", "userTask", "serviceTask", "sendTask", "receiveTask", "manualTask", "businessRuleTask", "scriptTask", "subProcess", "callActivity"]
 EVENTS = ["startEvent", "endEvent", "intermediateCatchEvent", "intermediateThrowEvent", "boundaryEvent"]
-GATEWAYS = ["exclusiveGateway", "parallelGateway", "inclusiveGateway", "eventBasedGateway", "complexGateway"]
+GATEWAYS = ["exclusiveGateway", "parallelGateway", "inclusiveGateway", "complexGateway", "eventBasedGateway"]
 
 
 def model_schema() -> str:
@@ -54,23 +56,26 @@ def flows(models: DataFrame) -> DataFrame:
     return models.select(F.col("p._id").alias("process_id"), F.posexplode("p.sequenceFlow").alias("pos", "f")).select("process_id", "pos", F.col("f._id").alias("flow_id"), F.col("f._sourceRef").alias("source"), F.col("f._targetRef").alias("target"))
 
 
-def depths(starts: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def depths(starts: DataFrame, edges: DataFrame, compact: int = 20) -> DataFrame:
     """(process_id, node_id, depth, rank) of all nodes that edges reach from the starts; all processes advance together.
 
     rank is the place of a node within its depth in breadth-first order: starts by id, others by the rank of the node
     that reaches them first and by pos, the place of the edge. Each round joins the frontier with the edges, leaves out
-    what was visited and is written as a table; cycles end, since a node is visited once.
+    what was visited and is written as a table; cycles end, since a node is visited once. There are as many rounds as the
+    longest of all shortest paths has edges; every `compact` rounds what was visited is written as one table, so that a
+    long path does not make the plan longer.
     """
     edges = cut(edges.select("process_id", "source", "target", "pos"))
     rank = lambda *by: F.row_number().over(Window.partitionBy("process_id").orderBy(*by))
     seen = frontier = cut(starts.select("process_id", "node_id", F.lit(0).alias("depth")).distinct().withColumn("rank", rank("node_id")))
-    for depth in range(1, max_rounds + 1):
+    for depth in itertools.count(1):
         ahead = frontier.join(edges.select("process_id", F.col("source").alias("node_id"), "target", "pos"), ["process_id", "node_id"]).groupBy("process_id", F.col("target").alias("node_id")).agg(F.min(F.struct("rank", "pos")).alias("by"))
         frontier = cut(ahead.join(seen, ["process_id", "node_id"], "left_anti").select("process_id", "node_id", F.lit(depth).alias("depth"), rank("by", "node_id").alias("rank")))
         if not frontier.limit(1).count():
             return seen
-        seen = seen.unionByName(frontier)  # tables written by the rounds; none is written again
-    raise RuntimeError(f"paths are longer than {max_rounds}")
+        seen = seen.unionByName(frontier)  # tables written by the rounds
+        if depth % compact == 0:
+            seen = cut(seen)
 
 
 def task_order(starts: DataFrame, edges: DataFrame, tasks: DataFrame) -> DataFrame:

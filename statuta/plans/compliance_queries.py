@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from statuta.operators import constraints as C
 from statuta.operators import contracts as N
+from statuta.operators import corpus as D
 from statuta.operators import lexicon as L
 from statuta.operators import lexicon_table as LT
 from statuta.operators import matching as M
 from statuta.operators import traces as T
-from statuta.plans.corpora import corpus, with_parts
+from statuta.plans import rule_queries
+from statuta.plans.corpora import FIELDS, corpus, with_parts
 from statuta.plans.lineage import new_path
+from statuta.sources import committed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -242,3 +245,50 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.select(F.to_json(F.struct(F.lit("orders").alias("name"), "rows", F.struct(F.lit(False).alias("saved"), F.lit(True).alias("open"), (F.col("rows") + 1).alias("most")).alias("checks")))).coalesce(1).write.text(path)
     document = re.sub(r"\{manifest\}", path, json.dumps(CONTRACT))
     return N.run(spark, document, sf_dir).select("artifact", "check", "actual", "expected", "status")
+
+
+# Weak annotation beyond ASCII: in SQL words, blanks and edges of any script are written out, an edge taking a character.
+_B, _W = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]", "[\\p{L}\\p{N}_]"
+_IN, _OUT = "(?:^|[^\\p{L}\\p{N}_])", "(?:[^\\p{L}\\p{N}_]|$)"
+
+
+def _found(pattern: str, group: int = 0, marks: str = "") -> str:
+    """A pattern's first match without marks at its end and outer blanks, null where nothing is left."""
+    text = f"regexp_extract(text, '{pattern}', {group}, 'i')"
+    text = f"rtrim({text}, '{marks}')" if marks else text
+    return f"nullif(regexp_replace({text}, '^{_B}+|{_B}+$', '', 'g'), '')"
+
+
+_ACT = f"{_IN}(?:shall|must|may|should){_B}+(not{_B}+)?(?:be{_B}+)?({_W}+(?:{_B}+{_W}+){{0,8}})"
+_KIND = f"""CASE WHEN regexp_matches(l, '{_IN}(shall not|must not|may not|is prohibited){_OUT}|{_IN}prohibit') THEN 'prohibition' WHEN regexp_matches(l, '{_IN}(shall|must|is required|is obliged){_OUT}') THEN 'obligation'
+WHEN regexp_matches(l, '{_IN}(may|is permitted|is entitled|have the right|have a right){_OUT}') THEN 'permission' WHEN regexp_matches(l, '{_IN}(means|refers to|defined as|definition){_OUT}') THEN 'definition' ELSE 'obligation' END"""
+
+
+@query(f"""{with_parts('words')}, x AS (SELECT rule_id, text, lower(text) AS l FROM words) SELECT rule_id, {_KIND} AS modality,
+coalesce({_found(f'(?:the{_B}+)?(?:controller|processor|data subject|supervisory authority|recipient|third party|natural person|legal person)')}, {_found(f'^((?:The|A|Each|Any){_B}+{_W}+(?:{_B}+{_W}+)?){_B}+(?:shall|must|may|should|is)', 1)}) AS actor,
+nullif(concat(regexp_extract(text, '{_ACT}', 1, 'i'), regexp_extract(text, '{_ACT}', 2, 'i')), '') AS action,
+{_found(f'(?:Where|If|When|In case of|Provided that|On condition that){_B}+[^,.;]+(?:,|;|[.])', marks=',;.')} AS condition,
+coalesce({_found(f'(?:within|before|after|at least|at most|no later than|not later than){_B}+[^,.;]+')}, {_found(f'(?:in accordance with|subject to|without prejudice to){_B}+[^,.;]+')}) AS "constraint",
+{_found(f'(?:except|unless|with the exception of|apart from|other than|excluding){_B}+[^.;]+', marks=';.')} AS "exception" FROM x""")
+def weak_annotate_beyond_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.weak_annotate(F.col("text"))
+    return corpus(spark, sf_dir, "words").select("rule_id", *[found[f].alias(f) for f in FIELDS])
+
+
+# Sinks that commit.
+@query(rule_queries.SQL["jsonl_roundtrip"])
+def committed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as a committed run, another run that breaks off before its manifest, and what readers see."""
+    rows, path = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), new_path(spark)
+    committed.write(rows, path)
+    rows.select(F.to_json(F.struct("conv_id")).alias("value")).write.text(f"{path}/data-unfinished")
+    found = committed.read(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    return found.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").alias("n"))
+
+
+@query("SELECT count(*)::BIGINT AS lines, true AS ok FROM conversations")
+def committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a run's manifest, and whether every file still is as it was written."""
+    path = new_path(spark)
+    committed.write(_table(spark, sf_dir, "conversations"), path)
+    return committed.verify(spark, path).agg(F.sum("lines").alias("lines"), F.bool_and("ok").alias("ok"))

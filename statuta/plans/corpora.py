@@ -137,8 +137,16 @@ SELECT l_orderkey AS process_id, CASE WHEN l_orderkey % 37 = 0 THEN ' ' WHEN l_o
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey
 """
 
-PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS, "clauses": CLAUSES, "answers": ANSWERS, "responses": RESPONSES, "tasks": TASKS, "flows": FLOWS, "duties": DUTIES, "work": WORK}
-NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": [], "clauses": ["rules"], "answers": ["rules"], "responses": ["rules"], "tasks": [], "flows": ["tasks"], "duties": [], "work": []}
+#: Rules with letters, blanks and characters beyond ASCII.
+WORDS = """
+SELECT rule_id, CASE rule_id % 8 WHEN 0 THEN replace(replace(text, 'record', 'prüfe'), 'archive', 'lösche') WHEN 1 THEN concat('The Käufer ', substr(text, instr(text, marker)))
+  WHEN 2 THEN replace(text, ' ', '\u00a0') WHEN 3 THEN concat('𝔄 ', replace(text, 'the ', 'über ')) WHEN 4 THEN replace(replace(text, 'o', 'ö'), 'e', 'é') WHEN 5 THEN replace(text, marker, concat('ä', marker))
+  WHEN 6 THEN concat('Each Ärztin\u2003Müller ', substr(text, instr(text, marker))) ELSE text END AS text
+FROM rules
+"""
+
+PARTS = {"rules": RULES, "gold": GOLD, "predictions": PREDICTIONS, "calls": CALLS, "clauses": CLAUSES, "answers": ANSWERS, "responses": RESPONSES, "tasks": TASKS, "flows": FLOWS, "duties": DUTIES, "work": WORK, "words": WORDS}
+NEEDS = {"rules": [], "gold": ["rules"], "predictions": ["rules", "gold"], "calls": [], "clauses": ["rules"], "answers": ["rules"], "responses": ["rules"], "tasks": [], "flows": ["tasks"], "duties": [], "work": [], "words": ["rules"]}
 
 
 def with_parts(*names: str) -> str:

@@ -139,6 +139,12 @@ def failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.by_category(_failures(spark, sf_dir), "rule_id")
 
 
+def error_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted taxonomy: the sorted samples of every category, in chunks."""
+    found = C.sorted_ids(_failures(spark, sf_dir), "rule_id")
+    return found.select("run", "category", "chunk", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",").cast("binary")).alias("ids"))
+
+
 def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.batch_failures(_failures(spark, sf_dir), F.col("rule_id") % 19 != 0)
 
@@ -166,7 +172,7 @@ def source_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("run", "rule_id", F.array_join(F.transform("d", told), ";").alias("detail"))
 
 
-QUERIES = {f.__name__: f for f in (norm_field, norm_modality, norm_eval, norm_eval_b, jaccard_pairs, trim_span, field_confusion, field_prf, micro_prf, label_v1, label_v2, evaluate_v1, failure_categories, error_taxonomy, field_metrics_v2, micro_v2, macro_v2, evaluate_v2, run_delta, field_delta, field_delta_outer, nway_table, nway_fields, best_run, label_shift, failure_shift, failure_rows, batch_failures, label_transition, mismatch_audit, source_detail)}
+QUERIES = {f.__name__: f for f in (norm_field, norm_modality, norm_eval, norm_eval_b, jaccard_pairs, trim_span, field_confusion, field_prf, micro_prf, label_v1, label_v2, evaluate_v1, failure_categories, error_taxonomy, error_lists, field_metrics_v2, micro_v2, macro_v2, evaluate_v2, run_delta, field_delta, field_delta_outer, nway_table, nway_fields, best_run, label_shift, failure_shift, failure_rows, batch_failures, label_transition, mismatch_audit, source_detail)}
 
 P = with_parts("predictions")
 _CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -259,6 +265,7 @@ SELECT metric, x.value AS value_a, y.value AS value_b, round(y.value - x.value,
     "field_delta_outer": f"{_FIELDS} SELECT coalesce(x.field, y.field) AS field, x.strict_f1 AS strict_f1_a, y.strict_f1 AS strict_f1_b, round(y.strict_f1 - x.strict_f1, 6) AS strict_f1_delta FROM (SELECT * FROM m WHERE run = 'a' AND field <> 'actor') x FULL JOIN (SELECT * FROM m WHERE run = 'b' AND field <> 'exception') y ON x.field = y.field",
     "nway_fields": f"{_FIELDS} SELECT field, " + ", ".join(f"coalesce(max(strict_f1) FILTER (run = '{r}'), 0.0) AS {r}_strict_f1, coalesce(max(exact_count || '/' || applicable_count) FILTER (run = '{r}'), '0/0') AS {r}_exact" for r in "ab") + " FROM m GROUP BY field",
     "failure_shift": f"{_FAIL} SELECT category, count(*) FILTER (run = 'a') AS n_first, count(*) FILTER (run = 'b') AS n_second, count(*) FILTER (run = 'b') - count(*) FILTER (run = 'a') AS shift FROM f WHERE category IS NOT NULL GROUP BY category",
+    "error_lists": f"{_FAIL}, d AS (SELECT run, category, rule_id, row_number() OVER (PARTITION BY run, category ORDER BY rule_id) - 1 AS no FROM (SELECT DISTINCT run, category, rule_id FROM f WHERE category IS NOT NULL)) SELECT run, category, no // 10000 AS chunk, count(*)::INT AS n, md5(string_agg(rule_id::VARCHAR, ',' ORDER BY rule_id)) AS ids FROM d GROUP BY ALL",
     "failure_rows": f"{_FAIL} SELECT run, rule_id, category FROM f WHERE category IS NOT NULL",
     "batch_failures": f"{_FAIL} SELECT run, category, count(*) AS n FROM f WHERE category IS NOT NULL GROUP BY ALL UNION ALL SELECT run, 'schema_valid', count(DISTINCT rule_id) FROM predictions WHERE rule_id % 19 <> 0 GROUP BY run",
     "nway_table": f"{_EVAL.replace('m1.strict_f1', 'CASE WHEN m1.run = CHR(98) THEN m1.lenient_f1 ELSE m1.strict_f1 END AS strict_f1', 1)}, {_LONG} SELECT metric, max(value) FILTER (run = 'a') AS a, max(value) FILTER (run = 'b') AS b FROM l GROUP BY metric",

@@ -52,3 +52,11 @@ def test_out_of_order(spark):
     ]
     got = K.out_of_order(spark.createDataFrame(rules, "rule_id int, process_id int, action string, text string"), ordered).collect()
     assert sorted(r.rule_id for r in got) == [1, 4, 9]
+
+
+def test_long_chains_are_ordered(spark):
+    steps = [(1, k, f"n{k}", f"n{k + 1}") for k in range(45)] + [(1, 50, "n44", "n3"), (2, 0, "n0", "n1")]
+    edges = spark.createDataFrame(steps, "process_id int, pos int, source string, target string")
+    starts = spark.createDataFrame([(1, "n0"), (2, "n0"), (3, "n0")], "process_id int, node_id string")
+    got = {(r.process_id, r.node_id): r.depth for r in K.depths(starts, edges, compact=10).collect()}
+    assert got == {(1, f"n{k}"): k for k in range(46)} | {(2, "n0"): 0, (2, "n1"): 1, (3, "n0"): 0}

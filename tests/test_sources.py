@@ -34,3 +34,34 @@ def test_lexicon_file(spark, tmp_path):
     assert got == {("modality", "obligation", "shall"), ("modality", "obligation", "must"), ("modality", "permission", "may"), ("condition", None, "if")}
     root = spark.read.text(f"file://{tmp_path}/lexicon.json", wholetext=True).limit(0)
     assert jsonl.lexicon_entries(root).count() == 0
+
+
+def test_committed_runs(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    from statuta.sources import committed
+
+    path, schema = f"file://{tmp_path}/t", "id long, s string"
+    with pytest.raises(FileNotFoundError):
+        committed.read(spark, path, schema)
+    first = spark.createDataFrame([(1, "ü\n#"), (2, None), (None, "")], schema).repartition(2)
+    run = committed.write(first, path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(committed.read(spark, path, schema)) == rows(first)
+    # a run without its manifest, one whose manifest broke off, and a stray file beside those of the first
+    shutil.copytree(tmp_path / f"t/data-{run}", tmp_path / "t/data-9")
+    (tmp_path / "t/manifest-9").mkdir()
+    (tmp_path / f"t/data-{run}/part-stray.txt").write_text('{"id": 9, "s": "stray"}\n')
+    assert committed.runs(spark, path) == [run] and rows(committed.read(spark, path, schema)) == rows(first)
+    second = committed.write(spark.createDataFrame([(7, "x")], schema), path)
+    assert [r.id for r in committed.read(spark, path, schema).collect()] == [7]
+    assert rows(committed.read(spark, path, schema, run)) == rows(first)
+    assert {r.ok for r in committed.verify(spark, path).collect()} == {True} == {r.ok for r in committed.verify(spark, path, run).collect()}
+    part = next(p for p in (tmp_path / f"t/data-{second}").glob("part-*") if p.stat().st_size)
+    (part.parent / f".{part.name}.crc").unlink()
+    part.write_text('{"id":8,"s":"x"}\n')
+    assert {r.ok for r in committed.verify(spark, path).collect()} == {False}
+    committed.write(spark.createDataFrame([], schema), path)
+    assert committed.read(spark, path, schema).count() == 0
