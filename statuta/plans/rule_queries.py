@@ -12,7 +12,7 @@ from statuta.operators import ledger as H
 from statuta.operators import lexicon as L
 from statuta.operators import process as K
 from statuta.operators import routing as G
-from statuta.sources import jsonl
+from statuta.sources import jsonl, models
 from statuta.plans.corpora import FIELDS, corpus, with_parts
 from statuta.plans.lineage import new_path
 
@@ -634,7 +634,7 @@ def violation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.violation_report(_rules(spark, sf_dir), _violations(spark, sf_dir)).select("rule_id", "has_violations", "n", "kinds")
 
 
-def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model text for each order, rendered from its tasks and flows."""
     t = corpus(spark, sf_dir, "tasks")
     tag = lambda name, close, *pairs: F.concat(F.lit(f"<bpmn:{name}"), *[x for k, v in pairs for x in (F.lit(f' {k}="'), v, F.lit('"'))], F.lit(close))
@@ -644,7 +644,11 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = corpus(spark, sf_dir, "flows").groupBy("process_id").agg(F.array_join(F.sort_array(F.collect_list(tag("sequenceFlow", "/>", ("id", F.concat("source", F.lit("-"), "target")), ("sourceRef", F.col("source")), ("targetRef", F.col("target"))))), "").alias("flows"))
     whole = tasks.join(lanes, "process_id").join(flows, "process_id")
     xml = F.concat(F.lit('<bpmn:definitions xmlns:bpmn="urn:bpmn"><bpmn:process id="'), F.col("process_id"), F.lit('"><bpmn:laneSet>'), "lanes", F.lit('</bpmn:laneSet><bpmn:startEvent id="s" name="begin"/>'), "tasks", "flows", F.lit("</bpmn:process></bpmn:definitions>"))
-    return K.parse_models(whole.select(xml.alias("xml")))
+    return whole.select(xml.alias("xml"), F.col("process_id").cast("string").alias("file"))
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.parse_models(_model_texts(spark, sf_dir).select("xml"))
 
 
 @query(f"{with_parts('tasks')} SELECT process_id::VARCHAR AS process_id, node_id, name, 'task' AS kind FROM tasks")
@@ -675,6 +679,28 @@ def bpmn_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("p._id").alias("process_id"), size(K.TASKS).alias("n_tasks"), size(K.EVENTS).alias("n_events"), F.size("p.laneSet.lane").alias("n_lanes"), F.size("p.sequenceFlow").alias("n_flows"))
 
 
+def _model_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The model texts as files, some cut off, without an id, of another kind or empty; every eleventh holds a second process."""
+    n, xml = F.col("file").cast("long") % 40, F.col("xml")
+    second = F.replace(xml, F.lit("</bpmn:definitions>"), F.concat(F.lit('<process id="x'), F.col("file"), F.lit('"><task id="t1" name="one"/></process></bpmn:definitions>')))
+    bent = F.when(n == 3, F.substring(xml, F.lit(1), F.length(xml) - 25)).when(n == 7, F.regexp_replace(xml, 'process id="[0-9]+"', "process")).when(n == 13, F.lit("<other/>")).when(n == 17, F.lit(" ")).when(n == 23, F.lit("no xml at all")).when(n == 29, F.lit(None).cast("string")).when(n % 11 == 0, second).otherwise(xml)
+    return models.split_models(_model_texts(spark, sf_dir).select(bent.alias("xml"), "file"))
+
+
+@query(f"""{with_parts('flows')}, t AS (SELECT process_id, count(*) AS n_tasks FROM tasks GROUP BY process_id), f AS (SELECT process_id, count(*) AS n_flows FROM flows GROUP BY process_id), g AS (SELECT * FROM t JOIN f USING (process_id) WHERE process_id % 40 NOT IN (3, 7, 13, 17, 23, 29))
+SELECT process_id::VARCHAR AS file, process_id::VARCHAR AS process_id, n_tasks::INT AS n_tasks, n_flows::INT AS n_flows FROM g UNION ALL SELECT process_id::VARCHAR, 'x' || process_id, 1::INT, 0::INT FROM g WHERE process_id % 40 % 11 = 0""")
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processes of the model files that can be read."""
+    good, _ = _model_files(spark, sf_dir)
+    return good.select("file", F.col("p._id").alias("process_id"), F.size("p.task").alias("n_tasks"), F.coalesce(F.size("p.sequenceFlow"), F.lit(0)).alias("n_flows"))
+
+
+@query(f"{with_parts('tasks')} SELECT process_id::VARCHAR AS file, CASE process_id % 40 WHEN 3 THEN 'not_well_formed' WHEN 7 THEN 'process_without_id' WHEN 13 THEN 'no_process' WHEN 23 THEN 'not_well_formed' ELSE 'empty' END AS reason FROM (SELECT DISTINCT process_id FROM tasks) WHERE process_id % 40 IN (3, 7, 13, 17, 23, 29)")
+def model_files_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model files set apart, and why."""
+    return _model_files(spark, sf_dir)[1]
+
+
 # Sources, and alignment of clauses.
 _LINES = "SELECT event_id, CASE event_id % 10 WHEN 0 THEN '  ' WHEN 1 THEN concat('# ', props) WHEN 2 THEN substr(props, 1, length(props) - 1) ELSE props END AS line FROM {events}"
 

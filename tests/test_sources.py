@@ -65,3 +65,24 @@ def test_committed_runs(spark, tmp_path):
     assert {r.ok for r in committed.verify(spark, path).collect()} == {False}
     committed.write(spark.createDataFrame([], schema), path)
     assert committed.read(spark, path, schema).count() == 0
+
+
+def test_model_files(spark, tmp_path):
+    from statuta.operators import process as K
+    from statuta.sources import models
+
+    body = '<startEvent id="s" name="go"/><task id="t1" name="Ärzte fragen"/><userTask id="t2"/><sequenceFlow id="f" sourceRef="s" targetRef="t1"/><laneSet><lane id="l" name="L"><flowNodeRef>t1</flowNodeRef><flowNodeRef>t2</flowNodeRef></lane></laneSet>'
+    texts = {
+        "plain": f'<definitions><process id="p1">{body}</process></definitions>',
+        "prefixed": f'<?xml version="1.0" encoding="UTF-8"?>\n<b:definitions xmlns:b="urn:x">\n<b:process id="p2">{body.replace("<", "<b:").replace("<b:/", "</b:")}</b:process><b:process id="p3"/></b:definitions>',
+        "cut": f'<definitions><process id="p4">{body}', "no": "plain text", "other": "<other/>", "unnamed": '<definitions><process id="p5"/><process name="x"/></definitions>', "blank": " \n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.bpmn").write_text(text)
+    good, apart = models.read_models(spark, f"file://{tmp_path}")
+    good = good.cache()
+    assert sorted((r.p._id, r.file.rsplit("/")[-1]) for r in good.collect()) == [("p1", "plain.bpmn"), ("p2", "prefixed.bpmn"), ("p3", "prefixed.bpmn")]
+    assert {(r.file.rsplit("/")[-1].split(".")[0], r.reason) for r in apart.collect()} == {("cut", "not_well_formed"), ("no", "not_well_formed"), ("other", "no_process"), ("unnamed", "process_without_id"), ("blank", "empty")}
+    assert sorted((r.process_id, r.node_id, r.name, r.kind) for r in K.activities(good).collect() if r.process_id == "p2") == [("p2", "t1", "Ärzte fragen", "task"), ("p2", "t2", None, "userTask")]
+    assert {(r.process_id, r.source, r.target) for r in K.flows(good).collect()} == {("p1", "s", "t1"), ("p2", "s", "t1")}
+    assert sorted((r.process_id, r.node_id) for r in K.lanes(good).collect()) == [("p1", "t1"), ("p1", "t2"), ("p2", "t1"), ("p2", "t2")]
