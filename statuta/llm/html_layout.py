@@ -48,6 +48,8 @@ BUTTONS = frozenset({"submit", "button", "reset"})
 INDENTED = 30
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?](?P<other>[^>]*)>?|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_UNQUOTED = re.compile(r"<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>")
+_BEGINS_TAG = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SHOWN = re.compile(r"display\s*:\s*(?!none)[a-z]", re.I)
@@ -73,6 +75,22 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def next_tag(page: str, at: int) -> tuple[int, re.Match | None]:
+    """Where the next tag, comment or declaration begins and its match; (size, None) where none follows.
+
+    A tag whose quotes do not close ends at the first `>`; one without any is unfinished, and the rest of the page goes with
+    it, so that None comes with the place where it begins. Each `<` is tried once, so the work is in proportion to the page.
+    """
+    while (at := page.find("<", at)) >= 0:
+        m = _TAG.match(page, at)
+        if not m and _BEGINS_TAG.match(page, at):
+            return at, _UNQUOTED.match(page, at)
+        if m:
+            return at, m
+        at += 1
+    return len(page), None
+
+
 def parse(page: str) -> Node:
     """The tree of a page: tags that HTML leaves out are put in, unmatched end tags are passed over."""
     root = Node("html")
@@ -105,11 +123,10 @@ def parse(page: str) -> Node:
         return False
 
     while at < size:
-        m = _TAG.search(page, at)
+        begin, m = next_tag(page, at)
+        text(page[at:begin])
         if not m:
-            text(page[at:])
             break
-        text(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if not name:
