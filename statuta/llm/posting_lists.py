@@ -24,6 +24,8 @@ from statuta.llm import store
 
 #: Rows of a coarse group that its centroids are fitted on, at most.
 GROUP_ROWS = 65_536
+#: Nearest lists that every query searches at least.
+LEAST_LISTS = 16
 
 
 @dataclass
@@ -125,12 +127,12 @@ def fit(rows: DataFrame, count: int, length2: float, lists: int, list_sample: in
     return Index(centroids, np.concatenate((np.stack(found["near"].to_numpy()).astype(np.int64).reshape(len(centroids), near), ring), axis=1), coarse, entry, length2)
 
 
-def search_centroids(ix: Index, x: np.ndarray, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+def search_centroids(ix: Index, x: np.ndarray, width: int, ratio: float, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroids that a best-first walk of the graph finds for each row: (ids, squared distances), ascending.
 
     Each row holds its `width` best so far, beginning with the lists near its nearest coarse centroids, and opens the
-    nearest not opened yet, as long as it lies within `ratio` of the nearest's distance. All rows step at once; a step costs the neighbours of one centroid a row, and
-    nothing is kept for centroids that fell behind.
+    nearest not opened yet, as long as it lies within `ratio` of the nearest's distance or fewer than `floor` are opened. All rows
+    step at once; a step costs the neighbours of one centroid a row, and nothing is kept for centroids that fell behind.
     """
     rows, width = len(x), min(width, len(ix.centroids))
     norm, own = (ix.centroids * ix.centroids).sum(axis=1), (x * x).sum(axis=1)
@@ -159,7 +161,8 @@ def search_centroids(ix: Index, x: np.ndarray, width: int, ratio: float) -> tupl
         open_d = np.where(opened[active], np.inf, dist[active])
         at = np.argmin(open_d, axis=1)
         least = np.maximum(dist[active].min(axis=1) + own[active], 0)
-        go = open_d[np.arange(len(active)), at] + own[active] <= ratio * ratio * least + 1e-9
+        next_d = open_d[np.arange(len(active)), at]
+        go = (next_d + own[active] <= ratio * ratio * least + 1e-9) | np.isfinite(next_d) & (opened[active].sum(axis=1) < floor)
         active, at = active[go], at[go]
         opened[active, at] = True
         if len(active):
@@ -168,8 +171,8 @@ def search_centroids(ix: Index, x: np.ndarray, width: int, ratio: float) -> tupl
     return np.maximum(ids, 0), np.maximum(found, 0)
 
 
-def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queries: bool = False, step: int = 512) -> DataFrame:
-    """(cid, v, list): the lists of each row (cid, v) whose distance is within ratio of its nearest's, at most `most`.
+def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queries: bool = False, step: int = 512, floor: int = 1) -> DataFrame:
+    """(cid, v, list): the lists of each row (cid, v) whose distance is within ratio of its nearest's, the `floor` nearest in any case, at most `most`.
 
     A query's further component is 0, so its distance to a lifted vector falls as their inner product grows.
     """
@@ -181,8 +184,9 @@ def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queri
                 some = part.iloc[a : a + step]
                 x = np.stack(some["v"].to_numpy()).astype(float)
                 x = np.pad(x, ((0, 0), (0, 1))) if queries else lifted(x, ix.length2)
-                ids, d = search_centroids(ix, x, width, ratio)
+                ids, d = search_centroids(ix, x, width, ratio, floor)
                 near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-9
+                near[:, :floor] = np.isfinite(d[:, :floor])
                 near[:, most:] = False
                 r, k = np.nonzero(near)
                 yield pd.DataFrame({"cid": some["cid"].to_numpy()[r], "v": some["v"].to_numpy()[r], "list": ids[r, k]})
@@ -217,10 +221,11 @@ def best_of(q: np.ndarray, x: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.
 
 @dataclass
 class Pruning:
-    """A query searches the lists within `ratio` of its nearest's distance, `width` at most."""
+    """A query searches the lists within `ratio` of its nearest's distance, the `floor` nearest in any case, `width` at most."""
 
     ratio: float
     width: int
+    floor: int = 1
 
 
 def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFrame, k: int, cover: float, sample: int) -> Pruning:
@@ -245,9 +250,18 @@ def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFram
     x = np.pad(q, ((0, 0), (0, 1)))
     d = np.sqrt(np.maximum(distances(x, ix.centroids) + (x * x).sum(axis=1)[:, None], 0))
     ratios = d / np.maximum(d.min(axis=1, keepdims=True), 1e-12)
-    need = np.sort([ratios[i, list(at)].min() for i, at in zip(lists["q"], lists["lists"], strict=True)])
-    ratio = float(need[min(len(need) - 1, int(np.ceil(cover * len(need))))]) + 1e-9
-    return Pruning(ratio, int(min(len(ix.centroids), np.ceil(1.5 * (ratios <= ratio).sum(axis=1).max()))))
+    place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
+    own = [(ratios[i, list(at)].min(), place[i, list(at)].min()) for i, at in zip(lists["q"], lists["lists"], strict=True)]
+    far, behind = np.array([x[0] for x in own]), np.array([x[1] for x in own])
+    found = []
+    for power in range(len(ix.centroids).bit_length()):
+        floor = min(LEAST_LISTS << power, len(ix.centroids))
+        need = np.sort(np.where(behind < floor, 0.0, far))
+        ratio = float(need[min(len(need) - 1, int(np.ceil(cover * len(need))))]) + 1e-9
+        opened = np.maximum((ratios <= ratio).sum(axis=1), floor)
+        found.append((opened.mean(), floor, ratio, opened.max()))
+    _, floor, ratio, most = min(found)
+    return Pruning(ratio, int(min(len(ix.centroids), np.ceil(1.5 * most))), floor)
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, cover: float = 0.95, sample_queries: int = 256, pruning: Pruning | None = None, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, query_block: int = 1024, seed: int = 3) -> DataFrame:
@@ -316,7 +330,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     if not asked.limit(1).count():
         return nothing
     pruning = pruning or calibrated(index, asked, classes, posted, k, cover, sample_queries)
-    best = store.table(answered(assigned(asked, shared, pruning.width, pruning.ratio, pruning.width, queries=True)))
+    best = store.table(answered(assigned(asked, shared, pruning.width, pruning.ratio, pruning.width, queries=True, floor=pruning.floor)))
     found = store.table(ranked(best).select("query_id", "rank", F.col("id").alias(id_col), "score"))
     enough = found.groupBy("query_id").count().where(F.col("count") >= k)
     rest = store.table(queries.join(enough, "query_id", "left_anti"))
