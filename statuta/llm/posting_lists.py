@@ -232,8 +232,10 @@ def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFram
     """The pruning under which the lists searched hold a share `cover` of the true neighbours of a sample of queries.
 
     The queries of the smallest hashes, `sample` at most, are compared with all classes; each of their k best then tells by
-    how much farther than the nearest list its own nearest to the query is. The work is linear in the rows. Width is one and a
-    half times what the sample's queries need at most, so that it binds for none but odd ones; the walk holds so many lists a query.
+    how much farther than the nearest list its own nearest to the query is, and how many lists are nearer. Queries close to a
+    centroid have few lists within a ratio, so all search the LEAST_LISTS nearest in any case, and the ratio is what the other
+    neighbours need. The work is linear in the rows. Width is one and a half times what the sample's queries need at most, so
+    that it binds for none but odd ones; the walk holds so many lists a query.
     """
     got = asked.select("v", "h").orderBy("h").limit(sample).collect()
     q = np.array([r.v for r in got])
@@ -253,14 +255,10 @@ def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFram
     place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
     own = [(ratios[i, list(at)].min(), place[i, list(at)].min()) for i, at in zip(lists["q"], lists["lists"], strict=True)]
     far, behind = np.array([x[0] for x in own]), np.array([x[1] for x in own])
-    found = []
-    for power in range(len(ix.centroids).bit_length()):
-        floor = min(LEAST_LISTS << power, len(ix.centroids))
-        need = np.sort(np.where(behind < floor, 0.0, far))
-        ratio = float(need[min(len(need) - 1, int(np.ceil(cover * len(need))))]) + 1e-9
-        opened = np.maximum((ratios <= ratio).sum(axis=1), floor)
-        found.append((opened.mean(), floor, ratio, opened.max()))
-    _, floor, ratio, most = min(found)
+    floor = min(LEAST_LISTS, len(ix.centroids))
+    need = np.sort(np.where(behind < floor, 1.0, far))
+    ratio = float(need[min(len(need) - 1, int(np.ceil(cover * len(need))))]) + 1e-9
+    most = np.maximum((ratios <= ratio).sum(axis=1), floor).max()
     return Pruning(ratio, int(min(len(ix.centroids), np.ceil(1.5 * most))), floor)
 
 
