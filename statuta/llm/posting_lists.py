@@ -39,6 +39,15 @@ class Index:
     length2: float
 
 
+@dataclass
+class Pruning:
+    """A query searches the lists within `ratio` of its nearest's distance, the `floor` nearest in any case, `width` at most."""
+
+    ratio: float
+    width: int
+    floor: int = 1
+
+
 def usable(vector: Column) -> Column:
     """Not null, not empty or zero, and of finite components alone."""
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.exists(vector, lambda x: x != 0)
@@ -171,22 +180,16 @@ def search_centroids(ix: Index, x: np.ndarray, width: int, ratio: float, floor:
     return np.maximum(ids, 0), np.maximum(found, 0)
 
 
-def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queries: bool = False, step: int = 512, floor: int = 1) -> DataFrame:
-    """(cid, v, list): the lists of each row (cid, v) whose distance is within ratio of its nearest's, the `floor` nearest in any case, at most `most`.
-
-    A query's further component is 0, so its distance to a lifted vector falls as their inner product grows.
-    """
+def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, step: int = 512) -> DataFrame:
+    """(cid, v, list): the lists of each row (cid, v) whose distance is within ratio of its nearest's, at most `most`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for part in batches:
             for a in range(0, len(part), step):
                 some = part.iloc[a : a + step]
-                x = np.stack(some["v"].to_numpy()).astype(float)
-                x = np.pad(x, ((0, 0), (0, 1))) if queries else lifted(x, ix.length2)
-                ids, d = search_centroids(ix, x, width, ratio, floor)
+                ids, d = search_centroids(ix, lifted(np.stack(some["v"].to_numpy()).astype(float), ix.length2), width, ratio)
                 near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-9
-                near[:, :floor] = np.isfinite(d[:, :floor])
                 near[:, most:] = False
                 r, k = np.nonzero(near)
                 yield pd.DataFrame({"cid": some["cid"].to_numpy()[r], "v": some["v"].to_numpy()[r], "list": ids[r, k]})
@@ -194,6 +197,41 @@ def assigned(rows: DataFrame, shared, width: int, ratio: float, most: int, queri
     return rows.select("cid", "v").mapInPandas(run, "cid long, v array<double>, list int")
 
 
+def placed(sizes: np.ndarray, tile_rows: int) -> np.ndarray:
+    """First and last tile of each list: lists stand one after the other, and a tile ends after every tile_rows rows."""
+    stop = np.cumsum(sizes)
+    return np.stack(((stop - sizes) // tile_rows, np.maximum(stop - 1, stop - sizes) // tile_rows), axis=1)
+
+
+def probes(rows: DataFrame, shared, tiles, pruning: Pruning, step: int = 512) -> DataFrame:
+    """(cid, v, early, tile, lists): the tiles that each query (cid, v) comes to, with the lists that it searches there.
+
+    The `floor` nearest lists are early ones, those within the ratio besides are not. A query's further component is 0, so its
+    distance to a lifted vector falls as their inner product grows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ix, place = shared.value, tiles.value
+        for part in batches:
+            for a in range(0, len(part), step):
+                some = part.iloc[a : a + step]
+                x = np.pad(np.stack(some["v"].to_numpy()).astype(float), ((0, 0), (0, 1)))
+                ids, d = search_centroids(ix, x, pruning.width, pruning.ratio, pruning.floor)
+                near = np.sqrt(d) <= pruning.ratio * np.sqrt(d[:, :1]) + 1e-9
+                near[:, : pruning.floor] = np.isfinite(d[:, : pruning.floor])
+                r, k = np.nonzero(near)
+                lists = ids[r, k]
+                times = place[lists, 1] - place[lists, 0] + 1
+                tile = np.repeat(place[lists, 0], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                r, late, lists = np.repeat(r, times), np.repeat(k >= pruning.floor, times), np.repeat(lists, times)
+                order = np.lexsort((lists, tile, late, r))
+                r, late, tile, lists = r[order], late[order], tile[order], lists[order]
+                new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (late[1:] != late[:-1]) | (tile[1:] != tile[:-1]))))
+                yield pd.DataFrame({"cid": some["cid"].to_numpy()[r[new]], "v": some["v"].to_numpy()[r[new]], "early": ~late[new], "tile": tile[new], "lists": np.split(lists, new[1:])})
+
+    return rows.select("cid", "v").mapInPandas(run, "cid long, v array<double>, early boolean, tile long, lists array<int>")
+
+
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of rows with rows, summed component by component, so equal vectors get equal scores wherever they stand."""
     out = np.zeros(len(q))
@@ -202,6 +240,13 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def firsts(i: np.ndarray, score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores of each i, by i, ties to the smaller name."""
+    order = np.lexsort((names, -score, i))
+    i = i[order]
+    return order[np.arange(len(i)) - np.searchsorted(i, i) < k]
+
+
 def best_of(q: np.ndarray, x: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, score) of each query's k largest inner products, ties to the smaller cid."""
     rough = q @ x.T
@@ -213,19 +258,8 @@ def best_of(q: np.ndarray, x: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.
     else:
         i, j = (y.ravel() for y in np.indices(rough.shape))
     score = inner(q[i], x[j])
-    order = np.lexsort((cids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[place < k], j[place < k], score[place < k]
-
-
-@dataclass
-class Pruning:
-    """A query searches the lists within `ratio` of its nearest's distance, the `floor` nearest in any case, `width` at most."""
-
-    ratio: float
-    width: int
-    floor: int = 1
+    best = firsts(i, score, cids[j], k)
+    return i[best], j[best], score[best]
 
 
 def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFrame, k: int, cover: float, sample: int) -> Pruning:
@@ -242,9 +276,13 @@ def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFram
     shared = asked.sparkSession.sparkContext.broadcast(q)
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"q": [], "cid": [], "least": [], "score": []})
         for part in parts:
             i, j, score = best_of(shared.value, np.stack(part["v"].to_numpy()), part["least"].to_numpy(), k + 1)
-            yield pd.DataFrame({"q": i, "cid": part["cid"].to_numpy()[j], "least": part["least"].to_numpy()[j], "score": score})
+            more = pd.DataFrame({"q": i, "cid": part["cid"].to_numpy()[j], "least": part["least"].to_numpy()[j], "score": score})
+            best = pd.concat((best, more), ignore_index=True) if len(best) else more
+            best = best.iloc[firsts(best["q"].to_numpy(), best["score"].to_numpy(), best["least"].to_numpy(), k + 1)]
+        yield best
 
     near = classes.select("cid", "least", "v").mapInPandas(batches, "q int, cid long, least long, score double")
     true = near.withColumn("no", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("no") <= k + 1)
@@ -262,13 +300,42 @@ def calibrated(ix: Index, asked: DataFrame, classes: DataFrame, posted: DataFram
     return Pruning(ratio, int(min(len(ix.centroids), np.ceil(1.5 * most))), floor)
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, cover: float = 0.95, sample_queries: int = 256, pruning: Pruning | None = None, copies: int = 3, copy_ratio: float = 1.12, block: int = 2048, query_block: int = 1024, seed: int = 3) -> DataFrame:
+def answer(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of each query among the rows of its lists on a tile, if they reach its bar: (query, cid, least, score).
+
+    left: queries (cid, v, lists, bar), lists being null where all are meant; right: the tile's rows (list, cid, least, v).
+    """
+    found = []
+    if len(left) and len(right):
+        right = right.sort_values("list", kind="stable")
+        q, bar, x = np.stack(left["v"].to_numpy()), left["bar"].to_numpy(float), np.stack(right["v"].to_numpy())
+        cids, names = right["cid"].to_numpy(), right["least"].to_numpy()
+        there, begin = np.unique(right["list"].to_numpy(), return_index=True)
+        wanted = [there if at is None else at for at in left["lists"]]
+        who, lists = np.repeat(np.arange(len(left)), [len(at) for at in wanted]), np.concatenate(wanted)
+        for at, a, b in zip(there, begin, [*begin[1:], len(right)], strict=True):
+            asking = who[lists == at]
+            i, j, score = best_of(q[asking], x[a:b], names[a:b], k)
+            i, j = asking[i], j + a
+            reach = score >= bar[i]
+            found.append((i[reach], j[reach], score[reach]))
+    if not found:
+        return pd.DataFrame({"query": [], "cid": [], "least": [], "score": []})
+    i, j, score = (np.concatenate(y) for y in zip(*found, strict=True))
+    once = np.unique(np.stack((i, cids[j])), axis=1, return_index=True)[1]  # a row stands in several lists
+    i, j, score = i[once], j[once], score[once]
+    best = firsts(i, score, names[j], k)
+    return pd.DataFrame({"query": left["cid"].to_numpy()[i[best]], "cid": cids[j[best]], "least": names[j[best]], "score": score[best]})
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, max_sample: int = 20_000, list_rows: int = 128, root_lists: float = 4.0, list_sample: int = 64, cover: float = 0.95, sample_queries: int = 256, pruning: Pruning | None = None, copies: int = 3, copy_ratio: float = 1.12, tile_rows: int = 4096, query_block: int = 1024, index_bytes: int = 256 << 20, seed: int = 3) -> DataFrame:
     """Per query (id divisible by every): its k nearest other rows found, as query_id, rank from 1, id and score.
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Vectors that are null, empty,
     zero or of another length than most, or that hold a null or non-finite component, take no part, nor do null ids. Of rows that repeat
     an id, each distinct vector takes part. All rows are indexed, in one list for list_rows rows or root_lists * sqrt(rows)
-    lists, whichever is less; see fit for its samples. Lists are pruned so that about a share `cover` of true neighbours is
+    lists, whichever is less, but never more than index_bytes of centroids and graph, which every task holds; see fit for its
+    samples. Lists are pruned so that about a share `cover` of true neighbours is
     found, unless a pruning is given; see calibrated. A query for which fewer than k rows are found is searched in all
     lists. Extra columns are ignored; an empty table gives an empty result.
     """
@@ -283,37 +350,34 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     least = rows.withColumn("no", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("no") <= k + 1)
     classes = store.table(least.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("cid", F.monotonically_increasing_id()).withColumn("least", F.col("ids")[0]))
     about = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    lists = int(max(1, min(-(-about[0] // list_rows), np.ceil(root_lists * about[0] ** 0.5))))
-    index = fit(classes.select("h", "v"), about[0], float(about[1]) * (1 + 1e-9), lists, list_sample, max_sample, 24, 8, seed)
+    degree = 24
+    fitting = index_bytes // (8 * (int(dims["d"]) + degree + 3))
+    lists = int(max(1, min(-(-about[0] // list_rows), np.ceil(root_lists * about[0] ** 0.5), fitting)))
+    index = fit(classes.select("h", "v"), about[0], float(about[1]) * (1 + 1e-9), lists, list_sample, max_sample, degree, 8, seed)
     lists = len(index.centroids)
-    shared = spark.sparkContext.broadcast(index)  # grows as the root of the rows
+    shared = spark.sparkContext.broadcast(index)
 
     posted = store.table(assigned(classes, shared, max(copies, 24), copy_ratio, copies).join(classes.select("cid", "least"), "cid"))
     queries = store.table(rows.where(F.col("id") % every == 0).join(classes.select("h", "v", "cid"), ["h", "v"]).select(F.col("id").alias("query_id"), "cid"))
     asked = store.table(classes.select("cid", "h", "v").join(queries.select("cid").distinct(), "cid", "left_semi"))
-    pair = "query long, cid long, least long, score double"
-
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "cid": [], "least": [], "score": []})
-        names, ids = right["least"].to_numpy(), right["cid"].to_numpy()
-        i, j, score = best_of(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), names, k + 1)
-        return pd.DataFrame({"query": left["cid"].to_numpy()[i], "cid": ids[j], "least": names[j], "score": score})
-
-    def dealt(part: DataFrame, size: int, name: str) -> DataFrame:
-        """part with its block in its list, and the number of blocks of each list."""
-        counts = part.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(f"{name}s"))  # a row a list
-        return part.join(F.broadcast(counts), "list").withColumn(name, F.pmod(F.xxhash64("cid"), F.col(f"{name}s")).cast("int")), counts
-
-    held, held_counts = dealt(posted, block, "block")
-
-    def answered(asked: DataFrame) -> DataFrame:
-        asked = store.table(asked)
-        put, put_counts = dealt(asked, query_block, "part")
-        left = put.join(F.broadcast(held_counts), "list").select("list", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "v")
-        right = held.join(F.broadcast(put_counts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "cid", "least", "v")
-        keys = ["list", "part", "block"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(answer, pair).groupBy("query", "cid", "least").agg(F.max("score").alias("score"))
+    counts = posted.groupBy("list").count().toPandas()  # a row a list
+    sizes = np.zeros(lists, np.int64)
+    sizes[counts["list"]] = counts["count"]
+    place = placed(sizes, tile_rows)
+    ends = spark.createDataFrame(pd.DataFrame({"list": np.arange(lists), "first": place[:, 0], "last": place[:, 1]}), "list int, first long, last long")
+    held = store.table(posted.join(F.broadcast(ends), "list").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("last") - F.col("first") + 1)).alias("tile"), "list", "cid", "least", "v"))
+    spent = [rows, classes, posted, queries, asked, held]
+
+    def answered(put: DataFrame) -> DataFrame:
+        """Stored: the k + 1 best classes (query, cid, least, score) of each query on each tile of put (cid, v, tile, lists, bar)."""
+        parts = store.table(put.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).cast("int").alias("parts")))  # small, or joined by a shuffle
+        left = put.join(parts, "tile").select("tile", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid", "v", "lists", "bar")
+        right = held.join(parts, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "list", "cid", "least", "v")
+        best = left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInPandas(lambda a, b: answer(a, b, k + 1), "query long, cid long, least long, score double")
+        out = store.table(best.groupBy("query", "cid", "least").agg(F.max("score").alias("score")))
+        store.drop(parts)
+        spent.append(out)
+        return out
 
     def ranked(best: DataFrame) -> DataFrame:
         """The k best ids of each query: of the k + 1 best classes their ids, less its own."""
@@ -325,16 +389,32 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         unique = mine.groupBy("query_id", "id").agg(F.max("score").alias("score"))
         return unique.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
+    def ended(found: DataFrame) -> DataFrame:
+        """found stored, and all other tables removed."""
+        out = store.table(found)
+        store.drop(*spent)
+        return out
+
     if not asked.limit(1).count():
+        store.drop(*spent)
         return nothing
     pruning = pruning or calibrated(index, asked, classes, posted, k, cover, sample_queries)
-    best = store.table(answered(assigned(asked, shared, pruning.width, pruning.ratio, pruning.width, queries=True, floor=pruning.floor)))
+    ways = store.table(probes(asked, shared, spark.sparkContext.broadcast(place), pruning))
+    spent.append(ways)
+    early = answered(ways.where("early").withColumn("bar", F.lit(float("-inf"))))
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    bars = early.withColumn("no", F.row_number().over(by_score)).where(F.col("no") == k + 1).select(F.col("query").alias("cid"), F.col("score").alias("bar"))
+    late = answered(ways.where("not early").join(bars, "cid", "left").fillna(float("-inf"), "bar"))
+    best = early.unionByName(late).groupBy("query", "cid", "least").agg(F.max("score").alias("score"))
     found = store.table(ranked(best).select("query_id", "rank", F.col("id").alias(id_col), "score"))
     enough = found.groupBy("query_id").count().where(F.col("count") >= k)
     rest = store.table(queries.join(enough, "query_id", "left_anti"))
+    spent.append(rest)
     if not rest.limit(1).count():
+        store.drop(*spent)
         return found
-    everywhere = asked.join(rest.select("cid").distinct(), "cid", "left_semi").withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
-    more = answered(everywhere.select("cid", "v", "list"))
+    spent.append(found)
+    everywhere = asked.join(rest.select("cid").distinct(), "cid", "left_semi").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(int(place.max()))).cast("array<bigint>")))
+    more = answered(everywhere.select("cid", "v", "tile", F.lit(None).cast("array<int>").alias("lists"), F.lit(float("-inf")).alias("bar")))
     again = ranked(more).join(rest.select("query_id"), "query_id", "left_semi").select("query_id", "rank", F.col("id").alias(id_col), "score")
-    return found.join(rest.select("query_id"), "query_id", "left_anti").unionByName(again)
+    return ended(found.join(rest.select("query_id"), "query_id", "left_anti").unionByName(again))

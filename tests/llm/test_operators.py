@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("statuta.llm")
@@ -154,7 +155,7 @@ def test_posting_lists_prune(spark, empty):
     x[rng.permutation(4000)[:1300]] = x[7]
     ship(spark)
     v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    for blocks in ({}, {"block": 16, "query_block": 8, "pruning": posting_lists.Pruning(1.6, 16)}):
+    for blocks in ({}, {"tile_rows": 16, "query_block": 8, "pruning": posting_lists.Pruning(1.6, 16)}):
         by = {}
         for r in posting_lists.search(v, list_rows=8, root_lists=4.5, list_sample=16, **blocks).collect():
             by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -170,6 +171,28 @@ def test_posting_lists_prune(spark, empty):
     assert posting_lists.search(empty.selectExpr("doc_id as vec_id", "cast(null as array<double>) as embedding")).count() == 0
 
 
+def test_posting_lists_beyond_the_sample(spark):
+    """Vectors without clusters, and 1,200 queries of which 100 set the pruning: the others are found as well, none is lost."""
+    x = np.random.default_rng(5).normal(size=(12_000, 16))
+    ship(spark)
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(12_000), "embedding": x.tolist(), "list": 1, "cid": 2, "tile": 3, "h": 4}), "vec_id long, embedding array<double>, list int, cid int, tile int, h int")
+    got = posting_lists.search(v, every=10, k=10, sample_queries=100, tile_rows=700).toPandas()
+    found = got.groupby("query_id")["vec_id"].agg(set)
+    sampled = {r.vec_id for r in v.where("vec_id % 10 = 0").selectExpr("vec_id", "xxhash64(embedding) as x").orderBy("x").limit(100).collect()}
+    s = x[::10] @ x.T
+    s[np.arange(1200), np.arange(0, 12_000, 10)] = -np.inf
+    want = np.argpartition(-s, 10, axis=1)[:, :10]
+    shares = [len(found[10 * i] & set(want[i].tolist())) / 10 for i in range(1200) if 10 * i not in sampled]
+    assert len(shares) == 1100 and (got.groupby("query_id").size() == 10).all()
+    assert np.mean(shares) >= 0.9 and min(shares) >= 0.4
+
+
+def test_posting_lists_places():
+    sizes = np.array([3, 0, 5, 20, 1, 0, 7])
+    first, last = posting_lists.placed(sizes, 8).T
+    assert first.tolist() == [0, 0, 0, 1, 3, 3, 3] and last.tolist() == [0, 0, 0, 3, 3, 3, 4]
+
+
 def test_quality_rules(docs, empty, texts):
     for r in quality_rules.statistics(docs).collect():
         t = texts[r.doc_id] if r.doc_id is not None else "null id"
