@@ -26,6 +26,8 @@ from statuta.llm.components import components
 BITS = 1024
 #: Members of a tile's block; a larger tile is dealt as pairs of blocks.
 BLOCK = 512
+#: Bytes of texts of a home; the pairs of a heavier one are dealt to several.
+HOME_BYTES = 64 << 20
 #: Of the smallest hashes of a set, those whose tiles are settled against their smallest member in the first round.
 LEADERS = 4
 
@@ -67,9 +69,9 @@ def signatures(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, n: int, percent: int, wanted: str) -> DataFrame:
-    """Per row of (id, text): id and n (set size), with f1 and f2 (128 bits that stand for the set), or these and
+    """Per row of (id, text): id and n (set size), with f1 and f2 (128 bits that stand for the set), and size (bytes of the text),
     prefix (its smallest hashes), set (all), or bits (its signature); wanted is "class", "prefix", "set" or "bits"."""
-    extra = {"class": [], "prefix": [("prefix", pa.list_(pa.int64()), "array<long>")], "bits": [("bits", pa.binary(), "binary")], "set": [("set", pa.list_(pa.int64()), "array<long>")]}[wanted]
+    extra = {"class": [("size", pa.int64(), "long")], "prefix": [("prefix", pa.list_(pa.int64()), "array<long>")], "bits": [("bits", pa.binary(), "binary")], "set": [("set", pa.list_(pa.int64()), "array<long>")]}[wanted]
     kind = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), *(x[:2] for x in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,9 @@ def features(docs: DataFrame, n: int, percent: int, wanted: str) -> DataFrame:
                     sums = [np.concatenate(([np.uint64(0)], np.cumsum(W.mix(values ^ np.uint64(s)), dtype=np.uint64))) for s in (0x1234567, 0x7654321ABCDEF)]
                     f1, f2 = ((s[begins[1:]] - s[begins[:-1]]).view(np.int64) for s in sums)
                 columns = [batch.column(0).slice(a, b - a), pa.array(size, pa.int32()), pa.array(f1), pa.array(f2)]
-                if wanted == "prefix":
+                if wanted == "class":
+                    columns.append(pa.array(np.diff(offsets)))
+                elif wanted == "prefix":
                     take = np.minimum(prefix_size(size, percent), size)
                     kept = np.arange(len(values)) - np.repeat(begins[:-1], size) < np.repeat(take, size)
                     columns.append(W.lists(values[kept].view(np.int64), np.concatenate(([0], np.cumsum(take))), pa.int64()))
@@ -136,12 +140,24 @@ def cuts_of(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [rows.num_rows]))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def homes(pairs: DataFrame) -> DataFrame:
+    """Stored: (home, id) of the texts that the pairs (a, b, home) need."""
+    return store.table(pairs.select("home", F.explode(F.array("a", "b")).alias("id")).distinct())
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact intersection of their sorted arrays.
 
-    pairs has (a, b, home); a text goes once to each home that has pairs of it, and homes are small.
+    pairs has (a, b, home); a text goes once to each home that has pairs of it. Homes have few texts; where these (id, size
+    in sizes) have more than HOME_BYTES, they are dealt into groups of about so many, and the pairs of each two groups get a home.
     """
-    needed = store.table(pairs.select("home", F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = homes(pairs)
+    held = needed.join(bitmaps.among(sizes, store.table(needed.select("id").distinct()), "id"), "id").groupBy("home").agg(F.sum("size").alias("bytes"))
+    heavy = store.table(held.where(F.col("bytes") > HOME_BYTES).select("home", F.ceil(F.col("bytes") / F.lit(HOME_BYTES)).alias("groups")))
+    if heavy.limit(1).count():
+        group = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.col("groups"))
+        pairs = store.table(pairs.join(heavy, "home", "left").select("a", "b", F.when(F.col("groups").isNull(), F.col("home")).otherwise(F.xxhash64("home", F.least(group("a"), group("b")), F.greatest(group("a"), group("b")))).alias("home")))
+        needed = homes(pairs)
     texts = rows_of(docs, needed.select("id"))
     nothing = F.lit(None)
     rows = needed.join(texts, "id").select("home", F.lit(0).alias("part"), "id", nothing.cast("long").alias("b"), "text").unionByName(pairs.select("home", F.lit(1).alias("part"), F.col("a").alias("id"), "b", nothing.cast("string").alias("text")))
@@ -241,6 +257,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = store.table(features(rows, n, percent, "class"))
+    sizes = made.select("id", "size")
     prefixes = store.table(features(rows.where("id is not null"), n, percent, "prefix").where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix")).select("id", "n", "prefix"))
 
     # postings; a hash that one class alone has in its prefix is of no use, nor is a class that shares too few of its own
@@ -256,7 +273,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stars = store.table(stars)
     parts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
     stars = stars.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("home"))
-    first = store.table(verified(store.table(stars), rows, n, percent))
+    first = store.table(verified(store.table(stars), rows, sizes, n, percent))
     comp = store.table(components(first))
 
     # second round: who meets another component there, in tiles of the rarest n-grams among these, for the pairs still apart
@@ -282,7 +299,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     banded = within(banded, ["tile", "band"], "g = 0 and lo < hi and some", m=F.count(F.lit(1)), g=F.min("guest"), lo=F.min("comp"), hi=F.max("comp"), some=F.max("first"))
     banded = banded.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "comp", "guest", F.col("first").cast("int").alias("first"))
-    second = verified(store.table(in_tiles(dealt.join(signed.select("id", "bits"), "id"), percent)), rows, n, percent)
+    second = verified(store.table(in_tiles(dealt.join(signed.select("id", "bits"), "id"), percent)), rows, sizes, n, percent)
     final = store.table(components(first.union(second)).withColumnRenamed("node", "rep"))
     store.drop(texts, signed, posted)
 

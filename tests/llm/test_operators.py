@@ -120,6 +120,22 @@ def test_ngram_jaccard_large_families(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+def test_ngram_join_homes_by_bytes(spark, monkeypatch):
+    """Texts of a home are dealt by bytes: the same classes, near copies of a text of 5 MB among them."""
+    rng = np.random.default_rng(8)
+    base = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"], 120)) for _ in range(4)]
+    rows = [(i, base[i % 4] + f" x{i} y{i}") for i in range(120)]
+    rows += [(i, base[i % 4].replace("ab", "zz", 9 * (i % 3))) for i in range(200, 230)]
+    giant = " ".join(f"w{k}" for k in range(700_000))
+    rows += [(500, giant), (501, giant + " end"), (502, "start " + giant), (503, " ".join(giant.split()[::-1]))]
+    ship(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = {r.doc_id: r.component_id for r in ngram_jaccard.link_classes(docs).collect()}
+    monkeypatch.setattr(ngram_jaccard, "HOME_BYTES", 3000)
+    assert {r.doc_id: r.component_id for r in ngram_jaccard.link_classes(docs).collect()} == whole
+    assert [whole[i] for i in (500, 501, 502, 503)] == [500, 500, 500, 503] and all(whole[i] == i % 4 for i in range(120))
+
+
 def test_posting_lists(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 8)) * rng.uniform(0.5, 2, (600, 1))
