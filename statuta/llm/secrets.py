@@ -29,6 +29,11 @@ KINDS: list[tuple[str, str, int, int]] = [
 ]
 BREAK = r"\n[\x20\t\r]*\n"
 BASE = 3
+#: What every match of a kind holds.
+HOLDS = {"access": "AKIA", "endpoint": "://"}
+#: Noncharacters set around matches, and the one that stands for them where a text has them itself.
+OPEN, CLOSE, OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+FOUND = "array<struct<kind:int,no:int,gap:int,size:int,part:int>>"
 # The parts of one credential that complement each other.
 ROLES = {"id": ("access", "ident"), "secret": ("assign", "hex", "opaque", "short"), "place": ("endpoint",)}
 
@@ -37,34 +42,42 @@ def is_kind(column: Column, *names: str) -> Column:
     return column.isin([i for i, x in enumerate(KINDS) if x[0] in names])
 
 
-def lengths(text: Column, pattern: str, group: int) -> Column:
-    """Per match of a pattern in a text: (gap, size, part), the code points since the match before, of the match, and
-    of the group."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    parts = sizes if group == 0 else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x))
-    return F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), parts.alias("part")), lambda x: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), x["part"].alias("part")))
+def readable(text: Column) -> Column:
+    """The text with other noncharacters in the place of those that mark matches, so that places stay; a null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, OTHER * 2)).otherwise(text)
 
 
-def found_in(text: Column) -> Column:
-    """All matches of all kinds and breaks of a text: array of (kind, no, gap, size, part); empty for most texts."""
-    text = F.coalesce(text, F.lit(""))
-    each = []
+def matches(text: Column, kind: int, pattern: str, group: int, holds: str) -> Column:
+    """Matches of a pattern in a readable text: array of (kind, no, gap, size, part), the code points since the match before,
+    of the match, and of the group. The pattern runs once, and never over a text without the letters that all its matches hold."""
+    marked = F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}" + (f"${group}{CLOSE}" if group else ""))
+    if holds:
+        marked = F.when(text.contains(holds), marked).otherwise(F.lit(""))
+
+    def of_pieces(p: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            size = F.length(F.substring_index(x, CLOSE, 1))
+            part = F.length(F.substring_index(F.substring_index(x, CLOSE, 2), CLOSE, -1)) if group else size
+            gap = F.length(F.substring_index(F.element_at(p, i + 1), CLOSE, -1))
+            return F.struct(F.lit(kind).alias("kind"), i.alias("no"), gap.alias("gap"), size.alias("size"), part.alias("part"))
 
-    def of_kind(k: int, pattern: str, group: int) -> Column:
-        return F.transform(lengths(text, pattern, group), lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("no"), x["gap"].alias("gap"), x["size"].alias("size"), x["part"].alias("part")))
+        return F.when(F.size(p) > 1, F.transform(F.slice(p, F.lit(2), F.size(p) - 1), one)).otherwise(F.array().cast(FOUND))
 
-    nothing = F.array().cast("array<struct<kind:int,no:int,gap:int,size:int,part:int>>")
-    for k, (_, pattern, group, _) in enumerate([*KINDS, ("break", BREAK, 0, 0)]):
-        # a text without the pattern costs one search
-        each.append(F.when(F.regexp_like(text, F.lit(pattern)), of_kind(k, pattern, group)).otherwise(nothing))
-    return F.concat(*each)
+    return F.transform(F.array(F.split(marked, OPEN, -1)), of_pieces)[0]
+
+
+def found_in(text: Column) -> Column:
+    """Matches of all kinds of a readable text, and its breaks if it has any: array of (kind, no, gap, size, part)."""
+    some = F.concat(*(matches(text, k, pattern, group, HOLDS.get(name, "")) for k, (name, pattern, group, _) in enumerate(KINDS)))
+    breaks = matches(text, len(KINDS), BREAK, 0, "\n")
+    return F.transform(F.array(some), lambda x: F.when(F.size(x) > 0, F.concat(x, breaks)).otherwise(x))[0]
 
 
 def parts(docs: DataFrame, keys: list[str], text_col: str, reach: int) -> DataFrame:
     """Stored: row, keys, kind, start, stop (code points, end exclusive) and scope of each part; a row without parts has a
     null kind."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keys, found_in(F.col(text_col)).alias("ms"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keys, readable(F.col(text_col)).alias("scan")).select("row", *keys, found_in(F.col("scan")).alias("ms"))
     rows = rows.select("row", *keys, F.explode_outer("ms").alias("m")).select("row", *keys, "m.*")
     by_kind = Window.partitionBy("row", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(by_kind)).withColumn("start", F.col("stop") - F.col("size"))
