@@ -239,6 +239,33 @@ def test_quality_rules(docs, empty, texts):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_rules_in_order_of_rejection_per_cost():
+    """A dear rule comes after a cheap one that rejects as much, runs on what that keeps, and its counts are completed later."""
+    now, asked = [0.0], []
+
+    def rule(name, cost, failed):
+        def run(t):
+            now[0] += cost
+            asked.append((name, len(t.offsets) - 1))
+            return failed(t)
+        return quality_rules.Rule(name, run)
+
+    given = [rule("dear", 9.0, lambda t: t.n_symbols() > 2), rule("cheap", 1.0, lambda t: t.n_words() > 3), rule("idle", 0.5, lambda t: t.n_words() < 0)]
+    data = [f"{'# ' * (i % 5)}{'w ' * (i % 3)}" for i in range(40)]
+    whole = [quality_rules.Texts(d, o) for k in (0, 20) for *_, d, o in words.slices(__import__("pyarrow").array(data[k : k + 20]))]
+    cascade = quality_rules.Cascade(given, 10, lambda: now[0])
+    cascade.judge(whole[0])
+    assert [r.name for r in cascade.ordered] == ["cheap", "dear", "idle"] and cascade.seen == 20
+    asked.clear()
+    verdict = cascade.judge(whole[1])
+    n = [i % 5 + i % 3 for i in range(20, 40)]
+    symbols = [i % 5 for i in range(20, 40)]
+    assert verdict.tolist() == [0 if a > 3 else 1 if b > 2 else 3 for a, b in zip(n, symbols)]
+    assert asked == [("cheap", 20), ("dear", sum(x <= 3 for x in n)), ("idle", sum(v == 3 for v in verdict))] and cascade.seen == 20
+    assert whole[1].every("n_symbols")[0].tolist() == symbols and whole[1].every("n_words")[0].tolist() == n
+    assert whole[1].every("lines")[0].tolist() == [int(x > 0) for x in n]
+
+
 def test_hmm(docs, empty, texts):
     got = hmm_lm.score(docs, rounds=1, shares=(2,), chunk_bytes=1000).collect()
     assert len(got) == docs.count()
