@@ -165,6 +165,18 @@ def test_lexicon_table_equals_the_literal_lexicon(spark, sentences, match):
         assert actors == {r.rule_id: (r.a.start, r.a.stop) for r in literal.collect() if r.a}
 
 
+def test_markers_that_begin_alike_do_not_all_meet_a_place(spark):
+    names = spark.range(20_000).selectExpr("'2' version", "'party' category", "cast(null as string) klass", "format_string('customer#%09d', id) marker", "0L no")
+    both = LT.from_literal(spark).unionByName(names)
+    df = spark.createDataFrame([(i, f"The customer and customer#{i:09d} may ask customer#{i}, the customer") for i in range(50)], "rule_id long, text string")
+    low = df.selectExpr("rule_id id", "lower(text) low")
+    met, _ = LT._candidates(low, LT.prepared(both), "substring")
+    assert met.count() < 50 * 40
+    found = LT.hits(df, both)
+    assert sorted(r.marker for r in found.where("category = 'party'").collect()) == [f"customer#{i:09d}" for i in range(50)]
+    assert found.where("marker = 'customer'").count() == 4 * 50
+
+
 def test_lexicon_table_of_many_markers_has_a_plan_of_the_same_size(spark, sentences, monkeypatch):
     _, df = sentences
     plan = lambda lexicon: df.sparkSession._jvm.PythonSQLUtils.explainString(LT.hits(df, lexicon)._jdf.queryExecution(), "simple")
