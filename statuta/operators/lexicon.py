@@ -80,6 +80,9 @@ def hits_of(low: Column, held: Column) -> Column:
         sizes = F.transform(F.split(low, F.concat(F.lit(r"(?=\Q"), m, F.lit(r"\E)")), -1), lambda x: F.length(x))
         places = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
         kept = F.when(F.startswith(low, m), places).otherwise(F.slice(places, F.lit(2), F.size(places)))
+        first = F.instr(low, m)
+        # most markers stand in a text once, and the pattern is not needed
+        kept = F.when(F.contains(F.substring(low, first + 1, F.length(low)), m), kept).otherwise(F.array(first - 1))
         return F.transform(kept, lambda p: F.struct(p.alias("start"), (-F.length(m)).alias("shorter"), (p + F.length(m)).alias("stop"), m.alias("marker")))
 
     return F.array_sort(F.flatten(F.transform(held, all_of)))
