@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.functions.strings import once
 from statuta.operators import process as K
 
 
@@ -24,7 +25,7 @@ def split_models(files: DataFrame, row_tag: str = "process") -> tuple[DataFrame,
     """read_models() of (xml, file) rows that are there already; null texts are set apart as empty."""
     body = K.model_schema().removeprefix("process ")
     whole = F.from_xml("xml", f"{row_tag} array<{body}>, _corrupt string", {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = files.withColumn("_m", F.when(F.regexp_like("xml", F.lit(r"\S")), whole))
+    parsed = files.withColumn("_m", once(F.when(F.regexp_like("xml", F.lit(r"\S")), whole)))
     held = F.coalesce(F.col(f"_m.{row_tag}"), F.array().cast(f"array<{body}>"))
     reason = F.when(F.col("_m").isNull(), "empty").when(F.col("_m._corrupt").isNotNull(), "not_well_formed").when(F.size(held) == 0, "no_process").when(F.exists(held, lambda p: p["_id"].isNull()), "process_without_id")
     judged = parsed.select("file", held.alias("_held"), reason.alias("reason"))

@@ -14,3 +14,8 @@ def plan(df):
 def test_a_filter_on_a_field_does_not_extract_again(spark, name):
     filters = [x for x in plan(catalog.QUERIES[name](spark, DATA)).splitlines() if "Filter" in x]
     assert filters and not any("lambdafunction" in x for x in filters)
+
+
+@pytest.mark.parametrize("name", ["lanes", "activities", "bpmn_scan", "model_files", "model_files_apart"])
+def test_a_model_is_parsed_once(spark, name):
+    assert plan(catalog.QUERIES[name](spark, DATA)).count("from_xml(") == 1
