@@ -29,7 +29,7 @@ def _span(text: Column, start: Column) -> Column:
 
 def mid_unless(text: Column) -> Column:
     """Offset of the first "unless" that does not begin the text, else null."""
-    return _place(text, unicode_pattern(r"(?i)(?<!^)\bunless\b"))
+    return _place(text, unicode_pattern(r"(?i)(?<!^)(?=unless)\bunless\b"))
 
 
 def initial_unless(text: Column) -> Column:
@@ -83,7 +83,7 @@ def constraint(text: Column, after: Column) -> Column:
 
 def exception(text: Column, after: Column) -> Column:
     """From the first "unless" after an offset to the sentence's end."""
-    return _span(text, _place(_from(text, after), unicode_pattern(r"(?i)\bunless\s+")) + after)
+    return _span(text, _place(_from(text, after), unicode_pattern(r"(?i)(?=unless)\bunless\s+")) + after)
 
 
 def looks_like_definition(text: Column) -> Column:
@@ -95,8 +95,8 @@ def _from(text: Column, at: Column) -> Column:
 
 
 def _place(text: Column, pattern: str) -> Column:
-    """Offset of a pattern's first match, else null."""
-    return let(F.split(text, pattern, 2), lambda x: F.when(F.size(x) > 1, F.length(x[0])))
+    """Offset of a pattern's first match, else null. What stands before it is extracted, since a split reads its pattern anew for every text."""
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.length(F.regexp_extract(text, f"^((?s:.*?))(?:{pattern})", 1)))
 
 
 def _past(text: Column, at: Column, marks: str) -> Column:
@@ -123,7 +123,11 @@ def boundary_and(text: Column, left: Column, right: Column) -> Column:
 
 def and_boundaries(text: Column) -> Column:
     """For each modality hit the boundary "and" before it; null for the first and where there is none."""
-    return let(modality_hits(text), lambda hits: F.transform(hits, lambda h, i: boundary_and(text, F.get(hits, i - 1)["stop"], h["start"])))
+    return let(modality_hits(text), lambda hits: _boundaries(text, hits))
+
+
+def _boundaries(text: Column, hits: Column) -> Column:
+    return F.transform(hits, lambda h, i: boundary_and(text, F.get(hits, i - 1)["stop"], h["start"]))
 
 
 def split(text: Column) -> Column:
@@ -145,7 +149,7 @@ def split(text: Column) -> Column:
         return F.when(blank, F.array(whole)).when(F.size(x["hits"]) > 1, many).otherwise(F.array(_trimmed(text, x["begin"], F.length(text))))
 
     begin = let(initial_unless(text), lambda c: F.when(c.isNull(), F.lit(0)).otherwise(_past(text, c["stop"], ", ")))
-    parts = F.struct(modality_hits(text).alias("hits"), and_boundaries(text).alias("ands"), begin.alias("begin"))
+    parts = let(modality_hits(text), lambda hits: F.struct(hits.alias("hits"), _boundaries(text, hits).alias("ands"), begin.alias("begin")))
     return F.when(text.isNotNull(), let(parts, of))
 
 
@@ -234,9 +238,13 @@ def flattened(found: Column) -> Column:
     A null modality falls to the first later clause that has one, a null action to the first later clause's action.
     """
     classes = F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])
-    first_of = lambda f: F.get(F.filter(F.transform(found, lambda c: c[f]["text"]), lambda t: t.isNotNull()), F.lit(0))
-    head = F.get(found, F.lit(0))
-    return F.struct(classes[F.lower(first_of("modality"))].alias("modality"), head["actor"]["text"].alias("actor"), first_of("action").alias("action"), *[head[f]["text"].alias(f) for f in ("condition", "constraint", "exception")])
+
+    def of(found: Column) -> Column:
+        first_of = lambda f: F.get(F.filter(F.transform(found, lambda c: c[f]["text"]), lambda t: t.isNotNull()), F.lit(0))
+        head = F.get(found, F.lit(0))
+        return F.struct(classes[F.lower(first_of("modality"))].alias("modality"), head["actor"]["text"].alias("actor"), first_of("action").alias("action"), *[head[f]["text"].alias(f) for f in ("condition", "constraint", "exception")])
+
+    return let(found, of)
 
 
 def baseline(rows: DataFrame, text_col: str = "text") -> DataFrame:

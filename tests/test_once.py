@@ -19,3 +19,7 @@ def test_a_filter_on_a_field_does_not_extract_again(spark, name):
 @pytest.mark.parametrize("name", ["lanes", "activities", "bpmn_scan", "model_files", "model_files_apart"])
 def test_a_model_is_parsed_once(spark, name):
     assert plan(catalog.QUERIES[name](spark, DATA)).count("from_xml(") == 1
+
+
+def test_clauses_are_found_once_for_all_fields(spark):
+    assert plan(catalog.QUERIES["flatten_prediction"](spark, DATA)).count("no person shall|") == 2
