@@ -19,7 +19,7 @@ MODALITY_PATTERNS = [
     ("definition", r"\b(means|refers to|defined as|definition)\b"),
 ]
 CITED = [r"(?i)Article\s+(\d+)", r"(?i)Art\.\s*(\d+)"]
-ACTION = r"(?i)\b(?:shall|must|may|should)\s+(not\s+)?(?:be\s+)?(\w+(?:\s+\w+){0,8})"
+ACTION = r"(?i)(?=shall|must|may|should)\b(?:shall|must|may|should)\s+(not\s+)?(?:be\s+)?(\w+(?:\s+\w+){0,8})"
 SUBJECT = r"(?i)^((?:The|A|Each|Any)\s+\w+(?:\s+\w+)?)\s+(?:shall|must|may|should|is)"
 CONDITION = r"(?i)(?:Where|If|When|In case of|Provided that|On condition that)\s+[^,.;]+(?:,|;|\.)"
 CONSTRAINTS = [r"(?i)(?:within|before|after|at least|at most|no later than|not later than)\s+[^,.;]+", r"(?i)(?:in accordance with|subject to|without prejudice to)\s+[^,.;]+"]
@@ -56,10 +56,15 @@ def group_key(text: Column) -> Column:
 
 def regex_modality(text: Column) -> Column:
     """Class by the first pattern that hits, by priority; obligation by default."""
-    out = F.lit("obligation")
-    for name, pattern in reversed(MODALITY_PATTERNS):
-        out = F.when(F.regexp_like(F.lower(text), F.lit(S.unicode_pattern(pattern))), name).otherwise(out)
-    return out
+    def of(low: Column) -> Column:
+        out = F.lit("obligation")
+        for name, pattern in reversed(MODALITY_PATTERNS):
+            # without edges first, since most texts lack the words, and edges are costly to look for at every place
+            held = F.regexp_like(low, F.lit(pattern.replace(r"\b", ""))) & F.regexp_like(low, F.lit(S.unicode_pattern(pattern)))
+            out = F.when(held, name).otherwise(out)
+        return out
+
+    return S.let(F.lower(text), of)
 
 
 def diverse_sample(rows: DataFrame, group: str, order: list[str], target: int, per_group: int = 3) -> DataFrame:
