@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -149,8 +150,8 @@ def ranked(keys: list[list[int] | None]) -> list[int]:
     return out
 
 
-def path(v: Vocabulary, s: str, back: list[int], start: int, stop: int) -> tuple[int, ...]:
-    """Ids of the pieces between two positions on the best path."""
+def path(v: Vocabulary, s: str, back: list[int], start: int, stop: int) -> bytes:
+    """Ids of the pieces between two positions on the best path, four bytes each."""
     out: list[int] = []
     while stop > start:
         i = back[stop] & NO_PIECE
@@ -160,7 +161,7 @@ def path(v: Vocabulary, s: str, back: list[int], start: int, stop: int) -> tuple
         else:
             out.extend(v.byte_ids[b] for b in reversed(s[stop].encode()))
     out.reverse()
-    return tuple(out)
+    return array("i", out).tobytes()
 
 
 class Scores(dict):
@@ -180,14 +181,14 @@ class Scores(dict):
 
 
 class Segmenter(dict):
-    """Ids of a fragment (blanks, then others), kept while there is room."""
+    """Ids of a fragment (blanks, then others), four bytes each, kept while there is room."""
 
     def __init__(self, v: Vocabulary, room: int = 400_000):
         super().__init__()
         self.v, self.room = v, room
         self.scores = Scores(v, room)
 
-    def __missing__(self, s: str) -> tuple[int, ...]:
+    def __missing__(self, s: str) -> bytes:
         _, back = viterbi(self.v, s, len(s), {0: 0})
         found = path(self.v, s, back, 0, len(s))
         if len(s) < 64:
@@ -196,8 +197,8 @@ class Segmenter(dict):
             self[s] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.__getitem__, self.v.fragment.findall(" " + text)))) if text else []
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.v.fragment.findall(" " + text))) if text else b"", np.int32)
 
 
 def decode(v: Vocabulary, ids: list[int]) -> str:
@@ -220,14 +221,11 @@ def transfer(seg: Segmenter, s: str, n: int) -> np.ndarray:
         return [best[upto + j] if upto + j < len(best) else NEVER for j in range(k)]
 
     if not at:
-        keys: list[list[list[int] | None]] = [[None] * k for _ in range(k)]  # by exit, then entry
-        for i in range(min(k, n + 1)):
-            best, back = viterbi(v, s, n, {i: 0})
+        found = [viterbi(v, s, n, {i: 0}) for i in range(min(k, n + 1))]
+        for i, (best, _) in enumerate(found):
             m[0, i] = leave(best, n)
-            for j in range(k):
-                if m[0, i, j] != NEVER:
-                    keys[j][i] = steps(back, i, n + j)
-        m[1] = np.array([ranked(x) for x in keys], np.int64).T
+        for j in range(k):  # the paths of one exit at a time, which are as long as the chunk
+            m[1, :, j] = ranked([steps(found[i][1], i, n + j) if i < len(found) and m[0, i, j] != NEVER else None for i in range(k)])
         return m
     first, last = at[0], at[-1]
     heads = [viterbi(v, s[:first], first, {i: 0}) if i <= first else None for i in range(k)]
@@ -260,20 +258,37 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack((score, np.argsort(np.argsort(key, axis=0, kind="stable"), axis=0)))
 
 
-def backtrace(seg: Segmenter, s: str, n: int, entry: int, leave: int) -> tuple[int, ...]:
-    """Ids of the pieces that start in a chunk, entered at entry and left `leave` characters past its end."""
+def backtrace(seg: Segmenter, s: str, n: int, entry: int, leave: int) -> bytes:
+    """Ids of the pieces that start in a chunk, entered at entry and left `leave` characters past its end, four bytes each."""
     v, at = seg.v, [p for p in cuts(s, n) if p > entry]
     if entry >= n:
-        return ()
+        return b""
     if not at:
         part = s[entry : n + leave]
         _, back = viterbi(v, part, n - entry, {0: 0})
         return path(v, part, back, 0, len(part))
-    head = itertools.chain.from_iterable(map(seg.__getitem__, v.fragment.findall(s[entry : at[0]])))
-    middle = itertools.chain.from_iterable(map(seg.__getitem__, v.fragment.findall(s[at[0] : at[-1]])))
+    inside = b"".join(map(seg.__getitem__, itertools.chain(v.fragment.findall(s[entry : at[0]]), v.fragment.findall(s[at[0] : at[-1]]))))
     part = s[at[-1] : n + leave]
     _, back = viterbi(v, part, n - at[-1], {0: 0})
-    return (*head, *middle, *path(v, part, back, 0, len(part)))
+    return inside + path(v, part, back, 0, len(part))
+
+
+def traces(seg: Segmenter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, k, ids, same) of chunks (row, k, n, s, entry, leave), same being whether the ids decode to the chunk's part of the text.
+
+    A batch of chunks is long: their ids, as Python numbers some twenty times the text, are held for one chunk alone.
+    """
+    v = seg.v
+    for batch in batches:
+        for a, b, _, _ in W.slices(batch.column(3)):
+            row, k, sizes, texts, entries, leaves = (batch.column(i).slice(a, b - a) for i in range(6))
+            found, same = [], []
+            for s, n, i, j in zip(texts, sizes.to_pylist(), entries.to_pylist(), leaves.to_pylist(), strict=True):
+                s = s.as_py()
+                found.append(np.frombuffer(backtrace(seg, s, n, i, j), np.int32))
+                same.append(b"".join([v.texts[t] for t in found[-1].tolist()]).decode() == s[i : n + j])
+            lists = W.lists(np.concatenate(found), np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([row, k, lists, pa.array(same, pa.bool_())], names=["row", "k", "ids", "same"])
 
 
 def boundaries(t: str, chunk: int) -> list[int]:
@@ -308,10 +323,13 @@ def chunked(rows: DataFrame, chunk: int, longest: int) -> DataFrame:
 def scan(spark, chunks: DataFrame, shared, longest: int) -> DataFrame:
     """(row, k, entry, leave) of each chunk on the best path of its text."""
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(shared.value)
-        for part in batches:
-            yield pd.DataFrame({"row": part["row"], "k": part["k"], "m": [transfer(seg, s, n).tobytes() for s, n in zip(part["s"], part["n"], strict=True)]})
+        for batch in batches:
+            for a, b, _, _ in W.slices(batch.column(3)):
+                row, k, sizes, texts = (batch.column(i).slice(a, b - a) for i in range(4))
+                found = [transfer(seg, s, n).tobytes() for s, n in zip(texts.to_pylist(), sizes.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([row, k, pa.array(found, pa.binary())], names=["row", "k", "m"])
 
     def read(m: bytes) -> np.ndarray:
         return np.frombuffer(m, np.int64).reshape(2, longest, longest)
@@ -347,7 +365,7 @@ def scan(spark, chunks: DataFrame, shared, longest: int) -> DataFrame:
         found = walk([read(m) for m in part["m"]], np.frombuffer(part["start"].iloc[0], np.int64), int(part["leave"].iloc[0]))
         return pd.DataFrame({"row": part["row"], "k": part["k"], "entry": [x[1] for x in found], "leave": [x[2] for x in found]})
 
-    made = store.table(chunks.select("row", "k", "n", "s").mapInPandas(W.releasing(matrices), "row long, k int, m binary")).withColumn("g", F.floor(F.col("k") / SEGMENT).cast("int"))
+    made = store.table(chunks.select("row", "k", "n", "s").mapInArrow(W.releasing(matrices), "row long, k int, m binary")).withColumn("g", F.floor(F.col("k") / SEGMENT).cast("int"))
     products = made.groupBy("row", "g").applyInPandas(multiply, "row long, g int, m binary")
     ends = products.groupBy("row").applyInPandas(over_segments, "row long, g int, start binary, leave int")
     return made.join(ends, ["row", "g"]).groupBy("row", "g").applyInPandas(over_chunks, "row long, k int, entry int, leave int")
@@ -373,9 +391,9 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
             for a, b, _, _ in W.slices(batch.column(1)):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 found = [None if t is None else seg.encode(t) for t in texts]
-                same = [None if t is None else (decode(v, x) == t if t else not x) for t, x in zip(texts, found, strict=True)]
-                sizes = np.cumsum([0, *(len(x or ()) for x in found)])
-                flat = np.fromiter(itertools.chain.from_iterable(x for x in found if x), np.int32, int(sizes[-1]))
+                same = [None if t is None else (decode(v, x.tolist()) == t if t else not len(x)) for t, x in zip(texts, found, strict=True)]
+                sizes = np.cumsum([0, *(0 if x is None else len(x) for x in found)])
+                flat = np.concatenate([np.zeros(0, np.int32), *(x for x in found if x is not None)])
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat), mask=pa.array([x is None for x in found]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(same, pa.bool_())], schema=kind)
 
@@ -386,15 +404,10 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     chunks = store.table(chunked(long, chunk, v.longest).repartition("row", "k"))
     ends = scan(spark, chunks, shared, v.longest)
 
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
-        seg = Segmenter(v)
-        for part in batches:
-            ids = [backtrace(seg, s, n, i, j) for s, n, i, j in zip(part["s"], part["n"], part["entry"], part["leave"], strict=True)]
-            same = [b"".join(v.texts[t] for t in x).decode() == s[i : n + j] for x, s, n, i, j in zip(ids, part["s"], part["n"], part["entry"], part["leave"], strict=True)]
-            yield pd.DataFrame({"row": part["row"], "k": part["k"], "ids": [np.array(x, np.int32) for x in ids], "same": same})
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from traces(Segmenter(shared.value), batches)
 
-    traced = chunks.join(ends, ["row", "k"]).select("row", "k", "n", "s", "entry", "leave").mapInPandas(W.releasing(trace), "row long, k int, ids array<int>, same boolean")
+    traced = chunks.join(ends, ["row", "k"]).select("row", "k", "n", "s", "entry", "leave").mapInArrow(W.releasing(trace), "row long, k int, ids array<int>, same boolean")
     parts = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("same").alias("round_trip"))
     giants = long.select("row", "id").join(parts, "row").select("id", "ids", "round_trip")
     out = short.unionByName(giants)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -650,6 +651,24 @@ def test_sentencepiece(docs, empty, texts, spark):
             assert r.round_trip and r.ids == best(" " + odd[r.doc_id]), odd[r.doc_id]
 
 
+def test_chunks_of_a_batch_are_traced_without_holding_their_ids():
+    pa = pytest.importorskip("pyarrow")
+    seg = sentencepiece_scan.Segmenter(sentencepiece_scan.load(MODEL_FILE))
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("qxzjkv"), 6)) for _ in range(300)]
+    texts = [" " + " ".join(rng.choice(words, 2300)) for _ in range(300)]
+    whole = [seg.encode(t[1:]) for t in texts]
+    columns = {"row": pa.array([7] * len(texts)), "k": pa.array(range(len(texts)), pa.int32()), "n": pa.array(map(len, texts), pa.int32()), "s": pa.array(texts), "entry": pa.array([0] * len(texts), pa.int32()), "leave": pa.array([0] * len(texts), pa.int32())}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    tracemalloc.start()
+    done = 0
+    for out in sentencepiece_scan.traces(seg, iter([batch])):
+        for ids, same, k in zip(out.column(2), out.column(3).to_pylist(), out.column(1).to_pylist(), strict=True):
+            done += same and np.array_equal(ids.values.to_numpy(), whole[k])
+    assert done == len(texts) and tracemalloc.get_traced_memory()[1] < 4 * sum(map(len, texts))
+    tracemalloc.stop()
+
+
 def test_chunk_boundaries():
     t = " ab  cd" * 30 + "x" * 100 + " e"
     for chunk in (16, 40, 500):
