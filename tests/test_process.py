@@ -34,6 +34,25 @@ def test_task_order(spark):
     assert got[0] == ["t2", "t1", "t10", "t9"]
 
 
+def test_large_and_small_processes_are_ordered_alike(spark):
+    rng = random.Random(5)
+    nodes = ["s", *[f"t{k}" for k in range(1, 15)]]
+    rows = [(p, rng.randrange(4), rng.choice(nodes), rng.choice([*nodes, None])) for p in range(40) for _ in range(rng.randrange(1, 40))] + [(None, 1, "s", "t1"), (41, 1, "t1", "t2"), (3, None, "s", "t9")]
+    edges = spark.createDataFrame(rows, "process_id int, pos int, source string, target string")
+    tasks = spark.createDataFrame([(p, n, f"name {n}") for p in [*range(43), None] for n in [*nodes[1:], None]], "process_id int, node_id string, name string")
+    starts = spark.createDataFrame([(p, n) for p in [*range(42), None] for n in ("s", "s", "t3")[: 2 + (p or 0) % 2]], "process_id int, node_id string")
+    want = sorted(K.task_order(starts, edges, tasks, whole=0).collect())
+    assert len(want) > 200 and all(sorted(K.task_order(starts, edges, tasks, whole=w).collect()) == want for w in (20, 1000))
+
+
+def test_small_processes_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(K, "depths", None)
+    edges = spark.createDataFrame([(1, 1, "s", "t1"), (1, 2, "t1", "t2")], "process_id int, pos int, source string, target string")
+    tasks = spark.createDataFrame([(1, "t2", "b"), (1, "t1", "a"), (1, "t3", "c")], "process_id int, node_id string, name string")
+    starts = spark.createDataFrame([(1, "s")], "process_id int, node_id string")
+    assert sorted(K.task_order(starts, edges, tasks).collect()) == [(1, "t1", "a", 1), (1, "t2", "b", 2)]
+
+
 def test_out_of_order(spark):
     ordered = spark.createDataFrame([(p, n, k + 1) for p in (1, 2) for k, n in enumerate(["Notify the subject", "Record the decision", None][: 4 - p])] + [(3, "record notify", 1)], "process_id int, name string, place int")
     rules = [
