@@ -26,6 +26,9 @@ STATES = 8
 OWN = 4095
 SHARED = 1024
 CLASSES = 1 + OWN + SHARED
+_SLOTS = 1 << 17
+#: Steps of the recursion between two scalings of all texts, at most.
+UNSCALED = 8
 #: The end token's hash in the tables of counts.
 END = -(1 << 63)
 
@@ -72,11 +75,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 def class_of(words: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Class of each word hash: 1 + place among the own words (ascending), else a shared class."""
-    if not len(own):
-        return 1 + OWN + ((words.view(np.uint64) >> np.uint64(17)) % np.uint64(SHARED)).astype(np.int64)
-    at = np.minimum(np.searchsorted(own, words), len(own) - 1)
-    shared = 1 + OWN + ((words.view(np.uint64) >> np.uint64(17)) % np.uint64(SHARED)).astype(np.int64)
-    return np.where(own[at] == words, 1 + at, shared)
+    out = ((words.view(np.uint64) >> np.uint64(17)) % np.uint64(SHARED)).astype(np.int64) + (1 + OWN)
+    # own words are looked up by the last bits of their hashes; the few that share these are tried in turn
+    slot = lambda x: x & (_SLOTS - 1)
+    order = np.argsort(slot(own), kind="stable")
+    many = np.bincount(slot(own), minlength=_SLOTS).astype(np.int16)
+    begin = (np.cumsum(many) - many).astype(np.int16)
+    near = np.flatnonzero(many[slot(words)])
+    turn = 0
+    while len(near):
+        at = slot(words[near])
+        k = order[begin[at] + turn]
+        hit = own[k] == words[near]
+        out[near[hit]] = 1 + k[hit]
+        turn += 1
+        near = near[~hit & (many[at] > turn)]
+    return out
 
 
 def shared_class(word: Column) -> Column:
@@ -105,47 +119,47 @@ def batches_by_length(begins: np.ndarray, width: int = 1024) -> Iterator[tuple[n
 
 
 def forward(m: Model, classes: np.ndarray, begins: np.ndarray, expect: bool) -> tuple[np.ndarray, list[np.ndarray] | None]:
-    """Natural-log likelihood of each text's classes; with expect, also the expected counts (start, move, emit)."""
+    """Natural-log likelihood of each text's classes; with expect, also the expected counts (start, move, emit).
+
+    Tokens stand step by step, a column each, longer texts first, so that a step goes on from the first columns of the one
+    before. Columns are scaled where a text ends and every UNSCALED steps, within which no product leaves a double's range.
+    """
     k = len(m.start)
     out = np.zeros(len(begins) - 1)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, m.emit.shape[1]))
-    emit_t = np.ascontiguousarray(m.emit.T)
+    back = np.ascontiguousarray(m.move.T)
     for rows, size in batches_by_length(begins):
         longest = int(size[0])
-        first = begins[:-1][rows]
         alive = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # texts with a token at step t
-        alpha, scale, seen = [], [], []
-        state = np.broadcast_to(m.start, (len(rows), k))
-        log = np.zeros(len(rows))
-        for t in range(longest):
-            n = alive[t]
-            c = classes[first[:n] + t]
-            state = (state[:n] if t == 0 else state[:n] @ m.move) * emit_t[c]
-            s = state.sum(axis=1)
-            state = state / s[:, None]
-            log[:n] += np.log(s)
-            if expect:
-                alpha.append(state)
-                scale.append(s)
-                seen.append(c)
-        out[rows] = log
+        begun = np.concatenate(([0], np.cumsum(alive)))
+        text = np.arange(begun[-1]) - np.repeat(begun[:-1], alive)
+        c = classes[begins[:-1][rows][text] + np.repeat(np.arange(longest), alive)]
+        ends = np.diff(alive, append=0) != 0
+        ends[UNSCALED - 1 :: UNSCALED] = True
+        bounds = begun.tolist()
+        alpha = np.take(m.emit, c, axis=1)
+        ahead = alpha.copy() if expect else None
+        scale = np.ones(len(c))
+        last = None
+        for a, b, scaled in zip(bounds[:-1], bounds[1:], ends.tolist(), strict=True):
+            now = alpha[:, a:b]
+            now *= m.start[:, None] if last is None else back.dot(last[:, : b - a])
+            if scaled:
+                now /= np.add.reduce(now, axis=0, out=scale[a:b])
+            last = now
+        out[rows] = np.bincount(text, np.log(scale), len(rows))
         if expect:
-            beta = np.ones((0, k))
-            emitted, where = [], []
-            for t in range(longest - 1, -1, -1):
-                n = alive[t]
-                now = np.ones((n, k))
-                if len(beta):
-                    ahead = beta * emit_t[seen[t + 1]] / scale[t + 1][:, None]
-                    now[: len(beta)] = ahead @ m.move.T
-                    move += alpha[t][: len(beta)].T @ ahead
-                beta = now
-                emitted.append(alpha[t] * beta)
-                where.append(seen[t])
-            start += emitted[-1].sum(axis=0)
-            g, c = np.concatenate(emitted), np.concatenate(where)
+            ahead /= scale
+            for a, b, d in zip(bounds[-3::-1], bounds[-2:0:-1], bounds[:1:-1], strict=True):
+                ahead[:, a : a + d - b] *= m.move.dot(ahead[:, b:d])
+            # a column of ahead is emission over scale times what the later tokens say; move and emit take that with alpha
+            n = int(alive[0])
+            prior = np.arange(n, len(c)) - np.repeat(alive[:-1], alive[1:])
             for j in range(k):
-                emit[j] += np.bincount(c, g[:, j], emit.shape[1])
+                move[j] += ahead[:, n:].dot(alpha[j][prior])
+                seen = alpha[j] * ahead[j] * scale / m.emit[j][c]
+                start[j] += seen[:n].sum()
+                emit[j] += np.bincount(c, seen, emit.shape[1])
     return out, [start, move * m.move, emit] if expect else None
 
 
