@@ -154,8 +154,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     count = total.select("all").first()
     n_shards = -(-count[0] // slots) if count else 0
     shards = spark.range(n_shards).withColumnRenamed("id", "shard").crossJoin(F.broadcast(total)).select("shard", F.least(F.lit(slots).cast("long"), F.col("all") - F.col("shard") * slots).alias("n"), "weights")
-    drawn = topped_up(draws(shards, slots, seed), sources, n_shards)
-    numbered = first_slots(drawn).join(sources.select("k", "source", "blocks", "quota"), "k")
+    # a row a shard and source: written, as what follows reads the draws four times over and would hold their plan as often
+    drawn = store.table(draws(shards, slots, seed))
+    numbered = store.table(first_slots(topped_up(drawn, sources, n_shards))).join(sources.select("k", "source", "blocks", "quota"), "k")
     slot = numbered.select("shard", "k", "source", "blocks", F.explode(F.sequence("from", F.col("from") + F.col("c") - 1)).alias("slot")).where("slot < quota")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +201,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     m = mix(docs, id_col, source_col, text_col, **options)
     parts = m["pieces"].join(m["uses"].select("k", "index", "epoch"), ["k", "index"]).groupBy("id", "tie", "start", "k", "epoch", "size").agg(F.sum("n").alias("words"), F.sort_array(F.collect_list(F.struct("from", "n"))).alias("cuts"))
     plan = parts.select(F.col("id").alias("plan_id"), F.col("tie").alias("plan_tie"), "start", "epoch", F.when(F.col("words") < F.col("size"), F.col("cuts")).alias("cuts"))
-    plan = plan.withColumn("plan_copy", F.row_number().over(Window.partitionBy("plan_id", "plan_tie", "epoch").orderBy("start")))
+    # written, so that the driver never holds the plan of the mix and that of its documents as one
+    plan = store.table(plan.withColumn("plan_copy", F.row_number().over(Window.partitionBy("plan_id", "plan_tie", "epoch").orderBy("start"))))
     # the row travels as one struct, so its columns may have any names
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tie"))
     numbered = packed.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie").orderBy(F.lit(1))))

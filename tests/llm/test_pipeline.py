@@ -119,6 +119,15 @@ def test_mixing(spark, rows):
     assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
 
 
+def test_mixing_plans_are_small(spark, rows):
+    """Draws are made once, and neither they nor the choice of blocks is planned together with the documents."""
+    docs = make(spark, rows)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(source_mixing.mix(docs)["uses"]).count("MapInPandas") == 1
+    whole = plan(source_mixing.mixed_documents(docs))
+    assert whole.count("MapInPandas") == 0 and whole.count("Join") == 1 and whole.count("Window") <= 2
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=[x for x, _ in corpus_pipeline.STAGES])
 def test_empty_table(spark, rows, stage):
     empty = make(spark, rows).limit(0)
